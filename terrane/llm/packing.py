@@ -98,20 +98,18 @@ def placement(patterns: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarra
 
 def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: its ids, then the end id; only documents beyond the capacity are cut, the first piece takes the rest."""
-    path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
+    path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(path)
         for batch in chunks(batches):
             out: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):
-                ids += end
-                n = len(ids) // 4
-                first = (n - 1) % capacity + 1
-                for piece, stop in enumerate(range(first, n + 1, capacity)):
-                    start = max(0, stop - capacity) if piece else 0
-                    out.append((doc, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
+                first = (len(ids) - 1) % capacity + 1
+                for piece, stop in enumerate(range(first, len(ids) + 1, capacity)):
+                    start = max(0, stop - capacity)
+                    out.append((doc, piece, start, stop - start, zlib.crc32(ids[start:stop])))
             doc, piece, start, length, crc = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],

@@ -29,12 +29,7 @@ class SegmentTree:
     def __init__(self, text: str, encoder: PieceEncoder):
         self.text, self.encoder, self.reencoded = text, encoder, 0
         pieces = encoder.split.findall(text)
-        self._build(list(map(len, pieces)), self._counts(pieces))
-
-    def _counts(self, pieces: list[str]) -> list[int]:
-        self.encoder.learn(set(pieces))
-        cache = self.encoder.cache
-        return [len(cache[p]) >> 2 for p in pieces]
+        self._build(list(map(len, pieces)), encoder.piece_counts(pieces))
 
     def _build(self, chars: list[int], tokens: list[int]) -> None:
         self.blocks = [(chars[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [([], [])]
@@ -110,7 +105,7 @@ class SegmentTree:
             for old_at, old_block, old_leaf in old:
                 pass
         self.reencoded += len(pieces)
-        chars, tokens = list(map(len, pieces)), self._counts(pieces)
+        chars, tokens = list(map(len, pieces)), self.encoder.piece_counts(pieces)
         head, tail = self.blocks[block], self.blocks[old_block]
         chars, tokens = head[0][:leaf] + chars + tail[0][old_leaf:], head[1][:leaf] + tokens + tail[1][old_leaf:]
         for b in range(block + 1, old_block + 1):
@@ -134,7 +129,6 @@ def edit_aware_counts(docs: DataFrame, edits: Column, tokenizer: str | None = No
         encoder = PieceEncoder.of(path)
         for batch in chunks(batches, limit=CHUNK_BYTES // 4):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            encoder.learn(set().union(*map(encoder.split.findall, texts)))
             rows = []
             for doc, text, script in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
                 tree = SegmentTree(text, encoder)
