@@ -1,4 +1,6 @@
-"""Splitting texts into words, as bytes."""
+"""Splitting texts into words, as bytes, and sorted distinct numbers."""
+
+import numpy as np
 
 #: ASCII other than digits and letters parts words; A-Z become a-z.
 _WORD_BYTES = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
@@ -12,3 +14,9 @@ def words(text: bytes) -> list[bytes]:
 
 def letter_words(text: bytes) -> list[bytes]:
     return text.translate(_LETTER_BYTES).split()
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; the sort in place is faster than numpy.unique's table on millions of keys."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x

@@ -3,56 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, fold, materialise, utf8
-from .shingles import _MIX, WORD_CACHE, WordHashes
-from .text import words
+from .shared import chunks, drop, fold, materialise, utf8
+from .shingles import _MIX, WordHashes
+from .text import distinct, words
 
 #: Features are hashed to 2 ** BITS places; place 0 is the bias.
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
 EPOCHS = 4
 #: Bounds of the labelled sample: rows (in expectation, drawn by a hash of doc_id) and features.
-SAMPLE_ROWS, SAMPLE_FEATURES = 24_000, 40_000_000
+SAMPLE_ROWS, SAMPLE_FEATURES = 16_000, 30_000_000
 
 _WORDS = WordHashes()
-#: Beginnings of words, in letters, that stand in for their inflected forms.
+#: Beginnings of words, in bytes, that stand in for their inflected forms.
 STEMS = (4, 5, 6)
 
 
-class StemHashes(dict):
-    """Hashes of a word's beginnings, as many as STEMS, remembered as WordHashes does; a short word is its own beginning."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        letters = word if word.isascii() else word.decode("utf-8", "replace")
-        starts = {letters[:n] for n in STEMS if len(letters) > n}
-        out = self[word] = tuple(xxhash.xxh3_64_intdigest(x, seed=len(x)) for x in starts)
-        return out
-
-
-_STEMS = StemHashes()
-
-
-def features(text: bytes) -> np.ndarray:
-    """Sorted distinct places of the words, pairs of neighbours, pairs with one word between, stems, and the bias."""
-    found = words(text)
+def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, place) of every feature of some texts, repeated as it occurs: words, pairs of neighbours, pairs with one
+    word between, and stems of words that are longer."""
+    split = [words(t) for t in texts]
+    found = list(chain.from_iterable(split))
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    text = np.repeat(np.arange(len(texts)), sizes)
     h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    stems = set().union(*map(_STEMS.__getitem__, set(found)))
-    pairs = [h * _MIX[0], np.fromiter(stems, np.uint64, len(stems)) * _MIX[2]]
+    out = [(text, h * _MIX[0])]
     for gap, salt in ((1, _MIX[1]), (2, _MIX[2])):
-        if len(h) > gap:
-            x = (h[:-gap] ^ salt) * _MIX[1] + h[gap:]
-            pairs.append((x ^ (x >> np.uint64(31))) * _MIX[2])
-    places = np.unique(np.concatenate(pairs) >> np.uint64(64 - BITS)).astype(np.int64)
-    return np.union1d(places, [0])
+        x = (h[:-gap] ^ salt) * _MIX[1] + h[gap:]
+        same = text[:-gap] == text[gap:]
+        out.append((text[:-gap][same], ((x ^ (x >> np.uint64(31))) * _MIX[2])[same]))
+    letters = np.frombuffer(b"".join(found), np.uint8)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    starts = np.cumsum(lengths) - lengths
+    for n in STEMS:
+        longer = lengths > n
+        stem = np.full(int(longer.sum()), n, np.uint64)
+        for k in range(n):
+            stem = (stem << np.uint64(8)) | letters[starts[longer] + k]
+        stem = (stem ^ (stem >> np.uint64(23))) * _MIX[1]
+        out.append((text[longer], (stem ^ (stem >> np.uint64(29))) * _MIX[2]))
+    return np.concatenate([o[0] for o in out]), (np.concatenate([o[1] for o in out]) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(texts: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct places of each text; the bias is place 0."""
+    text, at = places(texts)
+    keys = distinct(np.concatenate([text << BITS | at, np.arange(len(texts)) << BITS]))
+    cuts = np.searchsorted(keys, np.arange(len(texts) + 1) << BITS)
+    return [(keys[a:b] & ((1 << BITS) - 1)).astype("<u4") for a, b in zip(cuts, cuts[1:])]
 
 
 class Ftrl:
@@ -88,14 +93,15 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.nd
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        found = [features(t).astype("<u4").tobytes() for t in utf8(batch.column(1))]
+        found = [f.tobytes() for f in features(utf8(batch.column(1)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "toxic", "places"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Weights learned from labelled documents outside the held-out fold (crc32 of doc_id modulo 5 is 0).
 
-    The labels are thinned by a hash of doc_id to about sample_rows; so what is broadcast and collected is bounded. A document
+    The labels are thinned by a hash of doc_id to about sample_rows, and what lies beyond sample_features stays out; so what is broadcast and what
+    the learning task holds is bounded. A document
     with contradicting labels counts as toxic.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0))
@@ -104,13 +110,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     sample = materialise(joined.mapInArrow(_featured, "doc_id long, toxic int, places binary"), "toxic-sample")
-    sizes = sample.select((F.octet_length("places") / 4).alias("n"), F.xxhash64("doc_id", F.lit(1)).alias("h")).orderBy("h", "n").collect()
-    held = np.cumsum([r["n"] for r in sizes])
-    fits = int(np.searchsorted(held, sample_features, side="right"))
-    if fits < len(sizes):
-        sample = sample.filter(F.xxhash64("doc_id", F.lit(1)) < sizes[fits]["h"])
-    rows = sample.select("places", "toxic").orderBy(F.xxhash64("doc_id", F.lit(1)), "places").collect()
-    return fit([(np.frombuffer(r["places"], "<u4").astype(np.int64), int(r["toxic"] > 0)) for r in rows])
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for toxic, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held += len(data) // 4
+                if held <= sample_features:
+                    rows.append((np.frombuffer(data, "<u4"), int(toxic > 0)))
+        at, value = fit(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["at", "value"])
+
+    # one task learns from the bounded sample, in the order of a hash
+    dealt = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "places").select("toxic", "places")
+    row = dealt.mapInArrow(learned, "at binary, value binary").first()
+    drop(sample)
+    return np.frombuffer(row["at"], "<i8"), np.frombuffer(row["value"], "<f8")
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -121,7 +136,11 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         dense = np.zeros(1 << BITS)
         dense[at] = value
         for batch in chunks(batches):
-            total = np.array([dense[features(t)].sum() for t in utf8(batch.column(1))])
+            texts = utf8(batch.column(1))
+            text, place = places(texts)
+            live = dense[place] != 0
+            keys = distinct(text[live] << BITS | place[live])
+            total = np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], len(texts)) + np.where(np.isin(np.arange(len(texts)) << BITS, keys), 0.0, dense[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
