@@ -7,6 +7,8 @@ from functools import cache
 import numpy as np
 import xxhash
 
+from .text import distinct
+
 WORD_CACHE = 400_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
@@ -42,7 +44,7 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
         out ^= out >> np.uint64(29)
         out *= _MIX[1]
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return distinct(out)
 
 
 @cache
