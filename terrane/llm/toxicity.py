@@ -21,6 +21,9 @@ EPOCHS = 4
 #: Bounds of the labelled sample: rows (in expectation, drawn by a hash of doc_id) and features.
 SAMPLE_ROWS, SAMPLE_FEATURES = 16_000, 30_000_000
 
+#: Bytes of text whose features are held at once; they take some fifty times as much.
+STEP_BYTES = 1 << 20
+
 _WORDS = WordHashes()
 #: Beginnings of words, in bytes, that stand in for their inflected forms.
 STEMS = (4, 5, 6)
@@ -92,7 +95,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.nd
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=STEP_BYTES):
         found = [f.tobytes() for f in features(utf8(batch.column(1)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "toxic", "places"])
 
@@ -128,6 +131,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     return np.frombuffer(row["at"], "<i8"), np.frombuffer(row["value"], "<f8")
 
 
+def _sums(texts: list[bytes], dense: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each text's distinct features and of the bias."""
+    text, place = places(texts)
+    live = (dense[place] != 0) & (place != 0)
+    keys = distinct(text[live] << BITS | place[live])
+    return dense[0] + np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], len(texts))
+
+
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id and score of every row; whole texts, null counts as empty."""
     at, value = weights
@@ -135,17 +146,28 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << BITS)
         dense[at] = value
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=STEP_BYTES):
             texts = utf8(batch.column(1))
-            text, place = places(texts)
-            live = dense[place] != 0
-            keys = distinct(text[live] << BITS | place[live])
-            total = np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], len(texts)) + np.where(np.isin(np.arange(len(texts)) << BITS, keys), 0.0, dense[0])
+            total = _sums(texts, dense)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose score is below 0.5."""
+    at, value = train(docs, labels)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = np.zeros(1 << BITS)
+        dense[at] = value
+        for batch in chunks(batches, "text", STEP_BYTES):
+            yield batch.filter(pa.array(_sums(utf8(batch.column(place)), dense) < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
