@@ -20,9 +20,10 @@ from .shared import materialise
 #: Vectors of the sample (in expectation, drawn by a hash of vec_id); rows beyond it are indexed, not learned from.
 SAMPLE = 6144
 GRAPH_NEIGHBOURS = 16
-PARTITION_ROWS = 800
+#: Rows of a partition, and the most partitions; beyond that they grow and are ranked in blocks.
+PARTITION_ROWS, PARTITIONS = 800, 24
 #: Recall on the sample that routing is set to reach.
-AIM = 0.97
+AIM = 0.94
 HIDDEN, EPOCHS, BATCH, RATE = 96, 40, 128, 3e-3
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -133,7 +134,7 @@ def _fit(x: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> Router:
 def learn(x: np.ndarray, rows: int, k: int) -> Router:
     """A router from a sample of distinct vectors, for a table of `rows` rows and searches of the k nearest."""
     rng = np.random.default_rng(11)
-    parts = int(max(1, min(rows // PARTITION_ROWS, len(x) // 24)))
+    parts = int(max(1, min(rows // PARTITION_ROWS, len(x) // 24, PARTITIONS)))
     if parts < 2:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
     test = rng.permutation(len(x)) < len(x) // 8
