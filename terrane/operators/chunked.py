@@ -1,45 +1,86 @@
 """Running values along a position without putting a whole chromosome in one task.
 
-Rows are dealt out by (keys, chunk of positions). A chunk's own running value is a window; what the chunks before it add comes from
-a table of one row per chunk.
+Small inputs take a plain window by key. Larger ones are written to the shared folder first (they are read twice, and long chains of
+operators would double their plans at every step); if they prove large there, rows are dealt out by (keys, chunk of positions): a
+chunk's own running value is a window, and what the chunks before it add comes from a table of one row per chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+#: Bytes, as Catalyst estimates them, up to which one window by key will do.
+PLAIN_BYTES = 256 << 20
 _COMBINE = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: Column, kind: str, out: str, inclusive: bool = True, chunk: int = CHUNK) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; set only where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="terrane-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: the plan starts anew there, and lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession)}/terrane/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def placed(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """df, written if it seems large, and whether it is large."""
+    if estimated_bytes(df) <= limit:
+        return df, False
+    df = settled(df)
+    return df, estimated_bytes(df) > limit
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, kind: str, out: str, inclusive: bool = True, chunk: float = CHUNK, limit: int = PLAIN_BYTES) -> DataFrame:
     """Add the running sum, max or min of `value` over rows with equal keys in the order given, whose first column is the position.
 
     Without `inclusive` a row's own value isn't part of its result, which is null on the first row.
     """
-    placed = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk)).withColumn("_value", value)
-    fold = _FOLD[kind]
-    totals = placed.groupBy(*keys, "_chunk").agg(fold("_value").alias("_total"))
+    fold, last = _FOLD[kind], 0 if inclusive else -1
+    df, large = placed(df, limit)
+    if not large:
+        return df.withColumn(out, fold(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)))
+    dealt = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk)).withColumn("_value", value)
+    totals = dealt.groupBy(*keys, "_chunk").agg(fold("_value").alias("_total"))
     before = fold("_total").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select(*keys, "_chunk", before.alias("_before"))
-    own = fold("_value").over(Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    both = placed.withColumn("_own", own).join(totals, [*keys, "_chunk"])
+    own = fold("_value").over(Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, last))
+    both = dealt.withColumn("_own", own).join(totals, [*keys, "_chunk"])
     result = F.when(F.col("_own").isNull(), F.col("_before")).when(F.col("_before").isNull(), F.col("_own")).otherwise(_COMBINE[kind](F.col("_own"), F.col("_before")))
-    return both.withColumn(out, result).drop("_chunk", "_value", "_own", "_before")
+    return both.withColumn(out, result).select(*df.columns, out)
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], chunk: int = CHUNK, previous: bool = True, following: bool = True) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], chunk: float = CHUNK, previous: bool = True, following: bool = True, limit: int = PLAIN_BYTES) -> DataFrame:
     """Add `prev_<c>` and `next_<c>` of the rows before and behind in the order given; null at the ends of a key's rows."""
-    placed = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk))
     along = list(dict.fromkeys([*order, *columns]))
+    df, large = placed(df, limit)
+    if not large:
+        over = Window.partitionBy(*keys).orderBy(*along)
+        return df.withColumns({**({f"prev_{c}": F.lag(c).over(over) for c in columns} if previous else {}), **({f"next_{c}": F.lead(c).over(over) for c in columns} if following else {})})
+    dealt = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk))
     row = F.struct(*along)
-    ends = placed.groupBy(*keys, "_chunk").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    ends = dealt.groupBy(*keys, "_chunk").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
     over = Window.partitionBy(*keys).orderBy("_chunk")
     ends = ends.select(*keys, "_chunk", F.lag("_last").over(over).alias("_came"), F.lead("_first").over(over).alias("_comes"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*along)
-    both = placed.join(ends, [*keys, "_chunk"])
+    both = dealt.join(ends, [*keys, "_chunk"])
     first, last = F.row_number().over(inside) == 1, F.lead(F.lit(1)).over(inside).isNull()
     added = {}
     for c in columns:
@@ -47,7 +88,7 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[s
             added[f"prev_{c}"] = F.when(first, F.col(f"_came.{c}")).otherwise(F.lag(c).over(inside))
         if following:
             added[f"next_{c}"] = F.when(last, F.col(f"_comes.{c}")).otherwise(F.lead(c).over(inside))
-    return both.withColumns(added).drop("_chunk", "_came", "_comes")
+    return both.withColumns(added).select(*df.columns, *added)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, chunk: int = CHUNK) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators.chunked import settled
 from ..operators.intervals import merge
 from ..operators.multiscale import median_tracks, scales
 from ..operators.overlap import overlap_join
@@ -17,7 +18,7 @@ from .peaks import scale_regions, signals
 
 def decomposition_tracks(reads: DataFrame, params: CallParams, mappability: DataFrame | None = None) -> DataFrame:
     """(chrom, scale, start, end, value): the median track of each scale over the smoothed chip profile, as bedGraph rows."""
-    chip = pileup(reads.filter("sample = 'chip'"), params.fragment, keys=("chrom",))
+    chip = settled(pileup(reads.filter("sample = 'chip'"), params.fragment, keys=("chrom",)))
     ends = P.lengths(chip)
     smooth = chip if mappability is None else P.mappable_median(chip, mappability, ends, params.mappability_window, params.mappability_limit)
     tracks = median_tracks(smooth, ends, scales(params.scale_start, params.scale_end, params.scale_step))
@@ -34,7 +35,7 @@ def scale_spectrum(reads: DataFrame, params: CallParams, chrom: str | None = Non
     chip, control = signals(reads, params)
     name = chrom or chip.agg(F.min("chrom")).first()[0]
     only = lambda p: p.filter(F.col("chrom") == name)
-    found = scale_regions(only(chip), only(control), params)
+    found = settled(scale_regions(only(chip), only(control), params))
     at = scales(params.scale_start / params.bin_width, params.scale_end / params.bin_width, params.scale_step)
     spectrum = found.sparkSession.createDataFrame([(k, s * params.bin_width) for k, s in enumerate(at)], "scale_index int, scale double")
     met = overlap_join(merge(found.select("chrom", "start", "end"), 0), found.select("chrom", "start", "end", "scale"))

@@ -518,7 +518,7 @@ _EXTREMA = f"""WITH {A.SIGNAL}, {median_sql('m', 4)}, ends AS ({_ENDS}), z AS (S
 i AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY pos) AS island FROM (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY chrom ORDER BY pos) THEN 0 ELSE 1 END AS f FROM z)),
 r AS (SELECT chrom, min(pos) AS a, max(pos) AS b, any_value(value) AS v FROM i GROUP BY chrom, island),
 n AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS x FROM r WINDOW w AS (PARTITION BY chrom ORDER BY a)),
-e AS (SELECT chrom, (a + b + 1) // 2 AS pos, CASE WHEN p < v THEN 'MAX' ELSE 'MIN' END AS kind, v AS height FROM n WHERE p < v AND x < v OR p > v AND x > v),
+e AS (SELECT chrom, (a + b + 1) // 2 AS pos, CASE WHEN p < v THEN 'MAX' ELSE 'MIN' END AS kind, v AS height FROM n JOIN ends USING (chrom) WHERE b + 1 < l AND (p < v AND x < v OR p > v AND x > v)),
 s AS (SELECT chrom, arg_min(kind, pos) AS k0, arg_max(kind, pos) AS k1, count(*) AS c FROM e GROUP BY chrom HAVING count(*) >= 2),
 ex AS (SELECT * FROM e WHERE chrom IN (SELECT chrom FROM s) UNION ALL SELECT chrom, 0, CASE k0 WHEN 'MAX' THEN 'MIN' ELSE 'MAX' END, 0.0 FROM s UNION ALL SELECT s.chrom, l - 1, CASE k1 WHEN 'MAX' THEN 'MIN' ELSE 'MAX' END, z.value FROM s JOIN ends USING (chrom) JOIN z ON z.chrom = s.chrom AND z.pos = l - 1)"""
 
@@ -719,8 +719,8 @@ def region_p_value_peak(spark, d):
 
 
 _POISSON = f"""{RUNS_SQL}, pos AS (SELECT chrom, unnest(range(start, "end" + 1)) AS q, value FROM p), w AS (SELECT chrom, (q - 1) // 2000 AS win, value FROM pos UNION ALL SELECT chrom, (q - 2) // 2000, value FROM pos WHERE q > 1 AND (q - 1) % 2000 = 0),
-lam AS (SELECT chrom, CAST(win AS BIGINT) AS win, sum(value) / 2000 AS lambda FROM w GROUP BY ALL),
-c AS (SELECT chrom, win, t, sum(exp(t * ln(lambda) - lambda - lgamma(t + 1))) OVER (PARTITION BY chrom, win ORDER BY t) AS cdf FROM lam, range(0, 200) g(t))
+lam AS (SELECT chrom, CAST(win AS BIGINT) AS win, sum(value) / 2000 AS lm FROM w GROUP BY ALL),
+c AS (SELECT chrom, win, t, sum(exp(t * ln(lm) - lm - lgamma(t + 1))) OVER (PARTITION BY chrom, win ORDER BY t) AS cdf FROM lam, range(0, 200) g(t))
 SELECT chrom, win, CAST(coalesce(min(t) FILTER (t >= 1 AND ln(cdf) > ln(0.95)), 0) AS INT) AS threshold FROM c GROUP BY chrom, win"""
 
 
@@ -765,7 +765,7 @@ def combination_indices(spark, d):
 
 # Trimming.
 
-_THRESHOLDS = _POISSON.replace(RUNS_SQL, f"{_BOTH}, p AS (SELECT * FROM chip)").replace("SELECT chrom, win, CAST(coalesce", "thr AS (SELECT chrom, win, CAST(coalesce") + ")"
+_THRESHOLDS = _POISSON.replace(RUNS_SQL, f"{_BOTH}, p AS (SELECT * FROM chip)").replace("SELECT chrom, win, CAST(coalesce", ", thr AS (SELECT chrom, win, CAST(coalesce") + ")"
 
 
 @query(f"""{_THRESHOLDS}, {_SPOTS} SELECT s.chrom, min(greatest(s.start, p.start)) AS start, max(least(s."end", p."end")) AS "end" FROM spots s JOIN thr t ON t.chrom = s.chrom AND t.win = (s.start - 1) // 2000 AND t.threshold > 0
@@ -874,7 +874,7 @@ def peaks_broad(spark, d):
 
 @query()
 def peaks_punctate(spark, d):
-    return peaks.call(A.reads(spark, d), SMALL.but(scale_start=8, scale_end=32, bin_width=1, rd_fdr=0.05, peak_mode=True, trim_after_merge=True, trough=True))
+    return peaks.call(A.reads(spark, d), SMALL.but(scale_start=8, scale_end=32, bin_width=1, rd_fdr=0.05, peak_mode=True, trim_after_merge=True, trough=True, q=5.0))
 
 
 @query()

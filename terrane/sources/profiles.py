@@ -46,7 +46,7 @@ def read_profiles(spark: SparkSession, path: str, kind: str, scale: float = 1.0)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(s), pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(v, pa.float64())], names=["chrom", "start", "end", "value"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    return files.select(normalise_chrom(F.regexp_extract("path", r"([^/]+)\.bin$", 1)), "content").mapInArrow(run, "chrom string, start long, end long, value double")
+    return files.select(normalise_chrom(F.regexp_extract("path", r"([^/]+)\.bin$", 1)).alias("chrom"), "content").mapInArrow(run, "chrom string, start long, end long, value double")
 
 
 def encoded_profiles(profile: DataFrame, ends: DataFrame, kind: str) -> DataFrame:
