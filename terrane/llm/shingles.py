@@ -9,7 +9,7 @@ import xxhash
 
 from .text import distinct
 
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, drop, fold, materialise, utf8
+from .shared import chunks, drop, fold, materialise, release, utf8
 from .shingles import _MIX, WordHashes
 from .text import distinct, words
 
@@ -122,12 +122,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
                 if held <= sample_features:
                     rows.append((np.frombuffer(data, "<u4"), int(toxic > 0)))
         at, value = fit(rows)
+        rows.clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["at", "value"])
 
     # one task learns from the bounded sample, in the order of a hash
     dealt = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "places").select("toxic", "places")
     row = dealt.mapInArrow(learned, "at binary, value binary").first()
     drop(sample)
+    if row is None:  # an empty sample may leave no task to learn
+        return fit([])
     return np.frombuffer(row["at"], "<i8"), np.frombuffer(row["value"], "<f8")
 
 
