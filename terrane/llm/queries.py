@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .decontaminate import contamination
 from .language import languages
 from .language_model import score_corpus
@@ -59,4 +60,4 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_learned_partitions, op3_language_id, op4_toxicity, op5_lm_scoring, op6_minhash, op7_decontamination, op8_warc, op9_best_fit_packing, op10_pii_surrogates)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_minhash": sql.MINHASH, "op7_decontamination": sql.DECONTAMINATION, "op8_warc": sql.WARC}
