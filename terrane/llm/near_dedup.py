@@ -100,7 +100,8 @@ def _linker(percent: int):
 
 def _links(roles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links of roles (label, is_x, rep, comp): x against y under each label, dealt out in blocks."""
-    n = roles.groupBy("label").agg(F.count_if("is_x").alias("_x"), F.count_if(~F.col("is_x")).alias("_y"))
+    roles = materialise(roles, "roles")
+    n = materialise(roles.groupBy("label").agg(F.count_if("is_x").alias("_x"), F.count_if(~F.col("is_x")).alias("_y")), "blocks")  # as a table, it lets the join split a hot label
     dealt = roles.join(n, "label").withColumns({"_xs": F.ceil(F.col("_x") / X_BLOCK).cast("int"), "_ys": F.ceil(F.col("_y") / Y_BLOCK).cast("int")})
     own = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
     every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
@@ -123,6 +124,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = materialise(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     rows = signed.withColumnRenamed("doc_id", "rep").join(classes, ["print", "rep"]).select("rep", F.explode("bands").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_most")).filter("pivot <> _most").select("key", "pivot")
+    buckets = materialise(buckets, "buckets")  # as a table, it lets the join split a hot bucket
     members = materialise(rows.join(buckets, "key"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary").distinct(), "sets")
@@ -136,6 +138,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     counted = placed.groupBy("key", "comp").count()
     main = counted.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("_main"), F.count("*").alias("_n")).filter("_n > 1").select("key", F.col("_main.comp").alias("label"))
+    main = materialise(main, "mains")
     left = placed.join(main, "key")
     roles = left.filter("comp <> label").select("label", F.lit(True).alias("is_x"), "rep", "comp").union(left.select("label", F.lit(False), "rep", "comp")).distinct()
     late = _links(roles, sets, percent)
