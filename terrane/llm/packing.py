@@ -22,7 +22,7 @@ from .shared import chunks, materialise
 CAPACITY = 1024
 END_ID = 2
 #: Pieces that one window group may hold; hash buckets split larger lengths.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
