@@ -344,7 +344,7 @@ def interval_subtract_pair(spark, d):
     return pairs.select(F.col("a_name").alias("name"), F.explode(J.subtract_pair(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))).alias("p")).select("name", "p.start", "p.end")
 
 
-@query(f"""WITH {A.REGIONS}, {merge_sql('m', 'regions', 20)} SELECT m.chrom, min(r.start) AS start, max("r"."end") FILTER (true) AS "end" FROM m JOIN regions r ON r.chrom = m.chrom AND r.start BETWEEN m.start AND m."end" GROUP BY m.chrom, m.start, m."end" """.replace("""max("r"."end") FILTER (true)""", """arg_max(r."end", {'s': r.start, 'e': r."end"})"""))
+@query(f"""WITH {A.REGIONS}, {merge_sql('m', 'regions', 20)} SELECT m.chrom, min(r.start) AS start, arg_max(r."end", {{'s': r.start, 'e': r."end"}}) AS "end" FROM m JOIN regions r ON r.chrom = m.chrom AND r.start BETWEEN m.start AND m."end" GROUP BY m.chrom, m.start, m."end" """)
 def interval_merge_within(spark, d):
     x = _all(spark, d)
     return J.merge_within(x, J.merge(x, 20))
@@ -544,10 +544,9 @@ def bin_signal(spark, d):
     return rounded(P.binned(_signal(spark, d), 7), "value")
 
 
-_WIN = """{n} AS (SELECT chrom, w, sum(value * (least("end", w * 500 + 499, l - 1) - greatest(start, w * 500 + 1) + 1)) AS m FROM {src} JOIN lim USING (chrom), range(40) t(w) WHERE least("end", w * 500 + 499, l - 1) >= greatest(start, w * 500 + 1) AND w < l // 500 GROUP BY ALL)"""
+_WIN = """{n} AS (SELECT chrom, w, sum(value * (least("end", w * 500 + 499, l - 1) - greatest(start, w * 500 + 1) + 1)) AS m FROM {src} JOIN lim USING (chrom), (SELECT unnest(range(0, (SELECT max(l) // 500 + 1 FROM lim))) AS w)
+ WHERE least("end", w * 500 + 499, l - 1) >= greatest(start, w * 500 + 1) AND w < l // 500 GROUP BY ALL)"""
 _LIM = """lim AS (SELECT chrom, least(a.l, b.l) AS l FROM (SELECT chrom, max("end") AS l FROM chip GROUP BY chrom) a JOIN (SELECT chrom, max("end") AS l FROM control GROUP BY chrom) b USING (chrom))"""
-#: Windows of the whole tables: as many as the longest chromosome of any size has.
-_WIN = _WIN.replace("range(40)", "(SELECT unnest(range(0, (SELECT max(l) // 500 + 1 FROM lim))) AS w)")
 _FIT = f"""{_BOTH}, {_LIM}, {_WIN.format(n='wx', src='chip')}, {_WIN.format(n='wy', src='control')}, p AS (SELECT chrom, wx.m AS y, wy.m AS x FROM wx JOIN wy USING (chrom, w) WHERE wx.m > 0 AND wy.m > 0),
 fit AS (SELECT chrom, sum(x * y) / sum(x * x) AS slope1, (count(*) * sum(x * y) - sum(x) * sum(y)) / (count(*) * sum(x * x) - sum(x) * sum(x)) AS slope2, corr(y, x) AS pearson FROM p GROUP BY chrom)"""
 
@@ -916,3 +915,137 @@ def enriched_regions(spark, d):
     both = E.masses(E.masses(spots, chip, "chip_mass"), control, "control_mass", floored=False)
     out = both.withColumn("fold_change", F.round(K.fold_change(F.col("chip_mass"), F.col("control_mass")), 6))
     return out.orderBy(F.desc("chip_mass"), "chrom", "start").limit(50).select("chrom", "start", "end", "chip_mass", "control_mass", "fold_change")
+
+
+# More readers, sinks and helpers.
+
+
+@query(f"""WITH {A.REGIONS} SELECT name, chrom, start, "end", strand, concat(chrom, chr(9), start - 1, chr(9), "end", chr(9), name, chr(9), score, chr(9), strand) AS line FROM regions""")
+def bed_lines_kept(spark, d):
+    x = _all(spark, d)
+    return SG.parse_bed_with_lines(K.bed_lines(x)).withColumn("name", F.split("line", "\t")[3])
+
+
+@query(f"""WITH {A.REGIONS} SELECT chrom, start, "end", '+' AS strand, CAST(score AS DOUBLE) AS log_p FROM regions""")
+def bed_log_p_read(spark, d):
+    return SG.parse_bed_log_p(_all(spark, d).select(_tab("chrom", "start", "end", F.lit("."), "score").alias("value")))
+
+
+@query("SELECT n_name AS chrom, CAST(n_nationkey * 1000 + 7 AS BIGINT) AS length FROM nation WHERE n_name IS NOT NULL")
+def chromosome_lengths_read(spark, d):
+    return SG.parse_lengths(A.table(spark, d, "nation").select(_tab("n_name", F.col("n_nationkey") * 1000 + 7).alias("value")))
+
+
+@query(f"""WITH {A.REGIONS} SELECT chrom, start, "end", strand, name, score, concat('ACGT', name) AS sequence FROM regions""")
+def bed_sequence_read(spark, d):
+    return SG.parse_bed_with_sequence(_all(spark, d).select(_tab("chrom", F.col("start") - 1, "end", "name", "score", "strand", F.concat(F.lit("ACGT"), "name")).alias("value")))
+
+
+@query(f"""WITH {A.REGIONS} SELECT count(*) + 3 AS n_lines, count(*) + 2 AS n_filled FROM regions""")
+def line_counts(spark, d):
+    extra = spark.createDataFrame([("",), ("# note",), ("track x",)], "value string")
+    return SG.line_count(K.bed_lines(_all(spark, d)).union(extra)).select("n_lines", "n_filled")
+
+
+@query(f"""WITH {A.REGIONS}, l AS (SELECT concat_ws(chr(9), chrom, 'terrane', 'region', start, "end", '.', strand, '.', concat('ID=', name)) AS value FROM regions UNION ALL
+SELECT concat_ws(chr(9), chrom, 'terrane', 'interval', start + 2, start + 6, '.', strand, '.', concat('Parent=', name)) FROM regions) SELECT value FROM l""")
+def gff_lines(spark, d):
+    return K.gff_lines(_all(spark, d).withColumn("intervals", F.array(F.struct((F.col("start") + 2).alias("start"), (F.col("start") + 6).alias("end")))))
+
+
+@query(f"""WITH {A.REGIONS} SELECT concat_ws(chr(9), chrom, start, "end", '.', 0, '.', CAST(floor(score / (part + 1)) AS BIGINT), '0.0', '0.0') AS value FROM regions""")
+def broadpeak_lines(spark, d):
+    x = A.regions(spark, d).withColumns({"chip_mass": F.col("score").cast("double"), "control_mass": F.col("part").cast("double"), "log_p": F.lit(0.0), "log_q": F.lit(0.0)})
+    return K.broadpeak_lines(x)
+
+
+@query(f"""WITH {A.REGIONS} SELECT concat_ws(chr(9), chrom, start, "end", '.', '0.0', strand, start + 1, 0, concat(score, '.0')) AS value FROM regions""")
+def er_lines(spark, d):
+    x = _all(spark, d).withColumns({"chip_mass": F.col("score").cast("double"), "control_mass": F.lit(0.0), "log_q": F.lit(0.0), "summit": F.col("start") + 1, "trough": F.lit(0)})
+    return K.er_lines(x)
+
+
+@query(f"WITH {A.SIGNAL} SELECT chrom, pos, round(sum(value) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) / 16, 6) AS value FROM signal")
+def multiscale_mean(spark, d):
+    x = _signal(spark, d)
+    return rounded(P.positions(M.mean_tracks(x, P.lengths(x), [16.0])).select("chrom", "pos", "value"), "value")
+
+
+@query(f"WITH {A.SIGNAL} SELECT chrom, pos + 5 AS pos, round(value * 2.5, 6) AS value FROM signal")
+def shift_and_scale(spark, d):
+    return rounded(P.positions(P.shifted(P.scaled(_signal(spark, d), 2.5), 5)).select("chrom", "pos", "value"), "value")
+
+
+@query(f"WITH {_LWIN} SELECT CAST(coalesce(min(l_win) FILTER (sensitivity >= 0.96), max(l_win)) AS INT) AS l_win FROM w")
+def select_window_length_simple(spark, d):
+    x = A.table(spark, d, "part").select(F.col("p_size").cast("int").alias("l_win"), (F.col("p_size") % 13 / 1000.0).alias("p_fpr"), (0.9 + F.col("p_size") / 400.0).alias("sensitivity")).distinct()
+    return E.select_window_length_simple(x)
+
+
+@query("SELECT i AS i0, j AS i1 FROM range(5) a(i), range(3) b(j)")
+def index_tuples(spark, d):
+    out = stats.index_tuples(spark, [5, 3])
+    return out.select(*(F.col(c).cast("long").alias(c) for c in out.columns))
+
+
+@query("SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS n, round(lgamma(l_linenumber + 1), 6) AS log_factorial FROM lineitem")
+def log_factorials(spark, d):
+    x = A.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("n")).distinct()
+    return rounded(x.withColumn("log_factorial", stats.log_factorial("n")), "log_factorial")
+
+
+@query(f"""WITH {A.SEQUENCES}, c AS (SELECT substr(seq, CAST(o AS BIGINT), 1) AS base FROM seqs, (SELECT unnest(range(1, (SELECT max(length(seq)) FROM seqs) + 1)) AS o) WHERE o <= length(seq))
+SELECT base, CASE base WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 4 ELSE 0 END AS code, strpos('ACGT', base) AS number, base IN ('A', 'G') AS purine, count(*) AS n FROM c GROUP BY base""")
+def nucleotide_maps(spark, d):
+    k = sequence.kmer_counts(A.sequences(spark, d), 1)
+    b = F.col("kmer")
+    return k.select(b.alias("base"), sequence.signal_code(b).alias("code"), sequence.base_number(b).cast("long").alias("number"), sequence.matches_iupac(b, F.lit("R")).alias("purine"), "n")
+
+
+@query(f"""WITH {A.REGIONS} SELECT name, CASE WHEN strand = '-' THEN "end" - 3 ELSE start + 3 END AS genome, 3 AS place FROM regions WHERE "end" - start >= 3""")
+def sequence_coordinates(spark, d):
+    s, e, t = F.col("start"), F.col("end"), F.col("strand")
+    x = _all(spark, d).withColumn("genome", sequence.genome_index(F.lit(3), s, e, t)).filter("genome is not null")
+    return x.select("name", "genome", sequence.sequence_index(F.col("genome"), s, e, t).cast("int").alias("place"))
+
+
+@query(f"""WITH {A.READS}, {_SPOTS}, {depth_sql('p', _BLOCK + " WHERE sample = 'chip'", 'chrom, strand')}, o AS (SELECT s.chrom, s.start, s."end", p.strand, p.value AS v, greatest(s.start, p.start) AS a, least(s."end", p."end") AS b FROM spots s JOIN p ON p.chrom = s.chrom AND p.start <= s."end" AND s.start <= p."end")
+SELECT chrom, start, "end", max(v) FILTER (strand = 'F') AS fore_max, arg_max(a, {{'v': v, 'p': -a}}) FILTER (strand = 'F') AS fore_peak, max(v) FILTER (strand = 'R') AS rev_max, arg_max(b, {{'v': v, 'p': b}}) FILTER (strand = 'R') AS rev_peak,
+round(sum(v * (b - a + 1) * (a + b) / 2) FILTER (strand = 'F') / sum(v * (b - a + 1)) FILTER (strand = 'F'), 6) AS fore_centre FROM o GROUP BY chrom, start, "end" """)
+def strand_info(spark, d):
+    s = R.pileup(A.reads(spark, d).filter("sample = 'chip'"), stranded=True, keys=("chrom",))
+    out = T.strand_info(_spots(spark, d), s).filter("fore_max is not null or rev_max is not null")
+    return rounded(out.select("chrom", "start", "end", "fore_max", "fore_peak", "rev_max", "rev_peak", "fore_centre"), "fore_centre")
+
+
+@query(f"""WITH {A.REGIONS}, s AS (SELECT chrom, CAST(part AS DOUBLE) AS scale, start, "end" FROM regions WHERE score % 5 = 0)
+SELECT chrom, scale, start, "end", count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.chrom = s.chrom AND t.scale > s.scale AND t.start <= s."end" AND s.start <= t."end") GROUP BY ALL""")
+def merge_by_significance(spark, d):
+    x = A.regions(spark, d).filter("score % 5 = 0").select("chrom", F.col("part").cast("double").alias("scale"), "start", "end", (-F.col("score") / 1e5).alias("log_p"))
+    return T.merge_by_significance(x).groupBy("chrom", "scale", "start", "end").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT o_orderpriority, string_split(o_orderpriority, '-')[1] AS head, array_to_string(list_filter(regexp_split_to_array(o_orderpriority, '[- ]'), lambda x: x <> ''), '|') AS parts,
+len(regexp_extract_all(o_orderpriority, '[0-9]+')) AS n_integers, contains('0123456789', left(o_orderpriority, 1)) AS digit_first FROM orders""")
+def tokenizers(spark, d):
+    from .functions import strings as S
+
+    p = F.col("o_orderpriority")
+    x = A.table(spark, d, "orders").select(p).distinct()
+    return x.select(p, S.first_tokens(p, "-", 1)[0].alias("head"), F.array_join(S.tokens(p, "- "), "|").alias("parts"), F.size(S.integers(p)).cast("long").alias("n_integers"), S.is_number(F.substring(p, 1, 1)).alias("digit_first"))
+
+
+@query("""SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS n, printf('%x', l_linenumber * 37) AS hex, l_linenumber % 2 = 0 AS balanced FROM lineitem""")
+def radix_and_brackets(spark, d):
+    from .functions import strings as S
+
+    n = F.col("l_linenumber").cast("long")
+    text = F.when(F.col("l_linenumber") % 2 == 0, "(a(b)c)").otherwise("(a))b(")
+    return A.table(spark, d, "lineitem").select(n.alias("n"), F.lower(S.in_base(n * 37, 16)).alias("hex"), S.balanced(text).alias("balanced")).distinct()
+
+
+@query("SELECT event_type AS chrom, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """The batch form of the windowed stream."""
+    x = A.table(spark, d, "events")
+    return x.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("event_type").alias("chrom"), F.col("window.start").alias("window_start"), "n", "total")
