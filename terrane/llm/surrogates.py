@@ -50,8 +50,8 @@ PATTERNS = [
     ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_.-]{6,})", None),
     ("iban", r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", None),
     ("ip", r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)", "."),
-    ("card", r"(?<![\d-])(\d(?:[ -]?\d){12,18})(?![\d-])", None),
-    ("phone", r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", None),
+    ("card", r"(?<![\d-])(\d{13,19}|(?:\d{4} ){3}\d{1,7}|(?:\d{4}-){3}\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\d-])", None),
+    ("phone", r"(?<![\w+])(\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", None),
     ("ssn", r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])", "-"),
     ("person", rf"\b(?:{_TITLES})\b\.?[  ]({_NAME}(?: {_NAME})?)", None),
     ("person", rf"\b((?:{'|'.join(_NAMES)}) {_NAME})", None),
@@ -201,12 +201,13 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for kind, pattern, hint in _COMPILED:
         if hint and hint not in text or kind in _NEEDS_DIGIT and not digits or kind in ("token", "secret") and not secrets:
             continue
-        for m in pattern.finditer(text):
+        at = 0
+        while m := pattern.search(text, at):
             a, b = m.span(1)
-            if kind == "email" and text[b - 1] == ".":
-                b -= 1
-            if not any(a < y and x < b for x, y, _ in found):
+            taken = [y for x, y, _ in found if a < y and x < b]
+            if not taken:
                 found.append((a, b, kind))
+            at = max(m.start() + 1, *taken) if taken else max(b, m.start() + 1)  # behind what is taken, the pattern may match anew
     return sorted(found)
 
 

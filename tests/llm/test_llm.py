@@ -459,6 +459,8 @@ def test_surrogates_keep_type_and_coreference():
     firsts = [surrogates._NAMES[p[1].split()[0]] for p in by["person"]]
     assert firsts == [("latin", "f"), ("latin", "m"), ("cyrillic", "f")]
     assert surrogates.replace(text, "key") == (new, made) and surrogates.replace(text, "other")[0] != new
+    side = "at 27.204.213.132 4116106959541135 +1 (998) 555-1234 12 items, 4916 1069 5954 1135"
+    assert [side[a:b] for a, b, _ in surrogates.detect(side)] == ["27.204.213.132", "4116106959541135", "+1 (998) 555-1234", "4916 1069 5954 1135"]
     clean = "The version 1.2.3 of 2024-01-02 had 12345 items at 12:30, Of The Of."
     assert surrogates.replace(clean, "key") == (clean, [])
 
