@@ -153,12 +153,14 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    found = [
-        index.mapInArrow(_search(phrases([(r["item"], bytes(r["text"])) for r in source.filter(block == b).collect()], window), slop), MATCHES)
-        for b in range(blocks)
-    ]
-    if blocks == 1:
-        return found[0]
+    found = []
+    for b in range(blocks):
+        items = [(r["item"], bytes(r["text"])) for r in source.filter(block == b).collect()]
+        rows = index.mapInArrow(_search(phrases(items, window), slop), MATCHES)
+        if blocks == 1:
+            return rows
+        # a table for each block, so that the driver holds one block at a time; all documents are in the first
+        found.append(materialise(rows.filter((F.size("hits") > 0) | F.lit(b == 0)), "matches"))
     united = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
     return reduce(DataFrame.union, found).groupBy("segment", "nth", "doc_id", "n_words").agg(united("hits"), united("items"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,19 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.chunked import shared_dir
+
 #: Bytes of text that one Python step of an operator holds at once.
 CHUNK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="terrane-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/terrane/{tag}-{uuid.uuid4().hex}"
 
