@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from ..operators.chunked import shared_dir
 
-#: Bytes of text that one Python step of an operator holds at once.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that one Python step of an operator holds at once, and of a batch between the JVM and Python where the session sets none.
+CHUNK_BYTES, BATCH_BYTES = 4 << 20, 12 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches are counted in rows by default, and texts can be long: bound their bytes too, unless the session has its own bound."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -25,6 +31,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -40,6 +47,7 @@ def drop(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
