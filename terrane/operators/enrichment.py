@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import LOG_ZERO, binomial_log_p, binomial_log_tail, poisson_threshold
+from .chunked import settled
 from .overlap import overlap_join
 from .profile import lengths, window_sums
 
@@ -28,12 +29,13 @@ def masses(regions: DataFrame, profile: DataFrame, name: str, floored: bool = Tr
     return regions.join(sums, ["chrom", "start", "end"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def mass_log_p(signal: Column, control: Column, length: Column, fragment: float, norm: int | None = None, flip: float = 0.5) -> Column:
+def mass_log_p(signal: Column, control: Column, length: Column, fragment: float, norm: int | Column | None = None, flip: float = 0.5) -> Column:
     """Log p of masses. With `norm`, longer regions are scaled to that length, a control below 1 becomes 1 and a signal below 1 gives 0."""
     s, c = signal / fragment, control / fragment
     if norm is None:
         return binomial_log_p(s, c, flip)
-    by = F.when(length > norm, F.lit(float(norm)) / length).otherwise(F.lit(1.0))
+    norm = norm if isinstance(norm, Column) else F.lit(norm)
+    by = F.when(length > norm, norm.cast("double") / length).otherwise(F.lit(1.0))
     s, c = s * by, c * by
     c = F.when((length > norm) & (F.floor(c) == 0), F.lit(1.0)).otherwise(c)
     return F.when((length > norm) & (F.floor(s) == 0), F.lit(0.0)).otherwise(binomial_log_p(s, c, flip))
@@ -159,24 +161,32 @@ def poisson_windows(profile: DataFrame, fdr: float, width: int = WINDOW, most: i
     return total.select("chrom", F.col("win").cast("long").alias("win"), poisson_threshold(F.col("mass") / width, fdr, F.lit(min(most, 4096))).alias("threshold"))
 
 
-def window_statistics(chip: DataFrame, control: DataFrame, window_lengths: list[int], fragment: float, within: int = 50_000_000, norm: int = 1750, low: float = 1.5, high: float = 2.0, level: float = 0.05) -> DataFrame:
+def window_statistics(chip: DataFrame, control: DataFrame, window_lengths: list[int], fragment: float, within: int = 50_000_000, low: float = 1.5, high: float = 2.0, level: float = 0.05) -> DataFrame:
     """(l_win, n_pp, n_pi, n_ip, n_ii, fc_fnr, p_fnr, fc_fpr, p_fpr, sensitivity): p-values against fold changes in windows of each length.
 
-    Windows start at 1 with a stride of two lengths in the first `within` positions; those with log_p 0, no control or a mean chip of
-    1 or less don't count, nor do fold changes between low and high. n_xy: x is significance of p, y of the fold change.
+    Windows start at 1 with a stride of two lengths in the first `within` positions and are counted under their own length, which
+    a chromosome's end may shorten. Fold change and mean are over the window, p over the position behind it too, scaled to the window's length.
+    Windows at a profile's end, with log_p 0, no control or a mean chip of 1 or less don't count. n_xy: x is significance of p, y of
+    the fold change, which between low and high is neither.
     """
-    ends = lengths(chip).join(lengths(control).withColumnRenamed("l", "m"), "chrom").select("chrom", F.least("l", "m", F.lit(within)).alias("l"))
-    wins = ends.withColumn("l_win", F.explode(F.array(*map(F.lit, window_lengths))))
-    wins = wins.withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("l"), F.lit(1)), (2 * F.col("l_win")).cast("long"))))
-    wins = wins.select("chrom", "l_win", "start", F.least(F.col("start") + F.col("l_win") - 1, "l").alias("end")).filter("start <= end")
-    scored = masses(masses(masses(wins, chip, "signal"), control, "control", floored=False), chip, "raw", floored=False)
-    length = F.col("end") - F.col("start") + 1
-    scored = scored.withColumn("log_p", mass_log_p(F.col("signal"), F.col("control"), length, fragment, norm)).filter((F.col("log_p") != 0) & (F.col("control") > 0) & (F.col("raw") / length > 1))
-    fc = F.col("raw") / F.col("control")
+    chip, control = settled(chip), settled(control)  # both are read several times
+    ends = lengths(chip).join(lengths(control).withColumnRenamed("l", "m"), "chrom")
+    wins = ends.withColumn("asked", F.explode(F.array(*map(F.lit, window_lengths)))).filter("l > 1")
+    wins = wins.withColumn("start", F.explode(F.sequence(F.lit(1).cast("long"), F.least("l", F.lit(within)) - 1, (2 * F.col("asked")).cast("long"))))
+    wins = wins.withColumn("l_win", F.when(F.col("start") + F.col("asked") > F.col("l"), F.col("l") - F.col("start") - 1).otherwise(F.col("asked")).cast("int"))
+    wins = wins.withColumn("end", F.col("start") + F.col("l_win")).filter("l_win > 0 and end < l and end < m").select("chrom", "l_win", "start", "end")
+    wins = settled(wins)
+    scored = masses(masses(wins, chip, "signal"), control, "control", floored=False)
+    scored = scored.withColumn("log_p", mass_log_p(F.col("signal"), F.col("control"), F.col("l_win") + 1, fragment, F.col("l_win")))
+    inner = scored.select("chrom", "l_win", "start", (F.col("end") - 1).alias("end"), "log_p")
+    inner = masses(masses(inner, chip, "x", floored=False), control, "y", floored=False).filter((F.col("log_p") != 0) & (F.col("y") > 0) & (F.col("x") / F.col("l_win") > 1))
+    fc = F.col("x") / F.col("y")
     p_sig, f_sig, f_not = F.col("log_p") < math.log(level), fc > high, fc < low
-    n = scored.groupBy("l_win").agg(F.count_if(p_sig & f_sig).alias("n_pp"), F.count_if(p_sig & f_not).alias("n_pi"), F.count_if(~p_sig & f_sig).alias("n_ip"), F.count_if(~p_sig & f_not).alias("n_ii"))
-    ratio = lambda a, *b: F.try_divide(F.col(a).cast("double"), sum((F.col(c) for c in b), F.lit(0)))
-    return n.withColumns({"fc_fnr": ratio("n_pi", "n_pi", "n_ii"), "p_fnr": ratio("n_ip", "n_ip", "n_ii"), "fc_fpr": ratio("n_ip", "n_ip", "n_pp"), "p_fpr": ratio("n_pi", "n_pi", "n_pp"), "sensitivity": ratio("n_pp", "n_pp", "n_ip")})
+    n = inner.groupBy("l_win").agg(F.count_if(p_sig & f_sig).alias("n_pp"), F.count_if(p_sig & f_not).alias("n_pi"), F.count_if(~p_sig & f_sig).alias("n_ip"), F.count_if(~p_sig & f_not).alias("n_ii"), F.count_if(p_sig).alias("_p"), F.count_if(~p_sig).alias("_i"))
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), b)
+    f_sig, f_not = F.col("n_pp") + F.col("n_ip"), F.col("n_pi") + F.col("n_ii")
+    out = n.withColumns({"fc_fnr": ratio("n_ip", f_sig), "p_fnr": ratio("n_ip", F.col("_i")), "fc_fpr": ratio("n_pi", f_not), "p_fpr": ratio("n_pi", F.col("_p")), "sensitivity": ratio("n_pp", f_sig)})
+    return out.drop("_p", "_i").filter(F.col("l_win").isin(window_lengths))
 
 
 #: Targets of the window-length choice.
@@ -184,16 +194,20 @@ TARGET_FPR, TARGET_SENSITIVITY, EARLY_SENSITIVITY, EARLY_FPR, ABSOLUTE_FPR = 0.0
 
 
 def select_window_length(stats: DataFrame, target_fpr: float = TARGET_FPR, target_sensitivity: float = TARGET_SENSITIVITY, early_sensitivity: float = EARLY_SENSITIVITY, early_fpr: float = EARLY_FPR, absolute_fpr: float = ABSOLUTE_FPR) -> DataFrame:
-    """One row: the first length that meets a rule to stop, else the last. FPR is p_fpr."""
-    fpr_ok, sens_ok = F.col("p_fpr") <= target_fpr, F.col("sensitivity") >= target_sensitivity
-    stop = (F.col("p_fpr") > absolute_fpr) | (fpr_ok & sens_ok & ((F.col("sensitivity") >= early_sensitivity) | (F.col("p_fpr") <= early_fpr))) | (sens_ok & ~fpr_ok)
+    """One row: the first length that meets a rule to stop, else the last. Both rates (fc_fpr and p_fpr) must keep a bound; a missing rate keeps none."""
+    at_most = lambda t: F.coalesce((F.col("fc_fpr") <= t) & (F.col("p_fpr") <= t), F.lit(False))
+    least = lambda t: F.coalesce(F.col("sensitivity") >= t, F.lit(False))
+    beyond = F.coalesce(F.col("fc_fpr") > absolute_fpr, F.lit(False)) | F.coalesce(F.col("p_fpr") > absolute_fpr, F.lit(False))
+    fpr_ok, sens_ok = at_most(target_fpr), least(target_sensitivity)
+    stop = beyond | (fpr_ok & sens_ok & (least(early_sensitivity) | at_most(early_fpr))) | (sens_ok & ~fpr_ok)
     return stats.agg(F.coalesce(F.min(F.when(stop, F.col("l_win"))), F.max("l_win")).alias("l_win"))
 
 
-def select_window_length_simple(stats: DataFrame, target_fpr: float = TARGET_FPR, target_sensitivity: float = TARGET_SENSITIVITY) -> DataFrame:
-    """The two older rules: stop where both targets are met, or where sensitivity is but FPR isn't."""
-    stop = F.col("sensitivity") >= target_sensitivity
-    del target_fpr
+def select_window_length_simple(stats: DataFrame, target_fpr: float = TARGET_FPR, target_sensitivity: float = TARGET_SENSITIVITY, early_sensitivity: float = EARLY_SENSITIVITY) -> DataFrame:
+    """The two older rules: stop where both rates are below the target at the early sensitivity, or a rate is above it beyond the target sensitivity."""
+    below = (F.col("fc_fpr") < target_fpr) & (F.col("p_fpr") < target_fpr) & (F.col("sensitivity") >= early_sensitivity)
+    above = ((F.col("fc_fpr") > target_fpr) | (F.col("p_fpr") > target_fpr)) & (F.col("sensitivity") > target_sensitivity)
+    stop = F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))
     return stats.agg(F.coalesce(F.min(F.when(stop, F.col("l_win"))), F.max("l_win")).alias("l_win"))
 
 

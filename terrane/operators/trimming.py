@@ -158,7 +158,7 @@ def strand_share(stranded: DataFrame, chrom: str) -> float:
 def summits(regions: DataFrame, chip: DataFrame, control: DataFrame) -> DataFrame:
     """Regions with masses and maxima over (start, end], and the summit: the middle of the first highest plateau that falls inside.
 
-    Regions that end at or behind either profile's end have none of these (0).
+    Regions that end at or behind either profile's end have none of these (0), and `inside` is false.
     """
     ends = lengths(chip).join(lengths(control).withColumnRenamed("l", "m"), "chrom")
     inside = regions.join(F.broadcast(ends), "chrom", "left").withColumn("_in", F.coalesce((F.col("end") < F.col("l")) & (F.col("end") < F.col("m")), F.lit(False)))
@@ -180,7 +180,7 @@ def summits(regions: DataFrame, chip: DataFrame, control: DataFrame) -> DataFram
                 top, summit = float(height), (row["start"] + int(change[k]) - 1 + begin) // 2
         return {"chip_mass": float(x[1:].sum()), "control_mass": float(y[1:].sum()), "chip_max": top, "control_max": float(y[1:].max(initial=0.0)), "summit": summit}
 
-    return per_region(rows, f, {"chip_mass": pa.float64(), "control_mass": pa.float64(), "chip_max": pa.float64(), "control_max": pa.float64(), "summit": pa.int64()}).drop("_in")
+    return per_region(rows, f, {"chip_mass": pa.float64(), "control_mass": pa.float64(), "chip_max": pa.float64(), "control_max": pa.float64(), "summit": pa.int64()}).withColumnRenamed("_in", "inside")
 
 
 def local_extrema(x: np.ndarray) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:

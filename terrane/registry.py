@@ -735,17 +735,29 @@ def bh_q_value(spark, d):
     return rounded(stats.benjamini_hochberg(x, ("chrom", "start", "end", "name")), "log_q").select("name", "rank", "log_q")
 
 
-@query()
+_WSUM = """coalesce((SELECT sum(p.value * (least(w.e{d}, p."end") - greatest(w.start, p.start) + 1)) FROM {src} p WHERE p.chrom = w.chrom AND p.start <= w.e{d} AND w.start <= p."end"), 0)"""
+_WINDOW_STATS = f"""{_BOTH}, ends AS (SELECT chrom, a.l, b.l AS m FROM (SELECT chrom, max("end") AS l FROM chip GROUP BY chrom) a JOIN (SELECT chrom, max("end") AS l FROM control GROUP BY chrom) b USING (chrom)),
+w0 AS (SELECT chrom, l, m, asked, start FROM ends, (VALUES (40), (80), (160)) t(asked), LATERAL (SELECT unnest(range(1, l, 2 * asked)) AS start)),
+w1 AS (SELECT chrom, l, m, start, CASE WHEN start + asked > l THEN l - start - 1 ELSE asked END AS lw FROM w0), w AS (SELECT chrom, start, lw, start + lw AS e FROM w1 WHERE lw > 0 AND start + lw < l AND start + lw < m),
+g AS (SELECT lw, {_WSUM.format(d='', src='chip')} / 20.0 * lw / (lw + 1) AS s, {_WSUM.format(d='', src='control')} / 20.0 * lw / (lw + 1) AS c, {_WSUM.format(d=' - 1', src='chip')} AS x, {_WSUM.format(d=' - 1', src='control')} AS y FROM w),
+h AS (SELECT lw, x, y, s, CASE WHEN c < 1 THEN 1 ELSE c END AS c FROM g), k AS (SELECT lw, x, y, s, CAST(floor(s + c) AS BIGINT) AS n, CAST(floor(c) AS BIGINT) AS k FROM h WHERE s >= 1 AND y > 0 AND x / lw > 1),
+q AS (SELECT lw, x / y AS fc, (SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5)))) FROM (SELECT unnest(range(0, k + 1)) AS i)) < ln(0.05) AS sig FROM k)
+SELECT CAST(lw AS INT) AS l_win, count(*) FILTER (sig AND fc > 2) AS n_pp, count(*) FILTER (sig AND fc < 1.5) AS n_pi, count(*) FILTER (NOT sig AND fc > 2) AS n_ip, count(*) FILTER (NOT sig AND fc < 1.5) AS n_ii,
+round(n_ip / nullif(n_pp + n_ip, 0), 6) AS fc_fnr, round(n_ip / nullif(count(*) FILTER (NOT sig), 0), 6) AS p_fnr, round(n_pi / nullif(n_pi + n_ii, 0), 6) AS fc_fpr, round(n_pi / nullif(count(*) FILTER (sig), 0), 6) AS p_fpr, round(n_pp / nullif(n_pp + n_ip, 0), 6) AS sensitivity
+FROM q WHERE lw IN (40, 80, 160) GROUP BY lw"""
+
+
+@query(_WINDOW_STATS)
 def window_2x2_stats(spark, d):
-    return E.window_statistics(_chip(spark, d), _control(spark, d), [40, 80, 160], 20, norm=100).orderBy("l_win")
+    return rounded(E.window_statistics(_chip(spark, d), _control(spark, d), [40, 80, 160], 20), "fc_fnr", "p_fnr", "fc_fpr", "p_fpr", "sensitivity")
 
 
-_LWIN = """w AS (SELECT DISTINCT p_size AS l_win, p_size % 13 / 1000.0 AS p_fpr, 0.9 + p_size / 400.0 AS sensitivity FROM part)"""
+_LWIN = """w AS (SELECT DISTINCT p_size AS l_win, p_size % 13 / 1000.0 AS p_fpr, p_size % 7 / 500.0 AS fc_fpr, 0.9 + p_size / 400.0 AS sensitivity FROM part)"""
 
 
-@query(f"""WITH {_LWIN} SELECT CAST(coalesce(min(l_win) FILTER (p_fpr > 0.05 OR (p_fpr <= 0.01 AND sensitivity >= 0.96 AND (sensitivity >= 0.99 OR p_fpr <= 0)) OR (sensitivity >= 0.96 AND p_fpr > 0.01)), max(l_win)) AS INT) AS l_win FROM w""")
+@query(f"""WITH {_LWIN} SELECT CAST(coalesce(min(l_win) FILTER (greatest(p_fpr, fc_fpr) > 0.05 OR (greatest(p_fpr, fc_fpr) <= 0.01 AND sensitivity >= 0.96 AND (sensitivity >= 0.99 OR greatest(p_fpr, fc_fpr) <= 0)) OR (sensitivity >= 0.96 AND greatest(p_fpr, fc_fpr) > 0.01)), max(l_win)) AS INT) AS l_win FROM w""")
 def select_window_length(spark, d):
-    x = A.table(spark, d, "part").select(F.col("p_size").cast("int").alias("l_win"), (F.col("p_size") % 13 / 1000.0).alias("p_fpr"), (0.9 + F.col("p_size") / 400.0).alias("sensitivity")).distinct()
+    x = A.table(spark, d, "part").select(F.col("p_size").cast("int").alias("l_win"), (F.col("p_size") % 13 / 1000.0).alias("p_fpr"), (F.col("p_size") % 7 / 500.0).alias("fc_fpr"), (0.9 + F.col("p_size") / 400.0).alias("sensitivity")).distinct()
     return E.select_window_length(x)
 
 
@@ -976,9 +988,9 @@ def shift_and_scale(spark, d):
     return rounded(P.positions(P.shifted(P.scaled(_signal(spark, d), 2.5), 5)).select("chrom", "pos", "value"), "value")
 
 
-@query(f"WITH {_LWIN} SELECT CAST(coalesce(min(l_win) FILTER (sensitivity >= 0.96), max(l_win)) AS INT) AS l_win FROM w")
+@query(f"WITH {_LWIN} SELECT CAST(coalesce(min(l_win) FILTER ((greatest(p_fpr, fc_fpr) < 0.01 AND sensitivity >= 0.99) OR (greatest(p_fpr, fc_fpr) > 0.01 AND sensitivity > 0.96)), max(l_win)) AS INT) AS l_win FROM w")
 def select_window_length_simple(spark, d):
-    x = A.table(spark, d, "part").select(F.col("p_size").cast("int").alias("l_win"), (F.col("p_size") % 13 / 1000.0).alias("p_fpr"), (0.9 + F.col("p_size") / 400.0).alias("sensitivity")).distinct()
+    x = A.table(spark, d, "part").select(F.col("p_size").cast("int").alias("l_win"), (F.col("p_size") % 13 / 1000.0).alias("p_fpr"), (F.col("p_size") % 7 / 500.0).alias("fc_fpr"), (0.9 + F.col("p_size") / 400.0).alias("sensitivity")).distinct()
     return E.select_window_length_simple(x)
 
 

@@ -69,8 +69,8 @@ def test_statistics(spark):
     assert [round(math.exp(r[1]), 6) for r in rows(q, "start", "log_q")] == [0.04, 0.04, 0.053333, 0.5]
     pairs = spark.createDataFrame([(10.0, 20.0), (20.0, 50.0)], "x double, y double")
     assert tuple(pairs.agg(profile.slope_through_origin(F.col("x"), F.col("y")), profile.slope_with_offset(F.col("x"), F.col("y"))).first()) == pytest.approx((2.4, 3.0))
-    w = spark.createDataFrame([(200, 0.002, 0.90), (250, 0.006, 0.965), (300, 0.009, 0.975)], "l_win int, p_fpr double, sensitivity double")
-    assert enrichment.select_window_length(w.withColumn("p_fpr", F.col("p_fpr") + F.when(F.col("l_win") == 300, 0.003).otherwise(0.0))).first()[0] == 300
+    w = spark.createDataFrame([(200, 0.001, 0.002, 0.90), (250, 0.004, 0.006, 0.965), (300, 0.012, 0.009, 0.975), (350, 0.0, 0.0, 1.0)], "l_win int, fc_fpr double, p_fpr double, sensitivity double")
+    assert enrichment.select_window_length(w).first()[0] == 300
 
 
 def test_sequence(spark):
