@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import LOG_ZERO, binomial_log_p, binomial_log_tail, poisson_threshold
+from ..functions.stats import binomial_log_p, binomial_log_tail, poisson_threshold
 from .chunked import settled
 from .overlap import overlap_join
 from .profile import lengths, window_sums
@@ -50,7 +50,7 @@ def region_p_values(regions: DataFrame, chip: DataFrame, control: DataFrame, fra
 def with_runs(regions: DataFrame, profile: DataFrame, name: str, pad: Column | int = 0) -> DataFrame:
     """Regions (distinct on chrom, start, end) with the profile's runs in `pad` positions around as an array column."""
     wide = regions.select("chrom", F.col("start").alias("s0"), F.col("end").alias("e0")).distinct()
-    wide = wide.withColumns({"start": F.greatest(F.col("s0") - (pad if isinstance(pad, int) else pad), F.lit(1)).cast("long"), "end": (F.col("e0") + pad).cast("long")})
+    wide = wide.withColumns({"start": F.greatest(F.col("s0") - pad, F.lit(1)).cast("long"), "end": (F.col("e0") + pad).cast("long")})
     runs = overlap_join(wide, profile.select("chrom", "start", "end", "value")).groupBy("a_chrom", "a_s0", "a_e0").agg(F.collect_list(F.struct(F.col("b_start").cast("long").alias("s"), F.col("b_end").cast("long").alias("e"), F.col("b_value").cast("double").alias("v"))).alias(name))
     runs = runs.withColumnsRenamed({"a_chrom": "chrom", "a_s0": "start", "a_e0": "end"})
     return regions.join(runs, ["chrom", "start", "end"], "left").withColumn(name, F.coalesce(name, F.array().cast(RUNS)))
@@ -112,13 +112,12 @@ def neighbourhood_p_value(chip: np.ndarray, control: np.ndarray, start: int, end
     return _log_p(x, c)
 
 
-def _slide(x: np.ndarray, start: int, width: int, end: int, origin: int, first_stop: int | None = None) -> float:
+def _slide(x: np.ndarray, start: int, width: int, end: int, origin: int) -> float:
     """Greatest sum of `width` positions that starts at `start` or up to where start + width reaches end; one slide at least."""
     total = np.concatenate(([0.0], np.cumsum(x)))
     sums = lambda a: total[np.clip(a - origin + width, 0, len(x))] - total[np.clip(a - origin, 0, len(x))]
     last = max(start + 1, end - width)
-    best = float(sums(np.arange(start, last + 1)).max())
-    return best if first_stop is None else best
+    return float(sums(np.arange(start, last + 1)).max())
 
 
 def peak_p_value(chip: np.ndarray, control: np.ndarray, start: int, end: int, origin: int, fragment: float, norm: int, l_control: int, reach: int) -> float:
@@ -230,13 +229,9 @@ def background(chip: DataFrame, window: int, fragment: float, mean_window: int =
     sig = log_p < math.log(0.05)
     n = cells.withColumn("sig", sig).groupBy("chrom", "k").agg(*(F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(a) for a, cond in (("pp", F.col("sig") & F.col("up")), ("pi", F.col("sig") & F.col("down")), ("ip", ~F.col("sig") & F.col("up")))))
     n = n.withColumn("_ready", (F.col("pp") + F.col("ip") > enough) & (F.col("pp") + F.col("pi") > enough))
-    from pyspark.sql import Window
-
     n = n.withColumn("_ready", F.max(F.col("_ready").cast("int")).over(Window.partitionBy("chrom").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) == 1)
     fine = F.col("_ready") & (F.coalesce(F.try_divide(F.col("ip"), F.col("pp") + F.col("ip")), F.lit(0.0)) <= target) & (F.coalesce(F.try_divide(F.col("pi"), F.col("pp") + F.col("pi")), F.lit(1.0)) >= target)
     chosen = n.filter(fine).groupBy("chrom").agg(F.min("k").alias("k"))
     raised = base.join(F.broadcast(chosen), "chrom", "left").withColumn("value", F.col("value") + F.coalesce("k", F.lit(most_steps)) * step)
     return raised.select("chrom", "start", "end", "value")
 
-
-__all__ = ["LOG_ZERO", "background", "masses", "per_region", "poisson_windows", "region_p_values", "select_window_length", "spread", "vicinity_p_values", "window_statistics", "with_runs"]

@@ -29,9 +29,3 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chrom",),
         [*same, F.col("_abin") == F.col("_bbin"), F.col("a_start") <= F.col("b_end"), F.col("b_start") <= F.col("a_end"), F.col("_abin") == F.floor(F.greatest("a_start", "b_start") / bin_size)],
     )
     return met.drop("_abin", "_bbin").withColumns({"ol_start": F.greatest("a_start", "b_start"), "ol_end": F.least("a_end", "b_end")})
-
-
-def identified(df: DataFrame, keys: tuple[str, ...] = ("chrom", "start", "end")) -> DataFrame:
-    """Add `_id`: a hash of all columns, which equal rows share. Results that group by it count equal rows once, so callers add
-    the multiplicity `_copies`."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias("_copies")).withColumn("_id", F.xxhash64(*df.columns))

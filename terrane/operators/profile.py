@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunked import CHUNK, islands, neighbours, ranked, running
-from .overlap import overlap_join
 
 def span() -> Column:
     return F.col("end") - F.col("start") + 1

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_log_tail
-from .enrichment import WINDOW, masses, per_region, poisson_windows, spread, with_runs
+from .enrichment import WINDOW, per_region, poisson_windows, spread, with_runs
 from .overlap import overlap_join
-from .profile import aligned, lengths
+from .profile import lengths
 
 
 def _thresholds(regions: DataFrame, chip: DataFrame, fdr: float, width: int) -> DataFrame:
@@ -239,5 +239,3 @@ def merge_by_significance(by_scale: DataFrame) -> DataFrame:
     covered = pairs.select(*(F.col(f"a_{c}").alias(c) for c in ("chrom", "scale", "start", "end"))).distinct()
     return by_scale.join(covered, ["chrom", "scale", "start", "end"], "left_anti")
 
-
-__all__ = ["aligned", "masses", "minimise", "rd_trim", "strand_even", "strand_info", "summits", "troughs", "tune_boundaries"]
