@@ -702,9 +702,13 @@ def region_p_value(spark, d):
     return rounded(E.region_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20), "log_p").select("chrom", "start", "end", "signal", "control", "log_p")
 
 
-@query()
+@query(f"""{_BOTH}, {_SPOTS}, {_MASS.format(n='x', src='chip')}, {_MASS.format(n='y', src='control')}, j AS (SELECT chrom, start, "end", x.m AS signal, y.m AS control FROM x JOIN y USING (chrom, start, "end")),
+k AS (SELECT *, signal / 20 * 50 / 80 AS s, CASE WHEN control / 20 * 50 / 80 < 1 THEN 1 ELSE control / 20 * 50 / 80 END AS c FROM j)
+SELECT chrom, start, "end", signal, control, CASE WHEN s < 1 THEN 0 ELSE round((SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.4)))) FROM (SELECT unnest(range(0, m + 1)) AS i)), 6) END AS log_p
+FROM (SELECT *, CAST(floor(s + c) AS BIGINT) AS n, CAST(floor(c) AS BIGINT) AS m FROM k)""")
 def region_p_value_modified(spark, d):
-    return E.region_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, norm=50, flip=0.4, floor_control=True)
+    out = E.region_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, norm=50, flip=0.4, floor_control=True)
+    return rounded(out, "log_p").select("chrom", "start", "end", "signal", "control", "log_p")
 
 
 @query()
@@ -908,7 +912,7 @@ def log_ratio_command(spark, d):
     return C.log_ratio_signal(A.reads(spark, d), SMALL)
 
 
-@query()
+@query(f"""{RUNS_SQL} SELECT chrom, start, "end", CAST(least(255, ceil(value * 100 / 20)) AS INT) AS value FROM p""")
 def multimappability(spark, d):
     return C.multimappability(A.reads(spark, d), 10)
 
