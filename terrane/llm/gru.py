@@ -185,12 +185,15 @@ class Trainer:
         self.m, self.v, self.t = [np.zeros_like(a) for a in weights.arrays()], [np.zeros_like(a) for a in weights.arrays()], 0
 
     def learn(self, stream: np.ndarray, fade: tuple[float, float] = (1.0, 1.0)) -> int:
-        """One pass over a stream of documents, each with its end. fade: factors of the rate at the start and the end."""
+        """One pass over a stream of documents, each with its end. fade: factors of the rate at the start and the end.
+
+        Lanes may overlap by a few tokens, so that they take in the whole stream.
+        """
         lanes = min(self.lanes, max(1, len(stream) // (2 * self.window)))
-        n = len(stream) // lanes
+        n = -(-len(stream) // lanes)
         if n < 1:
             return 0
-        y = stream[: lanes * n].reshape(lanes, n).T
+        y = stream[np.arange(n)[:, None] + np.arange(lanes) * (len(stream) - n) // max(1, lanes - 1)]
         x = np.vstack([np.full((1, lanes), self.layout.end), y[:-1]])
         h = np.zeros((lanes, self.w.u.shape[0]), F32)
         for at in range(0, n, self.window):
@@ -205,7 +208,7 @@ class Trainer:
                 m += F32(0.1) * (d - m)
                 v += F32(0.001) * (d * d - v)
                 a -= lr * m / (np.sqrt(v) + F32(1e-8))
-        return lanes * n
+        return len(stream)
 
 
 def score_documents(w: Weights, layout: Layout, stream: np.ndarray, lengths: np.ndarray, window: int = 48) -> np.ndarray:

@@ -3,8 +3,8 @@
 1. Documents become segments: token numbers with a dictionary of the segment (64-bit hashes of its tokens, their tail classes and their
    counts in training documents), written once.
 2. Counts of all training tokens are summed over the dictionaries. The most frequent tokens make the short list.
-3. A model is started on a bounded sample; then every partition trains it further on a fixed share of its own training documents,
-   and the weights are averaged in a tree. So what is gathered grows with the corpus.
+3. A model is started on a bounded sample; then every partition trains it further on all of its own training documents, and the
+   weights are averaged in a tree.
 4. The tokens of every dictionary meet their counts in a join, and each segment is scored with them: whole texts, the
    recurrent state carried through.
 """
@@ -33,9 +33,8 @@ WORDS, HEADS = 1024, 32
 SUFFIXES = 12
 TAILS = 4 * 2 * SUFFIXES
 HIDDEN = 24
-#: Expected bytes of the sample on which a model is started, passes over it, and the share of all training documents that every
-#: partition trains on then.
-SEED_BYTES, SEED_PASSES, SHARE = 4 << 20, 3, 0.1
+#: Expected bytes of the sample on which a model is started, and passes over it.
+SEED_BYTES, SEED_PASSES = 4 << 20, 3
 SEED_RATE, RATE = 6e-3, 1.5e-3
 FOLDS, HELD_OUT = 7, 2
 SEGMENT = "segment long, doc_ids array<long>, folds binary, lengths binary, codes binary, hashes binary, tails binary, counts binary"
@@ -151,9 +150,7 @@ def _taught(vocabulary: Vocabulary, weights: gru.Weights):
         for batch in batches:
             for row in range(batch.num_rows):
                 stream, lengths, folds = _read(batch, row, vocabulary)
-                ids = batch.column("doc_ids")[row].as_py()
-                drawn = np.array([zlib.crc32(b"share %d" % (i or 0)) < SHARE * 2**32 for i in ids])
-                seen += trainer.learn(stream[np.repeat(drawn & (folds != HELD_OUT), lengths)])
+                seen += trainer.learn(stream[np.repeat(folds != HELD_OUT, lengths)])
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([trainer.w.flat()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
 
@@ -183,7 +180,7 @@ def train(segments: DataFrame, docs: DataFrame, vocabulary: Vocabulary) -> gru.W
         stream = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
         for k in range(SEED_PASSES):
             trainer.learn(stream, (1 - k / SEED_PASSES * 0.8, 1 - (k + 1) / SEED_PASSES * 0.8))
-    taught = segments.select("doc_ids", "folds", "lengths", "codes", "hashes", "tails").mapInArrow(_taught(vocabulary, trainer.w), "weights binary, seen long")
+    taught = segments.select("folds", "lengths", "codes", "hashes", "tails").mapInArrow(_taught(vocabulary, trainer.w), "weights binary, seen long")
     n = segments.rdd.getNumPartitions()
     while True:  # a tree, so that no task holds more than some 32 sets of weights
         n = -(-n // 32)

@@ -195,6 +195,18 @@ def test_op5_probabilities_sum_to_one():
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_op5_learns_from_every_training_document(spark, docs):
+    lm = language_model
+    source = docs.select("doc_id", "text", lm.fold("doc_id", lm.FOLDS).cast("int").alias("fold"))
+    segments = source.mapInArrow(lm._segments, lm.SEGMENT).select("doc_ids", "folds", "lengths", "codes", "hashes", "tails")
+    v = lm.Vocabulary([], {}, 0, 0)
+    seen = sum(r["seen"] for r in segments.mapInArrow(lm._taught(v, v.start()), "weights binary, seen long").collect())
+    assert seen == sum(len(lm.tokens((r["text"] or "").encode())) for r in source.collect() if r["fold"] != lm.HELD_OUT)
+    for n in (1, 47, 100, 5000):
+        trainer = lm.gru.Trainer(v.start(), v.layout(), 0.001)
+        assert trainer.learn(np.arange(n) % lm.TAILS) == n
+
+
 def test_op5_gradients():
     layout = language_model.gru.Layout(np.array([0, 3, 5]), 4, 0)
     w = language_model.gru.start(layout, np.ones(6), np.ones(5), 5)
