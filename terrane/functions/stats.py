@@ -62,10 +62,18 @@ def poisson_limit(rate: float, fdr: float, most: int) -> int:
     """The least t from 1 to most whose Poisson log distribution function exceeds ln(1 - fdr); 0 if none does or there is no signal."""
     if not rate > 0:
         return 0
-    i = np.arange(most + 1)
-    terms = i * np.log(rate) - rate - log_factorials(most)[: most + 1]
-    over = np.logaddexp.accumulate(terms)[1:] > np.log1p(-fdr)
-    return int(np.argmax(over)) + 1 if over.any() else 0
+    if rate < 1000:  # no mass that counts lies beyond 4096
+        top = min(most, 4096)
+        i = np.arange(1, top + 1)
+        terms = np.arange(top + 1) * np.log(rate) - rate - log_factorials(top)[: top + 1]
+        sums = np.logaddexp.accumulate(terms)[1:]
+    else:  # all mass that counts lies within 40 standard deviations
+        reach = int(40 * np.sqrt(rate))
+        i = np.arange(max(1, int(rate) - reach), int(rate) + reach + 1)
+        terms = np.cumsum(np.log(rate / i))
+        sums = np.logaddexp.accumulate(terms - np.logaddexp.reduce(terms))
+    over = sums > np.log1p(-fdr)
+    return int(i[np.argmax(over)]) if over.any() and i[np.argmax(over)] <= most else 0
 
 
 @F.pandas_udf(IntegerType())

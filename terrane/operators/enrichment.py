@@ -150,14 +150,14 @@ def vicinity_p_values(regions: DataFrame, chip: DataFrame, control: DataFrame, f
     return per_region(rows, f, {"log_p": pa.float64()}).drop("_l")
 
 
-def poisson_windows(profile: DataFrame, fdr: float, width: int = WINDOW, most: int = 1_000_000) -> DataFrame:
+def poisson_windows(profile: DataFrame, fdr: float, width: int = WINDOW, most: int = 2**31 - 1) -> DataFrame:
     """(chrom, win, threshold): the Poisson threshold of each window's mean depth. Windows begin at win * width + 1 and take in the
     first position of the next."""
     mass = window_sums(profile, width, width)
     nxt = profile.withColumn("win", F.explode(F.sequence(F.floor((F.col("start") - 2) / width), F.floor((F.col("end") - 1) / width))))
     edge = nxt.filter((F.col("start") <= (F.col("win") + 1) * width + 1) & (F.col("end") >= (F.col("win") + 1) * width + 1) & (F.col("win") >= 0)).groupBy("chrom", "win").agg(F.sum("value").alias("mass"))
     total = mass.unionByName(edge).groupBy("chrom", "win").agg(F.sum("mass").alias("mass"))
-    return total.select("chrom", F.col("win").cast("long").alias("win"), poisson_threshold(F.col("mass") / width, fdr, F.lit(min(most, 4096))).alias("threshold"))
+    return total.select("chrom", F.col("win").cast("long").alias("win"), poisson_threshold(F.col("mass") / width, fdr, F.lit(most)).alias("threshold"))
 
 
 def window_statistics(chip: DataFrame, control: DataFrame, window_lengths: list[int], fragment: float, within: int = 50_000_000, low: float = 1.5, high: float = 2.0, level: float = 0.05) -> DataFrame:

@@ -62,6 +62,20 @@ def test_signal(spark):
     assert rows(profile.bedgraph(runs, ends), "start", "end", "value") == [(0, 2, 1.0), (2, 4, 3.0), (4, 5, 5.0), (5, 7, 2.0), (7, 8, 4.0), (8, 9, 0.0)]
 
 
+def test_poisson_threshold_of_deep_windows(spark):
+    for rate in (999.0, 1000.0, 3990.5, 4200.0, 25000.0, 1.5e6):
+        low = int(rate - 12 * math.sqrt(rate))
+        total, t = 0.0, low
+        while total <= 0.95:
+            total += math.exp(t * math.log(rate) - rate - math.lgamma(t + 1))
+            t += 1
+        assert stats.poisson_limit(rate, 0.05, 2**31 - 1) == t - 1
+    assert stats.poisson_limit(25000.0, 0.05, 25000) == 0
+    deep = spark.createDataFrame([("1", 1, 100, 1.0), ("1", 101, 125, 2e6), ("1", 126, 2000, 1.0)], "chrom string, start long, end long, value double")
+    spots = spark.createDataFrame([("1", 50, 200)], "chrom string, start long, end long")
+    assert rows(trimming.rd_trim(spots, deep, 0.05, 2000), "start", "end") == [(101, 125)]
+
+
 def test_statistics(spark):
     assert stats.binomial_log_tail(2, 10) == pytest.approx(math.log(56 / 1024))
     assert stats.poisson_limit(2.0, 0.05, 10) == 5
