@@ -1,8 +1,9 @@
 """PII surrogates: detected entities get keyed replacements of their own type, format, script and gender.
 
 Replacements are permutations: an entity, normalised so that its spellings agree, is a number below the size of its format's domain,
-and a keyed Feistel network permutes that domain. So equal entities always get equal surrogates (coreference across all documents)
-and different entities of a format different ones (distinctness), without a table of entities. `collisions` checks this on the corpus.
+and a keyed permutation without fixed points moves it: P(P'(v) + 1), where P is a Feistel network and P' its inverse, is one cycle over
+the whole domain. So equal entities always get equal surrogates (coreference across all documents) and different entities of a format
+different ones (distinctness), without a table of entities. `checked` runs `collisions` on the corpus, for what formats share.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks
+from .shared import chunks, drop, materialise
 
 DEFAULT_KEY = "terrane-surrogates-1"
 ROUNDS = 8
@@ -39,6 +40,7 @@ GIVEN = {
 #: Titles that announce a person.
 _TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra|Sr|Don|Doña"
 _NAMES = {name: key for key, names in GIVEN.items() for name in names}
+_KNOWN = {name.lower(): name for name in _NAMES}
 _NAME = r"[^\W\d_a-zß-öø-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 
 #: Kind, pattern with the entity in group 1, and what a text must hold for the pattern to be tried.
@@ -62,23 +64,30 @@ _NEEDS_DIGIT = {"iban", "ip", "card", "phone", "ssn"}
 _SECRET_HINT = re.compile(r"(?i)pass|pwd|secret|token|api|gh[pousr]_|sk-|xox|glpat")
 
 
-def permute(value: int, size: int, tweak: str, key: str) -> int:
-    """A keyed permutation of the numbers below size: a Feistel network on enough bits, walked until it comes back below size."""
+def permute(value: int, size: int, tweak: str, key: str, back: bool = False) -> int:
+    """A keyed permutation of the numbers below size, or its inverse: a Feistel network on enough bits, walked until it comes back below size."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, n = (1 << half) - 1, (half + 7) // 8
     secret, person = key.encode()[:64], blake2b(tweak.encode(), digest_size=16).digest()
     while True:
         left, right = value >> half, value & mask
-        for r in range(ROUNDS):
+        if back:
+            left, right = right, left
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
             out = blake2b(right.to_bytes(n, "big"), key=secret, salt=bytes([r]), person=person).digest()
             while len(out) < n:
                 out += blake2b(out, key=secret).digest()
             left, right = right, left ^ (int.from_bytes(out[:n], "big") & mask)
-        value = left << half | right
+        value = right << half | left if back else left << half | right
         if value < size:
             return value
 
 
+def moved(value: int, size: int, tweak: str, key: str) -> int:
+    """A keyed permutation of the numbers below size (2 at least) that leaves none in place: a single cycle over all of them."""
+    return permute((permute(value, size, tweak, key, True) + 1) % size, size, tweak, key)
+
+
 def _alphabet(c: str) -> str | None:
     low = c.lower()
     return next((a for a in (_DIGITS, *_LETTERS) if low in a), None)
@@ -97,15 +106,13 @@ def recast(text: str, kind: str, key: str, hexadecimal: bool = False) -> str:
             value, size = value * len(a) + a.index(c.lower()), size * len(a)
     if size < 2:
         return text
-    shape = kind + ":" + "".join("." if a is None else chr(65 + [_DIGITS, *_LETTERS, _HEX].index(a)) for a in classes) + ":" + "".join(c for c, a in zip(text, classes) if a is None)
-    out = permute(value, size, shape, key)
-    if out == value:  # the permutation's fixed points would tell the entity
-        out = permute(permute(value, size, shape + "!", key), size, shape, key)
+    shape = kind + ":" + "".join("." if a is None else chr(65 + [_DIGITS, *_LETTERS, _HEX].index(a)) for a in classes) + ":" + "".join(c.lower() for c, a in zip(text, classes) if a is None)
+    out = moved(value, size, shape, key)
     chars = []
     for c, a in zip(reversed(text), reversed(classes)):
         if a:
             out, at = divmod(out, len(a))
-            c = a[at].upper() if c.isupper() else a[at]
+            c = ("ẞ" if a[at] == "ß" else a[at].upper()) if c.isupper() else a[at]
         chars.append(c)
     return "".join(reversed(chars))
 
@@ -145,12 +152,15 @@ def _ip(text: str, key: str) -> str:
     for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"):
         net = ipaddress.ip_network(net)
         if address in net:
-            return str(net[permute(int(address) - int(net[0]), net.num_addresses, str(net), key)])
+            return str(net[moved(int(address) - int(net[0]), net.num_addresses, str(net), key)])
     if not _public(address):
-        return str(ipaddress.ip_address(permute(int(address) & 0xFFFF, 1 << 16, text.rsplit(".", 2)[0], key) | int(address) & 0xFFFF0000))
+        while True:
+            address = ipaddress.ip_address(moved(int(address) & 0xFFFF, 1 << 16, text.rsplit(".", 2)[0], key) | int(address) & 0xFFFF0000)
+            if not _public(address):
+                return str(address)
     value = int(address)
     while True:
-        value = permute(value, 1 << 32, "ip", key)
+        value = moved(value, 1 << 32, "ip", key)
         if _public(ipaddress.ip_address(value)):
             return str(ipaddress.ip_address(value))
 
@@ -164,14 +174,18 @@ def _phone(text: str, key: str) -> str:
 
 
 def _person(text: str, key: str) -> str:
-    """Known given names move within their script and gender; other names keep script, length and case."""
+    """Known given names move within their script and gender; other names keep script, length and case and don't become known ones."""
     out = []
     for part in text.split(" "):
-        if part in _NAMES:
-            names = GIVEN[_NAMES[part]]
-            out.append(names[permute(names.index(part), len(names), "given" + "".join(_NAMES[part]), key)])
+        if name := _KNOWN.get(part.lower()):
+            names = GIVEN[_NAMES[name]]
+            new = names[moved(names.index(name), len(names), "given" + "".join(_NAMES[name]), key)]
+            out.append(new.upper() if part.isupper() else new)
         else:
-            out.append(recast(part, "name", key))
+            new = recast(part, "name", key)
+            while new.lower() in _KNOWN:
+                new = recast(new, "name", key)
+            out.append(new)
     return " ".join(out)
 
 
@@ -187,8 +201,12 @@ def surrogate(kind: str, text: str, key: str) -> str:
     if kind == "token":
         head = re.match(r"[a-z]+[-_]", text)[0]
         return head + recast(text[len(head) :], kind + head, key)
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
-        return recast(text, kind, key, hexadecimal=True)
+    if kind == "secret":
+        of_hex = lambda x: re.fullmatch(r"[0-9a-f]+", x.lower()) is not None
+        new = recast(text, kind, key, hexadecimal=of_hex(text))
+        while of_hex(new) and not of_hex(text):
+            new = recast(new, kind, key)
+        return new
     if kind == "iban":
         return text[:2] + recast(text[2:], kind + text[:2], key)
     special = {"card": _card, "ip": _ip, "phone": _phone, "person": _person}.get(kind)
@@ -248,12 +266,25 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
 def collisions(replaced: DataFrame) -> DataFrame:
     """Surrogates of one kind that stand for several entities (spellings without case, and numbers without punctuation, are one)."""
-    plain = F.when(F.col("e.kind").isin("card", "phone"), F.regexp_replace("e.entity", r"\D", "")).otherwise(F.lower("e.entity"))
-    made = replaced.select(F.explode("_entities").alias("e")).select("e.kind", plain.alias("entity"), F.lower("e.surrogate").alias("surrogate"))
+    plain = lambda c: F.when(F.col("e.kind").isin("card", "phone"), F.regexp_replace(c, r"\D", "")).otherwise(F.lower(c))
+    made = replaced.select(F.explode("_entities").alias("e")).select("e.kind", plain("e.entity").alias("entity"), plain("e.surrogate").alias("surrogate"))
     return made.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).filter("a <> b")
 
 
+def checked(docs: DataFrame, key: str = DEFAULT_KEY, attempts: int = 8) -> DataFrame:
+    """with_surrogates, written to the shared folder and free of collisions; where there are some, all is done again with a derived key.
+
+    Distinct entities of a format never collide; those that differ in how they part country code and number can, by rare chance.
+    """
+    for k in range(attempts):
+        done = materialise(with_surrogates(docs, f"{key}/{k}" if k else key), "surrogates")
+        if collisions(done).isEmpty():
+            return done
+        drop(done)
+    raise RuntimeError(f"surrogates collide under {attempts} keys")
+
+
 def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds for every row of docs."""
-    done = with_surrogates(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), key)
+    done = checked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), key)
     return done.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("_entities.kind")), ",").alias("kinds"))
