@@ -692,6 +692,12 @@ def _spots(spark, d):
     return x.select("chrom", F.col("start").cast("long").alias("start"), (F.col("start") + 79).cast("long").alias("end")).distinct()
 
 
+def _all_spots(spark, d):
+    """The spots of all reads."""
+    x = A.reads(spark, d)
+    return x.select("chrom", F.col("start").cast("long").alias("start"), (F.col("start") + 79).cast("long").alias("end")).distinct()
+
+
 _MASS = """{n} AS (SELECT s.chrom, s.start, s."end", coalesce(sum(p.value * (least(s."end", p."end") - greatest(s.start, p.start) + 1)), 0) AS m FROM spots s LEFT JOIN {src} p ON p.chrom = s.chrom AND p.start <= s."end" AND s.start <= p."end" GROUP BY ALL)"""
 
 
@@ -713,12 +719,12 @@ def region_p_value_modified(spark, d):
 
 @query()
 def region_p_value_vicinity(spark, d):
-    return E.vicinity_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 1, False)
+    return E.vicinity_p_values(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 1, False)
 
 
 @query()
 def region_p_value_peak(spark, d):
-    return E.vicinity_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 3, True)
+    return E.vicinity_p_values(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 3, True)
 
 
 _POISSON = f"""{RUNS_SQL}, pos AS (SELECT chrom, unnest(range(start, "end" + 1)) AS q, value FROM p), w AS (SELECT chrom, (q - 1) // 2000 AS win, value FROM pos UNION ALL SELECT chrom, (q - 2) // 2000, value FROM pos WHERE q > 1 AND (q - 1) % 2000 = 0),
@@ -806,27 +812,27 @@ def strand_evenness(spark, d):
 
 @query()
 def p_value_trim(spark, d):
-    return T.p_value_trim(_spots(spark, d), _chip(spark, d), _control(spark, d), 20)
+    return T.p_value_trim(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20)
 
 
 @query()
 def grid_trim(spark, d):
-    return T.grid_trim(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, step=10)
+    return T.grid_trim(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20, step=10)
 
 
 @query()
 def median_filter_regions(spark, d):
-    return T.median_filter_regions(_spots(spark, d), _chip(spark, d), 0.5, 2000)
+    return T.median_filter_regions(_all_spots(spark, d), _chip(spark, d), 0.5, 2000)
 
 
 @query()
 def summit(spark, d):
-    return T.summits(_spots(spark, d), _chip(spark, d), _control(spark, d))
+    return T.summits(_all_spots(spark, d), _chip(spark, d), _control(spark, d))
 
 
 @query()
 def trough(spark, d):
-    return T.troughs(_spots(spark, d), _chip(spark, d), _mappability(spark, d), 1.2)
+    return T.troughs(_all_spots(spark, d), _chip(spark, d), _mappability(spark, d), 1.2)
 
 
 # Sequences.

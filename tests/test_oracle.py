@@ -2,8 +2,10 @@
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from terrane import registry
+from terrane.plans import adapters
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"peaks_broad", "peaks_punctate", "peaks_tf", "scale_spectrum"}
@@ -28,3 +30,14 @@ def test_peaks(spark):
     df = registry.QUERIES["peaks_punctate"](spark, SF)
     assert {"chrom", "start", "end", "summit", "log_q"} <= set(df.columns)
     df.collect()
+
+
+@pytest.mark.parametrize("name", ["region_p_value_vicinity", "region_p_value_peak", "p_value_trim", "grid_trim", "summit"])
+def test_regions_of_all_reads(spark, name):
+    """A region for each distinct start, the deepest too; trims drop those that reach past control."""
+    reads = adapters.reads(spark, SF)
+    spots = reads.select("chrom", "start").distinct()
+    if name.endswith("trim"):
+        end = F.col("start") + F.regexp_extract("cigar", r"\d+", 0).cast("int") - 1
+        spots = spots.join(reads.filter("sample = 'control'").groupBy("chrom").agg(F.max(end).alias("l")), "chrom").filter("start + 79 <= l")
+    assert registry.QUERIES[name](spark, SF).count() == spots.count()
