@@ -23,7 +23,7 @@ GRAPH_NEIGHBOURS = 16
 #: Rows of a partition, and the most partitions; beyond that they grow and are ranked in blocks.
 PARTITION_ROWS, PARTITIONS = 800, 24
 #: Recall on the sample that routing is set to reach.
-AIM = 0.94
+AIM = 0.97
 HIDDEN, EPOCHS, BATCH, RATE = 96, 40, 128, 3e-3
 ROW_BLOCK, QUERY_BLOCK = 4096, 1024
 

@@ -100,6 +100,10 @@ def test_op2_recall(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_op2_aim():
+    assert neighbours.AIM >= 0.97 and neighbours.PARTITIONS == 24
+
+
 def test_op2_odd(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (None, [1.0, 1.0]), (2, [1.0, 0.0])]
     out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
