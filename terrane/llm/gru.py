@@ -12,6 +12,8 @@ from dataclasses import dataclass, fields
 import numpy as np
 
 F32 = np.float32
+#: Rows of the class layer that are held at once; they stay in a processor's cache.
+TILE = 2048
 
 
 @dataclass
@@ -95,12 +97,18 @@ def _exp(s: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
     return s, s @ np.ones(s.shape[1], F32)
 
 
-def _softmax(s: np.ndarray, small: bool) -> np.ndarray:
+def _softmax(s: np.ndarray, small: bool, scale: np.float32) -> np.ndarray:
+    """Softmax of each row, times scale."""
     p, total = _exp(s, small)
-    p /= total[:, None]
+    p *= (scale / total)[:, None]
     return p
 
 
+def _sorted(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers below `most`; 16-bit numbers are sorted by radix."""
+    return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
+
+
 def _chosen(s: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
     """Log softmax at one place of each row."""
     rows = np.arange(len(s))
@@ -112,7 +120,7 @@ def _chosen(s: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
 
 def _by_class(layout: Layout, kind: np.ndarray):
     """(class bounds, rows) of the short list's classes that occur."""
-    order = np.argsort(kind, kind="stable")
+    order = _sorted(kind, layout.n_heads + layout.n_tails)
     cuts = np.searchsorted(kind[order], np.arange(layout.n_heads + 1))
     for k in range(layout.n_heads):
         a, b = layout.bounds[k], layout.bounds[k + 1]
@@ -123,7 +131,10 @@ def _by_class(layout: Layout, kind: np.ndarray):
 def log_probabilities(w: Weights, layout: Layout, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logs: of the word for words of the short list, of the class for tails."""
     kind = layout.classes(targets)
-    out = _chosen(states @ w.wc + w.bc, kind, _small(w.wc, w.bc))
+    out, small = np.empty(len(targets)), _small(w.wc, w.bc)
+    for at in range(0, len(targets), TILE):
+        part = slice(at, at + TILE)
+        out[part] = _chosen(states[part] @ w.wc + w.bc, kind[part], small)
     small = _small(w.ww.T, w.bw)
     for a, b, rows in _by_class(layout, kind):
         out[rows] += _chosen(states[rows] @ w.ww[a:b].T + w.bw[a:b], targets[rows] - a, small)
@@ -134,44 +145,48 @@ def _gradients(w: Weights, layout: Layout, x: np.ndarray, y: np.ndarray, h: np.n
     """Gradients of a window (steps, lanes) of inputs x and targets y that starts in state h, and the state behind it."""
     steps, lanes = x.shape
     n = h.shape[1]
-    tape, states = [], np.empty((steps, lanes, n), F32)
+    gates, fresh, begun = np.empty((steps, lanes, 4 * n), F32), np.empty((steps, lanes, n), F32), (x != layout.end).astype(F32)[:, :, None]
+    states = np.empty((steps, lanes, n), F32)
     for t in range(steps):
-        h = np.where((x[t] == layout.end)[:, None], F32(0), h)
-        before = h
-        h, z, r, c, v = step(w, x[t], h)
-        tape.append((before, z, r, c, v))
+        np.multiply(h, begun[t], out=fresh[t])  # a document starts from the zero state
+        h, gates[t, :, :n], gates[t, :, n : 2 * n], gates[t, :, 2 * n : 3 * n], gates[t, :, 3 * n :] = step(w, x[t], fresh[t])
         states[t] = h
     flat, target = states.reshape(-1, n), y.ravel()
     kind = layout.classes(target)
-    scale = F32(1 / len(target))
-    d = _softmax(flat @ w.wc + w.bc, _small(w.wc, w.bc))
-    d[np.arange(len(kind)), kind] -= 1
-    d *= scale
-    g = [np.zeros_like(a) for a in w.arrays()]
-    g[2][:], g[3][:] = flat.T @ d, d.sum(axis=0)
-    ds = d @ w.wc.T
+    scale, one = F32(1 / len(target)), np.ones(len(target), F32)
+    g, ds = [np.zeros_like(a) for a in w.arrays()], np.empty_like(flat)
+    small = _small(w.wc, w.bc)
+    for at in range(0, len(flat), TILE):
+        part = slice(at, at + TILE)
+        d = _softmax(flat[part] @ w.wc + w.bc, small, scale)
+        d[np.arange(len(d)), kind[part]] -= scale
+        g[2] += flat[part].T @ d
+        g[3] += one[: len(d)] @ d
+        ds[part] = d @ w.wc.T
     small = _small(w.ww.T, w.bw)
     for a, b, rows in _by_class(layout, kind):
-        q = _softmax(flat[rows] @ w.ww[a:b].T + w.bw[a:b], small)
-        q[np.arange(len(rows)), target[rows] - a] -= 1
-        q *= scale
-        g[4][a:b], g[5][a:b] = q.T @ flat[rows], q.sum(axis=0)
+        own = flat[rows]
+        q = _softmax(own @ w.ww[a:b].T + w.bw[a:b], small, scale)
+        q[np.arange(len(rows)), target[rows] - a] -= scale
+        g[4][a:b], g[5][a:b] = q.T @ own, one[: len(rows)] @ q
         ds[rows] += q @ w.ww[a:b]
     ds = ds.reshape(steps, lanes, n)
-    da = np.empty((steps, lanes, 3 * n), F32)
+    z, r, c, v = (gates[:, :, k * n : (k + 1) * n] for k in range(4))
+    by_state, by_gate = (1 - z) * (1 - c * c), (fresh - c) * z * (1 - z)
+    by_reset = v * r * (1 - r)
+    da, dv = np.empty((steps, lanes, 3 * n), F32), np.empty((steps, lanes, 3 * n), F32)
     carry = np.zeros((lanes, n), F32)
     for t in range(steps - 1, -1, -1):
-        before, z, r, c, v = tape[t]
         dh = ds[t] + carry
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (before - c) * z * (1 - z)
-        dr = dc * v * r * (1 - r)
+        dc = dh * by_state[t]
+        dz, dr = dh * by_gate[t], dc * by_reset[t]
         da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = dz, dr, dc
-        dv = np.concatenate([dz, dr, dc * r], axis=1)
-        g[1] += before.T @ dv
-        carry = np.where((x[t] == layout.end)[:, None], F32(0), dv @ w.u.T + dh * z)
+        dv[t, :, : 2 * n] = da[t, :, : 2 * n]
+        np.multiply(dc, r[t], out=dv[t, :, 2 * n :])
+        carry = (dv[t] @ w.u.T + dh * z[t]) * begun[t]
+    g[1][:] = fresh.reshape(-1, n).T @ dv.reshape(-1, 3 * n)
     ids = x.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = _sorted(ids, layout.n_words + layout.n_tails)
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
     g[0][ids[order][first]] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first)
     return g, h

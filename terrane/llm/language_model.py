@@ -4,7 +4,7 @@
    counts in training documents), written once.
 2. Counts of all training tokens are summed over the dictionaries. The most frequent tokens make the short list.
 3. A model is started on a bounded sample; then every partition trains it further on all of its own training documents, and the
-   weights are averaged in a tree.
+   weights are averaged slice by slice in a tree. Scores therefore depend, in small measure, on how the rows are dealt to partitions.
 4. The tokens of every dictionary meet their counts in a join, and each segment is scored with them: whole texts, the
    recurrent state carried through.
 """
@@ -33,9 +33,13 @@ WORDS, HEADS = 1024, 32
 SUFFIXES = 12
 TAILS = 4 * 2 * SUFFIXES
 HIDDEN = 24
-#: Expected bytes of the sample on which a model is started, and passes over it.
-SEED_BYTES, SEED_PASSES = 4 << 20, 3
-SEED_RATE, RATE = 6e-3, 1.5e-3
+#: Expected bytes of the sample on which a model is started, the longest text in it, and passes over it.
+SEED_BYTES, SEED_TEXT, SEED_PASSES = 4 << 20, 1 << 18, 3
+SEED_RATE, RATE = 6e-3, 4e-3
+#: Lanes and steps of a window of the training over all documents; many lanes keep the cost of a token low.
+LANES, STEPS = 512, 16
+#: Slices of the weights that are averaged apart, and how many sets of them a task takes in.
+SLICES, FAN_IN = 64, 256
 FOLDS, HELD_OUT = 7, 2
 SEGMENT = "segment long, doc_ids array<long>, folds binary, lengths binary, codes binary, hashes binary, tails binary, counts binary"
 _END = b""
@@ -146,49 +150,52 @@ def _read(batch: pa.RecordBatch, row: int, vocabulary: Vocabulary) -> tuple[np.n
 
 def _taught(vocabulary: Vocabulary, weights: gru.Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = gru.Trainer(weights.filled(np.frombuffer(weights.flat(), np.float32).copy()), vocabulary.layout(), RATE), 0
+        trainer, seen = gru.Trainer(weights.filled(np.frombuffer(weights.flat(), np.float32).copy()), vocabulary.layout(), RATE, LANES, STEPS), 0
         for batch in batches:
             for row in range(batch.num_rows):
                 stream, lengths, folds = _read(batch, row, vocabulary)
                 seen += trainer.learn(stream[np.repeat(folds != HELD_OUT, lengths)])
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([trainer.w.flat()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
+            parts = np.array_split(np.frombuffer(trainer.w.flat(), np.float32), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([seen] * SLICES, pa.int64())], names=["slice", "weights", "seen"])
 
     return run
 
 
 def _averaged(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("seen", "ascending"), ("weights", "ascending")])  # one order of adding, whatever comes first
     seen = np.array(rows.column("seen").to_pylist(), np.float64)
     total = sum(np.frombuffer(x.as_py(), np.float32) * s for x, s in zip(rows.column("weights"), seen / seen.sum()))
-    return pa.table({"weights": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "seen": pa.array([int(seen.sum())], pa.int64())})
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "seen": pa.array([int(seen.sum())], pa.int64())})
 
 
-def train(segments: DataFrame, docs: DataFrame, vocabulary: Vocabulary) -> gru.Weights:
-    """docs: doc_id, text, fold."""
-    known = docs.filter(F.col("fold") != HELD_OUT)
-    size = known.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    if not size:
-        return vocabulary.start()
+def _seed(known: DataFrame) -> list[bytes]:
+    """Texts that come to SEED_BYTES in expectation, none of them longer than SEED_TEXT, in the order of a hash."""
+    some = known.filter(F.octet_length("text") <= SEED_TEXT)
+    size = some.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     limit = min(1 << 30, -(-(SEED_BYTES << 30) // size))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).select("doc_id", F.encode("text", "UTF-8").alias("text")).orderBy(F.xxhash64("doc_id", F.lit(1)), "text")
-    texts = [bytes(r["text"] or b"") for r in sample.collect()]
+    sample = some.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit).select(F.encode("text", "UTF-8").alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    return [bytes(r["text"]) for r in sample.orderBy("h", "text").collect()]
+
+
+def train(segments: DataFrame, docs: DataFrame, vocabulary: Vocabulary) -> gru.Weights:
+    """docs: doc_id, text, fold. Every training document is learned from; the seed only decides where that begins."""
     trainer = gru.Trainer(vocabulary.start(), vocabulary.layout(), SEED_RATE)
-    found = [w for t in texts for w in tokens(t)]
+    found = [w for t in _seed(docs.filter(F.col("fold") != HELD_OUT)) for w in tokens(t)]
     if found:
         distinct = list(dict.fromkeys(found))
         number = dict(zip(distinct, vocabulary.numbered(np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64).view(np.int64), np.array([tail_class(w) for w in distinct]))))
         stream = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
         for k in range(SEED_PASSES):
             trainer.learn(stream, (1 - k / SEED_PASSES * 0.8, 1 - (k + 1) / SEED_PASSES * 0.8))
-    taught = segments.select("folds", "lengths", "codes", "hashes", "tails").mapInArrow(_taught(vocabulary, trainer.w), "weights binary, seen long")
-    n = segments.rdd.getNumPartitions()
-    while True:  # a tree, so that no task holds more than some 32 sets of weights
-        n = -(-n // 32)
-        taught = taught.groupBy(F.pmod(F.xxhash64("weights"), F.lit(n))).applyInArrow(_averaged, "weights binary, seen long")
-        if n <= 1:
-            break
-    rows = taught.collect()
-    return trainer.w.filled(np.frombuffer(rows[0]["weights"], np.float32)) if rows else trainer.w
+    schema = "slice int, weights binary, seen long"
+    taught = materialise(segments.select("folds", "lengths", "codes", "hashes", "tails").mapInArrow(_taught(vocabulary, trainer.w), schema), "weights")
+    n = taught.count() // SLICES
+    while n > 1:  # a tree, so that no task holds more than some FAN_IN slices of one place
+        n = -(-n // FAN_IN)
+        taught = taught.groupBy("slice", F.pmod(F.xxhash64("weights"), F.lit(n))).applyInArrow(_averaged, schema)
+    rows = sorted(taught.collect(), key=lambda r: r["slice"])
+    return trainer.w.filled(np.frombuffer(b"".join(bytes(r["weights"]) for r in rows), np.float32)) if rows else trainer.w
 
 
 def _scored(vocabulary: Vocabulary, weights: gru.Weights):
@@ -223,7 +230,8 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     Learns from documents whose crc32 of doc_id modulo 7 is not 2. A null or empty text is the end token alone. Without training
     documents every token is unknown. Repeated rows get a row each; an empty table gives no rows. Tokens are told apart by 64-bit
     hashes. base_score adds log10((c+1)/(N+V+1)); score is the recurrent model's, where an unseen token has the weight of one
-    training token in its tail class.
+    training token in its tail class. Very long texts are scored whole, a segment by themselves; columns other than doc_id and text are
+    not read.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), fold("doc_id", FOLDS).cast("int").alias("fold"))
     segments = materialise(source.mapInArrow(_segments, SEGMENT), "segments")
