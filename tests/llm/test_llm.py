@@ -100,8 +100,41 @@ def test_op2_recall(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
 
 
-def test_op2_aim():
-    assert neighbours.AIM >= 0.97 and neighbours.PARTITIONS == 24
+def clustered(n, seed=5, dimension=16):
+    """Vectors around n / 100 centres, ids in no order of theirs."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // 100, dimension))
+    x = centres[rng.integers(0, len(centres), n)] + 0.15 * rng.normal(size=(n, dimension))
+    return [(int(k), v.tolist()) for k, v in zip(rng.permutation(n), x / np.linalg.norm(x, axis=1, keepdims=True))]
+
+
+def test_op2_levels(spark):
+    """Partitions of partitions: recall holds, leaves stay small, and the share of the rows that a query visits falls as they grow."""
+    shape = neighbours.Shape(sample=1500, partition_rows=100, leaf_rows=300, fan_out=12, block_bytes=16 * 8 * 500)
+    assert neighbours.AIM >= 0.97
+    visited = {}
+    for n in (2_000, 16_000):
+        rows = clustered(n)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want, got = brute_neighbours(rows), defaultdict(list)
+        for r in sorted(neighbours.nearest(df, shape=shape).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append(r["vec_id"])
+        assert set(got) == set(want) and all(len(got[q]) == 20 for q in want)
+        assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.9
+        x = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+        placed, sent = neighbours.partitioned(x, x.filter("id % 20 = 0"), n, 20, shape)
+        sizes = {r["node"]: r["count"] for r in placed.groupBy("node").count().collect()}
+        assert sum(sizes.values()) == n and max(sizes.values()) < 1_500
+        visited[n] = np.sum([sizes[r["node"]] for r in sent.collect()]) / (n // 20)
+    assert visited[16_000] / 16_000 < 0.6 * visited[2_000] / 2_000
+
+
+def test_op2_equal_vectors(spark):
+    """A third of the rows alike, more than a leaf and a block hold: ties go to the smaller ids."""
+    rows = [(k, [1.0] + [0.0] * 15) if k % 3 == 0 else (k, v) for k, v in clustered(3_000)]
+    out = neighbours.nearest(spark.createDataFrame([(k, v, 1, "x", 2) for k, v in rows], "vec_id long, embedding array<double>, id int, node string, part int"), shape=neighbours.Shape(leaf_rows=300, block_bytes=16 * 8 * 200))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in out.collect() if r["query_id"] in (0, 60))
+    assert [g[2] for g in got] == [k for k in range(3, 63, 3)] + [k for k in range(0, 60, 3)]
 
 
 def test_op2_odd(spark):
