@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrane.llm.decontaminate import contamination
 from terrane.llm.near_dedup import near_duplicates
 from terrane.llm.packing import best_fit_packing
-from terrane.llm.shared import materialise, table
+from terrane.llm.shared import materialise, surrogate_key, table
 from terrane.llm.surrogates import checked
 from terrane.llm.toxicity import without_toxic
 
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets in the texts get surrogates; n_chars follows the text where the column is there."""
-    done = checked(docs).select(*docs.columns)
+    done = checked(docs, surrogate_key(spark)).select(*docs.columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -12,7 +12,7 @@ from .language_model import score_corpus
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import best_fit_packing
-from .shared import table
+from .shared import surrogate_key, table
 from .surrogates import pseudonymised
 from .token_edits import edit_aware_counts, standard_edits
 from .toxicity import toxicity
@@ -56,7 +56,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents"))
+    return pseudonymised(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_learned_partitions, op3_language_id, op4_toxicity, op5_lm_scoring, op6_minhash, op7_decontamination, op8_warc, op9_best_fit_packing, op10_pii_surrogates)}

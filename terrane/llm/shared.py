@@ -51,6 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the surrogates that the session names in spark.terrane.surrogateKey. The registered queries fall back on a word that
+    is no secret, so that they can be run again; set the key wherever surrogates must not be turned back."""
+    return spark.conf.get("spark.terrane.surrogateKey", "not a secret")
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

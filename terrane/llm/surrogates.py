@@ -4,12 +4,15 @@ Replacements are permutations: an entity, normalised so that its spellings agree
 and a keyed permutation without fixed points moves it: P(P'(v) + 1), where P is a Feistel network and P' its inverse, is one cycle over
 the whole domain. So equal entities always get equal surrogates (coreference across all documents) and different entities of a format
 different ones (distinctness), without a table of entities. `checked` runs `collisions` on the corpus, for what formats share.
+
+The key is the caller's secret: who has it can turn surrogates back.
 """
 
 from __future__ import annotations
 
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -21,7 +24,6 @@ from pyspark.sql import types as T
 
 from .shared import chunks, drop, materialise
 
-DEFAULT_KEY = "terrane-surrogates-1"
 ROUNDS = 8
 
 _DIGITS = "0123456789"
@@ -30,8 +32,8 @@ _HEX = "0123456789abcdef"
 _LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 #: Given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Alice Amanda Barbara Beatrice Caroline Charlotte Christina Claudia Deborah Dorothy Eleanor Elisabeth Emily Francesca Gabriela Helena Isabel Jennifer Jessica Katharina Laura Linda Margaret Maria Martha Monica Nicole Olivia Patricia Rebecca Sandra Sophia Susanna Teresa Ursula Victoria".split(),
-    ("latin", "m"): "Albert Alexander Andrew Antonio Benjamin Charles Christopher Daniel David Edward Fernando Francis Frederick George Gregory Heinrich Henry Jacob James Jonathan Joseph Lawrence Leonard Manuel Martin Matthew Michael Nicholas Oliver Patrick Richard Robert Sebastian Stefan Thomas William".split(),
+    ("latin", "f"): "Alice Amanda Barbara Beatrice Caroline Charlotte Christina Claudia Deborah Dorothy Eleanor Elisabeth Emily Francesca Gabriela Helena Isabel Jane Jennifer Jessica Katharina Laura Linda Margaret Maria Martha Mary Monica Nancy Nicole Olivia Patricia Rebecca Sandra Sarah Sophia Susanna Teresa Ursula Victoria".split(),
+    ("latin", "m"): "Albert Alexander Andrew Antonio Benjamin Brian Charles Christopher Daniel David Edward Fernando Francis Frederick George Gregory Heinrich Henry Jacob James John Jonathan Joseph Kevin Lawrence Leonard Manuel Martin Matthew Michael Nicholas Oliver Patrick Paul Peter Richard Robert Sebastian Stefan Steven Thomas William".split(),
     ("cyrillic", "f"): "Анна Валентина Вера Галина Екатерина Елена Ирина Людмила Мария Надежда Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Иван Михаил Николай Павел Сергей Фёдор Юрий".split(),
     ("greek", "f"): "Αικατερίνη Βασιλική Γεωργία Δήμητρα Ελένη Ιωάννα Μαρία Σοφία".split(),
@@ -39,6 +41,10 @@ GIVEN = {
 }
 #: Titles that announce a person.
 _TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra|Sr|Don|Doña"
+#: Words that announce a name.
+_CUES = r"[Mm]y name is|[Nn]ame:|[Ff]rom:|[Tt]o:|[Cc]ontact:|[Aa]uthor:|[Ss]igned by|[Ww]ritten by|[Ss]incerely,|[Rr]egards,"
+#: Last letters that mark feminine names in several languages; a name not in the lists keeps the kind of its ending.
+_FEMININE = "aáаяαη"
 _NAMES = {name: key for key, names in GIVEN.items() for name in names}
 _KNOWN = {name.lower(): name for name in _NAMES}
 _NAME = r"[^\W\d_a-zß-öø-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
@@ -56,6 +62,7 @@ PATTERNS = [
     ("phone", r"(?<![\w+])(\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", None),
     ("ssn", r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])", "-"),
     ("person", rf"\b(?:{_TITLES})\b\.?[  ]({_NAME}(?: {_NAME})?)", None),
+    ("person", rf"(?<!\w)(?:{_CUES})\s+({_NAME} {_NAME})", None),
     ("person", rf"\b((?:{'|'.join(_NAMES)}) {_NAME})", None),
 ]
 _COMPILED = [(kind, re.compile(p), hint) for kind, p, hint in PATTERNS]
@@ -88,9 +95,28 @@ def moved(value: int, size: int, tweak: str, key: str) -> int:
     return permute((permute(value, size, tweak, key, True) + 1) % size, size, tweak, key)
 
 
+@lru_cache(maxsize=20_000)
 def _alphabet(c: str) -> str | None:
+    """The letters (in lower case) or digits that stand for a character: those of its class, or the other letters of its 128 code points."""
     low = c.lower()
-    return next((a for a in (_DIGITS, *_LETTERS) if low in a), None)
+    if found := next((a for a in (_DIGITS, *_LETTERS) if low in a), None):
+        return found
+    if len(low) != 1 or not _is_letter(low):
+        return None
+    first = ord(low) & ~0x7F
+    block = "".join(k for k in map(chr, range(first, first + 128)) if _is_letter(k) and not any(k in a for a in _LETTERS))
+    return block if len(block) > 1 else None
+
+
+def _is_letter(c: str) -> bool:
+    """Letters that are their own lower case and come back from their upper case."""
+    return unicodedata.category(c)[0] == "L" and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c
+
+
+def _class(alphabet: str | None) -> str:
+    """Short name of an alphabet; a dot for none."""
+    known = [_DIGITS, *_LETTERS, _HEX]
+    return "." if alphabet is None else chr(65 + known.index(alphabet)) if alphabet in known else f"<{ord(alphabet[0]) >> 7}>"
 
 
 def recast(text: str, kind: str, key: str, hexadecimal: bool = False) -> str:
@@ -106,7 +132,7 @@ def recast(text: str, kind: str, key: str, hexadecimal: bool = False) -> str:
             value, size = value * len(a) + a.index(c.lower()), size * len(a)
     if size < 2:
         return text
-    shape = kind + ":" + "".join("." if a is None else chr(65 + [_DIGITS, *_LETTERS, _HEX].index(a)) for a in classes) + ":" + "".join(c.lower() for c, a in zip(text, classes) if a is None)
+    shape = kind + ":" + "".join(map(_class, classes)) + ":" + "".join(c.lower() for c, a in zip(text, classes) if a is None)
     out = moved(value, size, shape, key)
     chars = []
     for c, a in zip(reversed(text), reversed(classes)):
@@ -121,6 +147,12 @@ def luhn(digits: str) -> int:
     return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits)))) % 10
 
 
+def is_card(text: str) -> bool:
+    """Whether digits are those of a payment card: first digit 2 to 6, and the check digit holds. Other long numbers are no cards."""
+    digits = re.sub(r"\D", "", text)
+    return digits[0] in "23456" and luhn(digits) == 0
+
+
 def _like(digits: str, form: str) -> str:
     """Digits in the places of those of another text."""
     new = iter(digits)
@@ -128,18 +160,10 @@ def _like(digits: str, form: str) -> str:
 
 
 def _card(text: str, key: str) -> str:
-    """The first digit stays; a number that passes the check keeps passing it, another keeps failing."""
+    """The first digit stays, and the check digit holds again."""
     digits = re.sub(r"\D", "", text)
-    body = digits[1:-1]
-    if luhn(digits) == 0:
-        inner = digits[0] + recast(body, f"card{digits[0]}", key)
-        last = next(d for d in _DIGITS if luhn(inner + d) == 0)
-        return _like(inner + last, text)
-    out = digits
-    while True:
-        out = out[0] + recast(out[1:], f"number{digits[0]}", key)
-        if luhn(out):
-            return _like(out, text)
+    inner = digits[0] + recast(digits[1:-1], f"card{digits[0]}", key)
+    return _like(inner + next(d for d in _DIGITS if luhn(inner + d) == 0), text)
 
 
 def _public(address: ipaddress.IPv4Address) -> bool:
@@ -173,20 +197,24 @@ def _phone(text: str, key: str) -> str:
     return country + _like(recast(digits, f"phone{len(digits)}", key), rest)
 
 
+def _name(part: str, key: str) -> str:
+    """Known given names move within their script and gender. Other names keep script, length, case and the kind of their ending, and
+    don't become known ones: the permutation is walked on until it comes to a name of the same kind, so it stays one."""
+    if name := _KNOWN.get(part.lower()):
+        names = GIVEN[_NAMES[name]]
+        new = names[moved(names.index(name), len(names), "given" + "".join(_NAMES[name]), key)]
+        return new.upper() if part.isupper() else new
+    ends = lambda x: x[-1].lower() in _FEMININE
+    first = new = recast(part, "name", key)
+    while new.lower() in _KNOWN or ends(new) != ends(part) or new.lower() == part.lower():
+        new = recast(new, "name", key)
+        if new == first:  # no other name of this kind and shape
+            return part
+    return new
+
+
 def _person(text: str, key: str) -> str:
-    """Known given names move within their script and gender; other names keep script, length and case and don't become known ones."""
-    out = []
-    for part in text.split(" "):
-        if name := _KNOWN.get(part.lower()):
-            names = GIVEN[_NAMES[name]]
-            new = names[moved(names.index(name), len(names), "given" + "".join(_NAMES[name]), key)]
-            out.append(new.upper() if part.isupper() else new)
-        else:
-            new = recast(part, "name", key)
-            while new.lower() in _KNOWN:
-                new = recast(new, "name", key)
-            out.append(new)
-    return " ".join(out)
+    return " ".join(_name(part, key) for part in text.split(" "))
 
 
 @lru_cache(maxsize=50_000)
@@ -222,6 +250,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         at = 0
         while m := pattern.search(text, at):
             a, b = m.span(1)
+            if kind == "card" and not is_card(m[1]):
+                at = b
+                continue
             taken = [y for x, y, _ in found if a < y and x < b]
             if not taken:
                 found.append((a, b, kind))
@@ -229,10 +260,27 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def mentions(text: str) -> list[tuple[int, int, str]]:
+    """What detect() finds, and the further places of the persons it found by a part of their name alone."""
+    found = detect(text)
+    parts = {p for a, b, kind in found if kind == "person" for p in text[a:b].split(" ")}
+    if parts:
+        alone = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)")
+        taken = iter([*found, (len(text), len(text), "")])
+        now, more = next(taken), []
+        for m in alone.finditer(text):
+            while now[1] <= m.start():
+                now = next(taken, (len(text) + 1, len(text) + 1, ""))
+            if m.end() <= now[0]:
+                more.append((*m.span(), "person"))
+        found = sorted(found + more)
+    return found
+
+
 def replace(text: str, key: str) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (kind, entity, surrogate) of each mention."""
     out, at, made = [], 0, []
-    for a, b, kind in detect(text):
+    for a, b, kind in mentions(text):
         new = surrogate(kind, text[a:b], key)
         out += [text[at:a], new]
         made.append((kind, text[a:b], new))
@@ -243,13 +291,22 @@ def replace(text: str, key: str) -> tuple[str, list[tuple[str, str, str]]]:
 ENTITIES = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "entity", "surrogate")]))
 
 
-def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """All columns of docs with `text` replaced, and the array `_entities` of (kind, entity, surrogate).
+def added_column(docs: DataFrame) -> str:
+    """The name of the column with_surrogates() adds: `_entities`, with more underscores where docs has that one."""
+    name = "_entities"
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """All columns of docs with `text` replaced, then an array of (kind, entity, surrogate) under the name of added_column().
 
-    Null stays null and has no entities; texts without entities stay as they are. Repeated rows get equal surrogates.
+    Null stays null and has no entities; texts without entities stay as they are. Repeated rows get equal surrogates. Very long texts
+    are a step by themselves; an empty table stays empty.
     """
-    kept = [c for c in docs.columns if c not in ("text", "_entities")]
-    fields = T.StructType([*docs.select("text", *kept).schema.fields, T.StructField("_entities", ENTITIES)])
+    kept, added = [c for c in docs.columns if c != "text"], added_column(docs)
+    fields = T.StructType([*docs.select("text", *kept).schema.fields, T.StructField(added, ENTITIES)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,32 +316,33 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
                 new, made = (None, []) if text is None else replace(text, key)
                 texts.append(new)
                 entities.append([dict(zip(("kind", "entity", "surrogate"), m)) for m in made])
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(0).type), *batch.columns[1:], pa.array(entities, kind)], names=["text", *kept, "_entities"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(0).type), *batch.columns[1:], pa.array(entities, kind)], names=["text", *kept, added])
 
-    return docs.select("text", *kept).mapInArrow(run, fields).select(*docs.columns, *(() if "_entities" in docs.columns else ("_entities",)))
+    return docs.select("text", *kept).mapInArrow(run, fields).select(*docs.columns, added)
 
 
-def collisions(replaced: DataFrame) -> DataFrame:
+def collisions(replaced: DataFrame, entities: str = "_entities") -> DataFrame:
     """Surrogates of one kind that stand for several entities (spellings without case, and numbers without punctuation, are one)."""
     plain = lambda c: F.when(F.col("e.kind").isin("card", "phone"), F.regexp_replace(c, r"\D", "")).otherwise(F.lower(c))
-    made = replaced.select(F.explode("_entities").alias("e")).select("e.kind", plain("e.entity").alias("entity"), plain("e.surrogate").alias("surrogate"))
+    made = replaced.select(F.explode(entities).alias("e")).select("e.kind", plain("e.entity").alias("entity"), plain("e.surrogate").alias("surrogate"))
     return made.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).filter("a <> b")
 
 
-def checked(docs: DataFrame, key: str = DEFAULT_KEY, attempts: int = 8) -> DataFrame:
+def checked(docs: DataFrame, key: str, attempts: int = 8) -> DataFrame:
     """with_surrogates, written to the shared folder and free of collisions; where there are some, all is done again with a derived key.
 
     Distinct entities of a format never collide; those that differ in how they part country code and number can, by rare chance.
     """
+    added = added_column(docs)
     for k in range(attempts):
         done = materialise(with_surrogates(docs, f"{key}/{k}" if k else key), "surrogates")
-        if collisions(done).isEmpty():
+        if collisions(done, added).isEmpty():
             return done
         drop(done)
     raise RuntimeError(f"surrogates collide under {attempts} keys")
 
 
-def pseudonymised(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """doc_id, text with surrogates, n_entities, kinds for every row of docs."""
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities, kinds for every row of docs. Columns other than doc_id and text are not read."""
     done = checked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), key)
     return done.select("doc_id", "text", F.size("_entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("_entities.kind")), ",").alias("kinds"))
