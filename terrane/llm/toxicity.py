@@ -16,17 +16,18 @@ from .text import distinct, words
 
 #: Features are hashed to 2 ** BITS places; place 0 is the bias.
 BITS = 20
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.0
-EPOCHS = 4
-#: Bounds of the labelled sample: rows (in expectation, drawn by a hash of doc_id) and features.
-SAMPLE_ROWS, SAMPLE_FEATURES = 16_000, 30_000_000
+#: Chosen by the log loss of a threefold cross-validation inside the training fold (sf0.1 and sf0.01), as STEMS are.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
+EPOCHS = 6
+#: The labelled sample: documents, and features of them all, in expectation; one share, drawn by a hash of doc_id, keeps both.
+SAMPLE_ROWS, SAMPLE_FEATURES = 16_000, 60_000_000
 
 #: Bytes of text whose features are held at once; they take some fifty times as much.
 STEP_BYTES = 1 << 20
 
 _WORDS = WordHashes()
 #: Beginnings of words, in bytes, that stand in for their inflected forms.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 
 
 def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,31 +104,31 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Weights learned from labelled documents outside the held-out fold (crc32 of doc_id modulo 5 is 0).
 
-    The labels are thinned by a hash of doc_id to about sample_rows, and what lies beyond sample_features stays out; so what is broadcast and what
-    the learning task holds is bounded. A document
-    with contradicting labels counts as toxic.
+    The learning task holds a sample: the documents whose hash lies below a share, which is set so that they come to sample_rows and their
+    features to sample_features at most, in expectation. A document with contradicting labels counts as toxic.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, sample_rows / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    below = lambda share: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    picked = known.filter(below(share))
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
     sample = materialise(joined.mapInArrow(_featured, "doc_id long, toxic int, places binary"), "toxic-sample")
+    size = sample.agg(F.sum(F.octet_length("places"))).first()[0] or 0
+    share *= min(1.0, 4 * sample_features / max(1, size))
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        rows = []
         for batch in batches:
             for toxic, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held += len(data) // 4
-                if held <= sample_features:
-                    rows.append((np.frombuffer(data, "<u4"), int(toxic > 0)))
+                rows.append((np.frombuffer(data, "<u4"), int(toxic > 0)))
         at, value = fit(rows)
         rows.clear()
         release()
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([value.astype("<f8").tobytes()], pa.binary())], names=["at", "value"])
 
     # one task learns from the bounded sample, in the order of a hash
-    dealt = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "places").select("toxic", "places")
+    dealt = sample.filter(below(share)).repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "places").select("toxic", "places")
     row = dealt.mapInArrow(learned, "at binary, value binary").first()
     drop(sample)
     if row is None:  # an empty sample may leave no task to learn
@@ -159,7 +160,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose score is below 0.5."""
+    """The rows of docs, all columns, whose score is below 0.5. Null and empty texts are scored by the bias; repeated rows stay or go together."""
     at, value = train(docs, labels)
     place = docs.columns.index("text")
 
@@ -176,7 +177,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
     Empty and null texts get the score of the bias, and so does every text where no label can be learned from. Repeated rows get a
-    row each; an empty docs gives no rows. Columns other than doc_id, text and toxic are not read.
+    row each; an empty docs gives no rows. Very long texts are scored whole. Columns other than doc_id, text and toxic are not read.
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -195,6 +195,64 @@ def test_op4(spark):
     assert np.mean([r["predicted"] for r in held if toxic[r["doc_id"]] == 0]) < 0.01
 
 
+def plain_features(text, mask=(1 << 64) - 1):
+    """Places of a text's features, one by one."""
+    import xxhash
+
+    mix = [int(m) for m in shingles._MIX]
+    top = lambda x: (x & mask) >> (64 - toxicity.BITS)
+    found = [w for w in "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in text or "").encode().split()]
+    h = [xxhash.xxh3_64_intdigest(w) for w in found]
+    out = {0} | {top(x * mix[0]) for x in h}
+    for gap, salt in ((1, mix[1]), (2, mix[2])):
+        for a, b in zip(h, h[gap:]):
+            x = ((a ^ salt) * mix[1] + b) & mask
+            out.add(top((x ^ x >> 31) * mix[2]))
+    for w in found:
+        for n in toxicity.STEMS:
+            if len(w) > n:
+                stem = n
+                for c in w[:n]:
+                    stem = (stem << 8 | c) & mask
+                stem = ((stem ^ stem >> 23) * mix[1]) & mask
+                out.add(top((stem ^ stem >> 29) * mix[2]))
+    return sorted(out)
+
+
+def test_op4_by_hand(spark, docs):
+    """FTRL-proximal with a dictionary of coordinates over features worked out one by one."""
+    import math
+
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in table(spark, "labels").collect()}
+    known = [d for d in text if d in toxic and zlib.crc32(str(d).encode()) % 5]
+    order = [r["doc_id"] for r in spark.createDataFrame([(d,) for d in known], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit(1))).collect()]
+    rows = [(plain_features(text[d]), toxic[d]) for d in order]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    draw = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for k in draw.permutation(len(rows)):
+            at, label = rows[k]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-sum(w))) - label
+            for i, x in zip(at, w):
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * x
+                n[i] += g * g
+    for r in queries.op4_toxicity(spark, SF).collect():
+        want = 1 / (1 + math.exp(-sum(weight(i) for i in plain_features(text[r["doc_id"]]))))
+        assert r["score"] == pytest.approx(want, abs=1e-6)
+
+
+def test_op4_one_share_bounds_rows_and_features(spark, docs):
+    at, value = toxicity.train(docs, table(spark, "labels"), sample_rows=20, sample_features=10**9)
+    few, _ = toxicity.train(docs, table(spark, "labels"), sample_features=10)
+    assert len(few) <= len(at) <= len(toxicity.train(docs, table(spark, "labels"))[0])
+
+
 def test_op4_odd(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 0), (4, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     out = toxicity.toxicity(odd, labels).collect()
