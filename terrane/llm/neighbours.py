@@ -309,7 +309,8 @@ def partitioned(rows: DataFrame, asked: DataFrame, total: int, k: int, shape: Sh
     for level in range(levels + 1):  # one more for nodes that came out larger than meant; what can't be cut then, like equal vectors, stays whole
         here = rows.join(placed, "id") if level else rows.withColumn("node", F.lit(0).cast("long"))
         drawn = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < F.ceil(F.lit(float(shape.sample << 30)) / F.col("n"))
-        sample = here.join(large, "node").filter(drawn).select("node", "n", "v")
+        sized = here.join(large, "node") if level else here.withColumn("n", F.lit(total).cast("long"))
+        sample = sized.filter(drawn).select("node", "n", "v")
         routers = sample.groupBy("node").applyInArrow(_learned(k, AIM ** (1 / levels), shape), "node long, router binary").join(large, "node")
         routers = materialise(routers.select("node", "n", "router"), "routers")
         new = _through(here, routers, _homes(shape))
