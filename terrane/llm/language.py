@@ -75,7 +75,8 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
         smooth = counts + 0.5
         logs = np.log(smooth / smooth.sum(axis=1, keepdims=True)) / OVERLAP
-        logs -= logs.mean(axis=0)
+        if languages:
+            logs -= logs.mean(axis=0)
         self.languages, self.logs = languages, np.vstack([logs.T, np.zeros(len(languages))]).astype(np.float32)
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         open_ = share.T >= SCRIPT_SHARE
@@ -97,8 +98,9 @@ def viterbi(scores: np.ndarray, at: np.ndarray, lengths: np.ndarray, switch: flo
     begins = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
     active = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")  # texts longer than t
-    came = np.empty((len(at), n_lang), np.int8)
-    own = np.arange(n_lang, dtype=np.int8)
+    kind = np.int8 if n_lang < 128 else np.int32
+    came = np.empty((len(at), n_lang), kind)
+    own = np.arange(n_lang, dtype=kind)
     value = np.zeros((len(sizes), n_lang), np.float32)
     for t, n in enumerate(active):
         v = value[:n]
@@ -110,8 +112,8 @@ def viterbi(scores: np.ndarray, at: np.ndarray, lengths: np.ndarray, switch: flo
             came[place] = np.where(moved, top[:, None], own)
             v = np.where(moved, change, v)
         value[:n] = v + scores[at[place]]
-    out = np.empty(len(at), np.int8)
-    now = value.argmax(axis=1).astype(np.int8)
+    out = np.empty(len(at), kind)
+    now = value.argmax(axis=1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         place = begins[:n] + t
@@ -192,7 +194,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 size = np.array([len(w) for w in vocabulary])[at]
                 begins = np.cumsum(lengths) - lengths
                 text_of = np.repeat(np.arange(len(texts)), lengths)
-                mass = np.bincount(text_of * len(model.languages) + labels, weights=size, minlength=len(texts) * len(model.languages)).reshape(len(texts), -1)
+                mass = np.bincount(text_of * len(model.languages) + labels.astype(np.int64), weights=size, minlength=len(texts) * len(model.languages)).reshape(len(texts), -1)
                 best = mass.argmax(axis=1)
                 for k, text in enumerate(texts):
                     if lengths[k] and _has_letter(text[:64]) or lengths[k] and _has_letter(text):
@@ -214,7 +216,8 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang).
 
-    Repeated rows get a row each; an empty table gives no rows. Only training reads lang; source and doc_id are never inputs.
+    Repeated rows get a row each; an empty table gives no rows. Very long texts are labelled whole. Only training reads lang; source, doc_id
+    and other columns are never inputs.
     """
     found = identify(docs, train(docs))
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
