@@ -103,44 +103,86 @@ def _plain(data: bytes, base: int | None, whole: tuple[int, int]) -> Iterator[di
 
 
 def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
-    """Content of the gzip member at `at`, where it ends, and what is wrong with it."""
-    unzip, out, view = zlib.decompressobj(31), [], memoryview(data)
-    pos = at
-    try:
-        while pos < len(data) and not unzip.eof:
+    """Content of the gzip member at `at`, or of it what comes before an error; where that ends, and what is wrong."""
+    unzip, out, view, pos = zlib.decompressobj(31), [], memoryview(data), at
+    while pos < len(data) and not unzip.eof:
+        before = unzip.copy()
+        try:
             out.append(unzip.decompress(view[pos : pos + step]))
-            pos += step
-    except zlib.error as e:
-        return b"", at, f"member: {e}"
+        except zlib.error as e:
+            for pos in range(pos, min(pos + step, len(data))):  # the last step again, byte by byte, up to the error
+                try:
+                    out.append(before.decompress(view[pos : pos + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), pos, f"member: {e}"
+        pos += step
     if not unzip.eof:
-        return b"", at, "member without end"
+        return b"".join(out), len(data), "member without end"
     return b"".join(out), min(pos, len(data)) - len(unzip.unused_data), ""
 
 
+def _whole_records(content: bytes) -> tuple[list[dict], int]:
+    """The records at the head of a member's content that pass their checks, and where they end in it."""
+    out, at = [], 0
+    while at < len(content):
+        try:
+            found, at = parse(content, at)
+        except ValueError:
+            break
+        out.append(found)
+    return out, at
+
+
+def _reached(data: bytes, at: int, n: int, step: int = 64) -> int:
+    """The last byte, in steps, up to which the gzip member at `at` gives no more than n bytes."""
+    unzip, held = zlib.decompressobj(31), 0
+    while at < len(data):
+        held += len(unzip.decompress(data[at : at + step]))
+        if held > n:
+            break
+        at += step
+    return min(at, len(data))
+
+
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records of an archive, compressed or not, with gaps where bytes could not be read.
+    """Records of an archive, compressed or not or mixed, with gaps where bytes could not be read.
 
-    After a failed check the search goes on at the next gzip member whose content starts with a version line, or at the next version
-    line. Gaps carry their byte range and the check that failed.
+    After a failed check the search goes on at whichever comes first and passes its own check: a gzip member whose content starts with
+    a version line, or a version line whose record is whole. Of a damaged member the records before the damage count. Gaps carry
+    their byte range and the check that failed; in a damaged member they begin behind the last whole record, to within some bytes.
     """
-    if _VERSION.match(data) or _MAGIC not in data:
-        yield from _plain(data, 0, (0, len(data)))
-        return
     at, lost, why = 0, None, ""
     while at < len(data):
-        content, end, wrong = _inflate(data, at)
-        if wrong or content and not _VERSION.match(content) and lost is not None:
-            if lost is None:
-                lost, why = at, wrong
-            at = data.find(_MAGIC, at + 1)
-            at = len(data) if at < 0 else at
-            continue
-        if lost is not None and content:
-            yield {"start": lost, "stop": at, "gap": why}
+        made, end, wrong, stopped = [], at, "no version line", at
+        if data.startswith(_MAGIC, at):
+            content, end, wrong = _inflate(data, at)
+            if wrong:
+                whole, n = _whole_records(content)
+                stopped = _reached(data, at, n) if whole else at
+                made = [{"start": at, "stop": stopped} | r for r in whole]
+            elif _VERSION.match(content) or lost is None:
+                made = list(_plain(content, None, (at, end)))
+            elif content:
+                wrong = "member without a version line"
+        elif _VERSION.match(data, at):
+            try:
+                found, end = parse(data, at)
+                made, wrong = [{"start": at, "stop": end} | found], ""
+            except ValueError as e:
+                wrong = str(e)
+        if lost is not None and made:
+            yield {"start": min(lost, at), "stop": at, "gap": why}
             lost = None
-        if lost is None:
-            yield from _plain(content, None, (at, end))
-        at = end
+        yield from made
+        if wrong or lost is not None and not made:
+            if lost is None:
+                lost, why = stopped if made else at, wrong
+            m = _VERSION.search(data, at + 1)
+            places = [p for p in (data.find(_MAGIC, at + 1), m.start() if m else -1) if p >= 0]
+            at = min(places, default=len(data)) if wrong else end
+        else:
+            at = end
     if lost is not None:
         yield {"start": lost, "stop": len(data), "gap": why}
 
@@ -196,7 +238,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back, and tell of each record what it says of itself.
 
-    Repeated rows give a record each; an empty table writes no record and gives no rows.
+    Repeated rows give a record each; an empty table writes no record and gives no rows. Very long payloads are records like others.
+    Columns other than page_id, url and html are not read.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
