@@ -20,6 +20,13 @@ LOOKAHEAD = 3
 CACHE_ENTRIES = 400_000
 
 
+def with_specials(specials: list[str]) -> str:
+    """The pre-token pattern for texts that hold special tokens: these come first, and all else ends before them as at the text's end."""
+    special = "|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))
+    run = lambda c: rf"(?:(?!{special}){c})+"
+    return "|".join([special, *(f"'{x}" for x in ("s", "t", "re", "ve", "m", "ll", "d")), *(" ?" + run(c) for c in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")), rf"\s+(?={special})", r"\s+(?!\S)", r"\s+"])
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -60,6 +67,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(PRETOKEN)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special_split = regex.compile(with_specials(self.specials)) if self.specials else self.split
+        #: Characters before and behind an edit that can decide a pre-token.
+        self.context = max([LOOKAHEAD, *map(len, self.specials)])
         self.fast = None
         if ranks := ranks_of(path):
             import tiktoken
@@ -79,8 +89,12 @@ class PieceEncoder:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
+    def pattern(self, text: str) -> regex.Pattern:
+        """What cuts a text into pre-tokens; special tokens are pre-tokens of their own."""
+        return self.special_split if any(s in text for s in self.specials) else self.split
+
     def piece_counts(self, pieces: list[str]) -> list[int]:
-        """Tokens of each pre-token; special tokens' strings are ordinary text here. The cache starts anew when it is full."""
+        """Tokens of each pre-token, one for a special token. The cache starts anew when it is full."""
         known = self.counts
         if len(known) > CACHE_ENTRIES:
             known.clear()
@@ -89,5 +103,5 @@ class PieceEncoder:
         except KeyError:
             for p in pieces:
                 if p not in known:
-                    known[p] = len(self.fast.encode_to_numpy(p, disallowed_special=()) if self.fast else self.tokenizer.encode(p, add_special_tokens=False).ids)
+                    known[p] = 1 if p in self.specials else len(self.fast.encode_to_numpy(p, disallowed_special=()) if self.fast else self.tokenizer.encode(p, add_special_tokens=False).ids)
             return [known[p] for p in pieces]
