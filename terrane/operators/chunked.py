@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,22 +23,66 @@ _COMBINE = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+#: The folder of the run that is going on, if there is one.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; one of its own on a local master alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="terrane-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = _local_dir()
     return named.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="terrane-")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the run's folder or, outside of runs, in the shared one."""
+    return f"{_RUN.get() or shared_dir(spark) + '/terrane'}/{tag}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, tag: str = "rows") -> DataFrame:
     """The same rows from a table in the shared folder: the plan starts anew there, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/terrane/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, run at once: its result is written, and the folder that holds the tables it needed on the way is deleted, on errors too.
+
+    Runs inside runs share the outer one's folder.
+    """
+
+    @wraps(f)
+    def run(*args, **more) -> DataFrame:
+        if _RUN.get():
+            return f(*args, **more)
+        spark = SparkSession.active()
+        folder = new_path(spark, "run")
+        token = _RUN.set(folder)
+        try:
+            result = f(*args, **more)
+            _RUN.set(None)
+            return settled(result, f.__name__)
+        finally:
+            _RUN.reset(token)
+            delete(spark, folder)
+
+    return run
+
+
 def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_log_p, binomial_log_tail, poisson_threshold
-from .chunked import settled
+from .chunked import settled, tidied
 from .overlap import overlap_join
 from .profile import lengths, window_sums
 
@@ -160,6 +160,7 @@ def poisson_windows(profile: DataFrame, fdr: float, width: int = WINDOW, most: i
     return total.select("chrom", F.col("win").cast("long").alias("win"), poisson_threshold(F.col("mass") / width, fdr, F.lit(most)).alias("threshold"))
 
 
+@tidied
 def window_statistics(chip: DataFrame, control: DataFrame, window_lengths: list[int], fragment: float, within: int = 50_000_000, low: float = 1.5, high: float = 2.0, level: float = 0.05) -> DataFrame:
     """(l_win, n_pp, n_pi, n_ip, n_ii, fc_fnr, p_fnr, fc_fpr, p_fpr, sensitivity): p-values against fold changes in windows of each length.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
-from ..operators.chunked import settled
+from ..operators.chunked import settled, tidied
 from ..operators.intervals import merge
 from ..operators.multiscale import median_tracks, scales
 from ..operators.overlap import overlap_join
@@ -16,6 +16,7 @@ from .params import CallParams
 from .peaks import scale_regions, signals
 
 
+@tidied
 def decomposition_tracks(reads: DataFrame, params: CallParams, mappability: DataFrame | None = None) -> DataFrame:
     """(chrom, scale, start, end, value): the median track of each scale over the smoothed chip profile, as bedGraph rows."""
     chip = settled(pileup(reads.filter("sample = 'chip'"), params.fragment, keys=("chrom",)))
@@ -25,10 +26,12 @@ def decomposition_tracks(reads: DataFrame, params: CallParams, mappability: Data
     return tracks.withColumn("start", F.col("start") - 1)
 
 
+@tidied
 def log_ratio_signal(reads: DataFrame, params: CallParams) -> DataFrame:
     return P.log_ratio(*signals(reads, params))
 
 
+@tidied
 def scale_spectrum(reads: DataFrame, params: CallParams, chrom: str | None = None) -> DataFrame:
     """(scale_index, scale, n_regions, coverage): merged regions of all scales by the largest scale whose regions overlap them, on one
     chromosome, the first unless one is given."""

@@ -105,6 +105,40 @@ def test_large_inputs_give_the_same(spark):
     assert g(0) == g(1 << 40)
 
 
+def test_runs_clear_their_folders(spark, tmp_path, monkeypatch):
+    import os
+
+    @chunked.tidied
+    def outer(n, fail=False):
+        inner = chunked.tidied(lambda: chunked.settled(spark.range(n)))()
+        if fail:
+            raise ValueError("no")
+        return chunked.settled(inner).filter("id > 1")
+
+    monkeypatch.setattr(chunked, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    assert outer(5).count() == 3
+    assert [n.split("-")[0] for n in os.listdir(tmp_path / "shared" / "terrane")] == ["outer"]
+    with pytest.raises(ValueError):
+        outer(5, True)
+    assert len(os.listdir(tmp_path / "shared" / "terrane")) == 1
+
+
+def test_shared_folder(monkeypatch):
+    class Session:
+        def __init__(self, master, named=None):
+            self.sparkContext = self
+            self.master, self.conf = master, self
+            self.get = lambda key, default=None: named
+
+        def getConf(self):
+            return self
+
+    assert chunked.shared_dir(Session("yarn", "hdfs://x/")) == "hdfs://x"
+    assert chunked.shared_dir(Session("local[8]")).startswith("file:///")
+    with pytest.raises(ValueError):
+        chunked.shared_dir(Session("spark://host:7077"))
+
+
 def test_sliding_median():
     rng = np.random.default_rng(2)
     for _ in range(200):
