@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import chunks, drop, materialise, utf8
+from .shared import chunks, drop, materialise, tidied, utf8
 from .shingles import band_keys, minima, shingle_set
 
 #: 24 bands of 4 minima: a pair at similarity 0.8 misses every band with probability 3e-6.
 MINIMA, BANDS = 96, 24
 #: Signatures rule a pair out below this share of equal minima under the threshold; five standard deviations at 0.8.
 MARGIN = 0.2
-X_BLOCK, Y_BLOCK = 128, 1024
+#: Rows, and bytes of their sets, of one side of a block, on average.
+BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
 
 
 def _signatures(width: int):
@@ -99,10 +100,12 @@ def _linker(percent: int):
 
 
 def _links(roles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links of roles (label, is_x, rep, comp): x against y under each label, dealt out in blocks."""
+    """Confirmed links of roles (label, is_x, rep, comp, size): x against y under each label, dealt out in blocks bounded in rows and bytes."""
     roles = materialise(roles, "roles")
-    n = materialise(roles.groupBy("label").agg(F.count_if("is_x").alias("_x"), F.count_if(~F.col("is_x")).alias("_y")), "blocks")  # as a table, it lets the join split a hot label
-    dealt = roles.join(n, "label").withColumns({"_xs": F.ceil(F.col("_x") / X_BLOCK).cast("int"), "_ys": F.ceil(F.col("_y") / Y_BLOCK).cast("int")})
+    x, y = F.col("is_x"), ~F.col("is_x")
+    blocks = lambda side: F.ceil(F.greatest(F.count_if(side) / BLOCK_ROWS, F.sum(F.when(side, F.col("size"))) * 8 / BLOCK_BYTES)).cast("int")
+    n = materialise(roles.groupBy("label").agg(blocks(x).alias("_xs"), blocks(y).alias("_ys")), "blocks")  # as a table, it lets the join split a hot label
+    dealt = roles.join(n, "label")
     own = lambda count: F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
     every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
     dealt = dealt.withColumn("hx", F.explode(F.when(F.col("is_x"), F.array(own("_xs"))).otherwise(every("_xs"))))
@@ -111,36 +114,39 @@ def _links(roles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("label", "hx", "hy").sortWithinPartitions("label", "hx", "hy").mapInArrow(_linker(percent), "u long, v long")
 
 
+@tidied
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents link where 100 * intersection >= percent * union of their sets of `width`-word shingles; a shorter text is one
-    shingle; component_id is the least doc_id reachable. A text that is null or without words has no set and links with nothing.
+    shingle; component_id is the least doc_id reachable. Shingles are told apart by 64-bit hashes; a pair at the threshold goes unseen with
+    probability 3e-6. A text that is null or without words has no set and links with nothing.
     Rows that share a doc_id count as one document. A null doc_id links with nothing, has no component and is kept.
     An empty table gives no rows; columns other than doc_id and text are not read.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialise(source.mapInArrow(_signatures(width), "doc_id long, n_shingles long, print binary, bands array<long>"), "signatures")
     classes = materialise(signed.filter("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    rows = signed.withColumnRenamed("doc_id", "rep").join(classes, ["print", "rep"]).select("rep", F.explode("bands").alias("key")).distinct()
+    rows = signed.withColumnRenamed("doc_id", "rep").join(classes, ["print", "rep"]).select("rep", F.col("n_shingles").alias("size"), F.explode("bands").alias("key")).distinct()
     buckets = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_most")).filter("pivot <> _most").select("key", "pivot")
     buckets = materialise(buckets, "buckets")  # as a table, it lets the join split a hot bucket
     members = materialise(rows.join(buckets, "key"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "rep long, shingles binary").distinct(), "sets")
 
-    star = members.filter("rep <> pivot").select(F.col("pivot").alias("label"), F.lit(False).alias("is_x"), "rep").distinct()
-    star = star.union(star.select("label", F.lit(True), F.col("label")).distinct()).withColumn("comp", F.col("rep"))
+    star = members.filter("rep <> pivot").select(F.col("pivot").alias("label"), F.lit(False).alias("is_x"), "rep", "size").distinct()
+    pivots = members.filter("rep = pivot").select(F.col("pivot").alias("label"), F.lit(True).alias("is_x"), "rep", "size").distinct()
+    star = star.union(pivots).withColumn("comp", F.col("rep"))
     same = signed.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("print").alias("_a"), F.max("print").alias("_b")).filter("_a <> _b")
     same = signed.join(same, "doc_id").join(classes, "print").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     first = materialise(components(_links(star, sets, percent).union(same)), "components")
 
-    placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), "size")
     counted = placed.groupBy("key", "comp").count()
     main = counted.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("_main"), F.count("*").alias("_n")).filter("_n > 1").select("key", F.col("_main.comp").alias("label"))
     main = materialise(main, "mains")
     left = placed.join(main, "key")
-    roles = left.filter("comp <> label").select("label", F.lit(True).alias("is_x"), "rep", "comp").union(left.select("label", F.lit(False), "rep", "comp")).distinct()
+    roles = left.filter("comp <> label").select("label", F.lit(True).alias("is_x"), "rep", "comp", "size").union(left.select("label", F.lit(False), "rep", "comp", "size")).distinct()
     late = _links(roles, sets, percent)
     of = lambda end: first.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
     late = late.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
