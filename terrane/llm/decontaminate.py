@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, materialise, utf8
+from .shared import chunks, materialise, tidied, utf8
 from .text import words
 
 WINDOW = 10
@@ -176,6 +176,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     return reduce(DataFrame.union, found).groupBy("segment", "nth", "doc_id", "n_words").agg(united("hits"), united("items"))
 
 
+@tidied
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
 

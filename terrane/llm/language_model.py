@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .shared import chunks, fold, materialise, utf8
+from .shared import chunks, fold, materialise, tidied, utf8
 
 SEGMENT_BYTES = 10 << 20
 #: Words of the short list, and classes they are dealt to.
@@ -224,6 +224,7 @@ def _scored(vocabulary: Vocabulary, weights: gru.Weights):
     return run
 
 
+@tidied
 def score_corpus(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 

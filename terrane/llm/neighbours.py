@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, tidied
 
 GRAPH_NEIGHBOURS = 16
 #: Recall on the sample that routing is set to reach, over all levels.
@@ -327,6 +327,7 @@ def partitioned(rows: DataFrame, asked: DataFrame, total: int, k: int, shape: Sh
     return placed, sent
 
 
+@tidied
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, shape: Shape = Shape()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 

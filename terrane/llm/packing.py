@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder, default_tokenizer
-from .shared import chunks, materialise
+from .shared import chunks, materialise, tidied
 
 CAPACITY = 1024
 END_ID = 2
@@ -145,6 +145,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
+@tidied
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Pack whole documents into sequences of at most `capacity` tokens.
 

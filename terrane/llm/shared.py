@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunked import shared_dir
+from ..operators.chunked import delete, new_path, tidied  # noqa: F401  (tidied and new_path for the operators)
 
 #: Bytes of text that one Python step of an operator holds at once, and of a batch between the JVM and Python where the session sets none.
 CHUNK_BYTES, BATCH_BYTES = 4 << 20, 12 << 20
@@ -24,10 +23,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/terrane/{tag}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -39,11 +34,22 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table that materialise() wrote and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+#: Bytes of a table of ids that may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in gone. Ids alone travel where they are few enough, as counted; else both sides are shuffled.
+
+    Rows without a doc_id stay."""
+    gone = materialise(gone.filter("doc_id is not null").select("doc_id").distinct(), "gone")
+    if gone.count() * 40 <= BROADCAST_BYTES:  # a hashed id takes some 20 bytes, and twice that while its table grows
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks, drop, materialise
+from .shared import chunks, drop, materialise, tidied
 
 ROUNDS = 8
 
@@ -342,6 +342,7 @@ def checked(docs: DataFrame, key: str, attempts: int = 8) -> DataFrame:
     raise RuntimeError(f"surrogates collide under {attempts} keys")
 
 
+@tidied
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates, n_entities, kinds for every row of docs. Columns other than doc_id and text are not read."""
     done = checked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), key)

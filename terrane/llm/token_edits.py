@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PieceEncoder, default_tokenizer
-from .shared import CHUNK_BYTES, chunks, materialise
+from .shared import CHUNK_BYTES, chunks, materialise, tidied
 
 #: Pre-tokens in a block of a new tree; a block is split by rebuilding once it holds eight times as many.
 BLOCK = 32
@@ -184,6 +184,7 @@ def edit_trees(trees: DataFrame, edits: Column, tokenizer: str | None = None) ->
     return columns.mapInArrow(run, TREE + ", n_tokens_before long, n_reencoded long")
 
 
+@tidied
 def edit_aware_counts(docs: DataFrame, edits: Column, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_pretokens (edited) and n_reencoded: trees of all documents, written, then a batch of edits on them.
 

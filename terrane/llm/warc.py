@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import new_path, tidied
 
 #: Uncompressed bytes that an archive holds on average.
 ARCHIVE_BYTES = 32 << 20
@@ -235,6 +235,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
 
+@tidied
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back, and tell of each record what it says of itself.
 

@@ -745,3 +745,29 @@ def test_pipeline(spark, docs, encoder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, SF)
         assert step.columns == docs.columns, name
+
+
+def test_pipeline_odd(spark, odd, docs, tmp_path, encoder):
+    """Nulls, empty and very long texts, ties, repeated ids and clashing columns go through every stage; empty tables too."""
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        table(spark, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    clash = docs.limit(40).unionByName(docs.limit(3)).select("*", *(F.lit("mine").alias(c) for c in ("_entities", "gone", "key", "component_id", "kept", "score", "label", "size")))
+    for start in (odd, clash, odd.limit(0)):
+        step, ids = start, None
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, str(tmp_path))
+            assert step.columns == start.columns, name
+            left = [r["doc_id"] for r in step.collect()]
+            assert ids is None or Counter(left) <= Counter(ids), name
+            ids = left
+            if start is odd and name in ("toxicity", "decontamination", "pii"):
+                assert {None, 1, 2, 3}.issubset(ids)
+        if start is clash:
+            continue
+        start.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
+        pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert Counter({p["doc_id"] for p in pieces}) == Counter(set(ids))
+        check_packing(pieces, {})
+    assert not pieces
