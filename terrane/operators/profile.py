@@ -16,7 +16,7 @@ def span() -> Column:
     return F.col("end") - F.col("start") + 1
 
 
-#: Positions of one dense stretch that a kernel holds, besides its margins.
+#: Positions of one dense stretch that a kernel holds, besides its margins; four times the margin where that is more.
 DENSE = 1 << 16
 
 
@@ -231,20 +231,32 @@ def sliding_mean(x: np.ndarray, half: int) -> np.ndarray:
 
 
 def sliding_median(x: np.ndarray, half: int, skip: float | None = None) -> np.ndarray:
-    """Upper median of the whole parts over [i - half, i + half], cut at the ends; `skip` is left out, nothing left gives 0."""
+    """Upper median of the whole parts over [i - half, i + half], cut at the ends; `skip` is left out, nothing left gives 0.
+
+    All windows are answered together, bit by bit of the median's place among the distinct values (a wavelet matrix), so the work grows
+    with the logarithm of their number.
+    """
     values = np.trunc(x).astype(np.int64)
     counted = np.ones(len(x), bool) if skip is None else values != int(skip)
-    low, high = np.maximum(np.arange(len(x)) - half, 0), np.minimum(np.arange(len(x)) + half + 1, len(x))
-    below = lambda mask: (lambda t: t[high] - t[low])(np.concatenate(([0], np.cumsum(mask))))
-    need = below(counted) // 2 + 1
-    out, open_ = np.zeros(len(x)), below(counted) > 0
-    for v in np.unique(values[counted]):
-        found = open_ & (below(counted & (values <= v)) >= need)
-        out[found] = v
-        open_ &= ~found
-        if not open_.any():
-            break
-    return out
+    place = np.concatenate(([0], np.cumsum(counted)))
+    at = np.arange(len(x))
+    low, high = place[np.maximum(at - half, 0)], place[np.minimum(at + half + 1, len(x))]
+    filled = high > low
+    if not filled.any():
+        return np.zeros(len(x))
+    levels, codes = np.unique(values[counted], return_inverse=True)
+    nth, found = (high - low) // 2, np.zeros(len(x), np.int64)
+    for b in reversed(range((len(levels) - 1).bit_length())):
+        bit = (codes >> b & 1).astype(bool)
+        zeros = np.concatenate(([0], np.cumsum(~bit)))
+        below_low, below_high = zeros[low], zeros[high]
+        less = below_high - below_low
+        upper = nth >= less
+        nth = np.where(upper, nth - less, nth)
+        found = found << 1 | upper
+        low, high = np.where(upper, zeros[-1] + low - below_low, below_low), np.where(upper, zeros[-1] + high - below_high, below_high)
+        codes = np.concatenate((codes[~bit], codes[bit]))
+    return np.where(filled, levels[np.where(filled, found, 0)], 0).astype(float)
 
 
 def _dense(batch_runs: list[dict], start: int, n: int, name: str = "v") -> np.ndarray:
@@ -259,8 +271,10 @@ def _dense(batch_runs: list[dict], start: int, n: int, name: str = "v") -> np.nd
 def dense_kernel(profile: DataFrame, ends: DataFrame, margin: int, kernels: dict[float, object], size: int = DENSE, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """(chrom, scale, start, end, value): each kernel f(first column, ..., in stretches of `size` positions with margins).
 
-    A run goes to the stretches it touches, so no task holds more than size + 2 * margin positions of a chromosome at once.
+    A run goes to the stretches it touches, so no task holds more than size + 2 * margin positions of a chromosome at once, and margins
+    are a half of what it computes at most.
     """
+    size = max(size, 4 * margin)
     n_cells = F.sequence(F.floor((F.greatest(F.col("start") - margin, F.lit(1)) - 1) / size), F.floor((F.col("end") + margin - 1) / size))
     cut = profile.withColumn("cell", F.explode(n_cells))
     every = ends.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("l") - 1) / size)))).filter("l >= 1")
