@@ -138,11 +138,11 @@ def peak_p_value(chip: np.ndarray, control: np.ndarray, start: int, end: int, or
 
 def vicinity_p_values(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, norm: int, reach: int, peak: bool) -> DataFrame:
     """Regions with log_p in mean mode, or max mode for `peak`."""
-    pad = (F.greatest(F.col("e0") - F.col("s0") + 1, F.lit(2 * norm + 1)) * (reach + 1)).cast("long")
+    pad = (F.greatest(F.col("e0") - F.col("s0") + 1, F.lit(2 * norm + 1)) * (reach + 2)).cast("long")
     rows = with_runs(with_runs(regions, chip, "_chip"), control, "_control", pad).join(F.broadcast(lengths(control).withColumnRenamed("l", "_l")), "chrom")
 
     def f(row: dict) -> dict:
-        width = (max(row["end"] - row["start"] + 1, 2 * norm + 1)) * (reach + 1)
+        width = (max(row["end"] - row["start"] + 1, 2 * norm + 1)) * (reach + 2)
         low, high = max(1, row["start"] - width), row["end"] + width
         args = (spread(row["_chip"], low, high), spread(row["_control"], low, high), row["start"], row["end"], low, fragment, norm, row["_l"], reach)
         return {"log_p": (peak_p_value if peak else neighbourhood_p_value)(*args)}
@@ -150,14 +150,23 @@ def vicinity_p_values(regions: DataFrame, chip: DataFrame, control: DataFrame, f
     return per_region(rows, f, {"log_p": pa.float64()}).drop("_l")
 
 
-def poisson_windows(profile: DataFrame, fdr: float, width: int = WINDOW, most: int = 2**31 - 1) -> DataFrame:
-    """(chrom, win, threshold): the Poisson threshold of each window's mean depth. Windows begin at win * width + 1 and take in the
-    first position of the next."""
-    mass = window_sums(profile, width, width)
-    nxt = profile.withColumn("win", F.explode(F.sequence(F.floor((F.col("start") - 2) / width), F.floor((F.col("end") - 1) / width))))
-    edge = nxt.filter((F.col("start") <= (F.col("win") + 1) * width + 1) & (F.col("end") >= (F.col("win") + 1) * width + 1) & (F.col("win") >= 0)).groupBy("chrom", "win").agg(F.sum("value").alias("mass"))
-    total = mass.unionByName(edge).groupBy("chrom", "win").agg(F.sum("mass").alias("mass"))
-    return total.select("chrom", F.col("win").cast("long").alias("win"), poisson_threshold(F.col("mass") / width, fdr, F.lit(most)).alias("threshold"))
+def poisson_windows(profile: DataFrame, fdr: float, width: int = WINDOW, first: int = 1) -> DataFrame:
+    """(chrom, win, threshold): the Poisson threshold of each window's mean depth, at most the greatest whole depth in it, else 0.
+
+    Windows begin at first + win * width (first is 1 or 0) as long as that is before a chromosome's end l, and are width long, or
+    reach to l, which is then not part of them. A mean is taken over a window and the position behind it, but for a window's length.
+    """
+    at = lambda p: F.floor((F.col(p) - first) / width)
+    begin = F.col("win") * width + first
+    ends = lengths(profile)
+    used = profile.withColumn("start", F.greatest("start", F.lit(1))).filter("start <= end")
+    cut = used.withColumn("win", F.explode(F.sequence(F.greatest(F.floor((F.col("start") - 1 - first) / width), F.lit(0)), at("end")))).join(F.broadcast(ends), "chrom")
+    cut = cut.withColumn("n", F.least(F.lit(width), F.col("l") - begin)).filter("n > 0")
+    low, high = F.greatest("start", begin), F.least("end", begin + F.col("n"))
+    inside = F.least("end", begin + F.col("n") - 1) >= low
+    sums = cut.filter(low <= high).groupBy("chrom", "win", "n").agg(F.sum(F.col("value") * (high - low + 1)).alias("mass"), F.max(F.when(inside, F.col("value"))).alias("most"))
+    most = F.least(F.floor(F.coalesce("most", F.lit(0.0))), F.lit(2**31 - 1)).cast("int")
+    return sums.select("chrom", F.col("win").cast("long").alias("win"), poisson_threshold(F.col("mass") / F.col("n"), fdr, most).alias("threshold"))
 
 
 @tidied
@@ -233,6 +242,9 @@ def background(chip: DataFrame, window: int, fragment: float, mean_window: int =
     n = n.withColumn("_ready", F.max(F.col("_ready").cast("int")).over(Window.partitionBy("chrom").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) == 1)
     fine = F.col("_ready") & (F.coalesce(F.try_divide(F.col("ip"), F.col("pp") + F.col("ip")), F.lit(0.0)) <= target) & (F.coalesce(F.try_divide(F.col("pi"), F.col("pp") + F.col("pi")), F.lit(1.0)) >= target)
     chosen = n.filter(fine).groupBy("chrom").agg(F.min("k").alias("k"))
-    raised = base.join(F.broadcast(chosen), "chrom", "left").withColumn("value", F.col("value") + F.coalesce("k", F.lit(most_steps)) * step)
-    return raised.select("chrom", "start", "end", "value")
+    raised = base.join(F.broadcast(chosen), "chrom", "left").join(F.broadcast(ends), "chrom").withColumn("k", F.coalesce("k", F.lit(most_steps)))
+    piece = lambda s, e, v: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), v.alias("v"))
+    up, last = F.col("value") + F.col("k") * step, F.col("end") == F.col("l")  # a chromosome's last position isn't raised
+    pieces = F.array(piece(F.col("start"), F.col("end") - last.cast("int"), up), piece(F.when(last, F.col("l")).otherwise(F.col("end") + 1), F.col("end"), F.col("value")))
+    return raised.select("chrom", F.explode(pieces).alias("_p")).filter("_p.s <= _p.e").select("chrom", F.col("_p.s").alias("start"), F.col("_p.e").alias("end"), F.col("_p.v").alias("value"))
 

@@ -206,11 +206,13 @@ def summed(tracks: list[DataFrame], chunk: int = CHUNK) -> DataFrame:
 
 
 def symmetry_origin(signal: DataFrame, reach: int, tolerance: float = 1e-5) -> DataFrame:
-    """(chrom, pos): the first place of (chrom, pos, value) whose neighbours at every distance below `reach` mirror each other."""
+    """(chrom, pos): the first place of (chrom, pos, value), `reach` away from 0 and the last position, whose neighbours at every distance
+    below `reach` mirror each other."""
+    ends = signal.groupBy("chrom").agg(F.max("pos").alias("_l"))
     far = signal.select("chrom", F.col("pos").alias("p"), F.col("value").alias("v"))
     right = signal.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(reach - 1)))).withColumns({"l": F.col("pos") - F.col("i"), "r": F.col("pos") + F.col("i")})
     pairs = right.join(far.withColumnsRenamed({"p": "l", "v": "vl"}), ["chrom", "l"]).join(far.withColumnsRenamed({"p": "r", "v": "vr"}), ["chrom", "r"])
-    good = pairs.groupBy("chrom", "pos").agg(F.count_if(F.abs(F.col("vl") - F.col("vr")) <= tolerance).alias("n")).filter(F.col("n") == reach)
+    good = pairs.groupBy("chrom", "pos").agg(F.count_if(F.abs(F.col("vl") - F.col("vr")) <= tolerance).alias("n")).filter(F.col("n") == reach).join(F.broadcast(ends), "chrom").filter((F.col("pos") >= reach) & (F.col("pos") < F.col("_l") - reach))
     return good.groupBy("chrom").agg(F.min("pos").alias("pos"))
 
 
@@ -307,8 +309,10 @@ def median_filtered(profile: DataFrame, ends: DataFrame, window: int, skip: floa
 
 
 def mappable_median(profile: DataFrame, mappability: DataFrame, ends: DataFrame, window: int, most: float, chunk: int = CHUNK) -> DataFrame:
-    """Each value or, if greater, the median of the positions around it whose mappability is at most `most`."""
-    both = aligned(profile, mappability, chunk=chunk)
+    """Each value or, if greater, the median of the positions around it whose mappability is at most `most`. Positions from mappability's
+    last one on count as mappable."""
+    known = mappability.join(F.broadcast(lengths(mappability)), "chrom").withColumn("end", F.least("end", F.col("l") - 1)).filter("start <= end").drop("l")
+    both = aligned(profile, known, chunk=chunk)
     half = window // 2
     kernel = lambda x, m: np.maximum(sliding_median(np.where(m > most, -1, x), half, -1), x)
     return compact(dense_kernel(both, ends, half, {window: kernel}, columns=("a", "b")).drop("scale"), chunk=chunk)

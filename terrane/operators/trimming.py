@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_log_tail
+from .chunked import settled
 from .enrichment import WINDOW, per_region, poisson_windows, spread, with_runs
 from .overlap import overlap_join
 from .profile import lengths
 
 
-def _thresholds(regions: DataFrame, chip: DataFrame, fdr: float, width: int) -> DataFrame:
-    """Regions with the threshold of the window they start in; those without one (or at position 0) go."""
-    limits = poisson_windows(chip, fdr, width).filter("threshold > 0").withColumnRenamed("win", "_win")
-    return regions.filter("start >= 1").withColumn("_win", F.floor((F.col("start") - 1) / width).cast("long")).join(limits, ["chrom", "_win"]).drop("_win")
+#: Logs of p-values that are closer count as equal, so that rounding decides nothing.
+EQUAL = 1e-10
+
+
+def _thresholds(regions: DataFrame, chip: DataFrame, fdr: float, width: int, first: int = 1) -> DataFrame:
+    """Regions with the threshold of the window they start in; those that start before the first window or behind the last, or whose
+    window has no threshold, go."""
+    limits = poisson_windows(chip, fdr, width, first).filter("threshold > 0").withColumnRenamed("win", "_win")
+    placed = regions.filter(F.col("start") >= first).withColumn("_win", F.floor((F.col("start") - first) / width).cast("long"))
+    return placed.join(F.broadcast(lengths(chip)), "chrom").filter("start < l").drop("l").join(limits, ["chrom", "_win"]).drop("_win")
 
 
 def tune_boundaries(regions: DataFrame, chip: DataFrame, fdr: float = 0.05, width: int = WINDOW, by: int = 100) -> DataFrame:
@@ -31,40 +38,47 @@ def tune_boundaries(regions: DataFrame, chip: DataFrame, fdr: float = 0.05, widt
     for end in ("start", "end"):
         placed = placed.join(depth.withColumnsRenamed({"_p": end, "_v": f"_{end}"}), ["chrom", end], "left")
     t = F.col("threshold")
-    left = F.coalesce((t > 0) & (F.col("start") >= 1) & (F.coalesce("_start", F.lit(0.0)) >= t), F.lit(False))
-    right = F.coalesce(~left & (t > 0) & (F.col("start") >= 1) & (F.coalesce("_end", F.lit(0.0)) >= t), F.lit(False))
+    asked = (t > 0) & (F.col("start") >= 1) & (F.col("start") < F.col("l"))
+    left = F.coalesce(asked & (F.coalesce("_start", F.lit(0.0)) >= t), F.lit(False))
+    right = F.coalesce(~left & asked & (F.coalesce("_end", F.lit(0.0)) >= t), F.lit(False))
     tuned = placed.join(F.broadcast(lengths(chip)), "chrom").withColumns({"_s": F.when(left, F.greatest(F.col("start") - by, F.lit(1))).otherwise(F.col("start")).cast("long"), "_e": F.when(right, F.least(F.col("end") + by, F.col("l"))).otherwise(F.col("end")).cast("long")})
     return tuned.withColumns({"start": F.col("_s"), "end": F.col("_e")}).select(*regions.columns)
 
 
 def rd_trim(regions: DataFrame, chip: DataFrame, fdr: float, width: int = WINDOW) -> DataFrame:
-    """Regions cut to their first and last position above their window's threshold; those without such a position go."""
+    """Regions cut to their first and last position above their window's threshold; those without such a position go. A chromosome's
+    last position counts for nothing."""
     placed = _thresholds(regions, chip, fdr, width).distinct()
-    met = overlap_join(placed, chip).filter(F.col("b_value") > F.col("a_threshold"))
+    open_ = chip.join(F.broadcast(lengths(chip)), "chrom").withColumn("end", F.least("end", F.col("l") - 1)).filter("start <= end").drop("l")
+    met = overlap_join(placed, open_).filter(F.col("b_value") > F.col("a_threshold"))
     own = [F.col(f"a_{c}").alias(c) for c in regions.columns]
     cut = met.groupBy(*own).agg(F.min("ol_start").alias("_s"), F.max("ol_end").alias("_e"))
     return cut.withColumns({"start": F.col("_s"), "end": F.col("_e")}).select(*regions.columns)
 
 
 def median_filter_regions(regions: DataFrame, chip: DataFrame, fdr: float, width: int = WINDOW) -> DataFrame:
-    """Regions whose upper median of whole depths is above their window's threshold."""
-    rows = with_runs(_thresholds(regions, chip, fdr, width).withColumn("threshold", F.col("threshold").cast("double")), chip, "_chip")
+    """Regions whose upper median of depths is above the threshold of the window they start in; windows begin at 0 here.
 
-    def f(row: dict) -> dict | None:
-        x = np.sort(np.trunc(spread(row["_chip"], row["start"], row["end"])))
-        return {"threshold": row["threshold"]} if x[len(x) // 2] > row["threshold"] else None
-
-    return per_region(rows, f, {"threshold": pa.float64()}).select(*regions.columns)
+    The median is over threshold if the positions above it are more than half: n - n // 2 of n at least. So it is a sum over runs.
+    """
+    placed = _thresholds(regions, chip, fdr, width, first=0).distinct()
+    met = overlap_join(placed, chip).filter(F.col("b_value") > F.col("a_threshold"))
+    own = [F.col(f"a_{c}").alias(c) for c in regions.columns]
+    above = met.groupBy(*own).agg(F.sum(F.col("ol_end") - F.col("ol_start") + 1).alias("_n"))
+    n = F.col("end") - F.col("start") + 1
+    return above.filter(F.col("_n") >= n - F.floor(n / 2)).select(*regions.columns)
 
 
 def minimise(chip: np.ndarray, control: np.ndarray, start: int, fragment: float, floor_control: bool = False, most: int = 500, least_mass: float = 0.5) -> tuple[int, int]:
     """Ends of the trim to depths above t, over all whole t, whose p-value is least, the first of equals; stops once half the mass is gone.
 
-    Trims are nested, so only the t at which they change need be tried: the distinct whole depths of the region.
+    t goes from the least whole depth to the greatest, or to `most`. Trims are nested, so only the t at which they change need be tried: the
+    least one, and those that a depth of the region does not exceed for the first time.
     """
     total, n = chip.sum(), len(chip)
-    levels = np.unique(np.floor(chip))
-    levels = np.unique(np.minimum(levels, most))
+    whole = np.floor(chip)
+    levels = np.unique(np.concatenate((whole.min(keepdims=True), np.ceil(chip))))
+    levels = levels[levels <= min(whole.max(), most)]
     masses_ = np.concatenate(([0.0], np.cumsum(np.floor(chip)))), np.concatenate(([0.0], np.cumsum(np.floor(control) if floor_control else control))), np.concatenate(([0.0], np.cumsum(chip)))
     best, ends, last = math.inf, (0, n - 1), None
     for t in levels:
@@ -75,7 +89,7 @@ def minimise(chip: np.ndarray, control: np.ndarray, start: int, fragment: float,
         last = now
         s, c, raw = (m[now[1] + 1] - m[now[0]] for m in masses_)
         p = binomial_log_tail(math.floor(c / fragment), int(s / fragment + c / fragment))
-        if p < best:
+        if p < best - EQUAL:
             best, ends = p, now
         if total > 0 and raw / total <= least_mass:
             break
@@ -94,24 +108,34 @@ def p_value_trim(regions: DataFrame, chip: DataFrame, control: DataFrame, fragme
     return per_region(rows, f, {"start": pa.int64(), "end": pa.int64()}).select(*regions.columns)
 
 
+def best_on_grid(chip: np.ndarray, control: np.ndarray, start: int, fragment: float, step: int, share: int) -> tuple[int, int]:
+    """Ends of the least p-value among pairs of grid points that hold more than half the mass, the first of equals; else the whole.
+
+    The region's own end is no grid point."""
+    n = len(chip)
+    at = np.arange(0, n, max(step, (n - 1) // share))
+    raw, fx, cy = (np.concatenate(([0.0], np.cumsum(v))) for v in (chip, np.floor(chip), control))
+    i, j = np.meshgrid(at, at[at < n - 1], indexing="ij")
+    i, j = i.ravel(), j.ravel()
+    kept = (j > i) & (raw[np.minimum(j + 1, n)] - raw[i] > 0.5 * raw[-1])
+    i, j = i[kept], j[kept]
+    s, c = (fx[j + 1] - fx[i]) / fragment, (cy[j + 1] - cy[i]) / fragment
+    k, total = np.floor(c).astype(np.int64), np.trunc(s + c).astype(np.int64)
+    known = {pair: binomial_log_tail(*pair) for pair in set(zip(k.tolist(), total.tolist()))}
+    p = np.array([known[pair] for pair in zip(k.tolist(), total.tolist())])
+    first = np.flatnonzero(p <= p.min(initial=math.inf) + EQUAL)
+    return (start + int(i[first[0]]), start + int(j[first[0]])) if len(p) else (start, start + n - 1)
+
+
 def grid_trim(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, step: int = 100, share: int = 40) -> DataFrame:
-    """Regions cut to the pair of grid points of least p-value that keep half the mass; the grid's step is a 40th of the length, or `step`."""
+    """Regions cut to the pair of grid points of least p-value that keep more than half the mass; the grid's step is a 40th of the length, or
+    `step`. Regions that reach past control go."""
     rows = with_runs(with_runs(regions, chip, "_chip"), control, "_control").join(F.broadcast(lengths(control)), "chrom").filter("end <= l").drop("l")
 
     def f(row: dict) -> dict:
         a, b = row["start"], row["end"]
-        x, y = spread(row["_chip"], a, b), spread(row["_control"], a, b)
-        fx, cy, raw = (np.concatenate(([0.0], np.cumsum(v))) for v in (np.floor(x), y, x))
-        points = list(range(0, len(x), max(step, len(x) // share)))
-        best, ends = math.inf, (0, len(x) - 1)
-        for i in points:
-            for j in [p for p in [*points[1:], len(x) - 1] if p > i]:
-                if raw[j + 1] - raw[i] >= 0.5 * raw[-1]:
-                    s, c = (fx[j + 1] - fx[i]) / fragment, (cy[j + 1] - cy[i]) / fragment
-                    p = binomial_log_tail(math.floor(c), int(s + c))
-                    if p < best:
-                        best, ends = p, (i, j)
-        return {"start": a + ends[0], "end": a + ends[1]}
+        s, e = best_on_grid(spread(row["_chip"], a, b), spread(row["_control"], a, b), a, fragment, step, share)
+        return {"start": s, "end": e}
 
     return per_region(rows, f, {"start": pa.int64(), "end": pa.int64()}).select(*regions.columns)
 
@@ -147,12 +171,10 @@ def strand_even(regions: DataFrame, least: float, both: bool = False) -> DataFra
     return regions.filter(F.coalesce(even & (a > 0) & (b > 0), F.lit(False)))
 
 
-def strand_share(stranded: DataFrame, chrom: str) -> float:
-    """Half the lesser ratio of the strands' masses on a chromosome."""
-    m = stranded.filter(F.col("chrom") == chrom).groupBy("strand").agg(F.sum(F.col("value") * (F.col("end") - F.col("start") + 1)).alias("m"))
-    mass = {r["strand"]: r["m"] for r in m.collect()}
-    f, r = mass.get("F", 0.0), mass.get("R", 0.0)
-    return min(f / r, r / f) / 2 if f and r else 0.0
+def strand_share(reads: DataFrame, chrom: str) -> float:
+    """Half the lesser ratio of the numbers of reads on the strands of a chromosome; 0 where one strand has none."""
+    n = reads.filter(F.col("chrom") == chrom).agg(F.count_if(F.col("strand") == "F").alias("f"), F.count_if(F.col("strand") != "F").alias("r")).first()
+    return min(n["f"] / n["r"], n["r"] / n["f"]) / 2 if n["f"] and n["r"] else 0.0
 
 
 def summits(regions: DataFrame, chip: DataFrame, control: DataFrame) -> DataFrame:
@@ -222,8 +244,8 @@ def troughs(regions: DataFrame, chip: DataFrame, mappability: DataFrame | None,
             behind = next((k for k, m in enumerate(highs) if m[0] > pos), None)
             score = worst if before is None or behind is None else rank + before + behind
             if score < worst and has_map:
-                at = start + pos - low_edge
-                if mapp[max(0, at - width // 2) : at + width // 2].sum() / width >= most:
+                at = start - low_edge  # nothing before the region counts
+                if mapp[at + max(0, pos - width // 2) : at + pos + width // 2].sum() / width >= most:
                     score = worst
             if score < best:
                 best, where = score, rank
@@ -232,10 +254,23 @@ def troughs(regions: DataFrame, chip: DataFrame, mappability: DataFrame | None,
     return per_region(rows, f, {"trough": pa.int64()})
 
 
-def merge_by_significance(by_scale: DataFrame) -> DataFrame:
-    """Regions (chrom, scale, start, end, log_p) from the largest scale down: a region stays unless a significant one of a larger scale overlaps it."""
-    wide = by_scale.select("chrom", "scale", "start", "end").distinct()
-    pairs = overlap_join(by_scale, wide).filter(F.col("b_scale") > F.col("a_scale"))
-    covered = pairs.select(*(F.col(f"a_{c}").alias(c) for c in ("chrom", "scale", "start", "end"))).distinct()
-    return by_scale.join(covered, ["chrom", "scale", "start", "end"], "left_anti")
+def merge_by_significance(by_scale: DataFrame, p_value, cutoff: float) -> DataFrame:
+    """Regions (chrom, scale, start, end) of several scales as features (chrom, start, end, scale, log_p), each merged region of all scales at
+    the largest scale at which it holds a significant one.
 
+    Up to each scale that has regions, the regions of it and of all smaller ones are merged (those that touch too); p_value gives
+    regions (chrom, start, end, scale) their log_p. Inside a merged region of all scales, the scales are gone through from the
+    largest down to the first with a log_p below the log of the cutoff, and all its merged regions come out, the insignificant
+    too. Without such a scale a merged region gives nothing.
+    """
+    from .intervals import merge
+
+    regions = by_scale.select("chrom", "scale", "start", "end")
+    up_to = regions.select("scale").distinct().withColumnRenamed("scale", "_up_to")  # one row for each scale
+    pooled = regions.join(F.broadcast(up_to), F.col("scale") <= F.col("_up_to")).select("chrom", F.col("_up_to").alias("scale"), "start", "end")
+    merged = merge(pooled, 1, ("chrom", "scale")).select("chrom", "scale", "start", "end")
+    scored = settled(p_value(merged).select("chrom", "scale", "start", "end", "log_p"))
+    met = overlap_join(scored, merge(regions, 1).select("chrom", "start", "end"))
+    found = met.filter(F.col("a_log_p") < math.log(cutoff)).groupBy("b_chrom", "b_start", "b_end").agg(F.max("a_scale").alias("_scale"))
+    out = met.join(found, ["b_chrom", "b_start", "b_end"]).filter(F.col("a_scale") == F.col("_scale"))
+    return out.select(*(F.col(f"a_{c}").alias(c) for c in ("chrom", "start", "end", "scale", "log_p")))
