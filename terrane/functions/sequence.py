@@ -61,12 +61,33 @@ def matches_iupac(base: Column, code: Column) -> Column:
     return out
 
 
+#: Lengths to which sequences are cut, one after the other, before their windows are listed: finding a place in a text takes time in
+#: proportion to the place.
+CUTS = (1 << 20, 1 << 15, 1 << 10)
+
+
+def _cut(seqs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(..., offset, seq) in pieces of `size` that share `overlap` bases with the next one."""
+    rest = [c for c in seqs.columns if c not in ("offset", "seq")]
+    starts = F.sequence(F.lit(0), F.greatest(F.length("seq") - overlap - 1, F.lit(0)), F.lit(size))
+    return seqs.select(*rest, F.col("offset"), "seq", F.explode(starts).alias("_at")).select(*rest, (F.col("offset") + F.col("_at")).alias("offset"), F.substring(F.col("seq"), F.col("_at") + 1, F.lit(size + overlap)).alias("seq"))
+
+
+def windows(seqs: DataFrame, length: int) -> DataFrame:
+    """(..., offset, window): every window of `length` bases of the sequences, offsets from 0."""
+    pieces = seqs.filter(F.length("seq") >= length).withColumn("offset", F.lit(0).cast("long"))
+    for size in CUTS:
+        pieces = _cut(pieces, size, length - 1)
+    rest = [c for c in seqs.columns if c != "seq"]
+    at = pieces.filter(F.length("seq") >= length).withColumn("_at", F.explode(F.sequence(F.lit(0), F.length("seq") - length)))
+    return at.select(*rest, (F.col("offset") + F.col("_at")).alias("offset"), F.substring(F.col("seq"), F.col("_at") + 1, F.lit(length)).alias("window"))
+
+
 def fragments(seqs: DataFrame, length: int) -> DataFrame:
     """All windows of `length` bases at offsets 0 to len - length - 1 (the last window is left out), on both strands, as (chrom, strand, offset, fragment)."""
     both = seqs.select("chrom", F.explode(F.array(F.struct(F.lit("F").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("R").alias("strand"), reverse_complement(F.col("seq")).alias("s")))).alias("x"))
-    n = F.length("x.s") - length
-    at = both.filter(n > 0).withColumn("offset", F.explode(F.sequence(F.lit(0), n - 1)))
-    return at.select("chrom", "x.strand", "offset", F.substring(F.col("x.s"), F.col("offset") + 1, F.lit(length)).alias("fragment"))
+    short = F.expr("substring(x.s, 1, length(x.s) - 1)")
+    return windows(both.select("chrom", "x.strand", short.alias("seq")), length).withColumnRenamed("window", "fragment")
 
 
 def fragments_fasta(seqs: DataFrame, length: int) -> DataFrame:
@@ -75,8 +96,7 @@ def fragments_fasta(seqs: DataFrame, length: int) -> DataFrame:
 
 
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
-    at = seqs.filter(F.length("seq") >= k).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)))
-    return at.groupBy(F.substring(F.col("seq"), F.col("i"), F.lit(k)).alias("kmer")).agg(F.count("*").alias("n"))
+    return windows(seqs.select("seq"), k).groupBy(F.col("window").alias("kmer")).agg(F.count("*").alias("n"))
 
 
 def extracted(regions: DataFrame, seqs: DataFrame, upper: bool = False) -> DataFrame:

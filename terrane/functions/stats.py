@@ -124,16 +124,19 @@ def log_compare(a: Column, b: Column) -> Column:
 def benjamini_hochberg(regions: DataFrame, by: tuple[str, ...] = ("chrom", "start", "end")) -> DataFrame:
     """log_q = log_p + ln(N / rank): neither made monotone nor capped. The rank needs one order over all regions.
 
-    The order is dealt out by range, so no task holds all regions: ranks are positions in a range partition plus the sizes of those
-    before it.
+    The order, which `by` continues where p-values are equal, is dealt out by range, so no task holds all regions, however many have the
+    same p-value: ranks are places in a range plus the sizes of the ranges before it.
     """
-    placed = regions.withColumn("_cell", F.floor(F.greatest(F.col("log_p"), F.lit(-1e6)) * 16).cast("long"))
-    cells = placed.groupBy("_cell").count()
-    total = cells.agg(F.sum("count").alias("_total"))
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("_cell", before.alias("_before")).crossJoin(F.broadcast(total))
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("log_p", *by)) + F.col("_before")
-    return placed.join(cells, "_cell").withColumn("rank", rank).withColumn("log_q", F.col("log_p") + F.ln(F.col("_total") / F.col("rank"))).drop("_cell", "_before", "_total")
+    from ..operators.chunked import settled
+
+    order = ["log_p", *by]
+    placed = settled(regions.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    along = Window.orderBy("_range")  # over as many rows as there are ranges
+    ranges = ranges.select("_range", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    ranked = placed.join(F.broadcast(ranges), "_range").withColumn("rank", rank)
+    return ranked.withColumn("log_q", F.col("log_p") + F.ln(F.col("_total") / F.col("rank"))).drop("_range", "_before", "_total")
 
 
 @F.pandas_udf(DoubleType())

@@ -35,8 +35,8 @@ def mass_log_p(signal: Column, control: Column, length: Column, fragment: float,
     if norm is None:
         return binomial_log_p(s, c, flip)
     norm = norm if isinstance(norm, Column) else F.lit(norm)
-    by = F.when(length > norm, norm.cast("double") / length).otherwise(F.lit(1.0))
-    s, c = s * by, c * by
+    by = F.when(length > norm, length / norm.cast("double")).otherwise(F.lit(1.0))
+    s, c = s / by, c / by
     c = F.when((length > norm) & (F.floor(c) == 0), F.lit(1.0)).otherwise(c)
     return F.when((length > norm) & (F.floor(s) == 0), F.lit(0.0)).otherwise(binomial_log_p(s, c, flip))
 
@@ -105,7 +105,7 @@ def neighbourhood_p_value(chip: np.ndarray, control: np.ndarray, start: int, end
     mass = max((at(control, c, min(l_control, c + width)) for c in range(max(1, s - reach * width), min(l_control, e + reach * width), width)), default=0.0)
     c, x = mass * length / (width + 1) / fragment, signal / fragment
     if length > norm:
-        c, x = c * norm / length, x * norm / length
+        c, x = c / (length / norm), x / (length / norm)
         c = 1.0 if math.floor(c) == 0 else c
         if math.floor(x) == 0:
             return 0.0

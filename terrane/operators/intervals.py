@@ -152,8 +152,8 @@ def nearest_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     turned = x.unionByName(y).withColumn("_minus", -F.col("start"))
     ahead = running(turned, ["chrom"], ["_minus", "_of", "end"], F.col("_bs"), "min", "_next").filter("_of = 1")
     near = back.groupBy("chrom", "start", "end").agg(F.max("_reach").alias("_reach")).join(ahead.groupBy("chrom", "start", "end").agg(F.min("_next").alias("_next")), ["chrom", "start", "end"])
-    behind, before = F.greatest(F.col("start") - F.col("_reach"), F.lit(0)), F.greatest(F.col("_next") - F.col("end"), F.lit(0))
-    near = near.select("chrom", "start", "end", F.least(F.coalesce(behind, F.lit(FAR)), F.coalesce(before, F.lit(FAR)), F.lit(FAR)).cast("long").alias("distance"))
+    to = lambda known, gap: F.when(F.col(known).isNotNull(), F.greatest(gap, F.lit(0))).otherwise(F.lit(FAR))
+    near = near.select("chrom", "start", "end", F.least(to("_reach", F.col("start") - F.col("_reach")), to("_next", F.col("_next") - F.col("end")), F.lit(FAR)).cast("long").alias("distance"))
     return a.join(near, ["chrom", "start", "end"])
 
 

@@ -168,16 +168,20 @@ def mappable_reads(reads: DataFrame, mappability: DataFrame, most: float = 1.05)
 
 
 def fragment_length_scan_mappable(reads: DataFrame, mappability: DataFrame, low: int, high: int, most: float = 1.05) -> DataFrame:
-    """As fragment_length_scan over mappable reads, but a position counts if either end is there (|F| + |R| - |F and R|), as long as both stay inside the chromosome's bound."""
-    kept = mappable_reads(reads, mappability, most)
-    f, r = _presence(kept)
+    """As fragment_length_scan over mappable reads, but a position counts if either end is there (|F| + |R| - |F and R|), as long as both stay inside the chromosome's bound.
+
+    All positions count at every separation but for those within `high` of an end, so only these are listed by separation.
+    """
+    f, r = _presence(mappable_reads(reads, mappability, most))
     length = profile_length_bound(reads)
+    f, r = f.join(length, "chrom").filter("pos >= 1"), r.join(length, "chrom").filter("pos < l_signal")
+    total = f.select("chrom").union(r.select("chrom")).count()
+    beyond = lambda d, first: d.filter(first <= high).select(F.explode(F.sequence(F.greatest(first, F.lit(low).cast("long")), F.lit(high).cast("long"))).alias("separation"))
+    lost = beyond(f, F.col("l_signal") - F.col("pos")).union(beyond(r, F.greatest("pos", F.lit(0).cast("long"))))
+    both = _banded(f.select("chrom", "pos"), r.select("chrom", "pos"), low, high).select("separation")
+    less = lost.union(both).groupBy("separation").agg(F.count("*").alias("_less"))
     every = reads.sparkSession.range(low, high + 1).withColumnRenamed("id", "separation")
-    fs = f.join(length, "chrom").crossJoin(F.broadcast(every)).filter("pos >= 1 and pos + separation < l_signal").groupBy("separation").agg(F.count("*").alias("nf"))
-    rs = r.join(length, "chrom").crossJoin(F.broadcast(every)).filter("pos - separation >= 1 and pos < l_signal").groupBy("separation").agg(F.count("*").alias("nr"))
-    both = _banded(f, r.join(length, "chrom").filter("pos < l_signal").select("chrom", "pos"), low, high).groupBy("separation").agg(F.count("*").alias("nb"))
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return every.join(fs, "separation", "left").join(rs, "separation", "left").join(both, "separation", "left").select("separation", (z("nf") + z("nr") - z("nb")).cast("long").alias("n"))
+    return every.join(F.broadcast(less), "separation", "left").select("separation", (F.lit(total) - F.coalesce("_less", F.lit(0))).cast("long").alias("n"))
 
 
 def five_prime(start: Column, end: Column, strand: Column) -> Column:

@@ -37,21 +37,21 @@ SIGNAL = "signal AS (SELECT event_type AS chrom, row_number() OVER (PARTITION BY
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "orders")
-    start = F.col("o_custkey") * 10 + 1
+    start = F.col("o_orderkey") * 40 + 1
     return x.select(
         F.col("o_orderstatus").alias("chrom"), start.alias("start"), (start + F.floor("o_totalprice") % 200).cast("long").alias("end"), F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise("+").alias("strand"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"), F.floor("o_totalprice").cast("long").alias("score"), (F.col("o_orderkey") % 4).cast("int").alias("part"),
     )
 
 
-REGIONS = """regions AS (SELECT o_orderstatus AS chrom, o_custkey * 10 + 1 AS start, o_custkey * 10 + 1 + CAST(floor(o_totalprice) AS BIGINT) % 200 AS "end",
+REGIONS = """regions AS (SELECT o_orderstatus AS chrom, o_orderkey * 40 + 1 AS start, o_orderkey * 40 + 1 + CAST(floor(o_totalprice) AS BIGINT) % 200 AS "end",
  CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '+' END AS strand, concat('o', o_orderkey) AS name, CAST(floor(o_totalprice) AS BIGINT) AS score, o_orderkey % 4 AS part FROM orders),
- a AS (SELECT * FROM regions WHERE part < 2), b AS (SELECT * FROM regions WHERE part = 3)"""
+ a AS (SELECT * FROM regions WHERE part < 2), b AS (SELECT * FROM regions WHERE part >= 2)"""
 
 
 def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     x = regions(spark, sf_dir)
-    return x.filter("part < 2").drop("part"), x.filter("part = 3").drop("part")
+    return x.filter("part < 2").drop("part"), x.filter("part >= 2").drop("part")
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

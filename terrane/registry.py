@@ -259,7 +259,13 @@ def mappable_reads(spark, d):
     return R.mappable_reads(A.reads(spark, d), _mappability(spark, d), 1.1502).groupBy("chrom", "strand").agg(F.count("*").alias("n"))
 
 
-@query()
+_MAPPABLE = f"""WITH {A.READS}, {_MAPP}, spots AS (SELECT DISTINCT chrom, start, start + len AS e FROM reads),
+ok AS (SELECT s.chrom, s.start, s.e FROM spots s LEFT JOIN mapp m ON s.chrom = m.chrom AND s.start <= m."end" AND m.start <= s.e GROUP BY ALL
+ HAVING coalesce(sum(m.value * (least(s.e, m."end") - greatest(s.start, m.start) + 1)), 0) / (s.e - s.start + 1) < 1.1502), kept AS (SELECT reads.* FROM reads JOIN ok USING (chrom, start) WHERE e = start + len)"""
+
+
+@query(f"""{_MAPPABLE}, lim AS (SELECT chrom, max(start) + 1000 AS l FROM reads GROUP BY chrom), f AS (SELECT DISTINCT chrom, start AS pos FROM kept WHERE strand = 'F'), r AS (SELECT DISTINCT chrom, start + len AS pos FROM kept WHERE strand = 'R'), s AS (SELECT unnest(range(5, 41)) AS separation),
+h AS (SELECT separation, chrom, pos FROM s, f JOIN lim USING (chrom) WHERE pos + separation < l UNION SELECT separation, chrom, pos - separation FROM s, r JOIN lim USING (chrom) WHERE pos - separation >= 1 AND pos < l) SELECT separation, count(*) AS n FROM h GROUP BY separation""")
 def fragment_length_scan_mappable(spark, d):
     return R.fragment_length_scan_mappable(A.reads(spark, d), _mappability(spark, d), 5, 40, 1.1502)
 
@@ -375,10 +381,9 @@ def overlap_histogram(spark, d):
     return J.overlap_histogram(*A.pair(spark, d), 0.125)
 
 
-@query(f"""WITH {A.REGIONS}, s AS (SELECT chrom, name, start, "end" FROM a WHERE part = 0) SELECT s.name, CAST(coalesce(min(least(10000000, greatest(0, s.start - b."end", b.start - s."end"))), 10000000) AS BIGINT) AS distance FROM s LEFT JOIN b ON s.chrom = b.chrom GROUP BY s.name""")
+@query(f"""WITH {A.REGIONS} SELECT s.name, CAST(coalesce(min(least(10000000, greatest(0, s.start - b."end", b.start - s."end"))), 10000000) AS BIGINT) AS distance FROM a s LEFT JOIN b ON s.chrom = b.chrom GROUP BY s.name""")
 def nearest_distance(spark, d):
-    x = A.regions(spark, d)
-    return J.nearest_distance(x.filter("part = 0"), x.filter("part = 3")).select("name", "distance")
+    return J.nearest_distance(*A.pair(spark, d)).select("name", "distance")
 
 
 @query(f"""WITH {A.REGIONS}, n AS (SELECT chrom, start, "end", lead(start) OVER (PARTITION BY chrom ORDER BY start, "end") - "end" AS distance FROM regions) SELECT chrom, start, "end", distance FROM n WHERE distance IS NOT NULL""")
@@ -420,9 +425,9 @@ def sub_intervals(spark, d):
     return J.sub_intervals(_all(spark, d).withColumn("intervals", parts)).select("name", "start", "end")
 
 
-@query(f"""WITH {A.REGIONS} SELECT name FROM regions WHERE "end" - start > 50 AND "end" - start < 150 AND "end" < 9000 AND strand = '+' AND chrom = 'O'""")
+@query(f"""WITH {A.REGIONS} SELECT name FROM regions WHERE "end" - start > 50 AND "end" - start < 150 AND "end" < 900000 AND strand = '+' AND chrom = 'O'""")
 def filter_length(spark, d):
-    x = J.shorter_than(J.longer_than(J.ends_before(_all(spark, d), 9000), 50), 150)
+    x = J.shorter_than(J.longer_than(J.ends_before(_all(spark, d), 900_000), 50), 150)
     return J.on(J.valid(x), strand="+", chrom="O").select("name")
 
 
@@ -436,11 +441,10 @@ def sorting_reach(spark, d):
     return J.sorting_reach(_all(spark, d)).select("name", "furthest_end", "least_start")
 
 
-@query(f"""WITH {A.REGIONS} SELECT o_custkey, chrom, (SELECT max(start) FROM b WHERE b.chrom = q.chrom AND b.start <= q.pos) AS before FROM (SELECT o_custkey, o_orderstatus AS chrom, o_custkey * 10 + 5 AS pos FROM orders WHERE o_orderkey % 4 = 0) q""")
+@query(f"""WITH {A.REGIONS}, q AS (SELECT o_orderkey, o_orderstatus AS chrom, o_orderkey * 40 + 25 AS pos FROM orders), s AS (SELECT DISTINCT chrom, start FROM b) SELECT q.chrom, q.pos, s.start AS before FROM q ASOF LEFT JOIN s ON q.chrom = s.chrom AND q.pos >= s.start""")
 def predecessor(spark, d):
-    x = A.table(spark, d, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderstatus").alias("chrom"), (F.col("o_custkey") * 10 + 5).alias("pos"))
-    b = A.pair(spark, d)[1].select("chrom", F.col("start").alias("pos"))
-    return J.predecessor(x, b).select(F.floor(F.col("pos") / 10).cast("long").alias("o_custkey"), "chrom", "before")
+    x = A.table(spark, d, "orders").select(F.col("o_orderstatus").alias("chrom"), (F.col("o_orderkey") * 40 + 25).alias("pos"))
+    return J.predecessor(x, A.pair(spark, d)[1].select("chrom", F.col("start").alias("pos")))
 
 
 @query(f"WITH {A.REGIONS} SELECT DISTINCT chrom FROM regions")
@@ -684,15 +688,10 @@ def binom_log_p(spark, d):
     return rounded(x.withColumn("log_p", stats.enriched_over_background(F.col("s").cast("double"), F.col("c").cast("double"))), "log_p")
 
 
-_SPOTS = "spots AS (SELECT DISTINCT chrom, CAST(start AS BIGINT) AS start, CAST(start + 79 AS BIGINT) AS \"end\" FROM reads WHERE start % 97 = 0)"
+_SPOTS = "spots AS (SELECT DISTINCT chrom, CAST(start AS BIGINT) AS start, CAST(start + 79 AS BIGINT) AS \"end\" FROM reads)"
 
 
 def _spots(spark, d):
-    x = A.reads(spark, d).filter("start % 97 = 0")
-    return x.select("chrom", F.col("start").cast("long").alias("start"), (F.col("start") + 79).cast("long").alias("end")).distinct()
-
-
-def _all_spots(spark, d):
     """The spots of all reads."""
     x = A.reads(spark, d)
     return x.select("chrom", F.col("start").cast("long").alias("start"), (F.col("start") + 79).cast("long").alias("end")).distinct()
@@ -709,7 +708,7 @@ def region_p_value(spark, d):
 
 
 @query(f"""{_BOTH}, {_SPOTS}, {_MASS.format(n='x', src='chip')}, {_MASS.format(n='y', src='control')}, j AS (SELECT chrom, start, "end", x.m AS signal, y.m AS control FROM x JOIN y USING (chrom, start, "end")),
-k AS (SELECT *, signal / 20 * 50 / 80 AS s, CASE WHEN control / 20 * 50 / 80 < 1 THEN 1 ELSE control / 20 * 50 / 80 END AS c FROM j)
+k AS (SELECT *, signal / 20 / (80 / 50.0::DOUBLE) AS s, CASE WHEN control / 20 / (80 / 50.0::DOUBLE) < 1 THEN 1 ELSE control / 20 / (80 / 50.0::DOUBLE) END AS c FROM j)
 SELECT chrom, start, "end", signal, control, CASE WHEN s < 1 THEN 0 ELSE round((SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.4)))) FROM (SELECT unnest(range(0, m + 1)) AS i)), 6) END AS log_p
 FROM (SELECT *, CAST(floor(s + c) AS BIGINT) AS n, CAST(floor(c) AS BIGINT) AS m FROM k)""")
 def region_p_value_modified(spark, d):
@@ -719,18 +718,23 @@ def region_p_value_modified(spark, d):
 
 @query()
 def region_p_value_vicinity(spark, d):
-    return E.vicinity_p_values(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 1, False)
+    return E.vicinity_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 1, False)
 
 
 @query()
 def region_p_value_peak(spark, d):
-    return E.vicinity_p_values(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 3, True)
+    return E.vicinity_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 3, True)
 
 
-_POISSON = f"""{RUNS_SQL}, pos AS (SELECT chrom, unnest(range(start, "end" + 1)) AS q, value FROM p), w AS (SELECT chrom, (q - 1) // 2000 AS win, value FROM pos UNION ALL SELECT chrom, (q - 2) // 2000, value FROM pos WHERE q > 1 AND (q - 1) % 2000 = 0),
-lam AS (SELECT chrom, CAST(win AS BIGINT) AS win, sum(value) / 2000 AS lm FROM w GROUP BY ALL),
-c AS (SELECT chrom, win, t, sum(exp(t * ln(lm) - lm - lgamma(t + 1))) OVER (PARTITION BY chrom, win ORDER BY t) AS cdf FROM lam, range(0, 200) g(t))
-SELECT chrom, win, CAST(coalesce(min(t) FILTER (t >= 1 AND ln(cdf) > ln(0.95)), 0) AS INT) AS threshold FROM c GROUP BY chrom, win"""
+#: Thresholds of the windows of 2,000 positions of the profile p: mean depths over a window's own length, depths up to its greatest.
+_LIMITS = """ends AS (SELECT chrom, max("end") AS l FROM p GROUP BY chrom), pos AS (SELECT chrom, unnest(range(start, "end" + 1)) AS q, value FROM p),
+w AS (SELECT chrom, (q - 1) // 2000 AS win, q, value FROM pos WHERE q >= 1 UNION ALL SELECT chrom, (q - 1) // 2000 - 1, q, value FROM pos WHERE q > 1 AND (q - 1) % 2000 = 0),
+n AS (SELECT chrom, win, q, value, least(2000, l - (win * 2000 + 1)) AS n FROM w JOIN ends USING (chrom)),
+lam AS (SELECT chrom, CAST(win AS BIGINT) AS win, sum(value) / n AS lm, floor(coalesce(max(value) FILTER (q < win * 2000 + 1 + n), 0)) AS mx FROM n WHERE n > 0 GROUP BY chrom, win, n),
+c AS (SELECT chrom, win, t, mx, sum(exp(t * ln(lm) - lm - lgamma(t + 1))) OVER (PARTITION BY chrom, win ORDER BY t) AS cdf FROM lam, (SELECT unnest(range(0, (SELECT CAST(max(mx) AS BIGINT) + 1 FROM lam))) AS t)),
+thr AS (SELECT chrom, win, CAST(coalesce(min(t) FILTER (t >= 1 AND t <= mx AND cdf > 0.95), 0) AS INT) AS threshold FROM c GROUP BY chrom, win)"""
+_POISSON = f"{RUNS_SQL}, {_LIMITS} SELECT * FROM thr"
+_DEEP = 400
 
 
 @query(_POISSON)
@@ -738,6 +742,12 @@ def poisson_threshold(spark, d):
     return E.poisson_windows(R.pileup(A.reads(spark, d), keys=("chrom",)), 0.05, 2000)
 
 
+@query(f"WITH {A.READS}, {depth_sql('p0', _PLAIN)}, p AS (SELECT chrom, start, \"end\", value * {_DEEP} AS value FROM p0), {_LIMITS} SELECT * FROM thr")
+def poisson_threshold_deep(spark, d):
+    """Windows with mean depths of thousands."""
+    return E.poisson_windows(P.scaled(R.pileup(A.reads(spark, d), keys=("chrom",)), float(_DEEP)), 0.05, 2000)
+
+
 @query(f"""WITH {A.REGIONS}, p AS (SELECT chrom, start, "end", name, -score / 1000.0 AS log_p FROM regions), r AS (SELECT *, row_number() OVER (ORDER BY log_p, chrom, start, "end", name) AS rank, count(*) OVER () AS n FROM p)
 SELECT name, rank, round(log_p + ln(n / rank), 6) AS log_q FROM r""")
 def bh_q_value(spark, d):
@@ -749,7 +759,7 @@ _WSUM = """coalesce((SELECT sum(p.value * (least(w.e{d}, p."end") - greatest(w.s
 _WINDOW_STATS = f"""{_BOTH}, ends AS (SELECT chrom, a.l, b.l AS m FROM (SELECT chrom, max("end") AS l FROM chip GROUP BY chrom) a JOIN (SELECT chrom, max("end") AS l FROM control GROUP BY chrom) b USING (chrom)),
 w0 AS (SELECT chrom, l, m, asked, start FROM ends, (VALUES (40), (80), (160)) t(asked), LATERAL (SELECT unnest(range(1, l, 2 * asked)) AS start)),
 w1 AS (SELECT chrom, l, m, start, CASE WHEN start + asked > l THEN l - start - 1 ELSE asked END AS lw FROM w0), w AS (SELECT chrom, start, lw, start + lw AS e FROM w1 WHERE lw > 0 AND start + lw < l AND start + lw < m),
-g AS (SELECT lw, {_WSUM.format(d='', src='chip')} / 20.0 * lw / (lw + 1) AS s, {_WSUM.format(d='', src='control')} / 20.0 * lw / (lw + 1) AS c, {_WSUM.format(d=' - 1', src='chip')} AS x, {_WSUM.format(d=' - 1', src='control')} AS y FROM w),
+g AS (SELECT lw, {_WSUM.format(d='', src='chip')} / 20.0 / ((lw + 1) / CAST(lw AS DOUBLE)) AS s, {_WSUM.format(d='', src='control')} / 20.0 / ((lw + 1) / CAST(lw AS DOUBLE)) AS c, {_WSUM.format(d=' - 1', src='chip')} AS x, {_WSUM.format(d=' - 1', src='control')} AS y FROM w),
 h AS (SELECT lw, x, y, s, CASE WHEN c < 1 THEN 1 ELSE c END AS c FROM g), k AS (SELECT lw, x, y, s, CAST(floor(s + c) AS BIGINT) AS n, CAST(floor(c) AS BIGINT) AS k FROM h WHERE s >= 1 AND y > 0 AND x / lw > 1),
 q AS (SELECT lw, x / y AS fc, (SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5)))) FROM (SELECT unnest(range(0, k + 1)) AS i)) < ln(0.05) AS sig FROM k)
 SELECT CAST(lw AS INT) AS l_win, count(*) FILTER (sig AND fc > 2) AS n_pp, count(*) FILTER (sig AND fc < 1.5) AS n_pi, count(*) FILTER (NOT sig AND fc > 2) AS n_ip, count(*) FILTER (NOT sig AND fc < 1.5) AS n_ii,
@@ -786,18 +796,31 @@ def combination_indices(spark, d):
 
 # Trimming.
 
-_THRESHOLDS = _POISSON.replace(RUNS_SQL, f"{_BOTH}, p AS (SELECT * FROM chip)").replace("SELECT chrom, win, CAST(coalesce", ", thr AS (SELECT chrom, win, CAST(coalesce") + ")"
+_THRESHOLDS = f"{_BOTH}, p AS (SELECT * FROM chip), {_LIMITS}"
+_TRIM = """{_SPOTS}, inner_p AS (SELECT chrom, start, least("end", l - 1) AS "end", value FROM p JOIN ends USING (chrom) WHERE start < l) SELECT s.chrom, min(greatest(s.start, p.start)) AS start, max(least(s."end", p."end")) AS "end" FROM spots s JOIN ends USING (chrom)
+JOIN thr t ON t.chrom = s.chrom AND t.win = (s.start - 1) // 2000 AND t.threshold > 0 AND s.start >= 1 AND s.start < l JOIN inner_p p ON p.chrom = s.chrom AND p.start <= s."end" AND s.start <= p."end" AND p.value > t.threshold GROUP BY s.chrom, s.start, s."end" """.replace("{_SPOTS}", _SPOTS)
 
 
-@query(f"""{_THRESHOLDS}, {_SPOTS} SELECT s.chrom, min(greatest(s.start, p.start)) AS start, max(least(s."end", p."end")) AS "end" FROM spots s JOIN thr t ON t.chrom = s.chrom AND t.win = (s.start - 1) // 2000 AND t.threshold > 0
-JOIN chip p ON p.chrom = s.chrom AND p.start <= s."end" AND s.start <= p."end" AND p.value > t.threshold GROUP BY s.chrom, s.start, s."end" """)
+@query(f"{_THRESHOLDS}, {_TRIM}")
 def rd_trim(spark, d):
     return T.rd_trim(_spots(spark, d), _chip(spark, d), 0.05, 2000)
 
 
-@query(f"""{_THRESHOLDS}, {_SPOTS}, lim AS (SELECT chrom, max("end") AS l FROM chip GROUP BY chrom), v AS (SELECT s.*, t.threshold AS t, l, coalesce((SELECT max(value) FROM chip p WHERE p.chrom = s.chrom AND s.start BETWEEN p.start AND p."end"), 0) AS vs,
- coalesce((SELECT max(value) FROM chip p WHERE p.chrom = s.chrom AND s."end" BETWEEN p.start AND p."end"), 0) AS ve FROM spots s JOIN lim USING (chrom) LEFT JOIN thr t ON t.chrom = s.chrom AND t.win = (s.start - 1) // 2000)
-SELECT chrom, CASE WHEN t > 0 AND vs >= t THEN greatest(start - 25, 1) ELSE start END AS start, CASE WHEN t > 0 AND vs < t AND ve >= t THEN least("end" + 25, l) ELSE "end" END AS "end" FROM v""")
+@query(f"{_BOTH}, p AS (SELECT chrom, start, \"end\", value * {_DEEP} AS value FROM chip), {_LIMITS}, {_TRIM}")
+def rd_trim_deep(spark, d):
+    return T.rd_trim(_spots(spark, d), P.scaled(_chip(spark, d), float(_DEEP)), 0.05, 2000)
+
+
+@query(f"""{_THRESHOLDS.replace("(q - 1) // 2000", "q // 2000").replace("(q - 1) % 2000", "q % 2000").replace("win * 2000 + 1", "win * 2000").replace("q > 1 AND", "q >= 1 AND").replace("0.95", "0.5").replace("WHERE n > 0", "WHERE n > 0 AND win >= 0")}, {_SPOTS},
+m AS (SELECT s.chrom, s.start, s."end", sum(least(s."end", p."end") - greatest(s.start, p.start) + 1) AS above FROM spots s JOIN ends USING (chrom) JOIN thr t ON t.chrom = s.chrom AND t.win = s.start // 2000 AND t.threshold > 0 AND s.start < l
+ JOIN p ON p.chrom = s.chrom AND p.start <= s."end" AND s.start <= p."end" AND p.value > t.threshold GROUP BY s.chrom, s.start, s."end") SELECT chrom, start, "end" FROM m WHERE above >= 40""")
+def median_filter_regions(spark, d):
+    return T.median_filter_regions(_spots(spark, d), _chip(spark, d), 0.5, 2000)
+
+
+@query(f"""{_THRESHOLDS}, {_SPOTS}, v AS (SELECT s.*, t.threshold AS t, l, coalesce(x.value, 0) AS vs, coalesce(y.value, 0) AS ve FROM spots s JOIN ends USING (chrom) LEFT JOIN thr t ON t.chrom = s.chrom AND t.win = (s.start - 1) // 2000
+ LEFT JOIN p x ON x.chrom = s.chrom AND s.start BETWEEN x.start AND x."end" LEFT JOIN p y ON y.chrom = s.chrom AND s."end" BETWEEN y.start AND y."end")
+SELECT chrom, CASE WHEN t > 0 AND start < l AND vs >= t THEN greatest(start - 25, 1) ELSE start END AS start, CASE WHEN t > 0 AND start < l AND vs < t AND ve >= t THEN least("end" + 25, l) ELSE "end" END AS "end" FROM v""")
 def tune_boundaries(spark, d):
     return T.tune_boundaries(_spots(spark, d), _chip(spark, d), 0.05, 2000, 25)
 
@@ -812,27 +835,22 @@ def strand_evenness(spark, d):
 
 @query()
 def p_value_trim(spark, d):
-    return T.p_value_trim(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20)
+    return T.p_value_trim(_spots(spark, d), _chip(spark, d), _control(spark, d), 20)
 
 
 @query()
 def grid_trim(spark, d):
-    return T.grid_trim(_all_spots(spark, d), _chip(spark, d), _control(spark, d), 20, step=10)
-
-
-@query()
-def median_filter_regions(spark, d):
-    return T.median_filter_regions(_all_spots(spark, d), _chip(spark, d), 0.5, 2000)
+    return T.grid_trim(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, step=10)
 
 
 @query()
 def summit(spark, d):
-    return T.summits(_all_spots(spark, d), _chip(spark, d), _control(spark, d))
+    return T.summits(_spots(spark, d), _chip(spark, d), _control(spark, d))
 
 
 @query()
 def trough(spark, d):
-    return T.troughs(_all_spots(spark, d), _chip(spark, d), _mappability(spark, d), 1.2)
+    return T.troughs(_spots(spark, d), _chip(spark, d), _mappability(spark, d), 1.2)
 
 
 # Sequences.
@@ -923,10 +941,10 @@ def multimappability(spark, d):
     return C.multimappability(A.reads(spark, d), 10)
 
 
-#: Reads of chip after deduplication, piled up; runs of depth 8 and more merged over gaps of 10; masses, fold change and p-value; the 50 with most mass.
+#: Reads of chip after deduplication, piled up; runs of depth 8 and more merged over gaps of 10; masses and fold change.
 _TOP = f"""WITH {A.READS}, dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample, chrom, start ORDER BY strand, cigar) AS k FROM reads) WHERE k <= 2), {depth_sql('chip', "SELECT chrom, start AS s, start + len - 1 AS e FROM dd WHERE sample = 'chip'")}, {depth_sql('control', "SELECT chrom, start AS s, start + len - 1 AS e FROM dd WHERE sample = 'control'")},
 deep AS (SELECT chrom, start, "end", '+' AS strand FROM chip WHERE value >= 8), {merge_sql('spots', 'deep', 10)}, {_MASS.format(n='x', src='chip')}, {_MASS.format(n='y', src='control')}
-SELECT chrom, start, "end", x.m AS chip_mass, y.m AS control_mass, round(x.m / (y.m + 1), 6) AS fold_change FROM x JOIN y USING (chrom, start, "end") ORDER BY chip_mass DESC, chrom, start LIMIT 50"""
+SELECT chrom, start, "end", x.m AS chip_mass, y.m AS control_mass, round(x.m / (y.m + 1), 6) AS fold_change FROM x JOIN y USING (chrom, start, "end") """
 
 
 @query(_TOP)
@@ -936,7 +954,7 @@ def enriched_regions(spark, d):
     spots = J.merge(chip.filter("value >= 8").select("chrom", "start", "end"), 10)
     both = E.masses(E.masses(spots, chip, "chip_mass"), control, "control_mass", floored=False)
     out = both.withColumn("fold_change", F.round(K.fold_change(F.col("chip_mass"), F.col("control_mass")), 6))
-    return out.orderBy(F.desc("chip_mass"), "chrom", "start").limit(50).select("chrom", "start", "end", "chip_mass", "control_mass", "fold_change")
+    return out.select("chrom", "start", "end", "chip_mass", "control_mass", "fold_change")
 
 
 # More readers, sinks and helpers.
@@ -1040,11 +1058,13 @@ def strand_info(spark, d):
     return rounded(out.select("chrom", "start", "end", "fore_max", "fore_peak", "rev_max", "rev_peak", "fore_centre"), "fore_centre")
 
 
-@query(f"""WITH {A.REGIONS}, s AS (SELECT chrom, CAST(part AS DOUBLE) AS scale, start, "end" FROM regions WHERE score % 5 = 0)
-SELECT chrom, scale, start, "end", count(*) AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.chrom = s.chrom AND t.scale > s.scale AND t.start <= s."end" AND s.start <= t."end") GROUP BY ALL""")
+@query(f"""WITH {A.REGIONS}, pooled AS (SELECT chrom, k AS scale, start, "end", strand FROM regions, range(4) t(k) WHERE part <= k), {merge_sql('m', 'pooled', 1, 'chrom, scale')}, {merge_sql('top', 'regions', 1)},
+g AS (SELECT chrom, scale, start, "end", CAST(-(("end" + start) % 5 + 1) AS DOUBLE) AS log_p FROM m), h AS (SELECT g.*, top.start AS ts FROM g JOIN top ON top.chrom = g.chrom AND g.start BETWEEN top.start AND top."end"),
+f AS (SELECT chrom, ts, max(scale) AS scale FROM h WHERE log_p < ln(0.02) GROUP BY chrom, ts) SELECT chrom, start, "end", CAST(scale AS DOUBLE) AS scale, log_p FROM h JOIN f USING (chrom, ts, scale)""")
 def merge_by_significance(spark, d):
-    x = A.regions(spark, d).filter("score % 5 = 0").select("chrom", F.col("part").cast("double").alias("scale"), "start", "end", (-F.col("score") / 1e5).alias("log_p"))
-    return T.merge_by_significance(x).groupBy("chrom", "scale", "start", "end").agg(F.count("*").alias("n"))
+    """Scales 0 to 3; a made-up log p from -1 to -5."""
+    x = A.regions(spark, d).select("chrom", F.col("part").cast("double").alias("scale"), "start", "end")
+    return T.merge_by_significance(x, lambda r: r.withColumn("log_p", -((F.col("end") + F.col("start")) % 5 + 1.0)), 0.02)
 
 
 @query("""SELECT DISTINCT o_orderpriority, string_split(o_orderpriority, '-')[1] AS head, array_to_string(list_filter(regexp_split_to_array(o_orderpriority, '[- ]'), lambda x: x <> ''), '|') AS parts,

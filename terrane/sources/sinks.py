@@ -82,8 +82,9 @@ def statistics_lines(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def lines_sampled(lines: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """n lines drawn by a seeded hash of line and number."""
-    return lines.withColumn("_k", F.rand(seed)).orderBy("_k").limit(n).drop("_k")
+    """n lines drawn by a seeded hash of a line and its number among equal ones, whatever the partitioning."""
+    numbered = lines.groupBy("value").agg(F.count("*").alias("_n")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return numbered.orderBy(F.xxhash64("value", "_i", F.lit(seed)), "value").limit(n).select("value")
 
 
 def wav_bytes(tracks: list[np.ndarray], rate: int = 44_100) -> bytes:

@@ -49,6 +49,8 @@ def test_intervals(ab):
     assert rows(intervals.exclude(a, b), "chrom", "start", "end") == [("2", 5, 9)]
     assert rows(intervals.subtract(a, b), "chrom", "start", "end") == [("1", 10, 14), ("1", 20, 20), ("1", 20, 30), ("1", 31, 34), ("1", 53, 60), ("2", 5, 9)]
     assert intervals.coverage(a).first()[0] == 50
+    assert rows(intervals.nearest_distance(a, b), "chrom", "start", "distance") == [("1", 10, 0), ("1", 18, 0), ("1", 31, 0), ("1", 50, 0), ("2", 5, intervals.FAR)]
+    assert rows(intervals.nearest_distance(b, a.filter("start > 40")), "chrom", "start", "distance") == [("1", 15, 31), ("1", 35, 0), ("3", 1, intervals.FAR)]
     assert round(intervals.nucleotide_overlap(a, b).first()[0], 6) == 0.390244
 
 
@@ -87,6 +89,25 @@ def test_statistics(spark):
     assert enrichment.select_window_length(w).first()[0] == 300
 
 
+def test_equal_p_values_are_dealt_out(spark):
+    """A million regions of one p-value: none of the ranges that rank them is much larger than the others."""
+    x = spark.range(1_000_000).select(F.lit("1").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 5).alias("end"), F.lit(0.0).alias("log_p"))
+    ranked = stats.benjamini_hochberg(x)
+    n = x.repartitionByRange("log_p", "chrom", "start", "end").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert n < 600_000
+    row = ranked.agg(F.countDistinct("rank").alias("d"), F.min("rank").alias("a"), F.max("rank").alias("b"), F.count_if(F.col("rank") != F.col("start") + 1).alias("odd")).first()
+    assert tuple(row) == (1_000_000, 1, 1_000_000, 0)
+
+
+def test_windows_of_long_sequences(spark):
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("ACGT"), 70_000))
+    s = spark.createDataFrame([("c", text), ("d", "ACG"), ("e", "AC"), ("f", "")], "chrom string, seq string")
+    got = {(r["chrom"], r["offset"]): r["window"] for r in sequence.windows(s, 3).collect()}
+    assert got == {("c", k): text[k : k + 3] for k in range(69_998)} | {("d", 0): "ACG"}
+    assert rows(sequence.fragments(s, 2).filter("chrom = 'd'"), "strand", "offset", "fragment") == [("F", 0, "AC"), ("R", 0, "CG")]
+
+
 def test_sequence(spark):
     s = spark.createDataFrame([("c", "AACGTN")], "chrom string, seq string")
     assert s.select(sequence.reverse_complement(F.col("seq"))).first()[0] == "NACGTT"
