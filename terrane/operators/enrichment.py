@@ -92,26 +92,6 @@ def _log_p(signal: float, control: float) -> float:
     return binomial_log_tail(math.floor(control), n)
 
 
-def neighbourhood_p_value(chip: np.ndarray, control: np.ndarray, start: int, end: int, origin: int, fragment: float, norm: int, l_control: int, reach: int) -> float:
-    """Mean mode: control is the greatest sum of windows as long as the region (or 2 * norm around its middle) that step through `reach`
-    lengths on either side and share their ends. Arrays begin at position `origin`."""
-    at = lambda x, a, b: float(x[max(a - origin, 0) : max(b - origin + 1, 0)].sum())
-    signal, length = at(np.floor(chip), start, end), end - start + 1
-    s, e = (start, end) if length > norm else ((start + end) // 2 - norm, (start + end) // 2 + norm)
-    s, e = 1 if s < 0 else s, min(e, l_control)
-    width = e - s
-    if width <= 0:
-        return 0.0
-    mass = max((at(control, c, min(l_control, c + width)) for c in range(max(1, s - reach * width), min(l_control, e + reach * width), width)), default=0.0)
-    c, x = mass * length / (width + 1) / fragment, signal / fragment
-    if length > norm:
-        c, x = c / (length / norm), x / (length / norm)
-        c = 1.0 if math.floor(c) == 0 else c
-        if math.floor(x) == 0:
-            return 0.0
-    return _log_p(x, c)
-
-
 def _slide(x: np.ndarray, start: int, width: int, end: int, origin: int) -> float:
     """Greatest sum of `width` positions that starts at `start` or up to where start + width reaches end; one slide at least."""
     total = np.concatenate(([0.0], np.cumsum(x)))
@@ -136,16 +116,37 @@ def peak_p_value(chip: np.ndarray, control: np.ndarray, start: int, end: int, or
     return 0.0 if math.floor(x) == 0 else _log_p(x, c)
 
 
+def mean_vicinity(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, norm: int, reach: int) -> DataFrame:
+    """Regions with log_p in mean mode: control is the greatest sum of windows as long as the region (or 2 * norm around its middle, where it is
+    no longer than norm) that step through `reach` lengths on either side and share their ends. Each window is a range sum."""
+    length, mid = F.col("end") - F.col("start") + 1, F.floor((F.col("start") + F.col("end")) / 2)
+    own = length > norm
+    spots = regions.select("chrom", "start", "end").distinct().join(F.broadcast(lengths(control)), "chrom")
+    first, last = F.when(own, F.col("start")).otherwise(mid - norm), F.when(own, F.col("end")).otherwise(mid + norm)
+    spots = spots.withColumns({"_a": F.when(first < 0, F.lit(1)).otherwise(first), "_b": F.least(last, F.col("l"))}).withColumn("_w", F.col("_b") - F.col("_a")).filter("_w > 0")
+    begins = F.sequence(F.greatest(F.lit(1).cast("long"), F.col("_a") - reach * F.col("_w")), F.least("l", F.col("_b") + reach * F.col("_w")) - 1, F.col("_w"))
+    wins = spots.filter(F.greatest(F.lit(1), F.col("_a") - reach * F.col("_w")) < F.least("l", F.col("_b") + reach * F.col("_w"))).withColumn("_c", F.explode(begins))
+    wins = settled(wins.select("chrom", F.col("start").alias("_s"), F.col("end").alias("_e"), "_w", F.col("_c").alias("start"), F.least("l", F.col("_c") + F.col("_w")).alias("end")))
+    top = masses(wins, control, "_m", floored=False).groupBy("chrom", F.col("_s").alias("start"), F.col("_e").alias("end"), "_w").agg(F.max("_m").alias("_m"))
+    scored = masses(regions, chip, "_x").join(top, ["chrom", "start", "end"], "left")
+    by = F.when(own, length / F.lit(float(norm))).otherwise(F.lit(1.0))
+    c, x = F.col("_m") * length / (F.col("_w") + 1) / fragment / by, F.col("_x") / fragment / by
+    at_least = F.when(own & (F.floor(c) == 0), F.lit(1.0)).otherwise(c)
+    log_p = F.when(F.col("_m").isNull() | own & (F.floor(x) == 0), F.lit(0.0)).otherwise(binomial_log_p(x, at_least))
+    return scored.withColumn("log_p", log_p).select(*[k for k in regions.columns if k != "log_p"], "log_p")
+
+
 def vicinity_p_values(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, norm: int, reach: int, peak: bool) -> DataFrame:
     """Regions with log_p in mean mode, or max mode for `peak`."""
-    pad = (F.greatest(F.col("e0") - F.col("s0") + 1, F.lit(2 * norm + 1)) * (reach + 2)).cast("long")
-    rows = with_runs(with_runs(regions, chip, "_chip"), control, "_control", pad).join(F.broadcast(lengths(control).withColumnRenamed("l", "_l")), "chrom")
+    if not peak:
+        return mean_vicinity(regions, chip, control, fragment, norm, reach)
+    pad = ((F.col("e0") - F.col("s0") + 1) * (reach + 1) + norm).cast("long")
+    rows = with_runs(with_runs(regions, chip, "_chip", norm), control, "_control", pad).join(F.broadcast(lengths(control).withColumnRenamed("l", "_l")), "chrom")
 
     def f(row: dict) -> dict:
-        width = (max(row["end"] - row["start"] + 1, 2 * norm + 1)) * (reach + 2)
+        width = (row["end"] - row["start"] + 1) * (reach + 1) + norm
         low, high = max(1, row["start"] - width), row["end"] + width
-        args = (spread(row["_chip"], low, high), spread(row["_control"], low, high), row["start"], row["end"], low, fragment, norm, row["_l"], reach)
-        return {"log_p": (peak_p_value if peak else neighbourhood_p_value)(*args)}
+        return {"log_p": peak_p_value(spread(row["_chip"], low, high), spread(row["_control"], low, high), row["start"], row["end"], low, fragment, norm, row["_l"], reach)}
 
     return per_region(rows, f, {"log_p": pa.float64()}).drop("_l")
 

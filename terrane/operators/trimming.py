@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_log_tail
-from .chunked import settled
-from .enrichment import WINDOW, per_region, poisson_windows, spread, with_runs
+from .chunked import neighbours, settled
+from .enrichment import WINDOW, masses, per_region, poisson_windows, spread, with_runs
 from .overlap import overlap_join
-from .profile import lengths
+from .profile import compact, floored, lengths
 
 
 #: Logs of p-values that are closer count as equal, so that rounding decides nothing.
@@ -178,31 +178,28 @@ def strand_share(reads: DataFrame, chrom: str) -> float:
 
 
 def summits(regions: DataFrame, chip: DataFrame, control: DataFrame) -> DataFrame:
-    """Regions with masses and maxima over (start, end], and the summit: the middle of the first highest plateau that falls inside.
+    """Regions with masses and maxima of whole depths over (start, end], and the summit: the middle of the first highest plateau that falls
+    inside, where a plateau that the region starts in counts from 0.
 
     Regions that end at or behind either profile's end have none of these (0), and `inside` is false.
     """
     ends = lengths(chip).join(lengths(control).withColumnRenamed("l", "m"), "chrom")
-    inside = regions.join(F.broadcast(ends), "chrom", "left").withColumn("_in", F.coalesce((F.col("end") < F.col("l")) & (F.col("end") < F.col("m")), F.lit(False)))
-    rows = with_runs(with_runs(inside.drop("l", "m"), chip, "_chip"), control, "_control")
-
-    def f(row: dict) -> dict:
-        if not row["_in"] or row["end"] <= row["start"]:
-            return {"chip_mass": 0.0, "control_mass": 0.0, "chip_max": 0.0, "control_max": 0.0, "summit": 0}
-        x, y = (np.floor(spread(row[c], row["start"], row["end"])) for c in ("_chip", "_control"))
-        change = np.flatnonzero(np.diff(x)) + 1  # first place of each new value
-        begins = np.concatenate(([0], change))
-        falls = [k for k in range(len(change)) if x[change[k]] < x[change[k] - 1]]
-        top, summit = 0.0, 0
-        for k in falls:
-            height = x[change[k] - 1]
-            if height > top:
-                # a plateau that the region starts in has no known beginning
-                begin = row["start"] + int(begins[k]) if k or begins[k] else 0
-                top, summit = float(height), (row["start"] + int(change[k]) - 1 + begin) // 2
-        return {"chip_mass": float(x[1:].sum()), "control_mass": float(y[1:].sum()), "chip_max": top, "control_max": float(y[1:].max(initial=0.0)), "summit": summit}
-
-    return per_region(rows, f, {"chip_mass": pa.float64(), "control_mass": pa.float64(), "chip_max": pa.float64(), "control_max": pa.float64(), "summit": pa.int64()}).withColumnRenamed("_in", "inside")
+    inside = regions.join(F.broadcast(ends), "chrom", "left").withColumn("inside", F.coalesce((F.col("end") < F.col("l")) & (F.col("end") < F.col("m")), F.lit(False))).drop("l", "m")
+    spots = inside.filter("inside").select("chrom", "start", "end").distinct()
+    plateaus = compact(floored(chip).filter("value > 0"))
+    near = neighbours(plateaus, ["chrom"], ["start"], ["start", "value"], previous=False)
+    falls = near.filter(F.col("next_start").isNull() | (F.col("next_start") > F.col("end") + 1) | (F.col("next_value") < F.col("value"))).select("chrom", "start", "end", "value")
+    met = overlap_join(spots, falls).filter("b_end < a_end")
+    own = [F.col("a_chrom").alias("chrom"), F.col("a_start").alias("start"), F.col("a_end").alias("end")]
+    begin = F.when(F.col("b_start") > F.col("a_start"), F.col("b_start")).otherwise(F.lit(0))
+    top = met.groupBy(*own).agg(F.max(F.struct(F.col("b_value").alias("v"), (-F.col("b_start")).alias("s"), F.floor((F.col("b_end") + begin) / 2).alias("at"))).alias("_top"))
+    behind = spots.withColumn("start", F.col("start") + 1).filter("start <= end")
+    most = overlap_join(behind, control).groupBy(F.col("a_chrom").alias("chrom"), (F.col("a_start") - 1).alias("start"), F.col("a_end").alias("end")).agg(F.floor(F.max("b_value")).cast("double").alias("control_max"))
+    out = masses(masses(spots, chip, "chip_mass", skip_first=True), control, "control_mass", skip_first=True)
+    at = ["chrom", "start", "end"]
+    out = inside.join(out.join(top, at, "left").join(most, at, "left"), at, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c if isinstance(c, str) else "chip_max")
+    return out.select(*regions.columns, "inside", zero("chip_mass"), zero("control_mass"), zero(F.col("_top.v")), zero("control_max"), F.coalesce("_top.at", F.lit(0)).cast("long").alias("summit"))
 
 
 def local_extrema(x: np.ndarray) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
