@@ -144,6 +144,13 @@ def log_factorial(n: pd.Series) -> pd.Series:
     return pd.Series(log_factorials(int(n.max()) if len(n) else 0)[n.astype(int)])
 
 
+def next_power_of_two(n: Column) -> Column:
+    """struct(power, exponent): the least power of 2 that is n at least, from 1 on."""
+    exponent = F.when(n > 1, F.ceil(F.log2(n.cast("double")))).otherwise(0).cast("int")
+    exponent = F.when(F.pow(F.lit(2.0), exponent) < n, exponent + 1).when((exponent > 0) & (F.pow(F.lit(2.0), exponent - 1) >= n), exponent - 1).otherwise(exponent)
+    return F.struct(F.pow(F.lit(2.0), exponent).cast("long").alias("power"), exponent.alias("exponent"))
+
+
 def index_tuples(spark, sizes: list[int]) -> DataFrame:
     """All tuples with the k-th index below sizes[k]; a product, as asked for."""
     out = spark.range(1).select()

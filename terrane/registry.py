@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coords, sequence, stats
@@ -20,6 +20,9 @@ from .operators import trimming as T
 from .plans import adapters as A
 from .plans import commands as C
 from .plans import peaks, params
+from .functions import strings as S
+from .operators.chunked import new_path, tidied
+from .sources import profiles as SP
 from .sources import reads as SR
 from .sources import regions as SG
 from .sources import sinks as K
@@ -1091,3 +1094,171 @@ def event_windows(spark, d):
     """The batch form of the windowed stream."""
     x = A.table(spark, d, "events")
     return x.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("event_type").alias("chrom"), F.col("window.start").alias("window_start"), "n", "total")
+
+
+# Files, written to the run's folder and read back.
+
+
+@query(f"WITH {A.READS} SELECT sample, chrom, strand, start, cigar, 2 * count(*) AS n FROM reads GROUP BY ALL")
+@tidied
+def pooled_reads(spark, d):
+    """Reads in two files' worth each, pooled by sample into one table."""
+    path, x = new_path(spark, "reads"), A.reads(spark, d)
+    for _ in range(2):
+        for sample in ("chip", "control"):
+            SR.preprocess(x.filter(F.col("sample") == sample).drop("sample"), path, sample)
+    back = spark.read.schema("strand string, start int, cigar string, sample string, chrom string").parquet(path)
+    return back.groupBy("sample", "chrom", "strand", "start", "cigar").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {A.READS} SELECT chrom, strand, start, cigar, count(*) AS n FROM reads GROUP BY ALL")
+@tidied
+def mapped_file_read(spark, d):
+    path, n = new_path(spark, "lines"), F.regexp_extract("cigar", r"\d+", 0).cast("int")
+    K.write(A.reads(spark, d).select(_tab("chrom", F.col("start") - 1, F.col("start") - 1 + n, F.lit("."), F.lit(0), _minus()).alias("value")), path)
+    return _counted(SR.read_mapped(spark, path, "BED6"))
+
+
+@query(f"WITH {A.READS} SELECT chrom, strand, start, cigar, count(*) AS n FROM reads GROUP BY ALL")
+def preprocessed_read(spark, d):
+    return _counted(SR.parse_preprocessed(A.reads(spark, d).select("chrom", F.concat_ws(" ", "cigar", "strand", F.col("start").cast("string")).alias("value"))))
+
+
+def _profile_round_trip(spark, d, kind, scale):
+    x = R.pileup(A.reads(spark, d), keys=("chrom",))
+    held = x.withColumn("value", F.least(F.col("value"), F.lit(250.0))) if kind == "uint8" else x
+    return SP.decoded_profiles(SP.encoded_profiles(held, P.lengths(x), kind), kind, scale)
+
+
+@query(f"{RUNS_SQL} SELECT chrom, start, \"end\", value FROM p WHERE start >= 1")
+def profile_file_round_trip(spark, d):
+    return P.compact(_profile_round_trip(spark, d, "double", 1.0))
+
+
+@query(f"{RUNS_SQL}, q AS (SELECT chrom, start, \"end\", least(value, 250) AS value FROM p) SELECT chrom, unnest(range(start, \"end\" + 1)) AS pos, round(value * 0.01, 6) AS value FROM q")
+def mappability_file_round_trip(spark, d):
+    return rounded(P.positions(_profile_round_trip(spark, d, "uint8", 0.01)).select("chrom", "pos", "value"), "value")
+
+
+@query(f"WITH {A.SEQUENCES} SELECT chrom, seq FROM seqs")
+def sequence_file_round_trip(spark, d):
+    return SP.decoded_sequences(SP.encoded_sequences(A.sequences(spark, d)))
+
+
+@query(f"WITH {A.SEQUENCES} SELECT chrom, seq FROM seqs WHERE length(seq) > 1")
+@tidied
+def fasta_read(spark, d):
+    path = new_path(spark, "fasta")
+    lines = F.regexp_replace("seq", "(.{60})", "$1\n")
+    K.write(A.sequences(spark, d).select(F.concat(F.lit(">chr"), "chrom", F.lit("\n"), lines).alias("value")), path)
+    return SP.read_fasta(spark, path)
+
+
+@query(f"""WITH {A.REGIONS} SELECT chrom, start, "end", round(-score / 1000.0 / ln(10), 6) AS log_p, round(-score / 2000.0, 6) AS log_q FROM regions""")
+def bed_p_q_round_trip(spark, d):
+    x = _all(spark, d).withColumns({"log_p": -F.col("score") / 1000.0, "log_q": -F.col("score") / 2000.0})
+    p, q = SG.parse_bed_log_p(K.bed_p_lines(x.drop("name"))), SG.parse_bed_log_p(K.bed_q_lines(x)).withColumnRenamed("log_p", "log_q")
+    at = ["chrom", "start", "end"]
+    # regions are told apart by their scores: equal places with different scores pair up in their order
+    number = lambda t, c: t.withColumn("_k", F.row_number().over(Window.partitionBy(*at).orderBy(c)))
+    return rounded(number(p, "log_p").join(number(q, "log_q"), [*at, "_k"]).select(*at, "log_p", "log_q"), "log_p", "log_q")
+
+
+@query("SELECT concat_ws(chr(9), l_orderkey, l_linenumber, printf('%.6f', l_quantity), printf('%.6f', l_discount)) AS value FROM lineitem")
+def statistics_lines(spark, d):
+    return K.statistics_lines(A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d")))
+
+
+@query("SELECT 100 AS n, 100 AS n_known, true AS repeatable")
+def lines_sampled(spark, d):
+    """A sample of 100 lines: how many there are, how many are lines of the source, and whether another partitioning gives the same."""
+    x = A.table(spark, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber").alias("value"))
+    one, two = K.lines_sampled(x, 100, 5), K.lines_sampled(x.repartition(13), 100, 5)
+    known = one.join(x, "value", "left_semi").agg(F.count("*").cast("int").alias("n_known"))
+    same = one.exceptAll(two).agg((F.count("*") == 0).alias("repeatable"))
+    return one.agg(F.count("*").cast("int").alias("n")).join(known).join(same)
+
+
+# Entries of their own for operators that other queries hold inside.
+
+
+@query(f"""WITH {A.REGIONS} SELECT name, "end" - start AS run FROM regions WHERE -score / 10000.0 < ln(0.0001) AND "end" - start > 60""")
+def significant_regions(spark, d):
+    x = _all(spark, d).withColumn("log_p", -F.col("score") / 10000.0)
+    return T.significant(x, 0.0001, 60).select("name", (F.col("end") - F.col("start")).alias("run"))
+
+
+@query(f"""WITH {A.READS}, {_SPOTS}, {depth_sql('p', _BLOCK + " WHERE sample = 'chip'", 'chrom, strand')}, m AS (SELECT s.chrom, s.start, s."end", coalesce(sum(p.value * (least(s."end", p."end") - greatest(s.start, p.start) + 1)) FILTER (p.strand = 'F'), 0) AS f,
+ coalesce(sum(p.value * (least(s."end", p."end") - greatest(s.start, p.start) + 1)) FILTER (p.strand = 'R'), 0) AS r FROM spots s JOIN p ON p.chrom = s.chrom AND p.start <= s."end" AND s.start <= p."end" GROUP BY ALL)
+SELECT chrom, start, "end" FROM m WHERE f > 0 AND r > 0 AND f / r > 0.7 AND r / f > 0.7""")
+def strand_evenness_strict(spark, d):
+    s = R.pileup(A.reads(spark, d).filter("sample = 'chip'"), stranded=True, keys=("chrom",))
+    return T.strand_even(T.strand_info(_spots(spark, d), s), 0.7, both=True).select("chrom", "start", "end")
+
+
+@query()
+def p_value_trim_modified(spark, d):
+    return T.p_value_trim(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, modified=True)
+
+
+@query(f"""{_EXTREMA}, g AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY pos) AS island FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) < 6 THEN 0 ELSE 1 END AS f FROM ex)),
+h AS (SELECT chrom, island, count(*) AS n, min({{'pos': pos, 'kind': kind, 'height': height}}) AS a, max({{'pos': pos, 'kind': kind, 'height': height}}) AS b FROM g GROUP BY chrom, island),
+k AS (SELECT chrom, b.pos AS pos, b.kind AS kind FROM h WHERE n % 2 = 1 UNION ALL SELECT chrom, a.pos, CASE a.kind WHEN 'MAX' THEN 'MIN' ELSE 'MAX' END FROM h QUALIFY n > 1 AND row_number() OVER (PARTITION BY chrom ORDER BY island) = 1
+ UNION ALL SELECT chrom, b.pos, CASE b.kind WHEN 'MAX' THEN 'MIN' ELSE 'MAX' END FROM h QUALIFY n % 2 = 0 AND row_number() OVER (PARTITION BY chrom ORDER BY island DESC) = 1) SELECT * FROM k""")
+def extrema_pruned(spark, d):
+    x = _signal(spark, d)
+    ends = P.lengths(x)
+    return M.pruned_extrema(M.extrema(M.median_tracks(x, ends, [8.0]), ends), 6).select("chrom", "pos", "kind")
+
+
+@query(f"""WITH {A.REGIONS} SELECT name, CASE WHEN strand = '-' THEN "end" ELSE start END AS five, CASE WHEN strand = '-' THEN start ELSE "end" END AS three, greatest(0, start - 1000, 900 - "end") AS distance FROM regions""")
+def region_points(spark, d):
+    s, e, t = F.col("start"), F.col("end"), F.when(F.col("strand") == "-", "R").otherwise("F")
+    return _all(spark, d).select("name", R.five_prime(s, e, t).alias("five"), R.three_prime(s, e, t).alias("three"), J.distance(s, e, F.lit(900), F.lit(1000)).cast("long").alias("distance"))
+
+
+@query("""SELECT CAST(floor(l_quantity) AS BIGINT) + 10 AS read_span, count(*) AS n FROM lineitem GROUP BY ALL""")
+def cigar_read_span(spark, d):
+    cigar = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M4D2I5N3S5M"))
+    return A.table(spark, d, "lineitem").groupBy(R.read_span(cigar).alias("read_span")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS n FROM lineitem), e AS (SELECT n, k FROM n, range(0, 40) t(k) WHERE (1::BIGINT << k) >= n) SELECT n, 1::BIGINT << min(k) AS power, CAST(min(k) AS INT) AS exponent FROM e GROUP BY n""")
+def next_power(spark, d):
+    x = A.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("n")).distinct()
+    return x.select("n", stats.next_power_of_two(F.col("n")).alias("p")).select("n", "p.power", "p.exponent")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice / l_quantity), 6) AS divided, round(l_extendedprice, 6) AS back, sign(l_quantity - 25) AS compared FROM lineitem""")
+def log_arithmetic_rest(spark, d):
+    x = A.table(spark, d, "lineitem")
+    q, p = stats.to_log(F.col("l_quantity").cast("double")), stats.to_log(F.col("l_extendedprice").cast("double"))
+    return rounded(x.select("l_orderkey", "l_linenumber", stats.log_divide(p, q).alias("divided"), stats.from_log(p).alias("back"), stats.log_compare(q, stats.to_log(F.lit(25.0))).alias("compared")), "divided", "back")
+
+
+@query("""SELECT n_nationkey, ends_with(lower(n_name), '1') AS ends, lower(n_name) = 'nation_1' AS same, starts_with('NATION_1', upper(n_name)) OR starts_with(upper(n_name), 'NATION_1') AS common, trim(n_name) = '' AS empty,
+ array_to_string(string_split(n_name, 'TIO'), '|') AS by_text, CAST(n_nationkey AS BIGINT) AS back FROM nation""")
+def string_helpers_more(spark, d):
+    n = F.col("n_name")
+    return A.table(spark, d, "nation").select("n_nationkey", S.ends_with(n, "1").alias("ends"), S.same_text(n, F.lit("NATION_1")).alias("same"), S.common_prefix(F.upper(n), F.lit("NATION_1")).alias("common"), S.is_empty(n).alias("empty"), F.array_join(S.tokens_by_text(n, "TIO"), "|").alias("by_text"), S.from_base(S.in_base(F.col("n_nationkey").cast("long"), 7), 7).alias("back"))
+
+
+@query("""WITH p AS (SELECT p_partkey, concat('/data/', p_size, '/', p_name, '.', p_size % 3, CASE WHEN p_size % 2 = 0 THEN '' ELSE '.gz' END) AS path FROM part)
+SELECT p_partkey, split_part(path, '/', -1) AS file, split_part(path, '.', -1) AS extension, regexp_replace(path, '/[^/]*$', '') AS directory FROM p""")
+def path_helpers(spark, d):
+    k = F.col("p_size")
+    path = F.concat(F.lit("/data/"), k.cast("string"), F.lit("/"), "p_name", F.lit("."), (k % 3).cast("string"), F.when(k % 2 == 0, "").otherwise(".gz"))
+    return A.table(spark, d, "part").select("p_partkey", S.file_name(path).alias("file"), S.file_extension(path).alias("extension"), S.directory(path).alias("directory"))
+
+
+@query("""SELECT DISTINCT p_size, CASE WHEN p_size <= 5 THEN p_size - 1 ELSE -1 END AS place, CASE WHEN p_size <= 5 THEN '1,2,3,4,5' ELSE concat('1,2,3,4,5,', p_size) END AS added, concat('1,', p_size, ',2,0,3,4,5') AS mixed, '1,2|3,4|5' AS dealt FROM part""")
+def list_helpers(spark, d):
+    k, five = F.col("p_size").cast("int"), F.sequence(F.lit(1), F.lit(5))
+    text = lambda c: F.array_join(c, ",")
+    return A.table(spark, d, "part").select("p_size", S.position(five, k).cast("int").alias("place"), text(S.with_item(five, k)).alias("added"), text(S.interleaved(five, F.array(k, F.lit(0)))).alias("mixed"), F.array_join(F.transform(S.batches(five, 3), text), "|").alias("dealt")).distinct()
+
+
+@query("""SELECT * FROM (VALUES ('broad', 1000.0::DOUBLE, 16000.0::DOUBLE, 0, 0.05::DOUBLE), ('punctate', 100.0, 1600.0, 0, 0.05), ('relaxed_broad', 1000.0, 16000.0, 1500, 0.1), ('relaxed_punctate', 100.0, 1600.0, 1500, 0.1)) t(name, scale_start, scale_end, "window", q)""")
+def recipes(spark, d):
+    rows = [(n, float(p.scale_start), float(p.scale_end), p.window, p.q) for n, p in params.RECIPES.items()]
+    return spark.createDataFrame(rows, "name string, scale_start double, scale_end double, `window` int, q double")

@@ -35,8 +35,8 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[keep] + 1, ends[keep], x[starts][keep]
 
 
-def read_profiles(spark: SparkSession, path: str, kind: str, scale: float = 1.0) -> DataFrame:
-    """Runs other than 0 of `<chrom>.bin` files, one file per chromosome. Mappability files are uint8 with scale 0.01."""
+def decoded_profiles(files: DataFrame, kind: str, scale: float = 1.0) -> DataFrame:
+    """Runs other than 0 of files (chrom, content), one for each chromosome."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -45,8 +45,18 @@ def read_profiles(spark: SparkSession, path: str, kind: str, scale: float = 1.0)
                     s, e, v = _runs(x)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(s), pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(v, pa.float64())], names=["chrom", "start", "end", "value"])
 
+    return files.mapInArrow(run, "chrom string, start long, end long, value double")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, content) of `<chrom>.bin` files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    return files.select(normalise_chrom(F.regexp_extract("path", r"([^/]+)\.bin$", 1)).alias("chrom"), "content").mapInArrow(run, "chrom string, start long, end long, value double")
+    return files.select(normalise_chrom(F.regexp_extract("path", r"([^/]+)\.bin$", 1)).alias("chrom"), "content")
+
+
+def read_profiles(spark: SparkSession, path: str, kind: str, scale: float = 1.0) -> DataFrame:
+    """Runs other than 0 of `<chrom>.bin` files, one file per chromosome. Mappability files are uint8 with scale 0.01."""
+    return decoded_profiles(_files(spark, path), kind, scale)
 
 
 def encoded_profiles(profile: DataFrame, ends: DataFrame, kind: str) -> DataFrame:
@@ -84,11 +94,24 @@ def decode_sequence(data: bytes) -> str:
     return data[4 : 4 + n].decode("latin-1")
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq) of binary sequence files."""
+def encoded_sequences(seqs: DataFrame) -> DataFrame:
+    """(chrom, content): the binary file of each sequence (chrom, seq)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_sequence(x) for x in batch.column(1).to_pylist()])], names=["chrom", "seq"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_sequence(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["chrom", "content"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    return files.select(normalise_chrom(F.regexp_extract("path", r"([^/]+)\.bin$", 1)).alias("chrom"), "content").mapInArrow(run, "chrom string, seq string")
+    return seqs.select("chrom", "seq").mapInArrow(run, "chrom string, content binary")
+
+
+def decoded_sequences(files: DataFrame) -> DataFrame:
+    """(chrom, seq) of files (chrom, content)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_sequence(x) for x in batch.column(1).to_pylist()], pa.string())], names=["chrom", "seq"])
+
+    return files.mapInArrow(run, "chrom string, seq string")
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, seq) of binary sequence files."""
+    return decoded_sequences(_files(spark, path))
