@@ -71,7 +71,21 @@ def start(layout: Layout, class_mass: np.ndarray, word_mass: np.ndarray, hidden:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
+    """In place, by exp, which is much faster in numpy than tanh."""
+    np.negative(x, out=x)
+    np.minimum(x, F32(80), out=x)
+    np.exp(x, out=x)
+    x += F32(1)
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x *= F32(2)
+    _sigmoid(x)
+    x *= F32(2)
+    x -= F32(1)
+    return x
 
 
 def step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -79,9 +93,14 @@ def step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     n = h.shape[1]
     a, v = w.e[x], h @ w.u
     gates = _sigmoid(a[:, : 2 * n] + v[:, : 2 * n])
-    z, r = gates[:, :n], gates[:, n:]
-    c = np.tanh(a[:, 2 * n :] + r * v[:, 2 * n :])
-    return c + z * (h - c), z, r, c, v[:, 2 * n :]
+    z, r, v = gates[:, :n], gates[:, n:], v[:, 2 * n :]
+    c = r * v
+    c += a[:, 2 * n :]
+    _tanh(c)
+    new = h - c
+    new *= z
+    new += c
+    return new, z, r, c, v
 
 
 def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
