@@ -378,7 +378,7 @@ def overlap_fractions(spark, d):
     return rounded(J.overlap_fractions(*A.pair(spark, d)), "src_over_src", "src_over_both")
 
 
-@query(f"""WITH {A.REGIONS}, o AS (SELECT a.name, any_value(a."end" - a.start + 1) AS len, coalesce(max(least(a."end", b."end") - greatest(a.start, b.start) + 1), 0) AS ol FROM a LEFT JOIN b ON {_OVERLAP} GROUP BY a.name)
+@query(f"""WITH {A.REGIONS}, o AS (SELECT a.name, any_value(a."end" - a.start + 1) AS len, coalesce(max(CASE WHEN b.start IS NOT NULL THEN least(a."end", b."end") - greatest(a.start, b.start) + 1 END), 0) AS ol FROM a LEFT JOIN b ON {_OVERLAP} GROUP BY a.name)
 SELECT CAST(floor(ol / len / 0.125) AS BIGINT) AS bucket, count(*) AS n FROM o GROUP BY bucket""")
 def overlap_histogram(spark, d):
     return J.overlap_histogram(*A.pair(spark, d), 0.125)
