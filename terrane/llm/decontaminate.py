@@ -96,6 +96,15 @@ def occurrences(lists: list[np.ndarray], bounds: np.ndarray, slop: int) -> tuple
     places = lists[first].astype(np.int64) - first
     doc = np.searchsorted(bounds, lists[first], side="right") - 1
     low, high = bounds[doc], bounds[doc + 1] - 1
+    if not slop:
+        for i in order[1:]:
+            if not len(places):
+                break
+            there = np.searchsorted(lists[i], places + i)
+            keep = (there < len(lists[i])) & (places + i < high) & (places >= low)
+            keep[keep] = lists[i][there[keep]] == (places + i)[keep]
+            places, low, high = places[keep], low[keep], high[keep]
+        return places, places + np.arange(len(lists))[:, None]
     at = np.empty((len(lists), len(places)), np.int64)
     at[first] = lists[first]
     for i in order[1:]:
