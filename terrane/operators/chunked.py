@@ -87,15 +87,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def placed(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """df, written if it seems large, and whether it is large."""
+def placed(df: DataFrame, limit: int | None) -> tuple[DataFrame, bool]:
+    """df, written if it seems large, and whether it is large: over `limit` bytes, or PLAIN_BYTES where that is None."""
+    limit = PLAIN_BYTES if limit is None else limit
     if estimated_bytes(df) <= limit:
         return df, False
     df = settled(df)
     return df, estimated_bytes(df) > limit
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: Column, kind: str, out: str, inclusive: bool = True, chunk: float = CHUNK, limit: int = PLAIN_BYTES) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, kind: str, out: str, inclusive: bool = True, chunk: float = CHUNK, limit: int | None = None) -> DataFrame:
     """Add the running sum, max or min of `value` over rows with equal keys in the order given, whose first column is the position.
 
     Without `inclusive` a row's own value isn't part of its result, which is null on the first row.
@@ -114,7 +115,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: Column, kin
     return both.withColumn(out, result).select(*df.columns, out)
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], chunk: float = CHUNK, previous: bool = True, following: bool = True, limit: int = PLAIN_BYTES) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], chunk: float = CHUNK, previous: bool = True, following: bool = True, limit: int | None = None) -> DataFrame:
     """Add `prev_<c>` and `next_<c>` of the rows before and behind in the order given; null at the ends of a key's rows."""
     along = list(dict.fromkeys([*order, *columns]))
     df, large = placed(df, limit)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane import registry
+from terrane.operators import chunked
 from terrane.plans import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,14 @@ def test_regions_of_all_reads(spark, name):
         end = F.col("start") + F.regexp_extract("cigar", r"\d+", 0).cast("int") - 1
         spots = spots.join(reads.filter("sample = 'control'").groupBy("chrom").agg(F.max(end).alias("l")), "chrom").filter("start + 79 <= l")
     assert registry.QUERIES[name](spark, SF).count() == spots.count()
+
+
+#: Queries that go through every operator with a plan for large inputs.
+CHUNKED = ["sort_reads", "pileup", "pileup_stranded", "interval_merge", "interval_merge_stranded", "interval_subtract", "nearest_distance", "inter_region_distance", "top_coverage", "sorting_reach", "predecessor", "median_filter", "extrema", "extrema_pruned", "log_ratio", "exclude_signal", "bedgraph", "sum_tracks", "joint_prune"]
+
+
+@pytest.mark.parametrize("name", CHUNKED)
+def test_query_by_the_plan_for_large_inputs(spark, con, name, monkeypatch):
+    monkeypatch.setattr(chunked, "PLAIN_BYTES", 0)
+    said = oracle.difference(registry.QUERIES[name](spark, SF), con, registry.SQL[name])
+    assert not said or said.startswith("("), said
