@@ -193,6 +193,25 @@ def test_files(spark, tmp_path):
     assert sinks.wav_bytes([np.ones(10)])[:4] == b"RIFF"
 
 
+def test_other_forms(spark, tmp_path):
+    from terrane.plans import commands
+
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    two = region_files.parse_bed_with_sequence(lines("chr1\t4\t9\tn\t0\t-\tACGT\tAGGT"), 2)
+    assert rows(two, "chrom", "start", "end", "ancestral", "derived") == [("1", 4, 9, "ACGT", "AGGT")]
+    stats_ = region_files.parse_window_stats(lines("200\t0.1\t0.2\t0.3\t0.4\t0.9"))
+    assert rows(stats_, "l_win", "fc_fnr", "p_fpr", "sensitivity") == [(200, 0.1, 0.4, 0.9)]
+    r = spark.createDataFrame([("1", 5, 9, 3.0), ("1", 1, 30, 1.0), ("1", 2, 4, 2.0)], "chrom string, start long, end long, score double")
+    assert [x["start"] for x in intervals.in_order(r, "length", True).collect()] == [1, 5, 2] and [x["start"] for x in intervals.in_order(r, "score").collect()] == [1, 2, 5]
+    tracks = spark.createDataFrame([("1", 8.0, 0, 4, 1.0), ("1", 8.0, 4, 9, 3.0), ("1", 16.0, 2, 9, 2.0)], "chrom string, scale double, start long, end long, value double")
+    sound = commands.sonified(tracks, "1", 2, 8)
+    assert sound[:4] == b"RIFF" and len(sound) == 44 + 2 * 7
+    (tmp_path / "chr2.bin").write_bytes(profiles.encode_sequence("ACGTN"))
+    assert rows(profiles.read_sequences(spark, str(tmp_path)), "chrom", "seq") == [("2", "ACGTN")]
+    with pytest.raises(Exception, match="region starts behind its end"):
+        intervals.valid(r.withColumn("start", F.col("end") + 1)).collect()
+
+
 def test_streaming(spark, tmp_path):
     from terrane.streaming import ingest
 
