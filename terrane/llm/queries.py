@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .decontaminate import contamination
+from .importance import resampled
 from .language import languages
 from .language_model import score_corpus
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import best_fit_packing
+from .quality import quality
 from .shared import surrogate_key, table
 from .surrogates import pseudonymised
 from .token_edits import edit_aware_counts, standard_edits
 from .toxicity import toxicity
+from .turns import damaged, repaired
 from .warc import round_trip
 
 
@@ -59,5 +62,17 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_learned_partitions, op3_language_id, op4_toxicity, op5_lm_scoring, op6_minhash, op7_decontamination, op8_warc, op9_best_fit_packing, op10_pii_surrogates)}
-SQL: dict[str, str] = {"op6_minhash": sql.MINHASH, "op7_decontamination": sql.DECONTAMINATION, "op8_warc": sql.WARC}
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_learned_partitions, op3_language_id, op4_toxicity, op5_lm_scoring, op6_minhash, op7_decontamination, op8_warc, op9_best_fit_packing, op10_pii_surrogates, op11_quality_classifier, op12_conversation_repair, op13_importance_resampling)}
+SQL: dict[str, str] = {"op6_minhash": sql.MINHASH, "op7_decontamination": sql.DECONTAMINATION, "op8_warc": sql.WARC, "op12_conversation_repair": sql.CONVERSATIONS, "op13_importance_resampling": sql.IMPORTANCE}
