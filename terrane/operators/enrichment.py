@@ -19,14 +19,57 @@ RUNS = "array<struct<s:bigint,e:bigint,v:double>>"
 WINDOW = 1_000_000
 
 
+#: Positions of a block of the cumulative profile. Sums begin anew in each, which keeps them exact and tasks small.
+BLOCK = 1 << 16
+
+
+def _cumulative(points: DataFrame, profiles: list[tuple[str, DataFrame, bool]]) -> DataFrame:
+    """points (chrom, at), distinct, with each profile's sum up to `at` in its block (p_<name>) and in the blocks before (c_<name>).
+
+    A run is a step up at its start and one down behind its end, in every block that it reaches; with A the sum of the steps so far and B that of
+    steps times places, the sum up to place x is (x + 1) A - B. A block holds at most its positions' steps and points, so no task grows with the
+    depth or with the number of regions. Only one row a block goes through the order along a chromosome.
+    """
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
+    names = [name for name, _, _ in profiles]
+    rows = points.select("chrom", block("at").alias("_block"), F.pmod("at", F.lit(BLOCK)).cast("long").alias("_x"), F.lit(True).alias("_asked"), *(F.lit(0.0).alias(f"d_{n}") for n in names))
+    for name, profile, floored in profiles:
+        value = F.floor("value").cast("double") if floored else F.col("value").cast("double")
+        cut = profile.filter("start <= end").select("chrom", "start", "end", value.alias("v"), F.explode(F.sequence(block("start"), block("end"))).alias("_block"))
+        origin = F.col("_block") * BLOCK
+        low, behind = F.greatest(F.col("start") - origin, F.lit(0)), F.least(F.col("end") - origin, F.lit(BLOCK - 1)) + 1
+        steps = cut.select("chrom", "_block", F.explode(F.array(F.struct(low.cast("long").alias("_x"), F.col("v").alias("d")), F.struct(behind.cast("long").alias("_x"), (-F.col("v")).alias("d")))).alias("s"))
+        steps = steps.groupBy("chrom", "_block", "s._x").agg(F.sum("s.d").alias("d"))
+        rows = rows.unionByName(steps.select("chrom", "_block", "_x", F.lit(False).alias("_asked"), *(F.col("d").alias(f"d_{n}") if n == name else F.lit(0.0).alias(f"d_{n}") for n in names)))
+    order = Window.partitionBy("chrom", "_block").orderBy("_x", "_asked")
+    along = order.rowsBetween(Window.unboundedPreceding, 0)
+    steps_sum, places_sum = (lambda n: F.sum(f"d_{n}").over(along)), (lambda n: F.sum(F.col(f"d_{n}") * F.col("_x")).over(along))
+    told = rows.select("chrom", "_block", "_x", "_asked", F.lead("_x").over(order).isNull().alias("_last"), *(x for n in names for x in ((((F.col("_x") + 1) * steps_sum(n) - places_sum(n)).alias(f"p_{n}")), (BLOCK * steps_sum(n) - places_sum(n)).alias(f"t_{n}"))))
+    told = settled(told.filter("_asked or _last"), "cumulative")
+    before = Window.partitionBy("chrom").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = told.filter("_last").select("chrom", "_block", *(F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0.0)).alias(f"c_{n}") for n in names))
+    return told.filter("_asked").join(blocks, ["chrom", "_block"]).select("chrom", (F.col("_block") * BLOCK + F.col("_x")).alias("at"), *(f"{k}_{n}" for n in names for k in "pc"))
+
+
+def range_sums(regions: DataFrame, profiles: list[tuple[str, DataFrame, bool]], skip_first: bool = False) -> DataFrame:
+    """Regions with a column for each (name, profile, floored): the profile's sum over each region, of whole parts if `floored`.
+
+    A sum is the difference of two values of a cumulative profile, whose ends are looked up in one ordered pass over runs and ends; no run
+    meets a region. What is shuffled follows regions and runs, however many runs a region has. `skip_first` leaves out a region's first position.
+    """
+    low, high = F.col("start") - (0 if skip_first else 1), F.col("end")
+    points = regions.select("chrom", F.explode(F.array(low.cast("long"), high.cast("long"))).alias("at")).distinct()
+    sums = _cumulative(points, profiles)
+    left, right = (sums.select(F.col("chrom").alias(f"_{e}chrom"), F.col("at").alias(f"_{e}"), *(F.col(f"{k}_{n}").alias(f"_{e}{k}_{n}") for n, _, _ in profiles for k in "pc")) for e in ("a", "b"))
+    met = regions.join(left, (F.col("chrom") == F.col("_achrom")) & (low == F.col("_a")), "left").join(right, (F.col("chrom") == F.col("_bchrom")) & (high == F.col("_b")), "left")
+    mass = lambda n: F.when(high > low, (F.col(f"_bp_{n}") - F.col(f"_ap_{n}")) + (F.col(f"_bc_{n}") - F.col(f"_ac_{n}"))).otherwise(0.0)
+    kept = [c for c in regions.columns if c not in {n for n, _, _ in profiles}]
+    return met.select(*kept, *(F.coalesce(mass(n), F.lit(0.0)).alias(n) for n, _, _ in profiles))
+
+
 def masses(regions: DataFrame, profile: DataFrame, name: str, floored: bool = True, skip_first: bool = False) -> DataFrame:
     """Regions with the column `name`: the profile's sum over each, of whole parts if `floored`."""
-    spots = regions.select("chrom", "start", "end").distinct()
-    inside = spots.withColumn("start", F.col("start") + 1).filter("start <= end") if skip_first else spots
-    value = F.floor("b_value").cast("double") if floored else F.col("b_value")
-    sums = overlap_join(inside, profile).groupBy("a_chrom", "a_start", "a_end").agg(F.sum(value * (F.col("ol_end") - F.col("ol_start") + 1)).alias(name))
-    sums = sums.select(F.col("a_chrom").alias("chrom"), (F.col("a_start") - (1 if skip_first else 0)).alias("start"), F.col("a_end").alias("end"), name)
-    return regions.join(sums, ["chrom", "start", "end"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return range_sums(regions, [(name, profile, floored)], skip_first)
 
 
 def mass_log_p(signal: Column, control: Column, length: Column, fragment: float, norm: int | Column | None = None, flip: float = 0.5) -> Column:
@@ -43,7 +86,7 @@ def mass_log_p(signal: Column, control: Column, length: Column, fragment: float,
 
 def region_p_values(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, norm: int | None = None, flip: float = 0.5, floor_control: bool = False) -> DataFrame:
     """Regions with signal, control and log_p. floor_control and flip give the modified variant."""
-    both = masses(masses(regions, chip, "signal"), control, "control", floored=floor_control)
+    both = range_sums(regions, [("signal", chip, True), ("control", control, floor_control)])
     return both.withColumn("log_p", mass_log_p(F.col("signal"), F.col("control"), F.col("end") - F.col("start") + 1, fragment, norm, flip))
 
 
@@ -186,10 +229,10 @@ def window_statistics(chip: DataFrame, control: DataFrame, window_lengths: list[
     wins = wins.withColumn("l_win", F.when(F.col("start") + F.col("asked") > F.col("l"), F.col("l") - F.col("start") - 1).otherwise(F.col("asked")).cast("int"))
     wins = wins.withColumn("end", F.col("start") + F.col("l_win")).filter("l_win > 0 and end < l and end < m").select("chrom", "l_win", "start", "end")
     wins = settled(wins)
-    scored = masses(masses(wins, chip, "signal"), control, "control", floored=False)
+    scored = range_sums(wins, [("signal", chip, True), ("control", control, False)])
     scored = scored.withColumn("log_p", mass_log_p(F.col("signal"), F.col("control"), F.col("l_win") + 1, fragment, F.col("l_win")))
     inner = scored.select("chrom", "l_win", "start", (F.col("end") - 1).alias("end"), "log_p")
-    inner = masses(masses(inner, chip, "x", floored=False), control, "y", floored=False).filter((F.col("log_p") != 0) & (F.col("y") > 0) & (F.col("x") / F.col("l_win") > 1))
+    inner = range_sums(inner, [("x", chip, False), ("y", control, False)]).filter((F.col("log_p") != 0) & (F.col("y") > 0) & (F.col("x") / F.col("l_win") > 1))
     fc = F.col("x") / F.col("y")
     p_sig, f_sig, f_not = F.col("log_p") < math.log(level), fc > high, fc < low
     n = inner.groupBy("l_win").agg(F.count_if(p_sig & f_sig).alias("n_pp"), F.count_if(p_sig & f_not).alias("n_pi"), F.count_if(~p_sig & f_sig).alias("n_ip"), F.count_if(~p_sig & f_not).alias("n_ii"), F.count_if(p_sig).alias("_p"), F.count_if(~p_sig).alias("_i"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_log_tail
 from .chunked import neighbours, settled
-from .enrichment import WINDOW, masses, per_region, poisson_windows, spread, with_runs
+from .enrichment import WINDOW, per_region, poisson_windows, range_sums, spread, with_runs
 from .overlap import overlap_join
 from .profile import compact, floored, lengths
 
@@ -195,7 +195,7 @@ def summits(regions: DataFrame, chip: DataFrame, control: DataFrame) -> DataFram
     top = met.groupBy(*own).agg(F.max(F.struct(F.col("b_value").alias("v"), (-F.col("b_start")).alias("s"), F.floor((F.col("b_end") + begin) / 2).alias("at"))).alias("_top"))
     behind = spots.withColumn("start", F.col("start") + 1).filter("start <= end")
     most = overlap_join(behind, control).groupBy(F.col("a_chrom").alias("chrom"), (F.col("a_start") - 1).alias("start"), F.col("a_end").alias("end")).agg(F.floor(F.max("b_value")).cast("double").alias("control_max"))
-    out = masses(masses(spots, chip, "chip_mass", skip_first=True), control, "control_mass", skip_first=True)
+    out = range_sums(spots, [("chip_mass", chip, True), ("control_mass", control, True)], skip_first=True)
     at = ["chrom", "start", "end"]
     out = inside.join(out.join(top, at, "left").join(most, at, "left"), at, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c if isinstance(c, str) else "chip_max")

@@ -955,7 +955,7 @@ def enriched_regions(spark, d):
     kept = R.remove_duplicates(A.reads(spark, d), 2)
     chip, control = (R.pileup(kept.filter(F.col("sample") == s), keys=("chrom",)) for s in ("chip", "control"))
     spots = J.merge(chip.filter("value >= 8").select("chrom", "start", "end"), 10)
-    both = E.masses(E.masses(spots, chip, "chip_mass"), control, "control_mass", floored=False)
+    both = E.range_sums(spots, [("chip_mass", chip, True), ("control_mass", control, False)])
     out = both.withColumn("fold_change", F.round(K.fold_change(F.col("chip_mass"), F.col("control_mass")), 6))
     return out.select("chrom", "start", "end", "chip_mass", "control_mass", "fold_change")
 
