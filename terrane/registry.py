@@ -1124,25 +1124,51 @@ def preprocessed_read(spark, d):
     return _counted(SR.parse_preprocessed(A.reads(spark, d).select("chrom", F.concat_ws(" ", "cigar", "strand", F.col("start").cast("string")).alias("value"))))
 
 
-def _profile_round_trip(spark, d, kind, scale):
-    x = R.pileup(A.reads(spark, d), keys=("chrom",))
+def _profile_file(spark, d, kind):
+    """The folder of a written profile."""
+    path, x = new_path(spark, "profile"), R.pileup(A.reads(spark, d), keys=("chrom",))
     held = x.withColumn("value", F.least(F.col("value"), F.lit(250.0))) if kind == "uint8" else x
-    return SP.decoded_profiles(SP.encoded_profiles(held, P.lengths(x), kind), kind, scale)
+    SP.write_profiles(held, P.lengths(x), path, kind)
+    return path
 
 
 @query(f"{RUNS_SQL} SELECT chrom, start, \"end\", value FROM p WHERE start >= 1")
+@tidied
 def profile_file_round_trip(spark, d):
-    return P.compact(_profile_round_trip(spark, d, "double", 1.0))
+    return P.compact(SP.read_profiles(spark, _profile_file(spark, d, "double"), "double", range_bytes=40_000))
 
 
 @query(f"{RUNS_SQL}, q AS (SELECT chrom, start, \"end\", least(value, 250) AS value FROM p) SELECT chrom, unnest(range(start, \"end\" + 1)) AS pos, round(value * 0.01, 6) AS value FROM q")
+@tidied
 def mappability_file_round_trip(spark, d):
-    return rounded(P.positions(_profile_round_trip(spark, d, "uint8", 0.01)).select("chrom", "pos", "value"), "value")
+    x = SP.read_profiles(spark, _profile_file(spark, d, "uint8"), "uint8", 0.01, range_bytes=5_000)
+    return rounded(P.positions(x).select("chrom", "pos", "value"), "value")
+
+
+@query(f"{RUNS_SQL} SELECT chrom, max(\"end\") AS l FROM p GROUP BY chrom UNION ALL SELECT 'absent', 0")
+@tidied
+def mappability_lengths(spark, d):
+    """Lengths of mappability files; a chromosome without a file has length 0."""
+    wanted = R.pileup(A.reads(spark, d), keys=("chrom",)).select("chrom").union(spark.sql("SELECT 'absent'"))
+    return SP.read_lengths(spark, _profile_file(spark, d, "uint8"), wanted)
 
 
 @query(f"WITH {A.SEQUENCES} SELECT chrom, seq FROM seqs")
+@tidied
 def sequence_file_round_trip(spark, d):
-    return SP.decoded_sequences(SP.encoded_sequences(A.sequences(spark, d)))
+    path = new_path(spark, "sequences")
+    SP.write_sequences(A.sequences(spark, d), path)
+    return SP.read_sequences(spark, path)
+
+
+@query(f"WITH {A.READS} SELECT chrom, strand, start, cigar, count(*) AS n FROM reads GROUP BY ALL")
+@tidied
+def gzip_read(spark, d):
+    """Mapped reads from gzip files, as from plain ones."""
+    path, n = new_path(spark, "gzip"), F.regexp_extract("cigar", r"\d+", 0).cast("int")
+    lines = A.reads(spark, d).select(_tab("chrom", F.col("start") - 1, F.col("start") - 1 + n, F.lit("."), F.lit(0), _minus()).alias("value"))
+    lines.write.option("compression", "gzip").text(path)
+    return _counted(SR.read_mapped(spark, path, "BED6"))
 
 
 @query(f"WITH {A.SEQUENCES} SELECT chrom, seq FROM seqs WHERE length(seq) > 1")

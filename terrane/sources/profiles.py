@@ -1,80 +1,45 @@
-"""Binary profile files and FASTA sequences."""
+"""Binary profile, mappability and sequence files, and FASTA."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import normalise_chrom
-
-#: Value types of the binary formats; bytes hold hundredths.
-KINDS = {"double": np.dtype("<f8"), "uint8": np.dtype("u1")}
-
-
-def encode_profile(values: np.ndarray, kind: str) -> bytes:
-    """An int32 length, then length + 1 values from position 1 (the last one is padding)."""
-    return struct.pack("<i", len(values)) + np.append(values, 0).astype(KINDS[kind]).tobytes()
+from .binary import BLOCK_VALUES, BinarySource
 
 
-def decode_profile(data: bytes, kind: str) -> np.ndarray:
-    """Values from position 1. Files that lack the padding, or the end, give what they hold."""
-    (n,) = struct.unpack_from("<i", data)
-    whole = (len(data) - 4) // KINDS[kind].itemsize
-    return np.frombuffer(data, KINDS[kind], min(n, whole), 4).astype(np.float64)
+def _reader(spark: SparkSession, **options) -> DataFrameReader:
+    spark.dataSource.register(BinarySource)
+    return spark.read.format(BinarySource.name()).options(**options)
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cuts = np.flatnonzero(np.diff(x)) + 1
-    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(x)]))
-    keep = x[starts] != 0
-    return starts[keep] + 1, ends[keep], x[starts][keep]
+def _named(files: DataFrame) -> DataFrame:
+    return files.withColumn("chrom", normalise_chrom(F.col("chrom")))
 
 
-def decoded_profiles(files: DataFrame, kind: str, scale: float = 1.0) -> DataFrame:
-    """Runs other than 0 of files (chrom, content), one for each chromosome."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = decode_profile(data.as_py(), kind) * scale
-                if len(x):
-                    s, e, v = _runs(x)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(s), pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(v, pa.float64())], names=["chrom", "start", "end", "value"])
+def _write(rows: DataFrame, path: str, kind: str) -> None:
+    """Rows with `chrom` and `l`; a chromosome is a file, so its rows go to one task, which takes them in order as a stream."""
+    rows.sparkSession.dataSource.register(BinarySource)
+    rows.repartition("chrom").sortWithinPartitions("chrom", "start").write.format(BinarySource.name()).mode("append").options(kind=kind).save(path)
 
-    return files.mapInArrow(run, "chrom string, start long, end long, value double")
 
+def read_profiles(spark: SparkSession, path: str, kind: str, scale: float = 1.0, range_bytes: int | None = None) -> DataFrame:
+    """Runs other than 0 of `<chrom>.bin` files; mappability files are uint8 with scale 0.01. A run may be cut where a range ends: compact() joins
+    them. Files that lack the padding value, or the end, give what they hold."""
+    return _named(_reader(spark, kind=kind, scale=scale, **({"range_bytes": range_bytes} if range_bytes else {})).load(path))
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, content) of `<chrom>.bin` files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    return files.select(normalise_chrom(F.regexp_extract("path", r"([^/]+)\.bin$", 1)).alias("chrom"), "content")
 
+def write_profiles(profile: DataFrame, ends: DataFrame, path: str, kind: str) -> None:
+    """A `<chrom>.bin` for each row (chrom, l) of ends, with positions 1 to l of the profile and a value of padding; gaps are 0."""
+    own = profile.select("chrom", F.col("start").cast("long"), F.col("end").cast("long"), F.col("value").cast("double"))
+    _write(ends.select("chrom", F.col("l").cast("long")).join(own, "chrom", "left"), path, kind)
 
-def read_profiles(spark: SparkSession, path: str, kind: str, scale: float = 1.0) -> DataFrame:
-    """Runs other than 0 of `<chrom>.bin` files, one file per chromosome. Mappability files are uint8 with scale 0.01."""
-    return decoded_profiles(_files(spark, path), kind, scale)
 
-
-def encoded_profiles(profile: DataFrame, ends: DataFrame, kind: str) -> DataFrame:
-    """(chrom, content): the binary file of each chromosome. One chromosome is one value, as the format asks."""
-    runs = ends.join(profile, "chrom", "left").groupBy("chrom", "l").agg(F.collect_list(F.struct("start", "end", "value")).alias("runs"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x = np.zeros(n)
-                for r in found:
-                    if r["start"] is not None:
-                        x[r["start"] - 1 : r["end"]] = r["value"]
-                out.append(encode_profile(x, kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["chrom", "content"])
-
-    return runs.mapInArrow(run, "chrom string, content binary")
+def read_lengths(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(chrom, l) for each chrom of `wanted`: the length that its file states, 0 where there is no file."""
+    found = _named(_reader(spark, kind="length").load(path))
+    return wanted.select("chrom").distinct().join(found, "chrom", "left").withColumn("l", F.coalesce("l", F.lit(0).cast("long")))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -85,33 +50,21 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(normalise_chrom(F.regexp_replace(head, r"\s+$", "")).alias("chrom"), body.alias("seq")).filter(F.length("seq") > 1)
 
 
-def encode_sequence(seq: str) -> bytes:
-    return struct.pack("<i", len(seq)) + seq.encode("latin-1")
-
-
-def decode_sequence(data: bytes) -> str:
-    (n,) = struct.unpack_from("<i", data)
-    return data[4 : 4 + n].decode("latin-1")
-
-
-def encoded_sequences(seqs: DataFrame) -> DataFrame:
-    """(chrom, content): the binary file of each sequence (chrom, seq)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_sequence(x) for x in batch.column(1).to_pylist()], pa.binary())], names=["chrom", "content"])
-
-    return seqs.select("chrom", "seq").mapInArrow(run, "chrom string, content binary")
-
-
-def decoded_sequences(files: DataFrame) -> DataFrame:
-    """(chrom, seq) of files (chrom, content)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_sequence(x) for x in batch.column(1).to_pylist()], pa.string())], names=["chrom", "seq"])
-
-    return files.mapInArrow(run, "chrom string, seq string")
+def read_sequence_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, start, piece) of binary sequence files, pieces of bounded length."""
+    return _named(_reader(spark, kind="text").load(path))
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq) of binary sequence files."""
-    return decoded_sequences(_files(spark, path))
+    """(chrom, seq) of binary sequence files, each sequence in one value."""
+    pieces = read_sequence_pieces(spark, path).groupBy("chrom").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("p"))
+    return pieces.select("chrom", F.array_join("p.piece", "").alias("seq"))
+
+
+def write_sequences(seqs: DataFrame, path: str) -> None:
+    """A `<chrom>.bin` for each row (chrom, seq), or for each chrom of pieces (chrom, start, piece) without gaps."""
+    if "seq" in seqs.columns:
+        begins = F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1)), F.lit(BLOCK_VALUES))
+        seqs = seqs.select("chrom", "seq", F.explode(begins).alias("at")).select("chrom", F.col("at").cast("long").alias("start"), F.substring("seq", F.col("at"), F.lit(BLOCK_VALUES)).alias("piece"))
+    ends = seqs.groupBy("chrom").agg(F.sum(F.length("piece")).alias("l"))
+    _write(ends.join(seqs, "chrom"), path, "text")

@@ -1,6 +1,7 @@
 """Hand-sized examples with results worked out from the semantics."""
 
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -181,10 +182,7 @@ def test_trims():
 
 
 def test_files(spark, tmp_path):
-    x = np.array([0.0, 1, 1, 2.5])
-    assert profiles.decode_profile(profiles.encode_profile(x, "double"), "double").tolist() == x.tolist()
-    assert profiles.decode_sequence(profiles.encode_sequence("ACGT")) == "ACGT"
-    (tmp_path / "chr1.bin").write_bytes(profiles.encode_profile(np.array([0, 100, 100, 200]), "uint8"))
+    (tmp_path / "chr1.bin").write_bytes(struct.pack("<i", 4) + bytes([0, 100, 100, 200, 0]))
     assert rows(profiles.read_profiles(spark, str(tmp_path), "uint8", 0.01), "chrom", "start", "end", "value") == [("1", 2, 3, 1.0), ("1", 4, 4, 2.0)]
     (tmp_path / "a.fa").write_text(">chr1\nACG\nT\n>two\nA\n>x.y\nGGC\n")
     assert rows(profiles.read_fasta(spark, str(tmp_path / "a.fa")), "chrom", "seq") == [("1", "ACGT"), ("x_y", "GGC")]
@@ -193,6 +191,57 @@ def test_files(spark, tmp_path):
     assert sinks.wav_bytes([np.ones(10)])[:4] == b"RIFF"
 
 
+def test_binary_files(spark, tmp_path, monkeypatch):
+    """Files byte by byte, in ranges of every size; files without padding or end; lengths; failed and second writes."""
+    runs = [("a", 3, 4, 1.5), ("a", 5, 5, -2.0), ("b", 1, 9, 7.0), ("b", 12, 30, 1.0)]
+    frame = lambda r: spark.createDataFrame(r, "chrom string, start long, end long, value double")
+    ends = spark.createDataFrame([("a", 6), ("b", 20), ("c", 3)], "chrom string, l long")
+    path = f"file://{tmp_path}/p"
+    profiles.write_profiles(frame(runs), ends, path, "double")
+    assert (tmp_path / "p/a.bin").read_bytes() == struct.pack("<i7d", 6, 0, 0, 1.5, 1.5, -2, 0, 0) and (tmp_path / "p/c.bin").read_bytes() == struct.pack("<i4d", 3, 0, 0, 0, 0)
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["a.bin", "b.bin", "c.bin"]
+    want = [("a", 3, 4, 1.5), ("a", 5, 5, -2.0), ("b", 1, 9, 7.0), ("b", 12, 20, 1.0)]
+    for size in (8, 24, 40, 1 << 20):
+        back = profiles.read_profiles(spark, path, "double", range_bytes=size)
+        assert rows(profile.compact(back), "chrom", "start", "end", "value") == want
+    assert rows(profiles.read_lengths(spark, path, spark.createDataFrame([("a",), ("z",)], "chrom string")), "chrom", "l") == [("a", 6), ("z", 0)]
+    with pytest.raises(Exception, match="overlap"):
+        profiles.write_profiles(frame([("a", 1, 3, 1.0), ("a", 3, 4, 2.0)]), ends, path, "double")
+    assert rows(profile.compact(profiles.read_profiles(spark, path, "double")), "chrom", "start", "end", "value") == want
+    profiles.write_profiles(frame([("c", 2, 2, 200.0)]), ends.filter("chrom = 'c'"), path, "uint8")  # takes the place of the file before
+    assert (tmp_path / "p/c.bin").read_bytes() == struct.pack("<i4B", 3, 0, 200, 0, 0)
+    (tmp_path / "cut.bin").write_bytes(struct.pack("<i2d", 9, 1, 1))
+    assert rows(profiles.read_profiles(spark, str(tmp_path), "double"), "chrom", "start", "end", "value") == [("cut", 1, 2, 1.0)]
+    assert profiles.read_profiles(spark, f"{tmp_path}/none", "double").count() == 0
+    monkeypatch.setattr(profiles, "BLOCK_VALUES", 3)
+    profiles.write_sequences(spark.createDataFrame([("s", "ACGTACGTA"), ("e", "")], "chrom string, seq string"), f"{tmp_path}/s")
+    assert (tmp_path / "s/s.bin").read_bytes() == struct.pack("<i", 9) + b"ACGTACGTA"
+    assert rows(profiles.read_sequences(spark, f"{tmp_path}/s"), "chrom", "seq") == [("e", ""), ("s", "ACGTACGTA")]
+
+
+@pytest.mark.parametrize("block", [1 << 16, 7])
+def test_range_sums(spark, monkeypatch, block):
+    """Sums from the cumulative profile against sums position by position, runs that overlap and regions across blocks included."""
+    monkeypatch.setattr(enrichment, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    dense = {(c, n): np.zeros(120) for c in "xyz" for n in "ab"}
+    runs = {"a": [], "b": []}
+    for n, found in runs.items():
+        for _ in range(40):
+            c, s, size, v = "xy"[rng.integers(0, 2)], int(rng.integers(1, 80)), int(rng.integers(1, 30)), float(rng.integers(0, 40)) / 4
+            found.append((c, s, s + size - 1, v))
+            dense[c, n][s : s + size] += np.floor(v) if n == "a" else v
+    regions = [("xyz"[rng.integers(0, 3)], int(s := rng.integers(1, 90)), int(s + rng.integers(0, 29))) for _ in range(60)] + [("x", 5, 5), ("x", 5, 4), ("y", 0, 110)]
+    frames = [spark.createDataFrame(r, "chrom string, start long, end long, value double") for r in (runs["a"], runs["b"])]
+    df = spark.createDataFrame(regions, "chrom string, start long, end long")
+    for skip in (False, True):
+        got = enrichment.range_sums(df, [("a", frames[0], True), ("b", frames[1], False)], skip_first=skip).collect()
+        assert len(got) == len(regions)
+        for r in got:
+            for n in "ab":
+                assert abs(r[n] - dense[r["chrom"], n][r["start"] + skip : r["end"] + 1].sum()) < 1e-9
+
+
 def test_other_forms(spark, tmp_path):
     from terrane.plans import commands
 
@@ -206,7 +255,7 @@ def test_other_forms(spark, tmp_path):
     tracks = spark.createDataFrame([("1", 8.0, 0, 4, 1.0), ("1", 8.0, 4, 9, 3.0), ("1", 16.0, 2, 9, 2.0)], "chrom string, scale double, start long, end long, value double")
     sound = commands.sonified(tracks, "1", 2, 8)
     assert sound[:4] == b"RIFF" and len(sound) == 44 + 2 * 7
-    (tmp_path / "chr2.bin").write_bytes(profiles.encode_sequence("ACGTN"))
+    (tmp_path / "chr2.bin").write_bytes(struct.pack("<i", 5) + b"ACGTN")
     assert rows(profiles.read_sequences(spark, str(tmp_path)), "chrom", "seq") == [("2", "ACGTN")]
     with pytest.raises(Exception, match="region starts behind its end"):
         intervals.valid(r.withColumn("start", F.col("end") + 1)).collect()
