@@ -7,6 +7,7 @@ protocol; the sink needs a line separator, which here is an empty gzip member an
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import re
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, tidied
+from .shared import CHUNK_BYTES, chunks, new_path, tidied
 
-#: Uncompressed bytes that an archive holds on average.
+#: Uncompressed bytes that an archive holds at most, unless it is one record.
 ARCHIVE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "archive string, start long, stop long, gap string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -110,11 +111,13 @@ def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str
         try:
             out.append(unzip.decompress(view[pos : pos + step]))
         except zlib.error as e:
-            for pos in range(pos, min(pos + step, len(data))):  # the last step again, byte by byte, up to the error
-                try:
-                    out.append(before.decompress(view[pos : pos + 1]))
-                except zlib.error:
-                    break
+            n = min(step, len(data) - pos)
+            while n > 1:  # the last step again, up to the error, by halves
+                n = -(-n // 2)
+                half = before.copy()
+                with contextlib.suppress(zlib.error):
+                    out.append(half.decompress(view[pos : pos + n]))
+                    before, pos = half, pos + n
             return b"".join(out), pos, f"member: {e}"
         pos += step
     if not unzip.eof:
@@ -152,7 +155,7 @@ def salvage(data: bytes) -> Iterator[dict]:
     a version line, or a version line whose record is whole. Of a damaged member the records before the damage count. Gaps carry
     their byte range and the check that failed; in a damaged member they begin behind the last whole record, to within some bytes.
     """
-    at, lost, why = 0, None, ""
+    at, lost, why, line = 0, None, "", -1  # line: the next version line, looked for once it is passed
     while at < len(data):
         made, end, wrong, stopped = [], at, "no version line", at
         if data.startswith(_MAGIC, at):
@@ -178,23 +181,42 @@ def salvage(data: bytes) -> Iterator[dict]:
         if wrong or lost is not None and not made:
             if lost is None:
                 lost, why = stopped if made else at, wrong
-            m = _VERSION.search(data, at + 1)
-            places = [p for p in (data.find(_MAGIC, at + 1), m.start() if m else -1) if p >= 0]
-            at = min(places, default=len(data)) if wrong else end
+            if wrong:
+                if line <= at:
+                    m = _VERSION.search(data, at + 1)
+                    line = m.start() if m else len(data)
+                magic = data.find(_MAGIC, at + 1, line)
+                at = magic if magic >= 0 else line
+            else:
+                at = end
         else:
             at = end
     if lost is not None:
         yield {"start": lost, "stop": len(data), "gap": why}
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        page, url, html, refers = (c.to_pylist() for c in batch.columns)
-        out = [gzip.compress(record(p, u, h or b"", r), 4, mtime=0) for p, u, h, r in zip(page, url, html, refers)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+def _members(most: int):
+    """A gzip member for each page, and the number of its archive among those of the task: one is full where the next record would bring it
+    over `most` bytes of content, so a record that is longer has an archive of its own."""
 
-
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, 0
+        for batch in chunks(batches, "html"):
+            page, url, html, refers = (c.to_pylist() for c in batch.columns)
+            out, numbers = [], []
+            for p, u, h, r in zip(page, url, html, refers):
+                content = record(p, u, h or b"", r)
+                if held and held + len(content) > most:
+                    number, held = number + 1, 0
+                held += len(content)
+                numbers.append(number)
+                out.append(gzip.compress(content, 4, mtime=0))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(numbers, pa.int32())], names=["member", "archive"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """One record for each page (page_id, url, html).
 
     Of pages with equal payloads of at least `least_bytes` bytes, that with the largest page_id is a response and the others revisit
@@ -205,20 +227,24 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html")).withColumn("_sha", F.unhex(F.sha1("html")))
     keys = pages.select(F.col("page_id").cast("long"), html.alias("html"))
     same = keys.groupBy(F.unhex(F.sha1("html")).alias("_sha")).agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"), F.max(F.octet_length("html")).alias("_bytes"))
-    known = rows.sparkSession.read.schema(same.schema).parquet(_written(same))
-    size = known.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * (F.col("_bytes") + 700)).alias("b")).first()
-    again = known.filter((F.col("_n") > 1) & (F.col("_bytes") >= least_bytes)).select("_sha", "_last")
+    again = same.filter((F.col("_n") > 1) & (F.col("_bytes") >= least_bytes)).select("_sha", "_last")
     refers = F.when(F.col("page_id") < F.col("_last"), F.col("_last"))
-    members = rows.join(again, "_sha", "left").select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_members, "member binary")
-    each = max(1, min(50_000, ARCHIVE_BYTES * (size["n"] or 1) // (size["b"] or 1)))
-    sink = members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
-    sink.option("maxRecordsPerFile", each).text(path)
+    members = rows.join(again, "_sha", "left").select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_members(archive_bytes), "member binary, archive int")
+    sink = members.select(F.col("member").cast("string").alias("value"), "archive").write.partitionBy("archive")
+    sink.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
-def _written(df: DataFrame) -> str:
-    path = new_path(df.sparkSession, "payloads")
-    df.write.parquet(path)
-    return path
+def _some(records: Iterator[dict], most: int = 4096) -> Iterator[list[dict]]:
+    """Records in lists of bounded number and bytes of payload."""
+    held, size = [], 0
+    for x in records:
+        held.append(x)
+        size += len(x.get("payload") or b"")
+        if len(held) >= most or size >= CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -229,8 +255,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
             for archive, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out = [x if payloads else x | {"payload": None} for x in salvage(data.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(out)), *(pa.array([x.get(n) for x in out], t) for n, t in zip(names, types))], names=["archive", *names])
+                for out in _some(x if payloads else x | {"payload": None} for x in salvage(data.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([archive] * len(out)), *(pa.array([x.get(n) for x in out], t) for n, t in zip(names, types))], names=["archive", *names])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORDS)
 
