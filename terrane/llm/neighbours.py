@@ -158,7 +158,7 @@ def _fit(x: np.ndarray, target: np.ndarray, rng: np.random.Generator) -> Router:
 def learn(x: np.ndarray, rows: int, k: int, aim: float, shape: Shape) -> Router:
     """A router from a sample of distinct vectors, for a node of `rows` rows and searches of the k nearest."""
     rng = np.random.default_rng(11)
-    parts = int(max(1, min(rows // shape.partition_rows, len(x) // 24, shape.fan_out)))
+    parts = int(max(1, min(max(2, rows // shape.partition_rows), len(x) // 24, shape.fan_out)))  # two at least from 48 distinct vectors on
     if parts < 2:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
     test = rng.permutation(len(x)) < len(x) // 8
