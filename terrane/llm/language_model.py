@@ -33,8 +33,8 @@ WORDS, HEADS = 1024, 32
 SUFFIXES = 12
 TAILS = 4 * 2 * SUFFIXES
 HIDDEN = 24
-#: Expected bytes of the sample on which a model is started, the longest text in it, and passes over it.
-SEED_BYTES, SEED_TEXT, SEED_PASSES = 4 << 20, 1 << 18, 3
+#: Expected bytes of the sample on which a model is started, characters of the windows it is drawn from, and passes over it.
+SEED_BYTES, SEED_WINDOW, SEED_PASSES = 4 << 20, 1 << 16, 3
 SEED_RATE, RATE = 6e-3, 4e-3
 #: Lanes and steps of a window of the training over all documents; many lanes keep the cost of a token low.
 LANES, STEPS = 512, 16
@@ -169,19 +169,22 @@ def _averaged(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "seen": pa.array([int(seen.sum())], pa.int64())})
 
 
-def _seed(known: DataFrame) -> list[bytes]:
-    """Texts that come to SEED_BYTES in expectation, none of them longer than SEED_TEXT, in the order of a hash."""
-    some = known.filter(F.octet_length("text") <= SEED_TEXT)
-    size = some.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
+def _seed(known: DataFrame) -> list[tuple[bytes, bool]]:
+    """Windows of texts, and whether a text ends there, that come to SEED_BYTES in expectation, in the order of a hash. Texts up to SEED_WINDOW characters are
+    one window; every window of every text can be drawn, whatever the text's length."""
+    size = known.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1
     limit = min(1 << 30, -(-(SEED_BYTES << 30) // size))
-    sample = some.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit).select(F.encode("text", "UTF-8").alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("h"))
-    return [bytes(r["text"]) for r in sample.orderBy("h", "text").collect()]
+    begins = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(SEED_WINDOW))
+    windows = known.filter("text is not null").withColumn("at", F.explode(begins)).withColumn("last", F.col("at") + SEED_WINDOW > F.length("text"))
+    windows = windows.withColumn("text", F.when(F.col("last") & (F.col("at") == 1), F.col("text")).otherwise(F.substring("text", F.col("at"), F.lit(SEED_WINDOW))))
+    sample = windows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < limit).select(F.encode("text", "UTF-8").alias("text"), "last", "at", F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    return [(bytes(r["text"]), r["last"]) for r in sample.orderBy("h", "at", "text").collect()]
 
 
 def train(segments: DataFrame, docs: DataFrame, vocabulary: Vocabulary) -> gru.Weights:
     """docs: doc_id, text, fold. Every training document is learned from; the seed only decides where that begins."""
     trainer = gru.Trainer(vocabulary.start(), vocabulary.layout(), SEED_RATE)
-    found = [w for t in _seed(docs.filter(F.col("fold") != HELD_OUT)) for w in tokens(t)]
+    found = [w for t, last in _seed(docs.filter(F.col("fold") != HELD_OUT)) for w in tokens(t)[: None if last else -1]]
     if found:
         distinct = list(dict.fromkeys(found))
         number = dict(zip(distinct, vocabulary.numbered(np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64).view(np.int64), np.array([tail_class(w) for w in distinct]))))
