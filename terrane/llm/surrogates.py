@@ -3,7 +3,10 @@
 Replacements are permutations: an entity, normalised so that its spellings agree, is a number below the size of its format's domain,
 and a keyed permutation without fixed points moves it: P(P'(v) + 1), where P is a Feistel network and P' its inverse, is one cycle over
 the whole domain. So equal entities always get equal surrogates (coreference across all documents) and different entities of a format
-different ones (distinctness), without a table of entities. `checked` runs `collisions` on the corpus, for what formats share.
+different ones (distinctness), without a table of entities. Formats don't share surrogates: what tells them apart (kinds of characters,
+country codes, endings) stays. `checked` runs `collisions` on the corpus all the same.
+
+A long entity is permuted in blocks, each under a tweak that takes in the blocks before it, so that the whole is a permutation too.
 
 The key is the caller's secret: who has it can turn surrogates back.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -22,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import chunks, drop, materialise, tidied
+from .shared import chunks, materialise, tidied
 
 ROUNDS = 8
+#: Characters of a block of a long entity.
+BLOCK = 64
 
 _DIGITS = "0123456789"
 _HEX = "0123456789abcdef"
@@ -52,7 +58,7 @@ _NAME = r"[^\W\d_a-zß-öø-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
 #: Kind, pattern with the entity in group 1, and what a text must hold for the pattern to be tried.
 PATTERNS = [
     ("email", r"(?<![\w.+-])([\w.+-]+@[\w-]+(?:\.[\w-]+)+)", "@"),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]+?)\s+-----END", "-----BEGIN"),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----\s++([A-Za-z0-9+/=]++(?:\s++[A-Za-z0-9+/=]++)*+)\s++-----END", "-----BEGIN"),
     ("aws_key", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])", "IA"),
     ("token", r"(?<![A-Za-z0-9])((?:gh[pousr]_|sk-|xox[baprs]-|glpat-)[A-Za-z0-9_-]{16,})", None),
     ("secret", r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_.-]{6,})", None),
@@ -126,13 +132,25 @@ def recast(text: str, kind: str, key: str, hexadecimal: bool = False) -> str:
     alphabet.
     """
     classes = [_HEX if hexadecimal and c.lower() in _HEX else _alphabet(c) for c in text]
+    shape = kind + ":" + "".join(map(_class, classes)) + ":" + "".join(c.lower() for c, a in zip(text, classes) if a is None)
+    if len(text) <= BLOCK:
+        return _recast(text, classes, shape, key)
+    out, chain = [], blake2b(shape.encode(), digest_size=16)
+    for at in range(0, len(text), BLOCK):
+        part = text[at : at + BLOCK]
+        out.append(_recast(part, classes[at : at + BLOCK], f"{kind}:{at}:{chain.hexdigest()}", key))
+        chain.update("".join(c.lower() if a else c for c, a in zip(part, classes[at : at + BLOCK])).encode())
+    return "".join(out)
+
+
+def _recast(text: str, classes: list[str | None], shape: str, key: str) -> str:
+    """A block of recast(): its letters and digits as one number, moved."""
     value, size = 0, 1
     for c, a in zip(text, classes):
         if a:
             value, size = value * len(a) + a.index(c.lower()), size * len(a)
     if size < 2:
         return text
-    shape = kind + ":" + "".join(map(_class, classes)) + ":" + "".join(c.lower() for c, a in zip(text, classes) if a is None)
     out = moved(value, size, shape, key)
     chars = []
     for c, a in zip(reversed(text), reversed(classes)):
@@ -189,12 +207,40 @@ def _ip(text: str, key: str) -> str:
             return str(ipaddress.ip_address(value))
 
 
+#: Country codes of one and of two digits; all others have three. No code begins another.
+_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+
+
 def _phone(text: str, key: str) -> str:
-    """The country code stays; national numbers agree however they are punctuated."""
-    head = re.match(r"\+(\d{1,3})(?=[ .(-])|", text)
-    country, rest = text[: head.end()], text[head.end() :]
-    digits = re.sub(r"\D", "", rest)
-    return country + _like(recast(digits, f"phone{len(digits)}", key), rest)
+    """The country code of an international number stays; numbers agree however they are punctuated, national ones and those with a code."""
+    digits = re.sub(r"\D", "", text)
+    code = country_code(digits) if text.startswith("+") else ""
+    rest = digits[len(code) :]
+    return _like(code + recast(rest, f"phone{len(rest)}", key), text)
+
+
+def _remainder(iban: str) -> int:
+    """A compact IBAN as a number, its head behind, modulo 97: 1 where its check digits hold."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def iban_length(text: str) -> int:
+    """How much of a text that looks like an IBAN is one: the most, ending where a group does, whose check digits hold; 0 if none."""
+    ends = [len(text), *(k for k in range(len(text) - 1, 14, -1) if text[k] == " ")]
+    return next((k for k in ends if 15 <= len(text[:k].replace(" ", "")) <= 34 and _remainder(text[:k].replace(" ", "")) == 1), 0)
+
+
+def _iban(text: str, key: str) -> str:
+    """The country stays, and the check digits hold again; spaces stay where they are."""
+    compact = text.replace(" ", "")
+    inner = recast(compact[4:], "iban" + compact[:2], key)
+    new = iter(f"{compact[:2]}{98 - _remainder(compact[:2] + '00' + inner):02d}{inner}")
+    return "".join(c if c == " " else next(new) for c in text)
 
 
 def _name(part: str, key: str) -> str:
@@ -235,44 +281,58 @@ def surrogate(kind: str, text: str, key: str) -> str:
         while of_hex(new) and not of_hex(text):
             new = recast(new, kind, key)
         return new
-    if kind == "iban":
-        return text[:2] + recast(text[2:], kind + text[:2], key)
-    special = {"card": _card, "ip": _ip, "phone": _phone, "person": _person}.get(kind)
+    special = {"card": _card, "iban": _iban, "ip": _ip, "phone": _phone, "person": _person}.get(kind)
     return special(text, key) if special else recast(text, kind, key)
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, kind) of the entities of a text, in order and without overlap; earlier kinds of PATTERNS win."""
-    digits, secrets, found = _ANY_DIGIT.search(text), _SECRET_HINT.search(text), []
+    digits, secrets = _ANY_DIGIT.search(text), _SECRET_HINT.search(text)
+    starts, stops, found = [], [], []  # in order of place
     for kind, pattern, hint in _COMPILED:
         if hint and hint not in text or kind in _NEEDS_DIGIT and not digits or kind in ("token", "secret") and not secrets:
             continue
         at = 0
         while m := pattern.search(text, at):
             a, b = m.span(1)
-            if kind == "card" and not is_card(m[1]):
-                at = b
+            if kind == "iban":
+                b = a + iban_length(m[1])
+            if kind == "card" and not is_card(m[1]) or a == b:
+                at = m.end(1) if kind == "card" else m.start() + 1
                 continue
-            taken = [y for x, y, _ in found if a < y and x < b]
-            if not taken:
-                found.append((a, b, kind))
-            at = max(m.start() + 1, *taken) if taken else max(b, m.start() + 1)  # behind what is taken, the pattern may match anew
-    return sorted(found)
+            first, behind = bisect_right(stops, a), bisect_right(starts, b - 1)
+            if first >= behind:
+                for column, x in ((starts, a), (stops, b), (found, (a, b, kind))):
+                    column.insert(first, x)
+                at = max(b, m.start() + 1)
+            else:
+                at = max(m.start() + 1, stops[behind - 1])  # behind what is taken, the pattern may match anew
+    return found
+
+
+_WORD = re.compile(r"\w+")
 
 
 def mentions(text: str) -> list[tuple[int, int, str]]:
-    """What detect() finds, and the further places of the persons it found by a part of their name alone."""
+    """What detect() finds, and the further places of the persons it found by a part of their name alone (words, or two with a hyphen)."""
     found = detect(text)
     parts = {p for a, b, kind in found if kind == "person" for p in text[a:b].split(" ")}
     if parts:
-        alone = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)")
         taken = iter([*found, (len(text), len(text), "")])
-        now, more = next(taken), []
-        for m in alone.finditer(text):
-            while now[1] <= m.start():
-                now = next(taken, (len(text) + 1, len(text) + 1, ""))
-            if m.end() <= now[0]:
-                more.append((*m.span(), "person"))
+        now, more, joined = next(taken), [], any("-" in p for p in parts)
+        words = _WORD.finditer(text)
+        m = next(words, None)
+        while m:
+            a, b = m.span()
+            behind = next(words, None)
+            if joined and behind and behind.start() == b + 1 and text[b] == "-" and text[a : behind.end()] in parts:
+                b, behind = behind.end(), next(words, None)
+            if text[a:b] in parts:
+                while now[1] <= a:
+                    now = next(taken, (len(text) + 1, len(text) + 1, ""))
+                if b <= now[0]:
+                    more.append((a, b, "person"))
+            m = behind
         found = sorted(found + more)
     return found
 
@@ -322,24 +382,22 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
 
 
 def collisions(replaced: DataFrame, entities: str = "_entities") -> DataFrame:
-    """Surrogates of one kind that stand for several entities (spellings without case, and numbers without punctuation, are one)."""
-    plain = lambda c: F.when(F.col("e.kind").isin("card", "phone"), F.regexp_replace(c, r"\D", "")).otherwise(F.lower(c))
+    """Surrogates of one kind that stand for several entities (spellings without case, and numbers without punctuation, are one; an
+    international number isn't a national one)."""
+    bare = lambda c: F.when(F.col("e.kind") == "phone", F.regexp_replace(c, r"[^\d+]", "")).when(F.col("e.kind") == "card", F.regexp_replace(c, r"\D", "")).when(F.col("e.kind") == "iban", F.replace(c, F.lit(" "), F.lit("")))
+    plain = lambda c: bare(c).otherwise(F.lower(c))
     made = replaced.select(F.explode(entities).alias("e")).select("e.kind", plain("e.entity").alias("entity"), plain("e.surrogate").alias("surrogate"))
     return made.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).filter("a <> b")
 
 
-def checked(docs: DataFrame, key: str, attempts: int = 8) -> DataFrame:
-    """with_surrogates, written to the shared folder and free of collisions; where there are some, all is done again with a derived key.
-
-    Distinct entities of a format never collide; those that differ in how they part country code and number can, by rare chance.
-    """
-    added = added_column(docs)
-    for k in range(attempts):
-        done = materialise(with_surrogates(docs, f"{key}/{k}" if k else key), "surrogates")
-        if collisions(done, added).isEmpty():
-            return done
-        drop(done)
-    raise RuntimeError(f"surrogates collide under {attempts} keys")
+def checked(docs: DataFrame, key: str) -> DataFrame:
+    """with_surrogates, written to the shared folder, and held to be free of collisions: a surrogate that two entities share is an error, as
+    each format is permuted in a range of its own."""
+    done = materialise(with_surrogates(docs, key), "surrogates")
+    shared = collisions(done, added_column(docs)).select("kind").limit(1).collect()
+    if shared:
+        raise RuntimeError(f"surrogates of kind {shared[0]['kind']} collide")
+    return done
 
 
 @tidied
