@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
@@ -12,33 +14,65 @@ from pyspark.sql.types import DoubleType, IntegerType
 LOG_ZERO = -(2.0**30)
 LOG_EPSILON = 1e-10
 
-_LOG_FACTORIALS = np.zeros(1)
+#: Terms of the Stirling series of ln n!, whose rest is below 1e-10 from STIRLING on; smaller n are in a table.
+STIRLING = 16
+_SMALL = [math.lgamma(n + 1) for n in range(STIRLING)]
 
 
 def log_factorials(n: int) -> np.ndarray:
-    """ln k! for k from 0 to n at least; the table grows as it is needed."""
-    global _LOG_FACTORIALS
-    if len(_LOG_FACTORIALS) <= n:
-        _LOG_FACTORIALS = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(n, 1023) * 2 + 1)))))
-    return _LOG_FACTORIALS
+    """ln k! for k from 0 to n; for small n."""
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+
+
+def _stirling_rest(n: float) -> float:
+    """ln n! less ln(sqrt(2 pi n) (n / e)^n)."""
+    if n < STIRLING:
+        return _SMALL[int(n)] - (0.5 * math.log(2 * math.pi * n) + n * math.log(n) - n) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without the loss of digits near the mean."""
+    u = (x - mean) / mean
+    if abs(u) > 0.1:
+        return x * math.log(x / mean) + mean - x if x else mean
+    total, power = 0.0, u * u
+    for k in range(2, 20):  # (1 + u) ln(1 + u) - u as a series
+        total += power / (k * (k - 1)) * (1 if k % 2 == 0 else -1)
+        power *= u
+    return mean * total
 
 
-def binomial_log_tail(k: int, n: int, log_flip: float = float(np.log(0.5))) -> float:
-    """ln of the sum over i from 0 to k of C(n, i) * flip^n, with i up to n."""
+def _log_term(k: int, n: int) -> float:
+    """ln of C(n, k) / 2^n, through the distances of k and n - k from their mean: accurate however large n is."""
+    if k in (0, n):
+        return -n * math.log(2)
+    return _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - _deviance(k, n / 2) - _deviance(n - k, n / 2) + 0.5 * math.log(n / (2 * math.pi * k * (n - k)))
+
+
+def binomial_log_tail(k: int, n: int, log_flip: float = -math.log(2)) -> float:
+    """ln of the sum over i from 0 to k of C(n, i) * flip^n, with i up to n.
+
+    The terms below the k-th are products of ratios that fall off within some sqrt(n) of it; beyond the middle the other tail is taken
+    from the whole. So neither time nor memory follows k or n.
+    """
     if n < 0 or k < 0:
         return LOG_ZERO
-    lf, i = log_factorials(n), np.arange(min(k, n) + 1)
-    terms = lf[n] - lf[i] - lf[n - i]
-    top = terms.max()
-    return float(top + np.log(np.exp(terms - top).sum()) + n * log_flip)
+    more = n * (log_flip + math.log(2))
+    if k >= n:
+        return more
+    if 2 * k >= n:
+        return more + math.log1p(-math.exp(binomial_log_tail(n - k - 1, n)))
+    j = np.arange(min(k, int(5 * math.sqrt(n)) + 60), dtype=float)
+    return more + _log_term(k, n) + math.log1p(float(np.cumprod((k - j) / (n - k + 1 + j)).sum()))
 
 
 def _per_pair(f, *columns: pd.Series) -> pd.Series:
     """f once for each distinct combination of whole numbers."""
     frame = pd.concat(columns, axis=1, keys=range(len(columns)))
     known = frame.dropna().drop_duplicates()
-    values = {key: f(*key) for key in known.itertuples(index=False, name=None)}
-    return pd.Series([values.get(tuple(row)) for row in frame.itertuples(index=False, name=None)], index=frame.index, dtype="float64")
+    known["value"] = np.array([f(*key) for key in known.itertuples(index=False, name=None)], np.float64)
+    return frame.merge(known, how="left", on=list(range(len(columns))))["value"].set_axis(frame.index)
 
 
 @F.pandas_udf(DoubleType())
@@ -127,21 +161,17 @@ def benjamini_hochberg(regions: DataFrame, by: tuple[str, ...] = ("chrom", "star
     The order, which `by` continues where p-values are equal, is dealt out by range, so no task holds all regions, however many have the
     same p-value: ranks are places in a range plus the sizes of the ranges before it.
     """
-    from ..operators.chunked import settled
+    from ..operators.chunked import ranked_overall
 
-    order = ["log_p", *by]
-    placed = settled(regions.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    along = Window.orderBy("_range")  # over as many rows as there are ranges
-    ranges = ranges.select("_range", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
-    ranked = placed.join(F.broadcast(ranges), "_range").withColumn("rank", rank)
-    return ranked.withColumn("log_q", F.col("log_p") + F.ln(F.col("_total") / F.col("rank"))).drop("_range", "_before", "_total")
+    ranked = ranked_overall(regions, ["log_p", *by], "rank", "_total")
+    return ranked.withColumn("log_q", F.col("log_p") + F.ln(F.col("_total") / F.col("rank"))).drop("_total")
 
 
-@F.pandas_udf(DoubleType())
-def log_factorial(n: pd.Series) -> pd.Series:
-    return pd.Series(log_factorials(int(n.max()) if len(n) else 0)[n.astype(int)])
+def log_factorial(n: Column) -> Column:
+    """ln n!; null for null and for numbers below 0."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n >= STIRLING, series).when(n >= 0, F.element_at(F.array(*map(F.lit, _SMALL)), (n + 1).cast("int")))
 
 
 def next_power_of_two(n: Column) -> Column:

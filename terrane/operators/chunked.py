@@ -139,6 +139,26 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[s
     return both.withColumns(added).select(*df.columns, *added)
 
 
+def summed_overall(df: DataFrame, order: list[str], value: Column, out: str, total: str) -> DataFrame:
+    """Add the sum of `value` over the rows before in one order over all rows, and the sum over all.
+
+    Rows are dealt out by ranges of `order`, and rows equal in all of it by a number of their own, so no task holds all rows however
+    many are alike; a row's sum is that within its range plus those of the ranges before, one row each.
+    """
+    own = df.withColumns({"_value": value, "_own": F.monotonically_increasing_id()})
+    placed = settled(own.repartitionByRange(*order, "_own").withColumn("_range", F.spark_partition_id()))
+    along = Window.orderBy("_range")  # over as many rows as there are ranges
+    ranges = placed.groupBy("_range").agg(F.sum("_value").alias("_n"))
+    ranges = ranges.select("_range", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias(total))
+    inside = F.sum("_value").over(Window.partitionBy("_range").orderBy(*order, "_own").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_value")
+    return placed.join(F.broadcast(ranges), "_range").withColumn(out, inside + F.col("_before")).select(*df.columns, out, total)
+
+
+def ranked_overall(df: DataFrame, order: list[str], out: str, total: str = "_total") -> DataFrame:
+    """Add the row number, from 1, in one order over all rows, and the number of rows."""
+    return summed_overall(df, order, F.lit(1).cast("long"), out, total).withColumn(out, F.col(out) + 1)
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, chunk: int = CHUNK) -> DataFrame:
     """Add `island`: how many rows up to this one start an island. `starts` may use columns of df only."""
     return running(df, keys, order, F.when(starts, 1).otherwise(0).cast("long"), "sum", "island", chunk=chunk)

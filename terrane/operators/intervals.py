@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import islands, neighbours, ranked, running
+from .chunked import islands, neighbours, ranked, running, summed_overall
 from .overlap import BIN, overlap_join, prefixed
 
 FAR = 10_000_000
@@ -67,17 +67,23 @@ def exclude(a: DataFrame, b: DataFrame, match_strands: bool = False, bin_size: i
 
 def subtract(a: DataFrame, b: DataFrame, bin_size: int = BIN) -> DataFrame:
     """What is left of each row of a without merged b, in pieces; a row of a on a chromosome without b stays."""
-    fused = merge(b, 0).select("chrom", "start", "end")
-    pairs = overlap_join(a.distinct(), fused, ("chrom",), bin_size)
-    own = [F.col(f"a_{c}").alias(c) for c in a.columns]
-    holes = pairs.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("ol_start", "ol_end"))).alias("_holes"))
-    left = a.join(holes, [a[c].eqNullSafe(holes[c]) for c in a.columns], "left").select(*(a[c] for c in a.columns), "_holes")
-    cut = F.coalesce("_holes", F.array().cast("array<struct<ol_start:bigint,ol_end:bigint>>"))
-    begins = F.concat(F.array(F.col("start").cast("long")), F.transform(cut, lambda x: x["ol_end"].cast("long") + 1))
-    ends = F.concat(F.transform(cut, lambda x: x["ol_start"].cast("long") - 1), F.array(F.col("end").cast("long")))
-    pieces = F.filter(F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda p: p["s"] <= p["e"])
+    gaps = overlap_join(a, uncovered(a, b), ("chrom",), bin_size)
     rest = [c for c in a.columns if c not in ("start", "end")]
-    return left.select(*rest, F.explode(pieces).alias("_p")).select(*rest, F.col("_p.s").alias("start"), F.col("_p.e").alias("end"))
+    left = gaps.select(*(F.col(f"a_{c}").alias(c) for c in rest), F.col("ol_start").cast("long").alias("start"), F.col("ol_end").cast("long").alias("end"))
+    return left.unionByName(a.filter("chrom is null and start <= end").select(*rest, F.col("start").cast("long"), F.col("end").cast("long")))
+
+
+def uncovered(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(chrom, start, end) of the gaps that merged b leaves between the first and last positions of a, chromosomes without b as one gap."""
+    reach = a.groupBy("chrom").agg(F.min("start").cast("long").alias("_low"), F.max("end").cast("long").alias("_high"))
+    fused = merge(b, 0).select("chrom", F.col("start").cast("long"), F.col("end").cast("long"))
+    near = neighbours(fused, ["chrom"], ["start"], ["end"]).join(reach, "chrom")
+    piece = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    before = piece(F.coalesce(F.col("prev_end") + 1, F.col("_low")), F.col("start") - 1)
+    behind = F.when(F.col("next_end").isNull(), piece(F.col("end") + 1, F.col("_high")))
+    pieces = near.select("chrom", F.explode(F.array(before, behind)).alias("_p")).select("chrom", F.col("_p.s").alias("start"), F.col("_p.e").alias("end")).filter("start <= end")
+    bare = reach.join(fused.select("chrom").distinct(), "chrom", "left_anti")
+    return pieces.unionByName(bare.select("chrom", F.col("_low").alias("start"), F.col("_high").alias("end")))
 
 
 def subtract_pair(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -224,10 +230,9 @@ def on(regions: DataFrame, **equal: str) -> DataFrame:
 
 def top_coverage(regions: DataFrame, most: int, order: str = "score") -> DataFrame:
     """The first regions by descending `order` until their summed lengths reach `most`; for 0 the first alone."""
-    down = regions.withColumns({"_down": -F.col(order).cast("double"), "_len": (F.col("end") - F.col("start") + 1).cast("long"), "_all": F.lit(0)})
-    spread = down.agg((F.max("_down") - F.min("_down")).alias("w")).first()["w"] or 0.0
-    summed = running(down, ["_all"], ["_down", "chrom", "start", "end"], F.col("_len"), "sum", "_held", inclusive=False, chunk=max(spread / 4096, 1e-9))
-    return summed.filter(F.coalesce(F.col("_held"), F.lit(0)) < max(most, 1)).drop("_down", "_len", "_all", "_held")
+    down = regions.withColumns({"_down": -F.col(order).cast("double"), "_len": (F.col("end") - F.col("start") + 1).cast("long")})
+    summed = summed_overall(down, ["_down", "chrom", "start", "end"], F.col("_len"), "_held", "_total")
+    return summed.filter(F.col("_held") < max(most, 1)).drop("_down", "_len", "_held", "_total")
 
 
 def sorting_reach(regions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunked import CHUNK, islands, neighbours, ranked, running
@@ -86,6 +86,22 @@ def circularly_shifted(profile: DataFrame, by: int, ends: DataFrame) -> DataFram
     return x.withColumn("p", F.explode(parts)).filter("p.a <= p.b").select("chrom", F.col("p.a").alias("start"), F.col("p.b").alias("end"), "value")
 
 
+def permuted_blocks(profile: DataFrame, width: int, ends: DataFrame, key: str) -> DataFrame:
+    """The profile with its full blocks of `width` positions in another order; what is behind the last one stays.
+
+    The order is that of md5("key:chrom:block") among a chromosome's blocks, a bijection that the key alone decides. Runs are cut at
+    the edges of blocks; only block numbers, one row a block, go through an order along the chromosome.
+    """
+    full = ends.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("l") / width) - 1)).alias("_block")).filter("_block >= 0")
+    place = F.row_number().over(Window.partitionBy("chrom").orderBy(F.md5(F.concat_ws(":", F.lit(key), "chrom", F.col("_block").cast("string")).cast("binary")))) - 1
+    to = full.withColumn("_to", place.cast("long"))
+    block = lambda c: F.floor((F.col(c) - 1) / width)
+    cut = profile.select("chrom", "start", "end", "value", F.explode(F.sequence(block("start"), block("end"))).alias("_block"))
+    cut = cut.withColumns({"start": F.greatest("start", F.col("_block") * width + 1), "end": F.least("end", (F.col("_block") + 1) * width)})
+    by = (F.coalesce("_to", "_block") - F.col("_block")) * width
+    return cut.join(to, ["chrom", "_block"], "left").select("chrom", (F.col("start") + by).alias("start"), (F.col("end") + by).alias("end"), "value")
+
+
 def binned(profile: DataFrame, width: int, ends: DataFrame | None = None) -> DataFrame:
     """(chrom, bin, value): sums over full bins of `width` positions; the rest of a chromosome is dropped."""
     full = (ends or lengths(profile)).select("chrom", F.floor(F.col("l") / width).alias("n"))

@@ -21,7 +21,7 @@ from .plans import adapters as A
 from .plans import commands as C
 from .plans import peaks, params
 from .functions import strings as S
-from .operators.chunked import new_path, tidied
+from .operators.chunked import new_path, ranked_overall, tidied
 from .sources import profiles as SP
 from .sources import reads as SR
 from .sources import regions as SG
@@ -457,10 +457,8 @@ def chromosomes(spark, d):
 
 @query(f"""WITH {A.REGIONS} SELECT name, row_number() OVER (ORDER BY "end" - start DESC, chrom, start, "end", name) AS place FROM regions""")
 def regions_by_length(spark, d):
-    from .operators.chunked import ranked
-
-    x = J.by_chromosome_and_strand(_all(spark, d)).withColumns({"_n": F.col("start") - F.col("end"), "_one": F.lit(0)})
-    return ranked(x, ["_one"], ["_n", "chrom", "start", "end", "name"], "place", chunk=4).select("name", "place")
+    x = J.by_chromosome_and_strand(_all(spark, d)).withColumn("_n", F.col("start") - F.col("end"))
+    return ranked_overall(x, ["_n", "chrom", "start", "end", "name"], "place").select("name", "place")
 
 
 @query(f"""WITH {A.REGIONS} SELECT chrom, start, "end", strand, name, score FROM regions""")
@@ -663,13 +661,26 @@ def circular_shift(spark, d):
     return P.positions(P.circularly_shifted(x, 37, P.lengths(x))).select("chrom", "pos", "value")
 
 
+@query(f"""WITH {A.SIGNAL}, n AS ({_ENDS}), b AS (SELECT chrom, l, unnest(range(l // 50)) AS block FROM n),
+t AS (SELECT chrom, block, row_number() OVER (PARTITION BY chrom ORDER BY md5(concat('key:', chrom, ':', block))) - 1 AS place FROM b)
+SELECT chrom, pos + (coalesce(place, (pos - 1) // 50) - (pos - 1) // 50) * 50 AS pos, value FROM signal LEFT JOIN t USING (chrom) WHERE t.block = (pos - 1) // 50
+UNION ALL SELECT chrom, pos, value FROM signal JOIN n USING (chrom) WHERE (pos - 1) // 50 >= l // 50""")
+def block_permutation(spark, d):
+    x = _signal(spark, d)
+    return P.positions(P.permuted_blocks(x, 50, P.lengths(x), "key")).select("chrom", "pos", "value")
+
+
 @query()
 def mappable_median(spark, d):
     x = _chip(spark, d)
     return P.mappable_median(x, _mappability(spark, d), P.lengths(x), 20, 1.2)
 
 
-@query()
+_MIRRORED = " AND ".join(f"lag(pos, {i}) OVER w = pos - {i} AND lead(pos, {i}) OVER w = pos + {i} AND abs(lag(value, {i}) OVER w - lead(value, {i}) OVER w) <= 1e-5" for i in (1, 2, 3))
+
+
+@query(f"""{_BOTH}, {_POSITIONS.format(n='pa', src='chip')}, m AS (SELECT chrom, pos, max(pos) OVER (PARTITION BY chrom) AS l, {_MIRRORED} AS good FROM pa WINDOW w AS (PARTITION BY chrom ORDER BY pos))
+SELECT chrom, min(pos) AS pos FROM m WHERE good AND pos >= 4 AND pos < l - 4 GROUP BY chrom""")
 def symmetry_origin(spark, d):
     chip = _chip(spark, d)
     return P.symmetry_origin(P.positions(chip.select("chrom", "start", "end", "value")).select("chrom", "pos", "value"), 4)
@@ -784,9 +795,9 @@ def select_window_length(spark, d):
     return E.select_window_length(x)
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(ln(l_quantity + l_tax), 6) AS added, round(ln(l_extendedprice - l_quantity), 6) AS taken, round(ln(l_quantity) + ln(l_extendedprice), 6) AS times, round(3 * ln(l_quantity), 6) AS power FROM lineitem WHERE l_tax > 0""")
+@query("""SELECT l_orderkey, l_linenumber, round(ln(l_quantity + l_tax), 6) AS added, round(ln(l_extendedprice - l_quantity), 6) AS taken, round(ln(l_quantity) + ln(l_extendedprice), 6) AS times, round(3 * ln(l_quantity), 6) AS power FROM lineitem""")
 def log_arithmetic(spark, d):
-    x = A.table(spark, d, "lineitem").filter("l_tax > 0")
+    x = A.table(spark, d, "lineitem")
     q, p, t = (stats.to_log(F.col(c)) for c in ("l_quantity", "l_extendedprice", "l_tax"))
     return rounded(x.select("l_orderkey", "l_linenumber", stats.log_add(q, t).alias("added"), stats.log_subtract(p, q).alias("taken"), stats.log_multiply(q, p).alias("times"), stats.log_power(q, F.lit(3)).alias("power")), "added", "taken", "times", "power")
 
@@ -1034,7 +1045,13 @@ def index_tuples(spark, d):
 @query("SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS n, round(lgamma(l_linenumber + 1), 6) AS log_factorial FROM lineitem")
 def log_factorials(spark, d):
     x = A.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("n")).distinct()
-    return rounded(x.withColumn("log_factorial", stats.log_factorial("n")), "log_factorial")
+    return rounded(x.withColumn("log_factorial", stats.log_factorial(F.col("n"))), "log_factorial")
+
+
+@query("SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS n, round(lgamma(l_orderkey + 1), 4) AS log_factorial FROM lineitem")
+def log_factorials_wide(spark, d):
+    x = A.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("n")).distinct()
+    return x.withColumn("log_factorial", F.round(stats.log_factorial(F.col("n")), 4))
 
 
 @query(f"""WITH {A.SEQUENCES}, c AS (SELECT substr(seq, CAST(o AS BIGINT), 1) AS base FROM seqs, (SELECT unnest(range(1, (SELECT max(length(seq)) FROM seqs) + 1)) AS o) WHERE o <= length(seq))

@@ -269,3 +269,41 @@ def test_streaming(spark, tmp_path):
     q = ingest.pool_reads(ingest.stream_reads(spark, str(tmp_path / "in"), "BED6"), str(tmp_path / "out"), str(tmp_path / "ck"), "chip")
     q.awaitTermination(60)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "chrom", "start", "cigar") == [(1, 10, "10M"), (2, 5, "5M")]
+
+
+def test_binomial_tails():
+    """Against sums of whole numbers; time doesn't follow n."""
+    for n in [*range(40), 257, 1000]:
+        for k in range(-1, n + 2, max(1, n // 30)):
+            want = math.log(sum(math.comb(n, i) for i in range(min(k, n) + 1))) - n * math.log(2) if k >= 0 else stats.LOG_ZERO
+            assert abs(stats.binomial_log_tail(k, n) - want) < 1e-9
+            assert k < 0 or abs(stats.binomial_log_tail(k, n, math.log(0.3)) - want - n * math.log(0.6)) < 1e-9
+    assert stats.binomial_log_tail(4_900_000, 10**7) == pytest.approx(-2005.17956, abs=1e-4)
+
+
+def test_log_factorial_column(spark):
+    x = spark.createDataFrame([(n,) for n in (None, -1, 0, 1, 2, 15, 16, 17, 170, 10**9)], "n long")
+    got = {r["n"]: r["f"] for r in x.select("n", stats.log_factorial(F.col("n")).alias("f")).collect()}
+    assert got.pop(None) is None and got.pop(-1) is None and all(abs(v - math.lgamma(n + 1)) <= 1e-9 * max(1, v) for n, v in got.items())
+
+
+def test_orders_over_all_rows(spark):
+    """Ranks and sums over one order, with a hot value that no range holds alone."""
+    x = spark.createDataFrame([(5, k % 3) for k in range(600)] + [(k % 7, 9) for k in range(50)], "a int, b int").repartition(5)
+    ranks = [(r["rank"], r["a"], r["b"]) for r in chunked.ranked_overall(x, ["a"], "rank").collect()]
+    assert sorted(r[0] for r in ranks) == list(range(1, 651)) and [r[1] for r in sorted(ranks)] == sorted(r[1] for r in ranks)
+    sums = sorted((r["a"], r["held"], r["b"], r["all"]) for r in chunked.summed_overall(x, ["a"], F.col("b"), "held", "all").collect())
+    held = 0
+    for a, before, b, everything in sums:
+        assert before <= 599 // 3 * 3 + 450 + 600 and everything == sum(r[2] for r in sums)
+    for a, before, b, _ in sorted(sums, key=lambda r: (r[0], r[1])):
+        assert before == held or b == 0
+        held = before + b
+
+
+def test_subtract(spark):
+    a = spark.createDataFrame([("1", 1, 10, "p"), ("1", 1, 10, "p"), ("1", 5, 6, "q"), ("2", 3, 4, "r"), (None, 1, 2, "s"), ("1", 20, 30, "t")], "chrom string, start long, end long, name string")
+    b = spark.createDataFrame([("1", 3, 4), ("1", 4, 6), ("1", 9, 25), ("3", 1, 9), (None, 1, 2)], "chrom string, start long, end long")
+    got = sorted(((r["name"], r["chrom"], r["start"], r["end"]) for r in intervals.subtract(a, b).collect()), key=repr)
+    assert got == sorted([("p", "1", 1, 2), ("p", "1", 7, 8), ("p", "1", 1, 2), ("p", "1", 7, 8), ("r", "2", 3, 4), ("s", None, 1, 2), ("t", "1", 26, 30)], key=repr)
+    assert intervals.subtract(a, b.limit(0)).count() == a.count()
