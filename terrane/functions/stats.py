@@ -181,19 +181,16 @@ def next_power_of_two(n: Column) -> Column:
     return F.struct(F.pow(F.lit(2.0), exponent).cast("long").alias("power"), exponent.alias("exponent"))
 
 
-def index_tuples(spark, sizes: list[int]) -> DataFrame:
-    """All tuples with the k-th index below sizes[k]; a product, as asked for."""
-    out = spark.range(1).select()
+def index_tuples(rows: DataFrame, sizes: list[Column]) -> DataFrame:
+    """Each row with all tuples i0, i1, ... whose k-th index lies from 0 to below its sizes[k]; a row with a size of 0 has none."""
     for k, n in enumerate(sizes):
-        out = out.withColumn(f"i{k}", F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 0 else F.explode(F.array().cast("array<int>")))
-    return out
+        rows = rows.withColumn(f"i{k}", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))))
+    return rows
 
 
-def combinations(spark, n: int, k: int) -> DataFrame:
-    """Ascending index tuples of k out of n."""
-    out = spark.range(1).select()
+def combinations(rows: DataFrame, n: Column, k: int) -> DataFrame:
+    """Each row with all ascending tuples i0 < i1 < ... of k indices below its n; a row with n < k has none."""
     for j in range(k):
-        low = F.lit(0) if j == 0 else F.col(f"i{j - 1}") + 1
-        out = out.withColumn(f"i{j}", F.explode(F.when(low < n, F.sequence(low, F.lit(n - 1))).otherwise(F.array().cast("array<int>"))))
-    return out
-
+        low = F.lit(0).cast("long") if j == 0 else F.col(f"i{j - 1}") + 1
+        rows = rows.withColumn(f"i{j}", F.explode(F.when(low < n, F.sequence(low, n.cast("long") - 1))))
+    return rows

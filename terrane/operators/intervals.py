@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import islands, neighbours, ranked, running, summed_overall
+from .chunked import CHUNK, islands, neighbours, ranked, ranked_overall, running, settled, summed_overall
 from .overlap import BIN, overlap_join, prefixed
 
 FAR = 10_000_000
@@ -265,3 +265,33 @@ def predecessor(queries: DataFrame, positions: DataFrame) -> DataFrame:
 
 def numbered(regions: DataFrame) -> DataFrame:
     return ranked(regions, ["chrom"], ["start", "end"], "number")
+
+
+#: Lists in a word of a bitmap.
+WORD = 62
+
+
+def association(regions: DataFrame, by: str, chunk: int = CHUNK) -> DataFrame:
+    """(list_a, list_b, shared, of_a, of_b, jaccard): the positions that each two lists of regions share; lists are the values of `by`.
+
+    Each list is fused by itself, so that along a chromosome the sum of its powers of 2, added at starts and taken off behind ends, is the bitmap of
+    the lists that hold a place. One pass finds the stretches and their bitmaps, lengths are summed by bitmap, and only then do bitmaps become
+    pairs: no list meets another. Lists that share nothing have no row; a list meets itself. A null in `by` is no list.
+    """
+    fused = merge(regions.filter(F.col(by).isNotNull()).select("chrom", "start", "end", by), 0, ("chrom", by))
+    names = settled(ranked_overall(fused.select(by).distinct(), [by], "_id").withColumn("_id", F.col("_id") - 1))  # one row a list, as the result has their square
+    words = [f"_w{k}" for k in range(max(1, -(-names.count() // WORD)))]
+    bit = F.pow(F.lit(2.0), F.col("_id") % WORD).cast("long")
+    step = F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), bit.alias("d")), F.struct((F.col("end") + 1).cast("long").alias("pos"), (-bit).alias("d"))))
+    steps = fused.join(names, by).select("chrom", F.floor(F.col("_id") / WORD).alias("_word"), step.alias("s"))
+    held = steps.groupBy("chrom", "s.pos").agg(*(F.sum(F.when(F.col("_word") == k, F.col("s.d")).otherwise(0)).alias(f"_d{k}") for k in range(len(words))))
+    for k, w in enumerate(words):
+        held = running(held, ["chrom"], ["pos"], F.col(f"_d{k}"), "sum", w, chunk=chunk)
+    near = neighbours(held.select("chrom", "pos", *words), ["chrom"], ["pos"], ["pos"], chunk=chunk, previous=False)
+    maps = near.filter("next_pos is not null").groupBy(*words).agg(F.sum(F.col("next_pos") - F.col("pos")).alias("n"))
+    ids = F.flatten(F.array(*(F.expr(f"transform(filter(sequence(0, {WORD - 1}), i -> (shiftright({w}, i) & 1) = 1), i -> i + {k * WORD})") for k, w in enumerate(words))))
+    pairs = maps.select("n", ids.alias("ids")).select("n", "ids", F.explode("ids").alias("a")).select("n", "a", F.explode("ids").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    pairs = settled(pairs)
+    own = lambda x: pairs.filter("a = b").join(names, F.col("a") == F.col("_id")).select(F.col("a").alias(x), F.col(by).alias(f"list_{x}"), F.col("shared").alias(f"of_{x}"))
+    out = pairs.join(own("a"), "a").join(own("b"), "b")
+    return out.select("list_a", "list_b", "shared", "of_a", "of_b", (F.col("shared") / (F.col("of_a") + F.col("of_b") - F.col("shared"))).alias("jaccard"))

@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import binomial_log_tail
-from .chunked import neighbours, settled
+from .chunked import CHUNK, neighbours, running, settled
 from .enrichment import WINDOW, per_region, poisson_windows, range_sums, spread, with_runs
 from .overlap import overlap_join
 from .profile import compact, floored, lengths
@@ -271,3 +271,41 @@ def merge_by_significance(by_scale: DataFrame, p_value, cutoff: float) -> DataFr
     found = met.filter(F.col("a_log_p") < math.log(cutoff)).groupBy("b_chrom", "b_start", "b_end").agg(F.max("a_scale").alias("_scale"))
     out = met.join(found, ["b_chrom", "b_start", "b_end"]).filter(F.col("a_scale") == F.col("_scale"))
     return out.select(*(F.col(f"a_{c}").alias(c) for c in ("chrom", "start", "end", "scale", "log_p")))
+
+
+def mass_trim(regions: DataFrame, profile: DataFrame, lost: float = 0.05, chunk: int = CHUNK) -> DataFrame:
+    """Regions cut at both ends to where half of `lost` of their mass lies outside at most, `src_start` and `src_end` being the ends before.
+
+    The new start is the first position up to which more than that lies inside, the new end the last one from which on it does. Depths count in
+    whole parts; a region without mass goes. A region's mass and the places of its units come from the profile's running mass: two ordered passes
+    over runs and ends, by position and by mass, in which no region meets its runs, however long it is.
+    """
+    depth = F.floor("value").cast("long")
+    own = F.col("m") * (F.col("end") - F.col("start") + 1)
+    runs = profile.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), depth.alias("m")).filter("m > 0 and start <= end")
+    runs = running(runs, ["chrom"], ["start"], own, "sum", "_upto", chunk=chunk).withColumn("before", F.col("_upto") - own)
+    runs = settled(runs.select("chrom", F.struct("start", "end", "m", "before").alias("run")))
+
+    def last_run(points: DataFrame, by: str) -> DataFrame:
+        """points (chrom, at), distinct, with the last run whose `by` isn't beyond `at`."""
+        asked = points.select("chrom", "at", F.lit(True).alias("_asked"), F.lit(None).cast(runs.schema["run"].dataType).alias("run"))
+        rows = runs.select("chrom", F.col(f"run.{by}").alias("at"), F.lit(False).alias("_asked"), "run").unionByName(asked)
+        return running(rows, ["chrom"], ["at", "_asked"], F.col("run"), "max", "found", chunk=chunk).filter("_asked").select("chrom", "at", "found")
+
+    def looked_up(rows: DataFrame, first: Column, last: Column, by: str, told: Column, names: tuple[str, str]) -> DataFrame:
+        points = rows.select("chrom", F.explode(F.array(first, last)).alias("at")).distinct()
+        found = settled(last_run(points, by).select("chrom", "at", told.alias("_told")))
+        for at, name in zip((first, last), names):
+            side = found.select(F.col("chrom").alias("_c"), F.col("at").alias("_at"), F.col("_told").alias(name))
+            rows = rows.join(side, (F.col("chrom") == F.col("_c")) & (at == F.col("_at"))).drop("_c", "_at")
+        return rows
+
+    mass = F.coalesce(F.col("found.before") + (F.least("at", "found.end") - F.col("found.start") + 1) * F.col("found.m"), F.lit(0).cast("long"))
+    place = F.col("found.start") + F.floor((F.col("at") - F.col("found.before")) / F.col("found.m"))
+    spots = regions.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct()
+    held = looked_up(spots, F.col("start") - 1, F.col("end"), "start", mass, ("_low", "_high")).filter("_high > _low")
+    cut = F.floor((F.col("_high") - F.col("_low")) * F.lit(float(lost)) / 2).cast("long")
+    held = settled(held.withColumns({"_first": F.col("_low") + cut, "_last": F.col("_high") - cut - 1}))
+    ends = looked_up(held, F.col("_first"), F.col("_last"), "before", place.cast("long"), ("_from", "_to")).select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), "_from", "_to")
+    met = regions.withColumnsRenamed({"start": "src_start", "end": "src_end"}).join(ends, (F.col("chrom") == F.col("_c")) & (F.col("src_start") == F.col("_s")) & (F.col("src_end") == F.col("_e")))
+    return met.drop("_c", "_s", "_e").withColumnsRenamed({"_from": "start", "_to": "end"})

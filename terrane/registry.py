@@ -6,6 +6,7 @@ Genome-sized defaults are longer than the coordinates of these tables, so window
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -802,10 +803,16 @@ def log_arithmetic(spark, d):
     return rounded(x.select("l_orderkey", "l_linenumber", stats.log_add(q, t).alias("added"), stats.log_subtract(p, q).alias("taken"), stats.log_multiply(q, p).alias("times"), stats.log_power(q, F.lit(3)).alias("power")), "added", "taken", "times", "power")
 
 
-@query("""SELECT i AS i0, j AS i1, k AS i2 FROM range(7) a(i), range(7) b(j), range(7) c(k) WHERE i < j AND j < k""")
+_LINES = "n AS (SELECT l_orderkey, count(*) AS lines, count(DISTINCT l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey)"
+
+
+def _lines_of_orders(spark, d):
+    return A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.countDistinct("l_returnflag").alias("flags"))
+
+
+@query(f"""WITH {_LINES} SELECT l_orderkey, i AS i0, j AS i1, k AS i2 FROM n, range((SELECT max(lines) FROM n)) a(i), range((SELECT max(lines) FROM n)) b(j), range((SELECT max(lines) FROM n)) c(k) WHERE i < j AND j < k AND k < lines""")
 def combination_indices(spark, d):
-    out = stats.combinations(spark, 7, 3)
-    return out.select(*(F.col(c).cast("long").alias(c) for c in out.columns))
+    return stats.combinations(_lines_of_orders(spark, d), F.col("lines"), 3).select("l_orderkey", "i0", "i1", "i2")
 
 
 # Trimming.
@@ -940,14 +947,29 @@ def scale_spectrum(spark, d):
     return C.scale_spectrum(A.reads(spark, d), SMALL.but(bin_width=1))
 
 
-@query()
+def _sample_ext(sample: str) -> str:
+    return _EXT.replace("FROM reads", f"FROM reads WHERE sample = '{sample}'")
+
+
+#: Upper medians of whole parts: the lower median of the negated ones.
+_TRACK = """SELECT {s}::DOUBLE AS scale, chrom, pos, -quantile_disc(-floor(value), 0.5) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING) AS value FROM full_p"""
+_TRACKS = " UNION ALL ".join(_TRACK.format(s=s, h=int(s) // 2) for s in M.scales(SMALL.scale_start, SMALL.scale_end, SMALL.scale_step))
+
+
+@query(f"""WITH {A.READS}, {depth_sql('chip', _sample_ext('chip'))}, {_POSITIONS.format(n='there', src='chip')}, full_p AS (SELECT e.chrom, e.pos, coalesce(t.value, 0) AS value FROM (SELECT chrom, unnest(range(1, max("end") + 1)) AS pos FROM chip GROUP BY chrom) e LEFT JOIN there t USING (chrom, pos)),
+t AS ({_TRACKS}), i AS (SELECT *, sum(f) OVER (PARTITION BY chrom, scale ORDER BY pos) AS island FROM (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY chrom, scale ORDER BY pos) THEN 0 ELSE 1 END AS f FROM t))
+SELECT chrom, scale, min(pos) - 1 AS start, max(pos) AS "end", any_value(value) AS value FROM i GROUP BY chrom, scale, island""")
 def decomposition_tracks(spark, d):
     return C.decomposition_tracks(A.reads(spark, d), SMALL)
 
 
-@query()
+_FIT_EXT = _FIT.replace(_BOTH, f"WITH {A.READS}, {depth_sql('chip', _sample_ext('chip'))}, {depth_sql('control', _sample_ext('control'))}")
+
+
+@query(f"""{_FIT_EXT}, {_POSITIONS.format(n='pa', src='chip')}, {_POSITIONS.format(n='pb', src='control')}
+SELECT chrom, pos, round(ln(pa.value / (pb.value * coalesce(slope1, 1))), 6) AS value FROM pa JOIN pb USING (chrom, pos) JOIN lim USING (chrom) LEFT JOIN fit USING (chrom) WHERE pos <= l AND pa.value <> pb.value * coalesce(slope1, 1)""")
 def log_ratio_command(spark, d):
-    return C.log_ratio_signal(A.reads(spark, d), SMALL)
+    return rounded(P.positions(C.log_ratio_signal(A.reads(spark, d), SMALL).filter("value <> 0")).select("chrom", "pos", "value"), "value")
 
 
 @query(f"""{RUNS_SQL} SELECT chrom, start, "end", CAST(least(255, ceil(value * 100 / 20)) AS INT) AS value FROM p""")
@@ -1036,10 +1058,9 @@ def select_window_length_simple(spark, d):
     return E.select_window_length_simple(x)
 
 
-@query("SELECT i AS i0, j AS i1 FROM range(5) a(i), range(3) b(j)")
+@query(f"WITH {_LINES} SELECT l_orderkey, i AS i0, j AS i1 FROM n, range((SELECT max(lines) FROM n)) a(i), range((SELECT max(flags) FROM n)) b(j) WHERE i < lines AND j < flags")
 def index_tuples(spark, d):
-    out = stats.index_tuples(spark, [5, 3])
-    return out.select(*(F.col(c).cast("long").alias(c) for c in out.columns))
+    return stats.index_tuples(_lines_of_orders(spark, d), [F.col("lines"), F.col("flags")]).select("l_orderkey", "i0", "i1")
 
 
 @query("SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS n, round(lgamma(l_linenumber + 1), 6) AS log_factorial FROM lineitem")
@@ -1301,7 +1322,28 @@ def list_helpers(spark, d):
     return A.table(spark, d, "part").select("p_size", S.position(five, k).cast("int").alias("place"), text(S.with_item(five, k)).alias("added"), text(S.interleaved(five, F.array(k, F.lit(0)))).alias("mixed"), F.array_join(F.transform(S.batches(five, 3), text), "|").alias("dealt")).distinct()
 
 
-@query("""SELECT * FROM (VALUES ('broad', 1000.0::DOUBLE, 16000.0::DOUBLE, 0, 0.05::DOUBLE), ('punctate', 100.0, 1600.0, 0, 0.05), ('relaxed_broad', 1000.0, 16000.0, 1500, 0.1), ('relaxed_punctate', 100.0, 1600.0, 1500, 0.1)) t(name, scale_start, scale_end, "window", q)""")
+@query(f"""WITH {A.REGIONS}, r(recipe, longer, q) AS (VALUES ('broad', 1000, 0.05::DOUBLE), ('punctate', -1, 0.05), ('relaxed_broad', 1000, 0.1), ('relaxed_punctate', -1, 0.1))
+SELECT recipe, chrom, count(*) AS n_regions, CAST(sum(10 * ("end" - start) + 1) AS BIGINT) AS coverage FROM regions, r WHERE -score / 100000.0::DOUBLE < ln(q) AND 10 * ("end" - start) > longer GROUP BY ALL""")
 def recipes(spark, d):
-    rows = [(n, float(p.scale_start), float(p.scale_end), p.window, p.q) for n, p in params.RECIPES.items()]
-    return spark.createDataFrame(rows, "name string, scale_start double, scale_end double, `window` int, q double")
+    """What each recipe's cutoffs keep of the regions, ten times as long."""
+    x = _all(spark, d).select("chrom", "start", (F.col("start") + 10 * (F.col("end") - F.col("start"))).alias("end"), (-F.col("score") / 100000.0).alias("log_p"))
+    kept = [T.significant(x, p.q, p.scale_start if p.filter_length else None).select(F.lit(n).alias("recipe"), "chrom", (F.col("end") - F.col("start") + 1).alias("w")) for n, p in params.RECIPES.items()]
+    return reduce(DataFrame.unionByName, kept).groupBy("recipe", "chrom").agg(F.count("*").alias("n_regions"), F.sum("w").alias("coverage"))
+
+
+#: Lists by the score, more of them than a word of a bitmap has places.
+@query(f"""WITH {A.REGIONS}, listed AS (SELECT chrom, start, "end", strand, score % 70 AS list FROM regions), {merge_sql('m', 'listed', 0, 'chrom, list')},
+o AS (SELECT x.list AS list_a, y.list AS list_b, sum(least(x."end", y."end") - greatest(x.start, y.start) + 1) AS shared FROM m x JOIN m y ON x.chrom = y.chrom AND x.start <= y."end" AND y.start <= x."end" GROUP BY ALL),
+s AS (SELECT list_a AS list, shared AS n FROM o WHERE list_a = list_b)
+SELECT list_a, list_b, CAST(shared AS BIGINT) AS shared, CAST(p.n AS BIGINT) AS of_a, CAST(q.n AS BIGINT) AS of_b, round(shared / (p.n + q.n - shared), 6) AS jaccard FROM o JOIN s p ON p.list = list_a JOIN s q ON q.list = list_b""")
+@tidied
+def list_association(spark, d):
+    return rounded(J.association(_all(spark, d).withColumn("list", F.col("score") % 70), "list"), "jaccard")
+
+
+@query(f"""{_BOTH}, {_SPOTS}, {_POSITIONS.format(n='pos', src='chip')}, e AS (SELECT chrom, start AS src_start, "end" AS src_end, unnest(range(start, "end" + 1)) AS pos FROM spots),
+u AS (SELECT e.*, value, sum(value) OVER (PARTITION BY chrom, src_start, src_end ORDER BY pos) AS c, sum(value) OVER (PARTITION BY chrom, src_start, src_end) AS t FROM e JOIN pos USING (chrom, pos))
+SELECT chrom, src_start, src_end, min(pos) FILTER (c > floor(t * 0.1::DOUBLE / 2)) AS start, max(pos) FILTER (t - c + value > floor(t * 0.1::DOUBLE / 2)) AS "end" FROM u GROUP BY chrom, src_start, src_end""")
+@tidied
+def mass_trim(spark, d):
+    return T.mass_trim(_spots(spark, d), _chip(spark, d), 0.1).select("chrom", "src_start", "src_end", "start", "end")

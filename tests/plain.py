@@ -295,6 +295,35 @@ def benjamini_hochberg(ps):
     return {k: ps[k] + math.log(len(ps) / (r + 1)) for r, k in enumerate(order)}
 
 
+def scale_regions(x, y, mapp, p):
+    """[(scale, start, end)]: the significant regions of each scale."""
+    smooth = x if mapp is None else mappable(x, mapp, p.mappability_window, p.mappability_limit)
+    base = median(smooth, int(p.scale_start) // 2)
+    l = len(x) - 1
+    n = l // p.bin_width
+    bins = np.array([0.0, *(base[k * p.bin_width + 1 : (k + 1) * p.bin_width + 1].sum() for k in range(n))])
+    kept = []
+    for scale in scales(p.scale_start / p.bin_width, p.scale_end / p.bin_width, p.scale_step):
+        found = [(a * p.bin_width, b * p.bin_width) for a, b in minima_regions(bins, scale, p.gamma)]
+        found = merge(tune(found, x, p.tune_fdr, p.poisson_window, p.tune_by), -2 * p.bin_width)
+        for s, e in p_trim(rd_trim(found, x, p.rd_fdr, p.poisson_window), x, y, p.fragment):
+            log_p = vicinity(s, e, x, y, p.fragment, p.window) if e < len(y) - 1 and e < l else 0.0
+            if log_p < math.log(p.q if p.p_cutoff is None else p.p_cutoff) and (not p.filter_length or e - s > p.scale_start):
+                kept.append((scale * p.bin_width, s, e))
+    return kept
+
+
+def scale_spectrum(x, y, p):
+    """[(scale, number, coverage)]: merged regions of all scales by the largest scale with a region that overlaps them."""
+    found = scale_regions(x, y, None, p)
+    rows = {s * p.bin_width: [0, 0] for s in scales(p.scale_start / p.bin_width, p.scale_end / p.bin_width, p.scale_step)}
+    for a, b in merge([(s, e) for _, s, e in found], 0):
+        row = rows[max(k for k, s, e in found if s <= b and a <= e)]
+        row[0] += 1
+        row[1] += b - a + 1
+    return [(k, n, c) for k, (n, c) in rows.items()]
+
+
 def call(chips, controls, strands, reads, p, mapps=None):
     """[(chrom, start, end, summit, trough, chip mass, control mass, log_p, log_q)]. chips, controls: {chrom: array}, the latter scaled;
     strands: {(chrom, strand): array}; reads: {chrom: (forward, reverse)}."""
@@ -305,18 +334,7 @@ def call(chips, controls, strands, reads, p, mapps=None):
         if share is None:
             f, r = reads[chrom]
             share = min(f / r, r / f) / 2 if f and r else 0.0
-        smooth = x if mapp is None else mappable(x, mapp, p.mappability_window, p.mappability_limit)
-        base = median(smooth, int(p.scale_start) // 2)
-        n = l // p.bin_width
-        bins = np.array([0.0, *(base[k * p.bin_width + 1 : (k + 1) * p.bin_width + 1].sum() for k in range(n))])
-        kept = []
-        for scale in scales(p.scale_start / p.bin_width, p.scale_end / p.bin_width, p.scale_step):
-            found = [(a * p.bin_width, b * p.bin_width) for a, b in minima_regions(bins, scale, p.gamma)]
-            found = merge(tune(found, x, p.tune_fdr, p.poisson_window, p.tune_by), -2 * p.bin_width)
-            for s, e in p_trim(rd_trim(found, x, p.rd_fdr, p.poisson_window), x, y, p.fragment):
-                log_p = vicinity(s, e, x, y, p.fragment, p.window) if e < len(y) - 1 and e < l else 0.0
-                if log_p < math.log(p.q if p.p_cutoff is None else p.p_cutoff) and (not p.filter_length or e - s > p.scale_start):
-                    kept.append((s, e))
+        kept = [(s, e) for _, s, e in scale_regions(x, y, mapp, p)]
         regions = rd_trim(merge(kept, 1), x, p.rd_fdr, p.poisson_window)
         if p.trim_after_merge:
             regions = p_trim(regions, x, y, p.fragment, True)

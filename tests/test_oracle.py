@@ -45,7 +45,7 @@ def test_regions_of_all_reads(spark, name):
 
 
 #: Queries that go through every operator with a plan for large inputs.
-CHUNKED = ["sort_reads", "pileup", "pileup_stranded", "interval_merge", "interval_merge_stranded", "interval_subtract", "nearest_distance", "inter_region_distance", "top_coverage", "sorting_reach", "predecessor", "median_filter", "extrema", "extrema_pruned", "log_ratio", "exclude_signal", "bedgraph", "sum_tracks", "joint_prune"]
+CHUNKED = ["sort_reads", "pileup", "pileup_stranded", "interval_merge", "interval_merge_stranded", "interval_subtract", "nearest_distance", "inter_region_distance", "top_coverage", "sorting_reach", "predecessor", "median_filter", "extrema", "extrema_pruned", "log_ratio", "exclude_signal", "bedgraph", "sum_tracks", "joint_prune", "list_association", "mass_trim"]
 
 
 @pytest.mark.parametrize("name", CHUNKED)

@@ -7,8 +7,8 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import enrichment, multiscale, profile, reads, trimming
-from terrane.plans import params, peaks
+from terrane.operators import enrichment, intervals, multiscale, profile, reads, trimming
+from terrane.plans import commands, params, peaks
 
 SMALL = params.BROAD.but(scale_start=33, scale_end=130, bin_width=2, window=100, mappability_window=20, fragment=20, poisson_window=700, scaling_window=500, p_cutoff=0.5, q=0.9, tune_by=10, filter_length=False)
 
@@ -175,6 +175,57 @@ def test_calls(spark, made, flat, changes):
     assert ties or all(r["log_q"] == pytest.approx(q[r["chrom"], r["start"], r["end"]], abs=1e-6) for r in out.collect())
 
 
+@pytest.mark.parametrize("changes", [{}, {"bin_width": 1, "scale_start": 9, "scale_end": 60}])
+def test_scale_spectrum(made, flat, changes):
+    p = SMALL.but(**changes)
+    for chrom in ("1", "2"):
+        got = commands.scale_spectrum(made[0], p, chrom).orderBy("scale_index").collect()
+        want = plain.scale_spectrum(flat[0][chrom], flat[1][chrom], p)
+        assert [(r["n_regions"], r["coverage"]) for r in got] == [w[1:] for w in want] and sum(w[1] for w in want) > 3
+        assert [r["scale"] for r in got] == pytest.approx([w[0] for w in want])
+
+
+def test_tracks_and_log_ratios(made, flat):
+    df, _, _ = made
+    tracks = {}
+    for r in commands.decomposition_tracks(df.filter("chrom <> 'M'"), SMALL).collect():
+        tracks.setdefault((r["chrom"], r["scale"]), []).append((r["start"] + 1, r["end"], r["value"]))
+    assert len(tracks) == 3 * len(plain.scales(SMALL.scale_start, SMALL.scale_end, SMALL.scale_step))
+    for (chrom, scale), runs in tracks.items():
+        x = flat[0][chrom]
+        assert np.array_equal(plain.dense(runs, len(x) - 1), plain.median(x, int(scale) // 2))
+    got = arrays(commands.log_ratio_signal(df, SMALL))
+    for chrom, z in got.items():
+        x, y = (a[chrom][: len(z)] for a in flat)
+        assert len(z) == min(len(flat[0][chrom]), len(flat[1][chrom]))
+        assert np.allclose(z, [math.log(a / b) if a > 0 and b > 0 else 0.0 for a, b in zip(x, y)])
+
+
+def test_mass_trim_of_long_and_empty_regions(spark):
+    """A region over 10 million positions, whose runs no row may hold; one without mass, equal ones, one whose mass is one position."""
+    runs = [("1", k * 1000 + 1, k * 1000 + 10, 3.7) for k in range(10_000)] + [("2", 50, 50, 1.0)]
+    profile = spark.createDataFrame(runs, "chrom string, start long, end long, value double")
+    rows = [("1", 1, 10_000_000, "a"), ("1", 1, 10_000_000, "b"), ("1", 11, 900, "none"), ("2", 1, 99, "one"), ("3", 1, 5, "absent")]
+    got = {r["name"]: (r["start"], r["end"]) for r in trimming.mass_trim(spark.createDataFrame(rows, "chrom string, start long, end long, name string"), profile, 0.1).collect()}
+    x = np.zeros(10_000_001, dtype=np.int64)
+    for _, s, e, v in runs[:-1]:
+        x[s : e + 1] = int(v)
+    up, down = np.cumsum(x), np.cumsum(x[::-1])[::-1]
+    cut = int(up[-1] * 0.1 / 2)
+    want = (int(np.argmax(up > cut)), int(len(x) - 1 - np.argmax(down[::-1] > cut)))
+    assert got == {"a": want, "b": want, "one": (50, 50)}
+    assert trimming.mass_trim(spark.createDataFrame([], "chrom string, start long, end long"), profile).count() == 0
+    assert trimming.mass_trim(spark.createDataFrame(rows, "chrom string, start long, end long, name string"), profile.limit(0)).count() == 0
+
+
+def test_association_of_lists(spark):
+    rows = [("1", 1, 10, "x"), ("1", 5, 20, "x"), ("1", 21, 30, "x"), ("1", 8, 25, "y"), ("2", 8, 25, "z"), ("1", 40, 41, None)]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, list string")
+    got = sorted(tuple(r)[:5] for r in intervals.association(df, "list").collect())
+    assert got == [("x", "x", 30, 30, 30), ("x", "y", 18, 30, 18), ("y", "x", 18, 18, 30), ("y", "y", 18, 18, 18), ("z", "z", 18, 18, 18)]
+    assert intervals.association(df.limit(0), "list").count() == 0
+
+
 def test_significant_small_scale_inside_an_insignificant_large_one(spark):
     """Worked by hand: of the merged region 100-400 the largest scale isn't significant, the middle one has 100-200 and 260-300, of which the first is."""
     rows = [("1", 1.0, 120, 140), ("1", 2.0, 100, 200), ("1", 2.0, 260, 300), ("1", 3.0, 180, 400), ("1", 1.0, 900, 950), ("1", 3.0, 2000, 2100), ("1", 1.0, 2010, 2020), ("2", 2.0, 5, 6)]
