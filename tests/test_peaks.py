@@ -175,6 +175,23 @@ def test_calls(spark, made, flat, changes):
     assert ties or all(r["log_q"] == pytest.approx(q[r["chrom"], r["start"], r["end"]], abs=1e-6) for r in out.collect())
 
 
+def test_call_without_control(made, flat):
+    """The background of the chip profile stands in for control."""
+    df, x, p = made[0], flat[0], SMALL.but(bin_width=1, scale_start=8, scale_end=16, window=50)
+    used = df.filter("sample = 'chip' and chrom <> 'M'")
+    strands = arrays(reads.pileup(used, 20, stranded=True, keys=("chrom",)), ("chrom", "strand"))
+    for c, v in x.items():
+        for s in "FR":
+            a = strands.get((c, s), np.zeros(1))
+            strands[c, s] = np.pad(a, (0, max(0, len(v) - len(a))))
+    counts = {r["chrom"]: (r["n_forward"], r["n_reverse"]) for r in reads.strand_counts(used).collect()}
+    y = {c: plain.background(v, p.window, p.fragment, p.poisson_window) for c, v in x.items()}
+    want = sorted(w[:8] for w in plain.call(x, y, strands, counts, p))
+    got = sorted((r["chrom"], r["start"], r["end"], r["summit"], r["trough"], r["chip_mass"], r["control_mass"], r["log_p"]) for r in peaks.call(used, p, has_control=False).collect())
+    assert len(want) > 3 and [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=1e-6)
+
+
 @pytest.mark.parametrize("changes", [{}, {"bin_width": 1, "scale_start": 9, "scale_end": 60}])
 def test_scale_spectrum(made, flat, changes):
     p = SMALL.but(**changes)
