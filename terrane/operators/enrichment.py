@@ -108,9 +108,9 @@ def spread(runs: list[dict], start: int, end: int) -> np.ndarray:
     return x
 
 
-def per_region(rows: DataFrame, f, added: dict[str, pa.DataType]) -> DataFrame:
-    """Apply f(row as dict) -> dict or None to each row; None drops it. The arrays of runs go."""
-    kept = [c for c, t in rows.dtypes if t != RUNS]
+def per_region(rows: DataFrame, f, added: dict[str, pa.DataType], without: tuple[str, ...] = ()) -> DataFrame:
+    """Apply f(row as dict) -> dict or None to each row; None drops it. The arrays of runs and the columns `without` go."""
+    kept = [c for c, t in rows.dtypes if t != RUNS and c not in without]
     schema = rows.select(*kept).schema
     names = {pa.int64(): "long", pa.float64(): "double"}
     ddl = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema if x.name not in added) + "".join(f", `{n}` {names[t]}" for n, t in added.items())
@@ -143,13 +143,10 @@ def _slide(x: np.ndarray, start: int, width: int, end: int, origin: int) -> floa
     return float(sums(np.arange(start, last + 1)).max())
 
 
-def peak_p_value(chip: np.ndarray, control: np.ndarray, start: int, end: int, origin: int, fragment: float, norm: int, l_control: int, reach: int) -> float:
-    """Max mode: greatest sums of `norm` positions in the region and in `reach` lengths around."""
-    length = end - start + 1
-    if length > norm:
-        signal, width = _slide(np.floor(chip), start, norm, end, origin), norm
-    else:
-        signal, width = float(np.floor(chip[start - origin : end - origin + 1]).sum()), end - start
+def peak_p_value(chip: np.ndarray, control: np.ndarray, start: int, end: int, origin: int, fragment: float, reach: int, l_control: int) -> float:
+    """Max mode of a region no longer than the norm: its sum, and the greatest sum as wide as it in `reach` lengths around."""
+    length, width = end - start + 1, end - start
+    signal = float(np.floor(chip[start - origin : end - origin + 1]).sum())
     s, e = max(1, start - reach * length), min(l_control, end + reach * length)
     if s + width > l_control:
         return 0.0
@@ -159,6 +156,39 @@ def peak_p_value(chip: np.ndarray, control: np.ndarray, start: int, end: int, or
     return 0.0 if math.floor(x) == 0 else _log_p(x, c)
 
 
+def greatest_windows(ranges: DataFrame, profile: DataFrame, width: int, name: str, floored: bool) -> DataFrame:
+    """Ranges (chrom, start, end), distinct, of first positions, with the profile's greatest sum over `width` positions from one of them on.
+
+    From one first position to the next the sum changes by the depth behind the window less that at its first position. This slope changes
+    only where a run begins or ends at one side of the window, so the sum is greatest there or at an end of the range. Sums at such places
+    are found once for the whole profile; a range takes the greatest of those inside.
+    """
+    edges = F.explode(F.array(*(x.cast("long") for e in (F.col("start"), F.col("end") + 1) for x in (e, e - width))))
+    turns = profile.filter("start <= end").select("chrom", edges.alias("start")).filter("start >= 1").distinct().withColumn("end", F.col("start") + width - 1)
+    turns = range_sums(settled(turns, "turns"), [(name, profile, floored)]).withColumn("end", F.col("start"))
+    inner = overlap_join(ranges.select("chrom", "start", "end"), turns).select(F.col("a_chrom").alias("chrom"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col(f"b_{name}").alias(name))
+    posts = ranges.select("chrom", F.col("start").alias("_from"), F.col("end").alias("_to"), F.explode(F.array_distinct(F.array("start", "end"))).alias("start")).withColumn("end", F.col("start") + width - 1)
+    posts = range_sums(posts, [(name, profile, floored)]).select("chrom", F.col("_from").alias("start"), F.col("_to").alias("end"), name)
+    return inner.unionByName(posts).groupBy("chrom", "start", "end").agg(F.max(name).alias(name))
+
+
+def long_peaks(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, norm: int, reach: int) -> DataFrame:
+    """Regions longer than norm with log_p in max mode: greatest sums of `norm` positions in the region and in `reach` lengths around."""
+    length = F.col("end") - F.col("start") + 1
+    spots = regions.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct().join(lengths(control), "chrom")
+    low, high = F.greatest(F.lit(1), F.col("start") - reach * length), F.least(F.col("l"), F.col("end") + reach * length)
+    spots = spots.withColumns({"_last": F.greatest(F.col("start") + 1, F.col("end") - norm), "_a": low.cast("long")}).withColumn("_b", F.greatest(F.col("_a") + 1, high - norm))
+    spots = settled(spots, "spots")
+    own = spots.select("chrom", "start", F.col("_last").alias("end")).distinct()
+    around = spots.filter(F.col("_a") + norm <= F.col("l")).select("chrom", F.col("_a").alias("start"), F.col("_b").alias("end")).distinct()
+    own = greatest_windows(own, chip, norm, "_x", True).withColumnsRenamed({"end": "_last"})
+    around = greatest_windows(around, control, norm, "_c", False).withColumnsRenamed({"start": "_a", "end": "_b"})
+    x, c = F.col("_x") / fragment, F.col("_c") / fragment
+    log_p = F.when(F.col("_c").isNull() | (F.floor(x) == 0), F.lit(0.0)).otherwise(binomial_log_p(x, F.when(F.floor(c) == 0, F.lit(1.0)).otherwise(c)))
+    scored = spots.join(own, ["chrom", "start", "_last"]).join(around, ["chrom", "_a", "_b"], "left").select("chrom", "start", "end", log_p.alias("log_p"))
+    return regions.drop("log_p").join(scored, ["chrom", "start", "end"]).select(*[k for k in regions.columns if k != "log_p"], "log_p")
+
+
 def mean_vicinity(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, norm: int, reach: int) -> DataFrame:
     """Regions with log_p in mean mode: control is the greatest sum of windows as long as the region (or 2 * norm around its middle, where it is
     no longer than norm) that step through `reach` lengths on either side and share their ends. Each window is a range sum."""
@@ -183,15 +213,17 @@ def vicinity_p_values(regions: DataFrame, chip: DataFrame, control: DataFrame, f
     """Regions with log_p in mean mode, or max mode for `peak`."""
     if not peak:
         return mean_vicinity(regions, chip, control, fragment, norm, reach)
-    pad = ((F.col("e0") - F.col("s0") + 1) * (reach + 1) + norm).cast("long")
-    rows = with_runs(with_runs(regions, chip, "_chip", norm), control, "_control", pad).join(F.broadcast(lengths(control).withColumnRenamed("l", "_l")), "chrom")
+    length = F.col("end") - F.col("start") + 1
+    long = long_peaks(regions.filter(length > norm), chip, control, fragment, norm, reach)
+    pad = ((F.col("e0") - F.col("s0") + 1) * (reach + 1) + norm).cast("long")  # of short regions, so it is bounded by norm
+    rows = with_runs(with_runs(regions.filter(length <= norm), chip, "_chip", norm), control, "_control", pad).join(lengths(control).withColumnRenamed("l", "_l"), "chrom")
 
     def f(row: dict) -> dict:
         width = (row["end"] - row["start"] + 1) * (reach + 1) + norm
         low, high = max(1, row["start"] - width), row["end"] + width
-        return {"log_p": peak_p_value(spread(row["_chip"], low, high), spread(row["_control"], low, high), row["start"], row["end"], low, fragment, norm, row["_l"], reach)}
+        return {"log_p": peak_p_value(spread(row["_chip"], low, high), spread(row["_control"], low, high), row["start"], row["end"], low, fragment, reach, row["_l"])}
 
-    return per_region(rows, f, {"log_p": pa.float64()}).drop("_l")
+    return per_region(rows, f, {"log_p": pa.float64()}).drop("_l").unionByName(long)
 
 
 def poisson_windows(profile: DataFrame, fdr: float, width: int = WINDOW, first: int = 1) -> DataFrame:

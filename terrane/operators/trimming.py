@@ -6,14 +6,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import binomial_log_tail
-from .chunked import CHUNK, neighbours, running, settled
-from .enrichment import WINDOW, per_region, poisson_windows, range_sums, spread, with_runs
+from ..functions.stats import binomial_log_p, binomial_log_tail
+from .chunked import CHUNK, neighbours, ranked, running, settled
+from .enrichment import WINDOW, per_region, poisson_windows, range_sums
 from .overlap import overlap_join
-from .profile import compact, floored, lengths
+from .profile import compact, filled, floored, lengths
 
 
 #: Logs of p-values that are closer count as equal, so that rounding decides nothing.
@@ -69,75 +69,99 @@ def median_filter_regions(regions: DataFrame, chip: DataFrame, fdr: float, width
     return above.filter(F.col("_n") >= n - F.floor(n / 2)).select(*regions.columns)
 
 
-def minimise(chip: np.ndarray, control: np.ndarray, start: int, fragment: float, floor_control: bool = False, most: int = 500, least_mass: float = 0.5) -> tuple[int, int]:
-    """Ends of the trim to depths above t, over all whole t, whose p-value is least, the first of equals; stops once half the mass is gone.
+def _reached(regions: DataFrame, control: DataFrame) -> DataFrame:
+    """(chrom, start, end) of the regions that control reaches, each once."""
+    spots = regions.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct()
+    return settled(spots.join(lengths(control), "chrom").filter("end <= l").drop("l"), "spots")
 
-    t goes from the least whole depth to the greatest, or to `most`. Trims are nested, so only the t at which they change need be tried: the
-    least one, and those that a depth of the region does not exceed for the first time.
-    """
-    total, n = chip.sum(), len(chip)
-    whole = np.floor(chip)
-    levels = np.unique(np.concatenate((whole.min(keepdims=True), np.ceil(chip))))
-    levels = levels[levels <= min(whole.max(), most)]
-    masses_ = np.concatenate(([0.0], np.cumsum(np.floor(chip)))), np.concatenate(([0.0], np.cumsum(np.floor(control) if floor_control else control))), np.concatenate(([0.0], np.cumsum(chip)))
-    best, ends, last = math.inf, (0, n - 1), None
-    for t in levels:
-        above = np.flatnonzero(chip > t)
-        now = (int(above[0]), int(above[-1])) if len(above) else (0, n - 1)
-        if now == last:
-            continue
-        last = now
-        s, c, raw = (m[now[1] + 1] - m[now[0]] for m in masses_)
-        p = binomial_log_tail(math.floor(c / fragment), int(s / fragment + c / fragment))
-        if p < best - EQUAL:
-            best, ends = p, now
-        if total > 0 and raw / total <= least_mass:
-            break
-    return start + ends[0], start + ends[1]
-
-
-def p_value_trim(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, modified: bool = False) -> DataFrame:
-    """Regions cut to the trim of least p-value; those that reach past control go. `modified` floors control too."""
-    rows = with_runs(with_runs(regions, chip, "_chip"), control, "_control").join(F.broadcast(lengths(control)), "chrom").filter("end <= l").drop("l")
 
-    def f(row: dict) -> dict:
-        a, b = row["start"], row["end"]
-        s, e = minimise(spread(row["_chip"], a, b), spread(row["_control"], a, b), a, fragment, modified)
-        return {"start": s, "end": e}
+def _recut(regions: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Regions with the ends _s and _e that cuts (chrom, _from, _to, _s, _e) gives them; those without go."""
+    met = regions.join(cuts.withColumnsRenamed({"_from": "start", "_to": "end"}), ["chrom", "start", "end"])
+    return met.withColumns({"start": F.col("_s").cast("long"), "end": F.col("_e").cast("long")}).select(*regions.columns)
 
-    return per_region(rows, f, {"start": pa.int64(), "end": pa.int64()}).select(*regions.columns)
 
+def nested_trims(spots: DataFrame, chip: DataFrame, most: int = 500) -> DataFrame:
+    """(chrom, _from, _to, start, end, t, total): the different trims of each spot to its first and last position of a depth above t, over all
+    whole t from its least whole depth to its greatest, or to `most`; a trim's t is its least. total is the spot's mass.
 
-def best_on_grid(chip: np.ndarray, control: np.ndarray, start: int, fragment: float, step: int, share: int) -> tuple[int, int]:
+    Depths above t are those whose next whole number is, so a spot's runs are aggregated by that number, up to most + 1, and a trim is the
+    running minimum and maximum of their ends from the greatest down. No row or window holds more than most + 2 levels, however long a spot is.
+    """
+    own = ["chrom", "_from", "_to"]
+    n, v = F.col("ol_end") - F.col("ol_start") + 1, F.col("b_value").cast("double")
+    met = overlap_join(spots, chip.select("chrom", "start", "end", "value"))
+    level = F.least(F.ceil(v), F.lit(most + 1)).cast("long").alias("t")
+    steps = met.groupBy(F.col("a_chrom").alias("chrom"), F.col("a_start").alias("_from"), F.col("a_end").alias("_to"), level).agg(
+        F.min("ol_start").alias("_first"), F.max("ol_end").alias("_last"), F.sum(n).alias("_n"), F.sum(n * v).alias("_mass"), F.min(v).alias("_low"), F.max(v).alias("_high")
+    )
+    steps = settled(steps, "levels")
+    wholes = spots.withColumnsRenamed({"start": "_from", "end": "_to"}).join(steps.groupBy(*own).agg(F.sum("_n").alias("_n"), F.sum("_mass").alias("total"), F.min("_low").alias("_low"), F.max("_high").alias("_high")), own, "left")
+    bare = F.coalesce("_n", F.lit(0)) < F.col("_to") - F.col("_from") + 1  # a position without a run has depth 0
+    zero = F.when(bare, F.lit(0.0))
+    bounds = wholes.select(*own, F.coalesce("total", F.lit(0.0)).alias("total"), F.floor(F.least("_low", zero)).cast("long").alias("_least"), F.least(F.floor(F.greatest("_high", zero)), F.lit(most)).cast("long").alias("_top"))
+    least = bounds.select(*own, F.col("_least").alias("t"), F.lit(None).cast("long").alias("_first"), F.lit(None).cast("long").alias("_last"))
+    above = Window.partitionBy(*own).orderBy(-F.col("t")).rangeBetween(Window.unboundedPreceding, -1)
+    rows = steps.select(*own, "t", "_first", "_last").unionByName(least)
+    rows = rows.withColumns({"start": F.coalesce(F.min("_first").over(above), F.col("_from")), "end": F.coalesce(F.max("_last").over(above), F.col("_to"))})
+    return rows.join(bounds, own).filter("t between _least and _top").groupBy(*own, "start", "end").agg(F.min("t").alias("t"), F.first("total").alias("total"))
+
+
+def p_value_trim(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, modified: bool = False, most: int = 500, least_mass: float = 0.5) -> DataFrame:
+    """Regions cut to the trim (see nested_trims) of least p-value, the first of equals from the least depth up to the first that leaves
+    `least_mass` of the mass or less; those that reach past control go. `modified` floors control too.
+
+    Masses of trims are range sums, so a region may be as long as a chromosome.
+    """
+    own = ["chrom", "_from", "_to"]
+    tried = settled(nested_trims(_reached(regions, control), chip, most), "trims")
+    scored = range_sums(tried, [("_chip", chip, True), ("_control", control, modified), ("_raw", chip, False)])
+    whole = Window.partitionBy(*own)
+    stop = F.min(F.when((F.col("total") > 0) & (F.try_divide("_raw", "total") <= least_mass), F.col("t"))).over(whole)
+    scored = scored.withColumn("_stop", stop).filter("_stop is null or t <= _stop").withColumn("_p", binomial_log_p(F.col("_chip") / fragment, F.col("_control") / fragment))
+    best = scored.withColumn("_best", F.min("_p").over(whole)).filter(F.col("_p") <= F.col("_best") + EQUAL)
+    cuts = best.groupBy(*own).agg(F.min(F.struct("t", F.col("start").alias("_s"), F.col("end").alias("_e"))).alias("_cut"))
+    return _recut(regions, cuts.select(*own, "_cut._s", "_cut._e"))
+
+
+def best_on_grid(sums: dict[int, tuple[float, float, float]], start: int, end: int, step: int, fragment: float) -> tuple[int, int]:
     """Ends of the least p-value among pairs of grid points that hold more than half the mass, the first of equals; else the whole.
 
-    The region's own end is no grid point."""
-    n = len(chip)
-    at = np.arange(0, n, max(step, (n - 1) // share))
-    raw, fx, cy = (np.concatenate(([0.0], np.cumsum(v))) for v in (chip, np.floor(chip), control))
-    i, j = np.meshgrid(at, at[at < n - 1], indexing="ij")
-    i, j = i.ravel(), j.ravel()
-    kept = (j > i) & (raw[np.minimum(j + 1, n)] - raw[i] > 0.5 * raw[-1])
+    sums: chip, whole chip and control from `start` to each grid point, to the place before it and to the end. The end is no grid point.
+    """
+    at = np.arange(start, end + 1, step)
+    before, upto = (np.array([sums[int(x)] for x in at + d]).T for d in (-1, 0))
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(len(at)), np.flatnonzero(at < end), indexing="ij"))
+    kept = (j > i) & (upto[0][j] - before[0][i] > 0.5 * sums[end][0])
     i, j = i[kept], j[kept]
-    s, c = (fx[j + 1] - fx[i]) / fragment, (cy[j + 1] - cy[i]) / fragment
+    s, c = ((upto[k][j] - before[k][i]) / fragment for k in (1, 2))
     k, total = np.floor(c).astype(np.int64), np.trunc(s + c).astype(np.int64)
     known = {pair: binomial_log_tail(*pair) for pair in set(zip(k.tolist(), total.tolist()))}
     p = np.array([known[pair] for pair in zip(k.tolist(), total.tolist())])
     first = np.flatnonzero(p <= p.min(initial=math.inf) + EQUAL)
-    return (start + int(i[first[0]]), start + int(j[first[0]])) if len(p) else (start, start + n - 1)
+    return (int(at[i[first[0]]]), int(at[j[first[0]]])) if len(p) else (start, end)
 
 
 def grid_trim(regions: DataFrame, chip: DataFrame, control: DataFrame, fragment: float, step: int = 100, share: int = 40) -> DataFrame:
     """Regions cut to the pair of grid points of least p-value that keep more than half the mass; the grid's step is a 40th of the length, or
-    `step`. Regions that reach past control go."""
-    rows = with_runs(with_runs(regions, chip, "_chip"), control, "_control").join(F.broadcast(lengths(control)), "chrom").filter("end <= l").drop("l")
+    `step`. Regions that reach past control go.
+
+    Sums up to grid points are range sums; a region's row holds those, two for each of at most 2 * share points, and no runs.
+    """
+    own = ["chrom", "_from", "_to"]
+    spots = _reached(regions, control).withColumn("_step", F.greatest(F.lit(step), F.floor((F.col("end") - F.col("start")) / share)).cast("long"))
+    grid = F.sequence(F.col("start"), F.col("end"), F.col("_step"))
+    asked = F.array_distinct(F.concat(grid, F.transform(grid, lambda x: x - 1), F.array(F.col("end"))))
+    points = spots.select("chrom", F.col("start").alias("_from"), F.col("end").alias("_to"), "_step", "start", F.explode(asked).alias("end"))
+    held = range_sums(points, [("_raw", chip, False), ("_chip", chip, True), ("_control", control, False)])
+    rows = held.groupBy(*own, "_step").agg(F.collect_list(F.struct("end", "_raw", "_chip", "_control")).alias("_sums"))
 
     def f(row: dict) -> dict:
-        a, b = row["start"], row["end"]
-        s, e = best_on_grid(spread(row["_chip"], a, b), spread(row["_control"], a, b), a, fragment, step, share)
-        return {"start": s, "end": e}
+        sums = {x["end"]: (x["_raw"], x["_chip"], x["_control"]) for x in row["_sums"]}
+        s, e = best_on_grid(sums, row["_from"], row["_to"], row["_step"], fragment)
+        return {"_s": s, "_e": e}
 
-    return per_region(rows, f, {"start": pa.int64(), "end": pa.int64()}).select(*regions.columns)
+    return _recut(regions, per_region(rows, f, {"_s": pa.int64(), "_e": pa.int64()}, ("_sums",)).drop("_step"))
 
 
 def significant(regions: DataFrame, cutoff: float, longer_than: float | None = None) -> DataFrame:
@@ -202,53 +226,60 @@ def summits(regions: DataFrame, chip: DataFrame, control: DataFrame) -> DataFram
     return out.select(*regions.columns, "inside", zero("chip_mass"), zero("control_mass"), zero(F.col("_top.v")), zero("control_max"), F.coalesce("_top.at", F.lit(0)).cast("long").alias("summit"))
 
 
-def local_extrema(x: np.ndarray) -> tuple[list[tuple[int, float]], list[tuple[int, float]]]:
-    """Maxima and minima (index, height) of an array, sentinels included, as multiscale.extrema has them."""
-    starts = np.concatenate(([0], np.flatnonzero(np.abs(np.diff(x)) > 1e-10) + 1))
-    stops = np.concatenate((starts[1:] - 1, [len(x) - 1]))
-    found = []
-    for k in range(1, len(starts) - 1):
-        a, b, v = starts[k], stops[k], x[starts[k]]
-        left, right = x[starts[k] - 1], x[stops[k] + 1]
-        if (left < v) == (right < v):
-            found.append(((a + b + 1) // 2, float(v), left < v))
-    if len(found) < 2:
-        return [], []
-    found = [(0, float(x[0]), not found[0][2]), *found, (len(x) - 1, float(x[-1]), not found[-1][2])]
-    return [f[:2] for f in found if f[2]], [f[:2] for f in found if not f[2]]
+def region_extrema(spots: DataFrame, chip: DataFrame) -> DataFrame:
+    """(chrom, start, end, pos, kind, height): maxima and minima of each spot's own stretch of chip, pos counted from its start.
+
+    A plateau inside a spot is an extremum there if it is one of the whole profile, so extrema are found once and joined. Where a spot has two
+    or more, sentinels of alternating kind stand at its ends, as multiscale.extrema has them; one with fewer has none.
+    """
+    at = ["chrom", "start", "end"]
+    reach = spots.select("chrom", F.col("end").alias("l")).unionByName(lengths(chip)).groupBy("chrom").agg((F.max("l") + 1).alias("l"))
+    plateaus = compact(filled(chip.select("chrom", "start", "end", F.col("value").cast("double").alias("value")), reach, first=0))
+    v, p, n = F.col("value"), F.col("prev_value"), F.col("next_value")
+    kind = F.when((p < v) & (n < v), "MAX").when((p > v) & (n > v), "MIN")
+    found = neighbours(plateaus, ["chrom"], ["start"], ["value"]).withColumn("kind", kind).filter("kind is not null").select(*at, "kind", "value")
+    met = overlap_join(spots.select(*at), found).filter("b_start > a_start and b_end < a_end")
+    pos = (F.floor((F.col("b_start") + F.col("b_end") + 1) / 2) - F.col("a_start")).cast("long")
+    inner = settled(met.select(*(F.col(f"a_{c}").alias(c) for c in at), pos.alias("pos"), F.col("b_kind").alias("kind"), F.col("b_value").alias("height")), "extrema")
+    sides = inner.groupBy(*at).agg(F.count("*").alias("n"), F.min(F.struct("pos", "kind"))["kind"].alias("first"), F.max(F.struct("pos", "kind"))["kind"].alias("last")).filter("n >= 2")
+    other = lambda c: F.when(F.col(c) == "MAX", "MIN").otherwise("MAX")
+    posts = F.array(F.struct(F.col("start").alias("at"), other("first").alias("kind")), F.struct(F.col("end").alias("at"), other("last").alias("kind")))
+    posts = sides.select("chrom", F.col("start").alias("_from"), F.col("end").alias("_to"), F.explode(posts).alias("_p")).select("chrom", "_from", "_to", "_p.kind", F.col("_p.at").alias("start"), F.col("_p.at").alias("end"))
+    posts = range_sums(posts, [("height", chip, False)])
+    posts = posts.select("chrom", F.col("_from").alias("start"), F.col("_to").alias("end"), (F.col("start") - F.col("_from")).alias("pos"), "kind", "height")
+    return inner.join(sides.select(*at), at, "left_semi").unionByName(posts)
 
 
 def troughs(regions: DataFrame, chip: DataFrame, mappability: DataFrame | None, most: float, width: int = 100) -> DataFrame:
     """Regions with `trough`: the minimum of least rank sum (its own by height, and those of the highest maxima on either side by
-    depth); minima without both, or in poorly mappable places, come last. 0 without extrema."""
-    rows = with_runs(regions, chip, "_chip")
-    has_map = mappability is not None
-    if has_map:
-        rows = with_runs(rows, mappability, "_map", width)
+    depth); minima without both, or in poorly mappable places, come last. 0 without extrema.
 
-    def f(row: dict) -> dict:
-        start, end = row["start"], row["end"]
-        highs, lows = local_extrema(spread(row["_chip"], start, end))
-        if not highs or not lows:
-            return {"trough": 0}
-        highs, lows = sorted(highs, key=lambda m: (-m[1], m[0])), sorted(lows, key=lambda m: (m[1], m[0]))
-        worst = 2 * len(highs) + len(lows)
-        low_edge = max(1, start - width)
-        mapp = spread(row["_map"], low_edge, end + width) if has_map else None
-        best, where = worst, 0
-        for rank, (pos, _) in enumerate(lows):
-            before = next((k for k, m in enumerate(highs) if m[0] < pos), None)
-            behind = next((k for k, m in enumerate(highs) if m[0] > pos), None)
-            score = worst if before is None or behind is None else rank + before + behind
-            if score < worst and has_map:
-                at = start - low_edge  # nothing before the region counts
-                if mapp[at + max(0, pos - width // 2) : at + pos + width // 2].sum() / width >= most:
-                    score = worst
-            if score < best:
-                best, where = score, rank
-        return {"trough": start + int(lows[where][0])}
-
-    return per_region(rows, f, {"trough": pa.int64()})
+    A rank is the number of extrema at better heights, a running sum over heights, plus a place among equal ones; the best maximum on a side
+    is a running minimum of ranks. So extrema stay rows, however many a region has.
+    """
+    at = ["chrom", "start", "end"]
+    spots = settled(regions.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct(), "spots")
+    found = region_extrema(spots, chip)
+    found = settled(found.withColumn("_key", F.when(F.col("kind") == "MAX", -F.col("height")).otherwise(F.col("height"))), "extrema")
+    alike = [*at, "kind", "_key"]
+    levels = running(found.groupBy(*alike).agg(F.count("*").alias("_n")), [*at, "kind"], ["_key"], F.col("_n"), "sum", "_better", inclusive=False)
+    placed = ranked(found, alike, ["pos"], "_place").join(levels.drop("_n"), alike)
+    placed = placed.withColumn("rank", F.coalesce("_better", F.lit(0)) + F.col("_place") - 1)
+    high = F.when(F.col("kind") == "MAX", F.col("rank"))
+    placed = running(placed.select(*at, "pos", "kind", "rank"), at, ["pos"], high, "min", "_left", inclusive=False)
+    placed = running(placed.withColumn("_back", -F.col("pos")), at, ["_back"], high, "min", "_right", inclusive=False)
+    sizes = found.groupBy(*at).agg((2 * F.count_if(F.col("kind") == "MAX") + F.count_if(F.col("kind") == "MIN")).alias("_worst"))
+    lows = placed.filter("kind = 'MIN'").join(sizes, at)
+    lows = lows.withColumn("score", F.coalesce(F.col("rank") + F.col("_left") + F.col("_right"), F.col("_worst")))
+    if mappability is not None:  # nothing before the region counts
+        half = width // 2
+        low, back = F.col("_from") + F.greatest(F.col("pos") - half, F.lit(0)), F.col("_from") + F.col("pos") + half - 1
+        spread_ = settled(lows.withColumnsRenamed({"start": "_from", "end": "_to"}).withColumns({"start": low, "end": back}), "lows")
+        lows = range_sums(spread_, [("_map", mappability, False)]).drop("start", "end").withColumnsRenamed({"_from": "start", "_to": "end"})
+        lows = lows.withColumn("score", F.when(F.col("_map") / width >= most, F.col("_worst")).otherwise(F.col("score")))
+    best = lows.groupBy(*at).agg(F.min(F.struct("score", "rank", "pos"))["pos"].alias("_pos"))
+    out = regions.join(best, at, "left")
+    return out.select(*[c for c in regions.columns if c != "trough"], F.coalesce(F.col("start") + F.col("_pos"), F.lit(0)).cast("long").alias("trough"))
 
 
 def merge_by_significance(by_scale: DataFrame, p_value, cutoff: float) -> DataFrame:

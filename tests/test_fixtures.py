@@ -173,12 +173,12 @@ def test_sliding_median():
             assert profile.sliding_median(x, half, skip).tolist() == want
 
 
-def test_trims():
-    chip, control = np.array([1.0, 1, 5, 9, 9, 5, 1, 1]), np.ones(8)
-    start, end = trimming.minimise(chip, control, 100, 1.0)
-    assert 100 <= start <= end <= 107
-    highs, lows = trimming.local_extrema(np.array([0.0, 2, 2, 1, 3, 0]))
-    assert [p for p, _ in highs] == [2, 4] and [p for p, _ in lows] == [0, 3, 5]
+def test_region_extrema(spark):
+    """Sentinels of alternating kind at a region's ends; a region with one extremum has none."""
+    chip = spark.createDataFrame([("1", 101, 102, 2.0), ("1", 103, 103, 1.0), ("1", 104, 104, 3.0), ("1", 301, 301, 4.0)], "chrom string, start long, end long, value double")
+    spots = spark.createDataFrame([("1", 100, 105), ("1", 300, 302), ("2", 1, 9)], "chrom string, start long, end long")
+    got = rows(trimming.region_extrema(spots, chip), "start", "pos", "kind", "height")
+    assert sorted(got) == [(100, 0, "MIN", 0.0), (100, 2, "MAX", 2.0), (100, 3, "MIN", 1.0), (100, 4, "MAX", 3.0), (100, 5, "MIN", 0.0)]
 
 
 def test_files(spark, tmp_path):

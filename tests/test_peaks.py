@@ -131,6 +131,40 @@ def test_summits_and_troughs(spark, made, flat, spots):
         assert got == {(c, s, e): plain.trough(s, e, x[c], used and used[c], 1.2) for c, s, e in whole}
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_regions_as_long_as_a_chromosome(spark, limit, monkeypatch):
+    """Trims, greatest windows and troughs of one region of 60,000 runs and of parts of it, also by the plan for large inputs."""
+    if limit is not None:
+        monkeypatch.setattr("terrane.operators.chunked.PLAIN_BYTES", limit)
+    rng, n = np.random.default_rng(5), 60_000
+    x, y = (np.concatenate(([0.0], v)) for v in (rng.integers(0, 9, n) * (1 + (np.arange(n) // 9000) % 3), rng.integers(0, 4, n) * 0.75))
+    chip, control = (spark.createDataFrame([("1", k, k, float(v)) for k, v in enumerate(z) if v or k == n], "chrom string, start long, end long, value double") for z in (x, y))
+    rows = [("1", 1, n), ("1", 1, n), ("1", 500, n - 700), ("1", 20_000, 20_400), ("1", 20_000, n + 1)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "chrom string, start long, end long, n int")
+    inside, whole = [r[1:] for r in rows[:4]], df.filter("n < 4")
+    assert pairs(trimming.p_value_trim(df, chip, control, 20)) == sorted(("1", *r) for r in plain.p_trim(inside, x, y, 20))
+    assert pairs(trimming.grid_trim(df, chip, control, 20)) == sorted(("1", *r) for r in plain.grid(inside, x, y, 20, 100))
+    assert {r[1:] for r in pairs(trimming.troughs(whole, chip, None, 1.2), "trough")} == {(s, e, _trough(s, e, x)) for s, e in inside}
+    got = {r[1:3]: r[3] for r in pairs(enrichment.vicinity_p_values(whole, chip, control, 20, 300, 1, True), "log_p")}
+    for s, e in set(inside):
+        width = lambda z, a, b: max((np.cumsum(z)[np.arange(a, max(a + 1, b - 300) + 1) + 299] - np.cumsum(z)[np.arange(a, max(a + 1, b - 300) + 1) - 1]).tolist())
+        a, b = max(1, s - (e - s + 1)), min(n, e + (e - s + 1))
+        assert got[s, e] == pytest.approx(plain.tail(width(np.pad(x, (0, 400)), s, e) / 20, max(1, width(np.pad(y, (0, 400)), a, b) / 20)), abs=1e-6)
+
+
+def _trough(s, e, x):
+    """plain.trough without mappability, by running minima of ranks."""
+    found = plain.extrema(x[s : e + 1])
+    highs = sorted(((p, h) for p, top, h in found if top), key=lambda m: (-m[1], m[0]))
+    lows = sorted(((p, h) for p, top, h in found if not top), key=lambda m: (m[1], m[0]))
+    rank, worst = np.full(e - s + 1, 10**9), 2 * len(highs) + len(lows)
+    for k, (p, _) in enumerate(highs):
+        rank[p] = k
+    left, right = np.minimum.accumulate(rank), np.minimum.accumulate(rank[::-1])[::-1]
+    best = min(range(len(lows)), key=lambda k: (min(worst, k + int(left[lows[k][0]]) + int(right[lows[k][0]])), k))
+    return s + lows[best][0]
+
+
 def test_filters_and_minima(spark, made, flat):
     _, chip, _ = made
     mapp = spark.createDataFrame([(c, k * 40 + 1, k * 40 + 40, 0.8 + k % 5 * 0.2) for c in "12" for k in range(60)], "chrom string, start long, end long, value double")
