@@ -1,23 +1,22 @@
 """LM scoring: exact add-one unigram scores and a gated recurrent model, both learned from the training fold.
 
-1. Documents become segments: token numbers with a dictionary of the segment (64-bit hashes of its tokens, their tail classes and their
-   counts in training documents), written once.
+1. Documents become segments, filled across the batches of a partition: token numbers with a dictionary of the segment (64-bit hashes of
+   its tokens, their tail classes and their counts in training documents), written once.
 2. Counts of all training tokens are summed over the dictionaries. The most frequent tokens make the short list.
 3. A model is started on a bounded sample; then every partition trains it further on all of its own training documents, and the
    weights are averaged slice by slice in a tree. Scores therefore depend, in small measure, on how the rows are dealt to partitions.
-4. The tokens of every dictionary meet their counts in a join, and each segment is scored with them: whole texts, the
-   recurrent state carried through.
+4. The tokens of every dictionary meet their counts in a join, those that differ from the segment's own return to it, and each segment
+   is scored with them: whole texts, the recurrent state carried through.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -25,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .shared import chunks, fold, materialise, tidied, utf8
+from .shared import chunks, fold, materialise, tidied
 
-SEGMENT_BYTES = 10 << 20
+#: Bytes of a segment's rows, and of text of the pieces it is filled with; a text beyond them is a piece, or a segment, by itself.
+SEGMENT_BYTES, PIECE_BYTES = 24 << 20, 1 << 20
 #: Words of the short list, and classes they are dealt to.
 WORDS, HEADS = 1024, 32
 SUFFIXES = 12
@@ -43,13 +43,13 @@ SLICES, FAN_IN = 64, 256
 FOLDS, HELD_OUT = 7, 2
 SEGMENT = "segment long, doc_ids array<long>, folds binary, lengths binary, codes binary, hashes binary, tails binary, counts binary"
 _END = b""
-_TRAIL = re.compile(rb"[^0-9a-z\x80-\xff]+$")
+_TRAIL = bytes(c for c in range(128) if chr(c) not in "0123456789abcdefghijklmnopqrstuvwxyz")
 
 
 def tail_class(token: bytes) -> int:
     """Class by what a token ends with: punctuation, the hash of its last two letters, and whether it is long."""
-    m = _TRAIL.search(token)
-    core, trail = (token[: m.start()], m[0]) if m else (token, b"")
+    core = token.rstrip(_TRAIL)
+    trail = token[len(core) :]
     kind = 0 if not trail else 1 if trail == b"," else 2 if trail == b"." else 3
     return (kind * 2 + (len(core) > 8)) * SUFFIXES + zlib.crc32(core[-2:]) % SUFFIXES
 
@@ -66,32 +66,54 @@ def _packed(codes: np.ndarray) -> bytes:
 
 def _unpacked(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of a segment each, from as many batches as it takes."""
+    held, size = [], 0
+    for piece in chunks(batches, limit=PIECE_BYTES):
+        if held and size + piece.nbytes > SEGMENT_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+        held.append(piece)
+        size += piece.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Token numbers of all texts, tokens of each, and the tokens by number, the end first."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.not_equal(pc.binary_length(found), 0)  # white space around a text leaves empty words
+    kept = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)))[np.concatenate(([0], np.cumsum(n)))]
+    found = found.filter(some).dictionary_encode()
+    lengths = np.diff(kept) + 1
+    codes = np.zeros(int(lengths.sum()), "<i4")
+    inner = np.ones(len(codes), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    codes[inner] = found.indices.to_numpy() + 1
+    return codes, lengths, [_END, *found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
-    for batch in chunks(batches, limit=SEGMENT_BYTES):
-        number: dict[bytes, int] = defaultdict(lambda: len(number))
-        codes, lengths = [], []
-        for text in utf8(batch.column(1)):
-            found = tokens(text)
-            lengths.append(len(found))
-            codes.append(np.fromiter(map(number.__getitem__, found), "<i4", len(found)))
-        flat, lengths = np.concatenate(codes), np.array(lengths, "<i8")
-        folds = np.array(batch.column(2).to_pylist(), "<i1")
-        counts = np.bincount(flat[np.repeat(folds != HELD_OUT, lengths)], minlength=len(number))
+    part = TaskContext.get().partitionId()
+    for n, rows in enumerate(_filled(batches)):
+        ids, texts, folds = (c.chunk(0) for c in rows.columns)
+        flat, lengths, found = _coded(texts)
+        folds = np.array(folds.to_pylist(), "<i1")
+        counts = np.bincount(flat[np.repeat(folds != HELD_OUT, lengths)], minlength=len(found))
         cells = (
             [part << 32 | n],
-            [batch.column(0).to_pylist()],
-            *([x if isinstance(x, bytes) else x.tobytes()] for x in (folds, lengths, _packed(flat), np.array([xxhash.xxh3_64_intdigest(w) for w in number], "<u8"), np.array([tail_class(w) for w in number], "<u1"), counts.astype("<i4"))),
+            [ids.to_pylist()],
+            *([x if isinstance(x, bytes) else x.tobytes()] for x in (folds, lengths.astype("<i8"), _packed(flat), np.array([xxhash.xxh3_64_intdigest(w) for w in found], "<u8"), np.array([tail_class(w) for w in found], "<u1"), counts.astype("<i4"))),
         )
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6))], names=["segment", "doc_ids", "folds", "lengths", "codes", "hashes", "tails", "counts"])
-        n += 1
 
 
 def _entries(counted: bool):
-    """Dictionary entries as rows: those with training counts, or all with their segment and place."""
+    """Dictionary entries as rows: those with training counts, or all with their segment, place and count there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +124,7 @@ def _entries(counted: bool):
                     some = c > 0
                     yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(tail[some].astype(np.int32)), pa.array(c[some].astype(np.int64))], names=["h", "tail", "c"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), segment)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "segment", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), segment)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(c)], names=["h", "segment", "place", "own"])
 
     return run
 
@@ -143,18 +165,18 @@ def end_hash() -> int:
 
 
 def _read(batch: pa.RecordBatch, row: int, vocabulary: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Token numbers as a stream, lengths and folds of a segment (folds, lengths, codes, hashes, tails)."""
+    """Places in the dictionary and word numbers by them, lengths and folds of a segment (folds, lengths, codes, hashes, tails)."""
     folds, lengths, hashes, tails = (np.frombuffer(batch.column(k)[row].as_py(), t) for k, t in (("folds", "<i1"), ("lengths", "<i8"), ("hashes", "<i8"), ("tails", "<u1")))
-    return vocabulary.numbered(hashes, tails)[_unpacked(batch.column("codes")[row].as_py())], lengths, folds
+    return _unpacked(batch.column("codes")[row].as_py()), vocabulary.numbered(hashes, tails).astype(np.int32), lengths, folds
 
 
 def _taught(vocabulary: Vocabulary, weights: gru.Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = gru.Trainer(weights.filled(np.frombuffer(weights.flat(), np.float32).copy()), vocabulary.layout(), RATE, LANES, STEPS), 0
+        trainer, seen = gru.Trainer(weights, vocabulary.layout(), RATE, LANES, STEPS), 0
         for batch in batches:
             for row in range(batch.num_rows):
-                stream, lengths, folds = _read(batch, row, vocabulary)
-                seen += trainer.learn(stream[np.repeat(folds != HELD_OUT, lengths)])
+                codes, numbers, lengths, folds = _read(batch, row, vocabulary)
+                seen += trainer.learn(numbers[codes[np.repeat(folds != HELD_OUT, lengths)]])
         if seen:
             parts = np.array_split(np.frombuffer(trainer.w.flat(), np.float32), SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([seen] * SLICES, pa.int64())], names=["slice", "weights", "seen"])
@@ -208,17 +230,16 @@ def _scored(vocabulary: Vocabulary, weights: gru.Weights):
     def run(key: tuple, segment: pa.Table, found: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in names]
         for row in range(len(segment)):
-            stream, lengths, folds = _read(segment, row, vocabulary)
-            hashes = np.frombuffer(segment.column("hashes")[row].as_py(), "<i8")
-            codes = _unpacked(segment.column("codes")[row].as_py())
+            codes, numbers, lengths, folds = _read(segment, row, vocabulary)
             tails = np.frombuffer(segment.column("tails")[row].as_py(), "<u1").astype(np.int64)
-            count = np.zeros(len(hashes))
+            count = np.frombuffer(segment.column("counts")[row].as_py(), "<i4").astype(np.float64)  # right unless other segments have the token
             count[found.column("place").to_numpy()] = found.column("c").to_numpy()
             base = np.log10((count + 1) / (vocabulary.total + (vocabulary.distinct + 1)))
-            inner = np.where(vocabulary.numbered(hashes, tails) < layout.n_words, 0.0, np.log((count + 1) / vocabulary.mass[tails]))
-            logs = gru.score_documents(weights, layout, stream, lengths) + inner[codes]
+            inner = np.where(numbers < layout.n_words, 0.0, np.log((count + 1) / vocabulary.mass[tails]))
+            logs = gru.score_documents(weights, layout, numbers[codes], lengths)
+            logs += inner[codes]
             begins = np.cumsum(lengths) - lengths
-            sums = [np.add.reduceat(x, begins) if len(begins) else np.zeros(0) for x in ((count > 0)[codes].astype(np.int64), base[codes], logs)]
+            sums = [np.add.reduceat(x[codes], begins) for x in ((count > 0).astype(np.int64), base)] + [np.add.reduceat(logs, begins)]
             for o, x in zip(out, (segment.column("doc_ids")[row].as_py(), folds, lengths, sums[0], sums[1], sums[2] / np.log(10))):
                 o.extend(x if isinstance(x, list) else x.tolist())
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -251,6 +272,6 @@ def score_corpus(docs: DataFrame) -> DataFrame:
         mass[r["tail"]][1] -= 1
     vocabulary = Vocabulary([(h, r["c"]) for h, r in zip(listed, words)], {k: tuple(v) for k, v in mass.items()}, total, distinct)
     weights = train(segments, source, vocabulary)
-    asked = entries.mapInArrow(_entries(False), "h long, segment long, place int").join(counts.select("h", "c"), "h").select("segment", "place", "c")
+    asked = entries.mapInArrow(_entries(False), "h long, segment long, place int, own int").join(counts.select("h", "c"), "h").filter("c <> own").select("segment", "place", "c")
     scored = segments.groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(_scored(vocabulary, weights), "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
