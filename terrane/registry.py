@@ -737,8 +737,9 @@ def region_p_value_vicinity(spark, d):
 
 
 @query()
+@tidied
 def region_p_value_peak(spark, d):
-    return E.vicinity_p_values(_spots(spark, d), _chip(spark, d), _control(spark, d), 20, 50, 3, True)
+    return E.vicinity_p_values(_spots(spark, d), settled(_chip(spark, d)), settled(_control(spark, d)), 20, 50, 3, True)
 
 
 #: Thresholds of the windows of 2,000 positions of the profile p: mean depths over a window's own length, depths up to its greatest.
