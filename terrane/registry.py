@@ -1168,7 +1168,7 @@ def preprocessed_read(spark, d):
 
 def _profile_file(spark, d, kind):
     """The folder of a written profile."""
-    path, x = new_path(spark, "profile"), R.pileup(A.reads(spark, d), keys=("chrom",))
+    path, x = new_path(spark, "profile"), settled(R.pileup(A.reads(spark, d), keys=("chrom",)))
     held = x.withColumn("value", F.least(F.col("value"), F.lit(250.0))) if kind == "uint8" else x
     SP.write_profiles(held, P.lengths(x), path, kind)
     return path

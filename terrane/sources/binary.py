@@ -24,8 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 KINDS = {"double": np.dtype("<f8"), "uint8": np.dtype("u1"), "text": np.dtype("u1")}
 PADDING = {"double": 1, "uint8": 1, "text": 0}
 HEADER = 4
-#: Bytes of a file that one task reads, and values that a task holds at once.
+#: Bytes of a range of a file, and values that a task holds at once.
 RANGE_BYTES, BLOCK_VALUES = 32 << 20, 1 << 20
+#: Tasks that read, at most; where there are more ranges, a task reads several in turn.
+MOST_TASKS = 1024
 
 _RUNS = pa.schema([("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.float64())])
 _PIECES = pa.schema([("chrom", pa.string()), ("start", pa.int64()), ("piece", pa.string())])
@@ -85,7 +87,8 @@ class BinaryReader(DataSourceReader):
                     held = 0
                 out[-1].ranges.append((info.path, posixpath.basename(info.path)[:-4], first, size))
                 held += size
-        return out
+        each = -(-len(out) // MOST_TASKS)
+        return [Ranges([r for part in out[k : k + each] for r in part.ranges]) for k in range(0, len(out), each)]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         files, _ = opened(self.path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import normalise_chrom
+from ..operators.chunked import settled
 from .binary import BLOCK_VALUES, BinarySource
 
 
@@ -33,7 +34,9 @@ def read_profiles(spark: SparkSession, path: str, kind: str, scale: float = 1.0,
 def write_profiles(profile: DataFrame, ends: DataFrame, path: str, kind: str) -> None:
     """A `<chrom>.bin` for each row (chrom, l) of ends, with positions 1 to l of the profile and a value of padding; gaps are 0."""
     own = profile.select("chrom", F.col("start").cast("long"), F.col("end").cast("long"), F.col("value").cast("double"))
-    _write(ends.select("chrom", F.col("l").cast("long")).join(own, "chrom", "left"), path, kind)
+    ends = settled(ends.select("chrom", F.col("l").cast("long")), "ends")
+    heads = ends.select("chrom", "l", *(F.lit(None).cast(t).alias(c) for c, t in own.dtypes if c != "chrom"))  # also of chromosomes without runs
+    _write(own.join(F.broadcast(ends), "chrom").unionByName(heads), path, kind)
 
 
 def read_lengths(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
